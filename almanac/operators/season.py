@@ -147,7 +147,7 @@ def priority(id_col, year_col, category_col, today: _dt.date,
     cat = _c(category_col)
     ok, start, end = _summary_dates(id_col)
     year = _c(year_col).cast("string")
-    check = F.try_to_date(F.format_string("%s-%s", F.try_cast(year, "int").cast("string"),
+    check = F.try_to_date(F.format_string("%s-%s", year.try_cast("int").cast("string"),
                                           F.lit(today.strftime("%m-%d"))),
                           "yyyy-MM-dd")
     valid = ok & start.isNotNull() & end.isNotNull() & check.isNotNull()
@@ -170,7 +170,7 @@ def priority_reason(id_col, year_col, category_col, today: _dt.date,
     cat = _c(category_col)
     ok, start, end = _summary_dates(id_col)
     year = _c(year_col).cast("string")
-    check = F.try_to_date(F.format_string("%s-%s", F.try_cast(year, "int").cast("string"),
+    check = F.try_to_date(F.format_string("%s-%s", year.try_cast("int").cast("string"),
                                           F.lit(today.strftime("%m-%d"))),
                           "yyyy-MM-dd")
     valid = ok & start.isNotNull() & end.isNotNull() & check.isNotNull()

@@ -79,3 +79,187 @@ FROM ranked WHERE rank <= 4
 
 def oracle_sql() -> dict[str, str]:
     return dict(SQL)
+
+SQL["q_week_list"] = f"""
+WITH {BULLETINS}
+SELECT DISTINCT regexp_extract(title, '\\[(.*?)\\]', 1) AS week_range FROM bulletins
+WHERE year = 2024 AND month = 3 AND regexp_extract(title, '\\[(.*?)\\]', 1) <> ''
+"""
+
+SQL["q_week_lookup"] = f"""
+WITH {BULLETINS}
+SELECT id, CAST(year AS BIGINT) AS year, title, content_md, array_to_string(tags, ', ') AS tags,
+       regexp_extract(title, '\\[(.*?)\\]', 1) AS w_range
+FROM bulletins WHERE title LIKE '%2024-03-04~2024-03-10%'
+"""
+
+SQL["q_tag_list"] = f"""
+WITH {BULLETINS}
+SELECT DISTINCT tag FROM (SELECT unnest(tags) AS tag FROM bulletins) WHERE tag <> ''
+"""
+
+SQL["q_tag_top"] = f"""
+WITH {BULLETINS}
+SELECT tag, count(*) AS count FROM (SELECT unnest(tags) AS tag FROM bulletins)
+GROUP BY tag ORDER BY count DESC, tag LIMIT 5
+"""
+
+SQL["q_tag_contains"] = f"""
+WITH {BULLETINS}
+SELECT count(*) AS n FROM bulletins WHERE content_md LIKE '%nicht%' AND list_contains(tags, 'mente')
+"""
+
+SQL["q_tag_any"] = f"""
+WITH {BULLETINS}
+SELECT id, array_to_string(tags, ', ') AS tags FROM bulletins
+WHERE list_has_any(coalesce(tags, []), ['thing', 'erble'])
+"""
+
+SQL["q_tag_nonempty"] = f"""
+WITH {BULLETINS}
+SELECT id, title, CAST(len(tags) AS BIGINT) AS n_tags FROM bulletins WHERE len(tags) > 0
+"""
+
+SQL["q_tag_by_year"] = f"""
+WITH {BULLETINS}
+SELECT CAST(year AS BIGINT) AS year, tag, count(*) AS cnt
+FROM (SELECT year, unnest(tags) AS tag FROM bulletins) GROUP BY year, tag
+"""
+
+SQL["q_category_by_month"] = f"""
+WITH {BULLETINS}
+SELECT CAST(month AS BIGINT) AS month, category, count(*) AS cnt FROM bulletins GROUP BY month, category
+"""
+
+SQL["q_category_top"] = f"""
+WITH {BULLETINS}
+SELECT category, count(*) AS cnt FROM bulletins GROUP BY category ORDER BY cnt DESC, category LIMIT 5
+"""
+
+SQL["q_category_counts"] = """
+SELECT category, count(*) AS cnt FROM (
+  SELECT CASE
+    WHEN text LIKE '%목차%' OR text LIKE '%목 차%' THEN 'SKIP'
+    WHEN replace(text, ' ', '') LIKE '%thatin%' OR replace(text, ' ', '') LIKE '%ononst%' THEN 'alpha'
+    WHEN replace(text, ' ', '') LIKE '%hehely%' OR replace(text, ' ', '') LIKE '%nicht%' THEN 'beta'
+    WHEN replace(text, ' ', '') LIKE '%mente%' OR replace(text, ' ', '') LIKE '%erble%' THEN 'gamma'
+    WHEN replace(text, ' ', '') LIKE '%thing%' THEN 'delta'
+    ELSE '기타' END AS category
+  FROM documents)
+GROUP BY category ORDER BY cnt DESC, category LIMIT 5
+"""
+
+SQL["q_count"] = f"""
+WITH {BULLETINS}
+SELECT count(*) AS n FROM bulletins
+"""
+
+SQL["q_short_docs"] = """
+SELECT doc_id, CAST(length(text) AS BIGINT) AS len FROM documents WHERE length(text) < 60
+"""
+
+SQL["q_special_chars"] = """
+SELECT doc_id FROM documents WHERE contains(text, '~') OR contains(text, '%')
+"""
+
+SQL["q_or_filter"] = f"""
+WITH {BULLETINS}
+SELECT id, category FROM bulletins
+WHERE month = 1 AND (category LIKE '%요약%' OR content_md LIKE '%요약%')
+"""
+
+SQL["q_fallback_match"] = f"""
+WITH {BULLETINS},
+t AS (
+  SELECT id, category, CAST(CASE WHEN category = '요약' THEN 0
+                              WHEN contains(category, '요약') THEN 1 END AS BIGINT) AS tier
+  FROM bulletins WHERE month = 1
+)
+SELECT id, category, tier FROM t WHERE tier = (SELECT min(tier) FROM t)
+"""
+
+_CLEAN_LEN = ("length(" + py_strip("replace(replace(replace(text, chr(10), ''), '|', ''), '-', '')")
+              + ")")
+_H = "contains(text, '###')"
+_J = "(contains(text, '제') AND contains(text, '장'))"
+_HEADER_DROP = {
+    "logic": f"({_CLEAN_LEN} < 30 AND {_H})",
+    "v2": f"({_CLEAN_LEN} < 40 AND {_H} AND ({_J} OR {_CLEAN_LEN} < 20))",
+    "briefing": f"({_CLEAN_LEN} < 40 AND {_H} AND ({_J} OR {_CLEAN_LEN} < 15))",
+    "briefing_v2": f"({_H} AND (({_J} AND {_CLEAN_LEN} < 60) OR {_CLEAN_LEN} < 30))",
+}
+for _rule, _cond in _HEADER_DROP.items():
+    SQL[f"q_header_only_{_rule}"] = f"""
+SELECT doc_id, CAST({_CLEAN_LEN} AS BIGINT) AS clean_len FROM documents WHERE NOT {_cond}
+"""
+
+FARMING = f"""
+{BULLETINS},
+farming AS (
+  SELECT id AS pk, replace(week_range, '~', '_') AS week_id, CAST(year AS VARCHAR) AS year,
+         month, category, content_md AS content
+  FROM bulletins
+)"""
+
+
+def _priority_sql(near: bool) -> str:
+    check = "TRY_CAST(CAST(TRY_CAST(year AS INTEGER) AS VARCHAR) || '-01-07' AS DATE)"
+    start = "TRY_CAST(string_split(week_id, '_')[1] AS DATE)"
+    end = "TRY_CAST(string_split(week_id, '_')[2] AS DATE)"
+    ok = "len(string_split(week_id, '_')) = 2"
+    valid = f"({ok} AND {start} IS NOT NULL AND {end} IS NOT NULL AND {check} IS NOT NULL)"
+    inside = f"({valid} AND {start} <= {check} AND {check} <= {end})"
+    near_c = (f"(abs(date_diff('day', {start}, {check})) <= 7 OR "
+              f"abs(date_diff('day', {end}, {check})) <= 7)")
+    miss = "100" if near else "1"
+    if near:
+        prio_s = f"CASE WHEN {inside} THEN 0 WHEN {valid} AND {near_c} THEN 0 ELSE {miss} END"
+        reason_s = (f"CASE WHEN NOT {ok} THEN 'NO MATCH' WHEN NOT {valid} THEN 'ERR' "
+                    f"WHEN {inside} THEN 'MATCH' WHEN {near_c} THEN 'NEAR MATCH' ELSE 'NO MATCH' END")
+    else:
+        prio_s = f"CASE WHEN {inside} THEN 0 ELSE {miss} END"
+        reason_s = (f"CASE WHEN NOT {ok} THEN 'Format Err' WHEN NOT {valid} THEN 'ERR' "
+                    f"WHEN {inside} THEN 'MATCH' ELSE 'NO MATCH' END")
+    prio = (f"CAST(CASE WHEN contains(category, '요약') THEN {prio_s} "
+            f"WHEN contains(category, '기상') OR contains(category, '농업') THEN 2 ELSE 99 END AS BIGINT)")
+    reason = (f"CASE WHEN contains(category, '요약') THEN {reason_s} "
+              f"WHEN contains(category, '기상') OR contains(category, '농업') THEN 'Weather' ELSE 'Other' END")
+    return prio, reason
+
+
+for _name, _near in (("q_priority_strict", False), ("q_priority_near", True)):
+    _p, _r = _priority_sql(_near)
+    SQL[_name] = f"""
+WITH {FARMING}
+SELECT pk, week_id, category, {_p} AS priority, {_r} AS reason
+FROM farming WHERE month = 1 AND year = '2025'
+"""
+
+_PN, _ = _priority_sql(True)
+_CLEAN_LEN_C = _CLEAN_LEN.replace("text", "content")
+_H_C, _J_C = _H.replace("text", "content"), _J.replace("text", "content")
+SQL["q_reject_reasons"] = f"""
+WITH {FARMING},
+p AS (SELECT pk, category, content, {_PN} AS priority FROM farming WHERE month = 1 AND year = '2025'),
+r AS (
+  SELECT pk, category, priority,
+         list_filter([
+           CASE WHEN contains(content, '목차') OR contains(content, '목 차') THEN 'MOKCHA FILTER' END,
+           CASE WHEN {_H_C} AND (({_J_C} AND {_CLEAN_LEN_C} < 60) OR {_CLEAN_LEN_C} < 30)
+                THEN 'HEADER FILTER' END,
+           CASE WHEN contains(category, '요약') AND priority > 0 THEN 'NON-MATCH SUMMARY' END
+         ], lambda x: x IS NOT NULL) AS reasons
+  FROM p
+)
+SELECT pk, category, priority, array_to_string(reasons, ', ') AS reasons, len(reasons) = 0 AS kept FROM r
+"""
+
+SQL["q_recent"] = f"""
+WITH {FARMING}
+SELECT pk, year, category FROM farming WHERE month = 1 ORDER BY year DESC, pk LIMIT 150
+"""
+
+SQL["q_summary_exists"] = f"""
+WITH {FARMING}
+SELECT year, bool_or(contains(category, '요약')) AS has_summary FROM farming WHERE month = 1 GROUP BY year
+"""

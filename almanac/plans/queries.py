@@ -54,3 +54,177 @@ def q_briefing(spark, sf_dir):
     b = bulletins(spark, sf_dir)
     out = season.briefing(b, TODAY, month=MONTH, years=YEARS)
     return finish(out.withColumn("tags", join_list("tags")))
+
+
+# --- Dashboard lists, lookups and tag analytics ----------------------------------
+
+from ..functions.text import bracket_text  # noqa: E402
+from ..operators import filters, stats  # noqa: E402
+from ..sources.fixtures import FIXTURE_CATEGORY_MAP  # noqa: E402
+from ..sources.tables import read_table  # noqa: E402
+from ..operators.tags import categorize  # noqa: E402
+
+WEEK = "2024-03-04~2024-03-10"
+
+
+@register("q_week_list")
+def q_week_list(spark, sf_dir):
+    b = bulletins(spark, sf_dir).filter((F.col("year") == 2024) & (F.col("month") == 3))
+    return finish(stats.distinct_sorted(b, bracket_text("title"), "week_range"))
+
+
+@register("q_week_lookup")
+def q_week_lookup(spark, sf_dir):
+    b = bulletins(spark, sf_dir).filter(F.instr("title", WEEK) > 0)
+    out = b.select("id", "year", "title", "content_md", join_list("tags").alias("tags"),
+                   bracket_text("title").alias("w_range"))
+    return finish(out.orderBy(F.desc("year"), "id"))
+
+
+@register("q_tag_list")
+def q_tag_list(spark, sf_dir):
+    return finish(stats.distinct_elements(bulletins(spark, sf_dir), "tags", "tag"))
+
+
+@register("q_tag_top")
+def q_tag_top(spark, sf_dir):
+    return finish(stats.tag_counts(bulletins(spark, sf_dir), "tags", k=5))
+
+
+@register("q_tag_contains")
+def q_tag_contains(spark, sf_dir):
+    b = bulletins(spark, sf_dir).filter((F.instr("content_md", "nicht") > 0)
+                                        & F.array_contains("tags", "mente"))
+    return finish(stats.count_rows(b))
+
+
+@register("q_tag_any")
+def q_tag_any(spark, sf_dir):
+    b = bulletins(spark, sf_dir).filter(filters.any_tag("tags", ["thing", "erble"]))
+    return finish(b.select("id", join_list("tags").alias("tags")))
+
+
+@register("q_tag_nonempty")
+def q_tag_nonempty(spark, sf_dir):
+    b = bulletins(spark, sf_dir).filter(F.size("tags") > 0)
+    return finish(b.select("id", "title", F.size("tags").alias("n_tags")))
+
+
+@register("q_tag_by_year")
+def q_tag_by_year(spark, sf_dir):
+    b = bulletins(spark, sf_dir).select("year", F.explode("tags").alias("tag"))
+    return finish(stats.count_by(b, ["year", "tag"]))
+
+
+@register("q_category_by_month")
+def q_category_by_month(spark, sf_dir):
+    return finish(stats.count_by(bulletins(spark, sf_dir), ["month", "category"]))
+
+
+@register("q_category_top")
+def q_category_top(spark, sf_dir):
+    return finish(stats.top_counts(bulletins(spark, sf_dir), "category", k=5))
+
+
+@register("q_category_counts")
+def q_category_counts(spark, sf_dir):
+    docs = read_table(spark, sf_dir, "documents", ["doc_id", "text"])
+    cat = categorize("text", FIXTURE_CATEGORY_MAP, skip_toc=True)
+    return finish(stats.top_counts(docs, cat, k=5, key_name="category"))
+
+
+@register("q_count")
+def q_count(spark, sf_dir):
+    return finish(stats.count_rows(bulletins(spark, sf_dir)))
+
+
+# --- Predicates over documents and bulletins -------------------------------------
+
+@register("q_short_docs")
+def q_short_docs(spark, sf_dir):
+    docs = read_table(spark, sf_dir, "documents", ["doc_id", "text"])
+    return finish(docs.filter(F.length("text") < 60)
+                  .select("doc_id", F.length("text").alias("len")))
+
+
+@register("q_special_chars")
+def q_special_chars(spark, sf_dir):
+    docs = read_table(spark, sf_dir, "documents", ["doc_id", "text"])
+    return finish(docs.filter(filters.contains_any("text", ["~", "%"])).select("doc_id"))
+
+
+@register("q_or_filter")
+def q_or_filter(spark, sf_dir):
+    b = bulletins(spark, sf_dir)
+    cond = (F.col("month") == 1) & ((F.instr("category", "요약") > 0)
+                                    | (F.instr("content_md", "요약") > 0))
+    return finish(b.filter(cond).select("id", "category"))
+
+
+@register("q_fallback_match")
+def q_fallback_match(spark, sf_dir):
+    b = bulletins(spark, sf_dir).filter(F.col("month") == 1)
+    return finish(filters.fallback_match(b, "category", "요약").select("id", "category", "tier"))
+
+
+def _header_query(rule):
+    def q(spark, sf_dir):
+        docs = read_table(spark, sf_dir, "documents", ["doc_id", "text"])
+        return finish(docs.filter(filters.keep_content("text", rule))
+                      .select("doc_id", filters.clean_length("text").alias("clean_len")))
+    return q
+
+
+for _rule in filters.HEADER_RULES:
+    register(f"q_header_only_{_rule}")(_header_query(_rule))
+
+
+# --- Priority rules (R1-R3) ----------------------------------------------------------
+
+def _farming(spark, sf_dir):
+    """The bulletins in the second stored layout: string year, ``_`` ids."""
+    b = bulletins(spark, sf_dir)
+    return b.select(F.col("id").alias("pk"),
+                    F.replace("week_range", F.lit("~"), F.lit("_")).alias("week_id"),
+                    F.col("year").cast("string").alias("year"), "month", "category",
+                    F.col("content_md").alias("content"))
+
+
+def _priority_query(near):
+    def q(spark, sf_dir):
+        f = _farming(spark, sf_dir).filter((F.col("month") == MONTH) & (F.col("year") == "2025"))
+        out = f.select("pk", "week_id", "category",
+                       season.priority("week_id", "year", "category", TODAY, near)
+                       .alias("priority"),
+                       season.priority_reason("week_id", "year", "category", TODAY, near)
+                       .alias("reason"))
+        return finish(out.orderBy("priority", "pk"))
+    return q
+
+
+register("q_priority_strict")(_priority_query(None))
+register("q_priority_near")(_priority_query(7))
+
+
+@register("q_reject_reasons")
+def q_reject_reasons(spark, sf_dir):
+    f = _farming(spark, sf_dir).filter((F.col("month") == MONTH) & (F.col("year") == "2025"))
+    prio = season.priority("week_id", "year", "category", TODAY, 7)
+    out = (f.withColumn("priority", prio)
+           .withColumn("reasons", filters.reject_reasons("content", "category", "priority"))
+           .select("pk", "category", "priority", join_list("reasons").alias("reasons"),
+                   (F.size("reasons") == 0).alias("kept")))
+    return finish(out)
+
+
+@register("q_recent")
+def q_recent(spark, sf_dir):
+    f = _farming(spark, sf_dir).filter(F.col("month") == MONTH)
+    return finish(stats.latest(f.select("pk", "year", "category"), 150,
+                               [F.desc("year"), F.asc("pk")]))
+
+
+@register("q_summary_exists")
+def q_summary_exists(spark, sf_dir):
+    f = _farming(spark, sf_dir).filter(F.col("month") == MONTH)
+    return finish(stats.exists_flag(f, F.instr("category", "요약") > 0, ["year"], "has_summary"))
