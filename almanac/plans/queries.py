@@ -228,3 +228,124 @@ def q_recent(spark, sf_dir):
 def q_summary_exists(spark, sf_dir):
     f = _farming(spark, sf_dir).filter(F.col("month") == MONTH)
     return finish(stats.exists_flag(f, F.instr("category", "요약") > 0, ["year"], "has_summary"))
+
+
+# --- Text functions ---------------------------------------------------------------
+
+from ..functions import text as tx  # noqa: E402
+from ..functions.numbers import number_mean  # noqa: E402
+from ..operators.tags import extract_tags  # noqa: E402
+from ..sources.fixtures import FIXTURE_TAG_SETS  # noqa: E402
+
+
+@register("q_clean_text")
+def q_clean_text(spark, sf_dir):
+    docs = read_table(spark, sf_dir, "documents", ["doc_id", "text"])
+    return finish(docs.select("doc_id", tx.clean_markdown("text").alias("clean")))
+
+
+@register("q_embed_text")
+def q_embed_text(spark, sf_dir):
+    b = bulletins(spark, sf_dir)
+    return finish(b.select(
+        "id",
+        tx.embed_text("title", "content_md").alias("embed_text"),
+        F.length(tx.tag_search_range("title", "content_md")).alias("search_len")))
+
+
+@register("q_title_parts")
+def q_title_parts(spark, sf_dir):
+    b = bulletins(spark, sf_dir)
+    w = tx.bracket_text("title")
+    start = tx.part(w, "~", 1)
+    return finish(b.select(
+        "id", w.alias("w_range"), start.alias("start"), tx.part(w, "~", 2).alias("end"),
+        tx.after_last("title", "]").alias("clean_title"),
+        F.substring(start, 1, 4).alias("year_str"),
+        F.substring(start, 6, 2).try_cast("int").alias("month_num")))
+
+
+@register("q_tags_extract")
+def q_tags_extract(spark, sf_dir):
+    docs = read_table(spark, sf_dir, "documents", ["doc_id", "text"])
+    return finish(docs.select("doc_id", *[
+        join_list(extract_tags("text", tags)).alias(f"tags_{cls}")
+        for cls, tags in FIXTURE_TAG_SETS.items()]))
+
+
+def number_cells(spark, sf_dir):
+    """Cells written the way bulletin tables write them: a sign, a range and a
+    parenthesised normal, e.g. ``-3~6.55 (평년 2)``."""
+    ev = read_table(spark, sf_dir, "events", ["event_id", "user_id", "value"])
+    return ev.select("event_id", F.format_string(
+        "-%d~%s (평년 %d)", F.pmod("user_id", F.lit(7)), F.col("value").cast("string"),
+        F.pmod("event_id", F.lit(5))).alias("cell"))
+
+
+@register("q_number_mean")
+def q_number_mean(spark, sf_dir):
+    cells = number_cells(spark, sf_dir)
+    return finish(cells.select("event_id", F.round(number_mean("cell"), 5).alias("mean")))
+
+
+# --- Markdown files, week entries, ingest -------------------------------------------
+
+from ..session import scratch_path  # noqa: E402
+from ..sources import markdown as md  # noqa: E402
+from ..sources import sinks  # noqa: E402
+from ..operators import weeks as wk  # noqa: E402
+
+
+def rendered_bulletins(spark, sf_dir) -> str:
+    """Write the bulletin fixture as markdown files (one folder per year) on
+    the shared scratch folder and return the folder."""
+    path = scratch_path(spark, "bulletins-md")
+    md.render_markdown(bulletins(spark, sf_dir), path)
+    return path
+
+
+@register("q_sections")
+def q_sections(spark, sf_dir):
+    sec = md.read_sections(spark, rendered_bulletins(spark, sf_dir), glob="*.txt")
+    return finish(sec.select("year", "month", "title", "content_md"))
+
+
+@register("q_weeks_flat")
+def q_weeks_flat(spark, sf_dir):
+    files = md.read_files(spark, rendered_bulletins(spark, sf_dir), glob="*.txt")
+    weeks = wk.to_weeks(wk.week_sections(files), per_file=False)
+    return finish(wk.flatten_weeks(weeks))
+
+
+@register("q_weeks_json")
+def q_weeks_json(spark, sf_dir):
+    files = md.read_files(spark, rendered_bulletins(spark, sf_dir), glob="*.txt")
+    weeks = wk.to_weeks(wk.week_sections(files), per_file=True)
+    out = scratch_path(spark, "weeks-json")
+    sinks.write_json_lines(weeks.drop("file"), out)
+    return spark.read.text(out).select(F.col("value").alias("json"))
+
+
+@register("q_ingest_idempotent")
+def q_ingest_idempotent(spark, sf_dir):
+    src = rendered_bulletins(spark, sf_dir)
+    rows = sinks.farm_rows(md.read_sections(spark, src, glob="*.txt"))
+    table = scratch_path(spark, "farm-info")
+    sinks.ingest(spark, rows, table)
+    sinks.ingest(spark, rows, table)          # re-run: must add nothing
+    stored = spark.read.parquet(table)
+    return finish(stored.groupBy("year", "month").agg(F.count(F.lit(1)).alias("n"),
+                                                     F.countDistinct("id").alias("n_ids")))
+
+
+@register("q_stream_ingest")
+def q_stream_ingest(spark, sf_dir):
+    from ..streaming.ingest import run_ingest
+    src = rendered_bulletins(spark, sf_dir)
+    table, ckpt = scratch_path(spark, "farm-stream"), scratch_path(spark, "stream-ckpt")
+    for _ in range(2):                        # the second run finds nothing new
+        q = run_ingest(spark, src, table, ckpt, glob="*.txt")
+        q.awaitTermination()
+    stored = spark.read.parquet(table)
+    return finish(stored.groupBy("year", "month").agg(F.count(F.lit(1)).alias("n"),
+                                                     F.countDistinct("id").alias("n_ids")))
