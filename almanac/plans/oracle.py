@@ -359,3 +359,76 @@ FROM bulletins GROUP BY year, month
 """
 SQL["q_ingest_idempotent"] = _INGEST
 SQL["q_stream_ingest"] = _INGEST
+
+_QVEC = "(SELECT CAST(embedding AS DOUBLE[]) FROM embeddings WHERE vec_id = 0)"
+_COS = f"list_cosine_similarity(CAST(embedding AS DOUBLE[]), {_QVEC})"
+
+SQL["q_cosine_topk"] = f"""
+SELECT vec_id, label, round({_COS}, 5) AS score FROM embeddings
+ORDER BY {_COS} DESC NULLS LAST, vec_id LIMIT 10
+"""
+
+SQL["q_cosine_banded"] = f"""
+WITH top AS (
+  SELECT vec_id, {_COS} AS s FROM embeddings ORDER BY s DESC NULLS LAST, vec_id LIMIT 10
+)
+SELECT vec_id, round(s, 5) AS score,
+       CASE WHEN s >= 0.65 THEN '강력 추천' WHEN s >= 0.50 THEN '관련 있음' ELSE '참고용' END AS band
+FROM top WHERE s >= 0.40 ORDER BY s DESC, vec_id LIMIT 5
+"""
+
+SQL["q_cosine_batch"] = """
+WITH d AS (
+  SELECT label, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS pos FROM embeddings
+),
+c AS (
+  SELECT label, list(m ORDER BY pos) AS centroid FROM (
+    SELECT label, pos, avg(CAST(x AS DOUBLE)) AS m FROM d GROUP BY label, pos) GROUP BY label
+),
+s AS (
+  SELECT c.label, e.vec_id,
+         list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), c.centroid) AS score
+  FROM c, embeddings e
+),
+r AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY score DESC NULLS LAST, vec_id) AS rank FROM s)
+SELECT CAST(label AS BIGINT) AS label, rank, vec_id, round(score, 5) AS score FROM r WHERE rank <= 5
+"""
+
+_SEARCH = "Is thing the nicht mente?"
+BM25 = f"""
+toks AS (SELECT doc_id, {tokens('text')} AS tk FROM documents),
+stats AS (SELECT count(*) AS n, avg(len(tk)) AS avgdl FROM toks),
+post AS (SELECT doc_id, len(tk) AS dl, unnest(tk) AS term FROM toks),
+q AS (SELECT DISTINCT unnest({tokens("'" + _SEARCH + "'")}) AS term),
+tf AS (SELECT doc_id, dl, term, count(*) AS tf FROM post WHERE term IN (SELECT term FROM q)
+       GROUP BY doc_id, dl, term),
+dfs AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
+bm AS (
+  SELECT doc_id, sum(ln((n - df + 0.5) / (df + 0.5) + 1) * tf * (1.2 + 1)
+                     / (tf + 1.2 * (1 - 0.75 + 0.75 * dl / avgdl))) AS bm25
+  FROM tf JOIN dfs USING (term) CROSS JOIN stats GROUP BY doc_id
+)"""
+
+SQL["q_bm25"] = f"""
+WITH {BM25}
+SELECT doc_id, round(bm25, 5) AS bm25 FROM bm
+"""
+SQL["q_bm25_saved"] = SQL["q_bm25"]
+
+SQL["q_hybrid"] = f"""
+WITH {BM25},
+v AS (SELECT vec_id AS doc_id, {_COS} AS score FROM embeddings),
+h AS (SELECT doc_id, 0.7 * score + 0.3 * bm25 AS final_score, score, bm25 AS fts_score
+      FROM v JOIN bm USING (doc_id))
+SELECT doc_id, round(final_score, 5) AS final_score, round(score, 5) AS score,
+       round(fts_score, 5) AS fts_score
+FROM h WHERE final_score IS NOT NULL ORDER BY h.final_score DESC, doc_id LIMIT 3
+"""
+
+SQL["q_matched_terms"] = """
+WITH m AS (
+  SELECT doc_id, list_filter(['thing', 'nicht', 'mente', 'xy'], lambda w: contains(text, w)) AS m
+  FROM documents
+)
+SELECT doc_id, array_to_string(m, ', ') AS matched FROM m WHERE len(m) > 0
+"""

@@ -349,3 +349,106 @@ def q_stream_ingest(spark, sf_dir):
     stored = spark.read.parquet(table)
     return finish(stored.groupBy("year", "month").agg(F.count(F.lit(1)).alias("n"),
                                                      F.countDistinct("id").alias("n_ids")))
+
+
+# --- Vector search ------------------------------------------------------------------
+
+from ..operators import fulltext as ft  # noqa: E402
+from ..operators import vectors as vx  # noqa: E402
+
+QUERY_VEC_ID = 0
+SEARCH_TEXT = "Is thing the nicht mente?"
+
+
+def _embeddings(spark, sf_dir):
+    return read_table(spark, sf_dir, "embeddings", ["vec_id", "embedding", "label"])
+
+
+@register("q_cosine_topk")
+def q_cosine_topk(spark, sf_dir):
+    emb = _embeddings(spark, sf_dir)
+    q = vx.query_vector(emb, "vec_id", QUERY_VEC_ID)
+    top = vx.cosine_topk(emb, "embedding", q, k=10, id_col="vec_id")
+    return finish(top.select("vec_id", "label", F.round("score", 5).alias("score")))
+
+
+@register("q_cosine_banded")
+def q_cosine_banded(spark, sf_dir):
+    emb = _embeddings(spark, sf_dir)
+    q = vx.query_vector(emb, "vec_id", QUERY_VEC_ID)
+    out = vx.banded_search(emb, "embedding", q, id_col="vec_id")
+    return finish(out.select("vec_id", F.round("score", 5).alias("score"), "band"))
+
+
+@register("q_cosine_batch")
+def q_cosine_batch(spark, sf_dir):
+    """Top 5 vectors nearest to each label's centroid (one pass, no join)."""
+    emb = _embeddings(spark, sf_dir)
+    cents = vx.centroids(emb, "embedding", "label").orderBy("label").collect()
+    labels = [r["label"] for r in cents]
+    top = vx.multi_query_topk(emb, "embedding", [r["centroid"] for r in cents], k=5,
+                              id_col="vec_id")
+    lab = F.element_at(F.array(*[F.lit(x) for x in labels]), F.col("query_no") + 1)
+    return finish(top.select(lab.alias("label"), "rank", "vec_id",
+                             F.round("score", 5).alias("score")))
+
+
+@register("q_ann_topk")
+def q_ann_topk(spark, sf_dir):
+    emb = _embeddings(spark, sf_dir)
+    q = vx.query_vector(emb, "vec_id", QUERY_VEC_ID)
+    out = vx.approx_topk(emb, "embedding", q, k=10, id_col="vec_id")
+    return finish(out.select("vec_id", F.round("score", 5).alias("score")))
+
+
+@register("q_encode")
+def q_encode(spark, sf_dir):
+    docs = read_table(spark, sf_dir, "documents", ["doc_id", "text"])
+    staged = docs.select("doc_id", tx.embed_text(F.substring_index("text", "\n", 1),
+                                                 "text").alias("embed_text"))
+    out = vx.encode(staged, "embed_text", dim=64)
+    return finish(out.select("doc_id", F.size("embedding").alias("dim"),
+                             F.round(vx.norm("embedding"), 5).alias("norm")))
+
+
+# --- Full text ------------------------------------------------------------------------
+
+def _docs_index(spark, sf_dir):
+    docs = read_table(spark, sf_dir, "documents", ["doc_id", "text"])
+    return ft.build_index(docs, "doc_id", "text")
+
+
+@register("q_bm25")
+def q_bm25(spark, sf_dir):
+    s = ft.bm25(spark, _docs_index(spark, sf_dir), SEARCH_TEXT)
+    return finish(s.select("doc_id", F.round("bm25", 5).alias("bm25")))
+
+
+@register("q_bm25_saved")
+def q_bm25_saved(spark, sf_dir):
+    """The same search against the materialised, bucket-partitioned index."""
+    path = scratch_path(spark, "text-index")
+    ft.save_index(_docs_index(spark, sf_dir), path)
+    s = ft.bm25(spark, ft.load_index(spark, path), SEARCH_TEXT)
+    return finish(s.select("doc_id", F.round("bm25", 5).alias("bm25")))
+
+
+@register("q_hybrid")
+def q_hybrid(spark, sf_dir):
+    emb = _embeddings(spark, sf_dir)
+    q = vx.query_vector(emb, "vec_id", QUERY_VEC_ID)
+    vec = vx.with_cosine(emb.select(F.col("vec_id").alias("doc_id"), "embedding"),
+                         "embedding", q).select("doc_id", "score")
+    text = ft.bm25(spark, _docs_index(spark, sf_dir), SEARCH_TEXT)
+    top = ft.hybrid(vec, text, "doc_id", k=3)
+    return finish(top.select("doc_id", F.round("final_score", 5).alias("final_score"),
+                             F.round("score", 5).alias("score"),
+                             F.round("fts_score", 5).alias("fts_score")))
+
+
+@register("q_matched_terms")
+def q_matched_terms(spark, sf_dir):
+    docs = read_table(spark, sf_dir, "documents", ["doc_id", "text"])
+    m = ft.matched_terms("text", "thing nicht mente a xy")
+    return finish(docs.select("doc_id", m.alias("m")).filter(F.size("m") > 0)
+                  .select("doc_id", join_list("m").alias("matched")))
