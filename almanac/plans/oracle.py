@@ -432,3 +432,20 @@ WITH m AS (
 )
 SELECT doc_id, array_to_string(m, ', ') AS matched FROM m WHERE len(m) > 0
 """
+
+SQL["q_table_values"] = """
+WITH e AS (
+  SELECT event_id // 20 AS table_id,
+         row_number() OVER (PARTITION BY event_id // 20 ORDER BY event_id) AS row_no,
+         value, TRY_CAST(json_extract_string(props, '$.k') AS DOUBLE) AS k
+  FROM events
+),
+c AS (
+  SELECT table_id, row_no, 1 AS col_no, '기온' AS header, value FROM e
+  UNION ALL
+  SELECT table_id, row_no, 2 AS col_no, '강수' AS header, k AS value FROM e
+)
+SELECT table_id, row_no, CAST(col_no AS BIGINT) AS col_no, header, value,
+       bool_and(value IS NOT NULL) OVER (PARTITION BY table_id, row_no) AS row_valid
+FROM c
+"""

@@ -452,3 +452,27 @@ def q_matched_terms(spark, sf_dir):
     m = ft.matched_terms("text", "thing nicht mente a xy")
     return finish(docs.select("doc_id", m.alias("m")).filter(F.size("m") > 0)
                   .select("doc_id", join_list("m").alias("matched")))
+
+
+# --- Tables in text ---------------------------------------------------------------------
+
+from ..operators import tables as tb  # noqa: E402
+from ..sources.fixtures import weather_tables  # noqa: E402
+
+
+@register("q_table_values")
+def q_table_values(spark, sf_dir):
+    t = tb.weather_table(weather_tables(spark, sf_dir), "table_id", "text")
+    return finish(t.select("table_id", "row_no", "col_no", "header", "value", "row_valid"))
+
+
+@register("q_table_repair")
+def q_table_repair(spark, sf_dir):
+    docs = read_table(spark, sf_dir, "documents", ["doc_id", "text"])
+    return finish(tb.repair_tables(docs, "doc_id", "text"))
+
+
+@register("q_table_repair_light")
+def q_table_repair_light(spark, sf_dir):
+    docs = read_table(spark, sf_dir, "documents", ["doc_id", "text"])
+    return finish(tb.repair_tables_light(docs, "doc_id", "text"))

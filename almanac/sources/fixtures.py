@@ -73,10 +73,10 @@ def weather_tables(spark: SparkSession, sf_dir: str, rows_per_table: int = 20) -
     """
     ev = read_table(spark, sf_dir, "events", ["event_id", "ts", "value", "props"])
     row = F.format_string(
-        "| %s | %s (평년 %s) | %s |",
+        "| %s | %s (평년 %d) | %s |",
         F.date_format("ts", "yyyy-MM-dd HH:mm"),
         F.col("value").cast("string"),
-        F.round(F.col("value") / 2, 1).cast("string"),
+        F.pmod(F.col("event_id"), F.lit(9)),
         F.coalesce(F.get_json_object("props", "$.k"), F.lit("-")))
     blocks = (ev.withColumn("table_id", F.floor(F.col("event_id") / rows_per_table))
               .groupBy("table_id")
