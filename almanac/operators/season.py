@@ -133,8 +133,8 @@ def briefing(bulletins: DataFrame, target: _dt.date, month: int | None = None,
 def _summary_dates(id_col):
     pieces = F.split(_c(id_col), "_", -1)
     ok = F.size(pieces) == 2
-    start = parse_ymd(F.element_at(pieces, 1))
-    end = parse_ymd(F.element_at(pieces, 2))
+    start = parse_ymd(F.try_element_at(pieces, F.lit(1)))
+    end = parse_ymd(F.try_element_at(pieces, F.lit(2)))
     return ok, start, end
 
 

@@ -62,7 +62,7 @@ def weather_table(df: DataFrame, id_col: str, text_col: str,
     staged = staged.withColumn("_sep", F.array_position(
         F.transform("_tl", lambda l: F.instr(l, "---") > 0), True).cast("int"))
     staged = staged.filter((F.size("_tl") >= 3) & (F.col("_sep") >= 2))
-    staged = staged.withColumn("_hdr", cells_nonempty(F.element_at("_tl", F.col("_sep") - 1)))
+    staged = staged.withColumn("_hdr", cells_nonempty(F.get("_tl", F.col("_sep") - 2)))
     staged = staged.filter(_any_word(F.array_join("_hdr", ""), measure_words))
     rows = F.filter(F.transform(F.slice("_tl", F.col("_sep") + 1, F.size("_tl")),
                                 lambda l: cells_nonempty(l)),

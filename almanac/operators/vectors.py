@@ -9,7 +9,7 @@ time.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -115,7 +115,7 @@ def encode(df: DataFrame, text_col: str, encoder_factory: Callable | None = None
         return hashed_encoder_vectors(df, text_col, dim, out_col)
 
     @F.pandas_udf(T.ArrayType(T.FloatType()))
-    def _encode(batches):
+    def _encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         model = encoder_factory()
         for texts in batches:
             values = texts.fillna("").tolist()
