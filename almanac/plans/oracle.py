@@ -449,3 +449,21 @@ SELECT table_id, row_no, CAST(col_no AS BIGINT) AS col_no, header, value,
        bool_and(value IS NOT NULL) OVER (PARTITION BY table_id, row_no) AS row_valid
 FROM c
 """
+
+_PROFILE_TYPES = {
+    "documents": [("doc_id", "bigint"), ("text", "string"), ("lang", "string"),
+                  ("source", "string"), ("n_chars", "bigint")],
+    "events": [("event_id", "bigint"), ("ts", "timestamp_ntz"), ("user_id", "bigint"),
+               ("event_type", "string"), ("value", "double"), ("props", "string")],
+    "embeddings": [("vec_id", "bigint"), ("embedding", "array<float>"), ("label", "int")],
+    "labels": [("doc_id", "bigint"), ("quality", "int"), ("toxic", "int")],
+}
+SQL["q_profile"] = "\nUNION ALL\n".join(
+    f"SELECT '{t}' AS \"table\", '{c}' AS \"column\", '{ty}' AS data_type, count(*) AS rows, "
+    f"count(*) - count({c}) AS nulls FROM {t}"
+    for t, cols in _PROFILE_TYPES.items() for c, ty in cols)
+
+SQL["q_vector_check"] = """
+SELECT CAST(len(embedding) AS BIGINT) AS dim, count(*) AS n, bool_and(len(embedding) = 64) AS ok
+FROM embeddings GROUP BY len(embedding)
+"""

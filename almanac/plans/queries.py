@@ -476,3 +476,25 @@ def q_table_repair(spark, sf_dir):
 def q_table_repair_light(spark, sf_dir):
     docs = read_table(spark, sf_dir, "documents", ["doc_id", "text"])
     return finish(tb.repair_tables_light(docs, "doc_id", "text"))
+
+
+# --- Profile and vector checks ----------------------------------------------------------
+
+from ..functions.vectors import fixed_dim  # noqa: E402
+from ..sources.profile import profile_tables  # noqa: E402
+
+PROFILED = ("documents", "events", "embeddings", "labels")
+
+
+@register("q_profile")
+def q_profile(spark, sf_dir):
+    return finish(profile_tables(spark, sf_dir, PROFILED))
+
+
+@register("q_vector_check")
+def q_vector_check(spark, sf_dir):
+    """the fixed-dimension check the ``FLOAT[n]`` column type implied."""
+    emb = _embeddings(spark, sf_dir)
+    return finish(emb.groupBy(F.size("embedding").alias("dim"))
+                  .agg(F.count(F.lit(1)).alias("n"),
+                       F.bool_and(fixed_dim("embedding", 64)).alias("ok")))
