@@ -36,13 +36,15 @@ def collapse_ws(col) -> Column:
 def clean_markdown(col) -> Column:
     """links and markdown symbols to spaces, whitespace collapsed, stripped.
 
-    Same order as the rule: links first (``[..](..)``), then ``|``/``-``, then
-    ``# * ` >``, then whitespace runs.
+    Links go first (``.`` stops at a newline, so a link cannot span lines);
+    then ``| - # * ` >`` and whitespace are one character class collapsed to a
+    single space, which is the same as replacing each symbol by a space and
+    then collapsing whitespace runs. After that the only whitespace left at
+    either end is one ASCII space, so ``trim`` is the strip.
     """
     c = F.regexp_replace(_c(col), r"(?d)\[.*?\]\(.*?\)", " ")
-    c = F.regexp_replace(c, r"[|\-]", " ")
-    c = F.regexp_replace(c, r"[#*`>]", " ")
-    return py_strip(collapse_ws(c))
+    c = F.regexp_replace(c, rf"(?:{WS}|[|\-#*`>])+", " ")
+    return F.trim(c)
 
 
 def embed_text(header, body, max_chars: int = 512) -> Column:

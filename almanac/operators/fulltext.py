@@ -39,6 +39,7 @@ class TextIndex:
     doc_freq: DataFrame   # term, df (+ bucket when saved)
     stats: DataFrame      # one row: n_docs, avgdl
     bucketed: bool = False
+    tokens: DataFrame | None = None   # doc_id, dl, _t (lazy indexes only)
 
 
 def build_index(docs: DataFrame, id_col: str, text_col: str) -> TextIndex:
@@ -49,7 +50,7 @@ def build_index(docs: DataFrame, id_col: str, text_col: str) -> TextIndex:
                 .groupBy("term", "doc_id", "dl").agg(F.count(F.lit(1)).alias("tf")))
     doc_freq = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     stats = tok.agg(F.count(F.lit(1)).alias("n_docs"), F.avg("dl").alias("avgdl"))
-    return TextIndex(postings, doc_freq, stats)
+    return TextIndex(postings, doc_freq, stats, tokens=tok)
 
 
 def save_index(index: TextIndex, path: str, buckets: int = BUCKETS) -> None:
@@ -87,6 +88,14 @@ def bm25(spark: SparkSession, index: TextIndex, query: str, k1: float = K1,
                   .select(term_bucket("t")).distinct().collect()]
         postings = postings.filter(F.col("bucket").isin(wanted))
         doc_freq = doc_freq.filter(F.col("bucket").isin(wanted))
+    if index.tokens is not None:
+        # Lazy index: keep only query terms inside each token array before
+        # exploding, so no row is made for any other token.
+        wanted_terms = F.array(*[F.lit(t) for t in terms])
+        hits = index.tokens.select("doc_id", "dl", F.explode(F.filter(
+            "_t", lambda t: F.array_contains(wanted_terms, t))).alias("term"))
+        postings = hits.groupBy("term", "doc_id", "dl").agg(F.count(F.lit(1)).alias("tf"))
+        doc_freq = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     postings = postings.filter(F.col("term").isin(terms))
     # At most len(terms) rows: safe to broadcast.
     dfq = F.broadcast(doc_freq.filter(F.col("term").isin(terms)).select("term", "df"))
