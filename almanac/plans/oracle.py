@@ -467,3 +467,30 @@ SQL["q_vector_check"] = """
 SELECT CAST(len(embedding) AS BIGINT) AS dim, count(*) AS n, bool_and(len(embedding) = 64) AS ok
 FROM embeddings GROUP BY len(embedding)
 """
+
+SQL["q_nearest_week"] = f"""
+WITH {BULLETINS},
+w AS (SELECT DISTINCT year, regexp_extract(title, '\\[(.*?)\\]', 1) AS w_range FROM bulletins WHERE month = 1),
+d AS (
+  SELECT year, w_range,
+         abs(date_diff('day', DATE '2025-01-07',
+             TRY_CAST('2025' || strftime(TRY_CAST(split_part(w_range, '~', 1) AS DATE), '-%m-%d') AS DATE))) AS d
+  FROM w
+),
+r AS (SELECT *, row_number() OVER (PARTITION BY year ORDER BY coalesce(d, 1073741824), w_range) AS rn FROM d)
+SELECT CAST(year AS BIGINT) AS year, w_range AS best_week, CAST(d AS BIGINT) AS best_diff FROM r WHERE rn = 1
+"""
+
+_PS, _RS = _priority_sql(False)
+SQL["q_summary_candidates"] = f"""
+WITH {FARMING}
+SELECT pk, week_id, {_PS} AS priority, {_RS} AS reason
+FROM farming WHERE month = 1 AND year = '2024' AND contains(category, '요약')
+"""
+
+SQL["q_tag_top_by_month"] = f"""
+WITH {BULLETINS},
+c AS (SELECT month, tag, count(*) AS cnt FROM (SELECT month, unnest(tags) AS tag FROM bulletins) GROUP BY month, tag),
+r AS (SELECT *, row_number() OVER (PARTITION BY month ORDER BY cnt DESC, tag) AS rank FROM c)
+SELECT CAST(month AS BIGINT) AS month, tag, cnt, rank FROM r WHERE rank <= 3
+"""

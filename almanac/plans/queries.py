@@ -498,3 +498,33 @@ def q_vector_check(spark, sf_dir):
     return finish(emb.groupBy(F.size("embedding").alias("dim"))
                   .agg(F.count(F.lit(1)).alias("n"),
                        F.bool_and(fixed_dim("embedding", 64)).alias("ok")))
+
+
+# --- Nearest week, summary candidates, monthly keywords ---------------------------------
+
+@register("q_nearest_week")
+def q_nearest_week(spark, sf_dir):
+    """Per year, the week of month 1 nearest to today's date."""
+    b = bulletins(spark, sf_dir).filter(F.col("month") == MONTH)
+    rows = b.select("year", bracket_text("title").alias("w_range"))
+    return finish(season.nearest_weeks(rows, TODAY))
+
+
+@register("q_summary_candidates")
+def q_summary_candidates(spark, sf_dir):
+    """P20 + P21 + R1: 2024 rows of month 1 whose category mentions 요약."""
+    f = _farming(spark, sf_dir).filter((F.col("month") == MONTH) & (F.col("year") == "2024")
+                                       & (F.instr("category", "요약") > 0))
+    return finish(f.select("pk", "week_id",
+                           season.priority("week_id", "year", "category", TODAY).alias("priority"),
+                           season.priority_reason("week_id", "year", "category", TODAY)
+                           .alias("reason")))
+
+
+@register("q_tag_top_by_month")
+def q_tag_top_by_month(spark, sf_dir):
+    """L9 + the monthly keyword suggestion: the 3 most frequent tags per month."""
+    counts = stats.count_by(bulletins(spark, sf_dir).select("month", F.explode("tags").alias("tag")),
+                            ["month", "tag"])
+    top = stats.head_per_group(counts, ["month"], [F.desc("cnt"), F.asc("tag")], 3, "rank")
+    return finish(top)
