@@ -494,3 +494,103 @@ c AS (SELECT month, tag, count(*) AS cnt FROM (SELECT month, unnest(tags) AS tag
 r AS (SELECT *, row_number() OVER (PARTITION BY month ORDER BY cnt DESC, tag) AS rank FROM c)
 SELECT CAST(month AS BIGINT) AS month, tag, cnt, rank FROM r WHERE rank <= 3
 """
+
+SQL["q_table_repair_light"] = f"""
+WITH l AS (
+  SELECT doc_id, unnest(string_split(text, chr(10))) AS line,
+         generate_subscripts(string_split(text, chr(10)), 1) AS n
+  FROM documents WHERE contains(text, '|')
+),
+c AS (
+  SELECT doc_id, n, line, {py_strip('line')} AS clean FROM l
+),
+h AS (
+  SELECT *, contains(clean, '|') AND {py_strip("replace(clean, '|', '')")} <> '' AS hp FROM c
+),
+w AS (
+  SELECT *, coalesce(lag(hp) OVER (PARTITION BY doc_id ORDER BY n), false) AS prev,
+         {py_strip("lead(line) OVER (PARTITION BY doc_id ORDER BY n)")} AS nxt,
+         {py_strip(f"regexp_replace(clean, '{WS}*\\|{WS}*', ' | ', 'g')")} AS p0
+  FROM h
+),
+p AS (
+  SELECT *, CASE WHEN ends_with(p1, '|') THEN p1 ELSE p1 || ' |' END AS proc FROM (
+    SELECT *, CASE WHEN starts_with(p0, '|') THEN p0 ELSE '| ' || p0 END AS p1 FROM w)
+),
+o AS (
+  SELECT doc_id, n,
+    CASE WHEN NOT hp THEN line
+         WHEN prev THEN proc
+         WHEN NOT (nxt IS NOT NULL AND starts_with(nxt, '|') AND contains(nxt, '-'))
+              AND length(proc) - length(replace(proc, '|', '')) - 1 > 0
+           THEN proc || chr(10) || '|' || repeat('---|', length(proc) - length(replace(proc, '|', '')) - 1)
+         ELSE proc END AS out
+  FROM p
+)
+SELECT doc_id, string_agg(out, chr(10) ORDER BY n) AS repaired FROM o GROUP BY doc_id
+UNION ALL
+SELECT doc_id, text AS repaired FROM documents WHERE NOT contains(text, '|')
+"""
+
+_NORM = ("regexp_replace(regexp_replace(text, '\\r\\n|[\\n\\r\\x0b\\x0c\\x1c\\x1d\\x1e\\x85\\x{2028}\\x{2029}]', "
+         "chr(10), 'g'), '\\n$', '')")
+_CELL_S = ("regexp_replace(regexp_replace(regexp_replace(replace(replace(" + py_strip("line")
+           + ", '···', ''), '...', ''), '\\|+', '|', 'g'), '^\\|+|\\|+$', '', 'g'), '(?:" + WS
+           + "|\\|)+$', '')")
+SQL["q_table_repair"] = f"""
+WITH l AS (
+  SELECT doc_id, unnest(string_split({_NORM}, chr(10))) AS line,
+         generate_subscripts(string_split({_NORM}, chr(10)), 1) AS n
+  FROM documents WHERE contains(text, '|')
+),
+a AS (
+  SELECT *, contains(line, '|') AS pp FROM l
+),
+b AS (
+  SELECT *, pp AND NOT coalesce(lag(pp) OVER (PARTITION BY doc_id ORDER BY n), false) AS st FROM a
+),
+i AS (
+  SELECT *, sum(CAST(st AS INTEGER)) OVER (PARTITION BY doc_id ORDER BY n
+                                           ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS island
+  FROM b
+),
+t AS (
+  SELECT *, min(CASE WHEN pp AND regexp_matches(line, '[\\pL\\pN]') THEN n END)
+              OVER (PARTITION BY doc_id, island) AS tstart
+  FROM i
+),
+k AS (
+  SELECT *, pp AND tstart IS NOT NULL AND n >= tstart AS tab FROM t
+),
+cells AS (
+  SELECT doc_id, n, island, s,
+         CASE WHEN s = '' THEN []::VARCHAR[]
+              ELSE list_transform(string_split(s, '|'), lambda x: {py_strip('x')}) END AS cells
+  FROM (SELECT *, {_CELL_S} AS s FROM k WHERE tab)
+),
+r AS (
+  SELECT *, least(max(len(cells)) OVER (PARTITION BY doc_id, island), 5) AS w,
+         n = min(n) OVER (PARTITION BY doc_id, island) AS first
+  FROM cells WHERE len(cells) > 0
+),
+f AS (
+  SELECT doc_id, n, w, first, cells,
+         list_resize(CASE WHEN len(cells) > w
+                          THEN list_concat(cells[1:w - 1], [array_to_string(cells[w:], ' ')])
+                          ELSE cells END, w, '') AS padded
+  FROM r
+),
+o AS (
+  SELECT doc_id, n,
+    CASE WHEN w >= 2 THEN
+           CASE WHEN first THEN '| ' || array_to_string(padded, ' | ') || ' |' || chr(10) || '|' || repeat(' --- |', w)
+                ELSE '| ' || array_to_string(padded, ' | ') || ' |' END
+         ELSE array_to_string(cells, ' ') END AS out
+  FROM f
+  UNION ALL
+  SELECT doc_id, n, line AS out FROM k WHERE NOT tab
+)
+SELECT doc_id, string_agg(out, chr(10) ORDER BY n) AS repaired FROM o GROUP BY doc_id
+UNION ALL
+SELECT doc_id, {_NORM} AS repaired FROM documents WHERE NOT contains(text, '|')
+"""
