@@ -48,7 +48,8 @@ def build_index(docs: DataFrame, id_col: str, text_col: str) -> TextIndex:
     tok = tok.withColumn("dl", F.size("_t"))
     postings = (tok.select("doc_id", "dl", F.explode("_t").alias("term"))
                 .groupBy("term", "doc_id", "dl").agg(F.count(F.lit(1)).alias("tf")))
-    doc_freq = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    # count("tf") keeps the postings subplan identical, so its exchange is reused.
+    doc_freq = postings.groupBy("term").agg(F.count("tf").alias("df"))
     stats = tok.agg(F.count(F.lit(1)).alias("n_docs"), F.avg("dl").alias("avgdl"))
     return TextIndex(postings, doc_freq, stats, tokens=tok)
 
@@ -82,24 +83,29 @@ def bm25(spark: SparkSession, index: TextIndex, query: str, k1: float = K1,
     terms = query_terms(spark, query)
     if not terms:
         return index.postings.select("doc_id", F.lit(None).cast("double").alias(name)).limit(0)
-    postings, doc_freq = index.postings, index.doc_freq
+    postings, doc_freq, stats = index.postings, index.doc_freq, index.stats
     if index.bucketed:
         wanted = [r[0] for r in spark.createDataFrame([(t,) for t in terms], "t string")
                   .select(term_bucket("t")).distinct().collect()]
         postings = postings.filter(F.col("bucket").isin(wanted))
         doc_freq = doc_freq.filter(F.col("bucket").isin(wanted))
     if index.tokens is not None:
-        # Lazy index: keep only query terms inside each token array before
-        # exploding, so no row is made for any other token.
+        # Lazy index: tokenise the corpus once. Each document keeps only its
+        # length and its query-term tokens; that small table is checkpointed
+        # to the shared folder and feeds the statistics, the postings and the
+        # document frequencies, so the text is scanned a single time.
+        from ..session import checkpoint_dir
+        checkpoint_dir(spark)
         wanted_terms = F.array(*[F.lit(t) for t in terms])
-        hits = index.tokens.select("doc_id", "dl", F.explode(F.filter(
-            "_t", lambda t: F.array_contains(wanted_terms, t))).alias("term"))
+        per_doc = index.tokens.select("doc_id", "dl", F.filter(
+            "_t", lambda t: F.array_contains(wanted_terms, t)).alias("_q")).checkpoint(eager=True)
+        stats = per_doc.agg(F.count(F.lit(1)).alias("n_docs"), F.avg("dl").alias("avgdl"))
+        hits = per_doc.select("doc_id", "dl", F.explode("_q").alias("term"))
         postings = hits.groupBy("term", "doc_id", "dl").agg(F.count(F.lit(1)).alias("tf"))
-        doc_freq = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+        doc_freq = postings.groupBy("term").agg(F.count("tf").alias("df"))
     postings = postings.filter(F.col("term").isin(terms))
     # At most len(terms) rows: safe to broadcast.
     dfq = F.broadcast(doc_freq.filter(F.col("term").isin(terms)).select("term", "df"))
-    stats = index.stats
     n = stats.select(F.col("n_docs").cast("double")).scalar()
     avgdl = stats.select("avgdl").scalar()
     idf = F.log((n - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
