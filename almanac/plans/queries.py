@@ -297,11 +297,11 @@ from ..operators import weeks as wk  # noqa: E402
 
 
 def rendered_bulletins(spark, sf_dir) -> str:
-    """Write the bulletin fixture as markdown files (one folder per year) on
-    the shared scratch folder and return the folder."""
-    path = scratch_path(spark, "bulletins-md")
-    md.render_markdown(bulletins(spark, sf_dir), path)
-    return path
+    """The bulletin fixture as markdown files (one folder per year) on the
+    shared scratch folder, written once per application."""
+    from ..sources.fixtures import materialized
+    return materialized(spark, sf_dir, "bulletins-md",
+                        lambda p: md.render_markdown(bulletins(spark, sf_dir), p))
 
 
 @register("q_sections")
@@ -457,12 +457,12 @@ def q_matched_terms(spark, sf_dir):
 # --- Tables in text ---------------------------------------------------------------------
 
 from ..operators import tables as tb  # noqa: E402
-from ..sources.fixtures import weather_tables  # noqa: E402
+from ..sources.fixtures import weather_table_texts  # noqa: E402
 
 
 @register("q_table_values")
 def q_table_values(spark, sf_dir):
-    t = tb.weather_table(weather_tables(spark, sf_dir), "table_id", "text")
+    t = tb.weather_table(weather_table_texts(spark, sf_dir), "table_id", "text")
     return finish(t.select("table_id", "row_no", "col_no", "header", "value", "row_valid"))
 
 
