@@ -28,7 +28,11 @@ def extract_numbers(col, mode: str = "reference") -> Column:
 
 
 def number_mean(col, mode: str = "reference") -> Column:
-    """Mean of the numbers in a cell; NULL when there is none (or the cell is NULL)."""
-    nums = extract_numbers(col, mode)
-    total = F.aggregate(nums, F.lit(0.0).cast("double"), lambda acc, x: acc + x)
-    return F.when(F.size(nums) > 0, total / F.size(nums))
+    """Mean of the numbers in a cell; NULL when there is none (or the cell is NULL).
+
+    One ``aggregate`` with a finishing step, so the extraction runs once."""
+    zero = F.struct(F.lit(0.0).cast("double").alias("s"), F.lit(0).alias("n"))
+    return F.aggregate(
+        extract_numbers(col, mode), zero,
+        lambda acc, x: F.struct((acc["s"] + x).alias("s"), (acc["n"] + 1).alias("n")),
+        lambda acc: F.when(acc["n"] > 0, acc["s"] / acc["n"]))

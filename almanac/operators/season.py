@@ -18,6 +18,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.computed import with_computed
 from ..functions.dates import day_distance, move_to_year, parse_ymd
 from ..functions.text import bracket_text, part
 
@@ -139,13 +140,14 @@ def _summary_dates(id_col):
 
 
 def priority(id_col, year_col, category_col, today: _dt.date,
-             near_days: int | None = None) -> Column:
+             near_days: int | None = None, parsed_dates=None) -> Column:
     """R1 (``near_days=None``) / R2 (``near_days=7``): summary rows whose week
     contains today's month/day in the row's year rank 0 (R2: also within
     ``near_days`` of either end); other summaries 1 (R2: 100, including
     malformed ids); weather/agriculture 2; everything else 99."""
     cat = _c(category_col)
-    ok, start, end = _summary_dates(id_col)
+    ok, start, end = (_summary_dates(id_col) if parsed_dates is None
+                      else tuple(F.col(c) for c in parsed_dates))
     year = _c(year_col).cast("string")
     check = F.try_to_date(F.format_string("%s-%s", year.try_cast("int").cast("string"),
                                           F.lit(today.strftime("%m-%d"))),
@@ -165,10 +167,11 @@ def priority(id_col, year_col, category_col, today: _dt.date,
 
 
 def priority_reason(id_col, year_col, category_col, today: _dt.date,
-                    near_days: int | None = None) -> Column:
+                    near_days: int | None = None, parsed_dates=None) -> Column:
     """The label that goes with :func:`priority`."""
     cat = _c(category_col)
-    ok, start, end = _summary_dates(id_col)
+    ok, start, end = (_summary_dates(id_col) if parsed_dates is None
+                      else tuple(F.col(c) for c in parsed_dates))
     year = _c(year_col).cast("string")
     check = F.try_to_date(F.format_string("%s-%s", year.try_cast("int").cast("string"),
                                           F.lit(today.strftime("%m-%d"))),
@@ -189,6 +192,21 @@ def priority_reason(id_col, year_col, category_col, today: _dt.date,
             .otherwise(F.lit("Other")))
 
 
+def with_priority(df: DataFrame, id_col: str, year_col: str, category_col: str,
+                  today: _dt.date, near_days: int | None = None, name: str = "priority",
+                  reason: str | None = "reason") -> DataFrame:
+    """R1-R3 as columns, with the id's dates parsed once per row."""
+    ok, start, end = _summary_dates(id_col)
+    parsed = with_computed(df, _pid_ok=ok, _pid_start=start, _pid_end=end)
+    pieces = ("_pid_ok", "_pid_start", "_pid_end")
+    out = parsed.withColumn(name, priority(id_col, year_col, category_col, today, near_days,
+                                           parsed_dates=pieces))
+    if reason:
+        out = out.withColumn(reason, priority_reason(id_col, year_col, category_col, today,
+                                                     near_days, parsed_dates=pieces))
+    return out.drop(*pieces)
+
+
 def relevance_band(score, strong: float = 0.65, related: float = 0.50) -> Column:
     """Strong / related / reference band of a similarity score."""
     s = _c(score)

@@ -1,7 +1,8 @@
 """Pipe tables inside bulletin text (T-A, T-B, T-C; W5-W8, A11, A12).
 
 T-A (read a weather table into long rows) only needs the pipe lines of one
-text, so it is done inside the row with array functions: no shuffle.
+text, so it is done inside the row with array functions: no shuffle, not even
+for the per-row validity flag.
 
 T-B / T-C (repair) rewrite a text line by line with look-behind/ahead and
 islands of consecutive pipe lines. Texts without a pipe skip the line work
@@ -18,6 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.cells import cells_kept, cells_nonempty, has_alnum
+from ..functions.computed import with_computed
 from ..functions.numbers import number_mean
 from ..functions.text import WS, py_strip
 
@@ -56,35 +58,35 @@ def weather_table(df: DataFrame, id_col: str, text_col: str,
     of the numbers in the cell (F20); ``row_valid`` is true when every
     measure value of the row parsed (the rule keeps only those rows).
     """
-    tl = F.filter(F.transform(F.split(_c(text_col), "\n", -1), py_strip),
+    tl = F.filter(F.transform(F.split(F.col("_t"), "\n", -1), py_strip),
                   lambda l: F.instr(l, "|") > 0)
-    staged = df.select(F.col(id_col).alias("_id"), tl.alias("_tl"))
-    staged = staged.withColumn("_sep", F.array_position(
-        F.transform("_tl", lambda l: F.instr(l, "---") > 0), True).cast("int"))
-    staged = staged.filter((F.size("_tl") >= 3) & (F.col("_sep") >= 2))
-    staged = staged.withColumn("_hdr", cells_nonempty(F.get("_tl", F.col("_sep") - 2)))
-    staged = staged.filter(_any_word(F.array_join("_hdr", ""), measure_words))
+    staged = with_computed(df.select(F.col(id_col).alias("_id"), _c(text_col).alias("_t")),
+                           _tl=tl).drop("_t")
+    sep = F.array_position(F.transform("_tl", lambda l: F.instr(l, "---") > 0), True).cast("int")
+    staged = with_computed(staged, _sep=sep)
+    staged = with_computed(staged, _hdr=cells_nonempty(F.get("_tl", F.col("_sep") - 2)))
     rows = F.filter(F.transform(F.slice("_tl", F.col("_sep") + 1, F.size("_tl")),
                                 lambda l: cells_nonempty(l)),
                     lambda c: F.size(c) >= 2)
-    staged = staged.withColumn("_rows", F.transform(
-        rows, lambda c: F.slice(c, 1, F.size(F.col("_hdr")))))
-    staged = staged.filter(F.size("_rows") > 0)
     # Measure columns: header index >= 1 (0-based) naming a measure word.
     measures = F.filter(F.transform("_hdr", lambda h, i: F.struct(i.alias("i"), h.alias("h"))),
                         lambda s: (s["i"] >= 1) & _any_word(s["h"], measure_words))
-    staged = staged.withColumn("_m", measures).filter(F.size("_m") > 0)
+    staged = with_computed(
+        staged.filter((F.size("_tl") >= 3) & (F.col("_sep") >= 2)
+                      & _any_word(F.array_join("_hdr", ""), measure_words)),
+        _rows=F.transform(rows, lambda c: F.slice(c, 1, F.size(F.col("_hdr")))), _m=measures)
+    staged = staged.filter((F.size("_rows") > 0) & (F.size("_m") > 0))
     per_row = staged.select("_id", "_m", F.posexplode("_rows").alias("_r", "_cells"))
-    cells = per_row.select(
-        "_id", (F.col("_r") + 1).alias("row_no"),
-        F.explode(F.transform("_m", lambda s: F.struct(
-            s["i"].alias("col_no"), s["h"].alias("header"),
-            F.get(F.col("_cells"), s["i"]).alias("cell")))).alias("_x"))
-    cells = cells.select("_id", "row_no", "_x.col_no", "_x.header", "_x.cell",
-                         number_mean(F.col("_x.cell"), number_mode).alias("value"))
-    w = Window.partitionBy("_id", "row_no")
-    return (cells.withColumn("row_valid", F.bool_and(F.col("value").isNotNull()).over(w))
-            .withColumnRenamed("_id", id_col))
+    vals = F.transform("_m", lambda s: F.struct(
+        s["i"].alias("col_no"), s["h"].alias("header"),
+        F.get(F.col("_cells"), s["i"]).alias("cell"),
+        number_mean(F.get(F.col("_cells"), s["i"]), number_mode).alias("value")))
+    per_row = with_computed(per_row, _vals=vals)
+    return per_row.select(
+        F.col("_id").alias(id_col), (F.col("_r") + 1).alias("row_no"),
+        F.forall("_vals", lambda v: v["value"].isNotNull()).alias("row_valid"),
+        F.explode("_vals").alias("_x")).select(
+        id_col, "row_no", "_x.col_no", "_x.header", "_x.cell", "_x.value", "row_valid")
 
 
 # --- shared line plumbing ----------------------------------------------------------
@@ -141,7 +143,7 @@ def repair_tables(df: DataFrame, id_col: str, text_col: str, out_col: str = "rep
 
     passthrough = lines.filter(~F.col("_tab")).select("_id", "_n", F.col("_line").alias("_out"))
 
-    tab = (lines.filter(F.col("_tab")).withColumn("_cells", cells_kept("_line"))
+    tab = (with_computed(lines.filter(F.col("_tab")), _cells=cells_kept("_line"))
            .filter(F.size("_cells") > 0))
     table = Window.partitionBy("_id", "_island")
     tab = (tab.withColumn("_w", F.least(F.max(F.size("_cells")).over(table), F.lit(max_cols)))
@@ -176,14 +178,19 @@ def repair_tables_light(df: DataFrame, id_col: str, text_col: str,
     piped = base.filter(F.instr("_t", "|") > 0)
     lines = _explode_lines(piped, "_id", F.split("_t", "\n", -1))
     by_doc = Window.partitionBy("_id").orderBy("_n")
-    clean = py_strip("_line")
-    has_pipe = (F.instr(clean, "|") > 0) & (py_strip(F.replace(clean, F.lit("|"), F.lit(""))) != "")
-    lines = (lines.withColumn("_clean", clean).withColumn("_hp", has_pipe)
+    lines = with_computed(lines, _clean=py_strip("_line"))
+    has_pipe = ((F.instr("_clean", "|") > 0)
+                & (py_strip(F.replace("_clean", F.lit("|"), F.lit(""))) != ""))
+    lines = (lines.withColumn("_hp", has_pipe)
              .withColumn("_prev", F.coalesce(F.lag("_hp").over(by_doc), F.lit(False)))
-             .withColumn("_next", py_strip(F.lead("_line").over(by_doc))))
-    processed = py_strip(F.regexp_replace("_clean", rf"{WS}*\|{WS}*", " | "))
-    processed = F.when(processed.startswith("|"), processed).otherwise(F.concat(F.lit("| "), processed))
-    processed = F.when(processed.endswith("|"), processed).otherwise(F.concat(processed, F.lit(" |")))
+             .withColumn("_next_raw", F.lead("_line").over(by_doc)))
+    lines = with_computed(lines, _next=py_strip("_next_raw"),
+                          _p0=py_strip(F.regexp_replace("_clean", rf"{WS}*\|{WS}*", " | ")))
+    processed = F.when(F.col("_p0").startswith("|"), F.col("_p0")).otherwise(
+        F.concat(F.lit("| "), F.col("_p0")))
+    lines = with_computed(lines, _p1=processed)
+    processed = F.when(F.col("_p1").endswith("|"), F.col("_p1")).otherwise(
+        F.concat(F.col("_p1"), F.lit(" |")))
     lines = lines.withColumn("_proc", processed)
     next_is_sep = (F.col("_next").isNotNull() & F.col("_next").startswith("|")
                    & (F.instr(F.col("_next"), "-") > 0))

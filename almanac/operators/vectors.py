@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.computed import with_computed
 from ..functions.vectors import as_vector, cosine, dot, norm, unit
 from .season import relevance_band
 
@@ -38,7 +39,9 @@ def query_vector(df: DataFrame, id_col: str, id_value, vec_col: str = "embedding
 
 
 def with_cosine(df: DataFrame, vec_col: str, query, name: str = "score") -> DataFrame:
-    return df.withColumn(name, cosine(vec_col, as_vector(query)))
+    """Add the cosine to ``query``, computed once per row even when later
+    filters test it."""
+    return with_computed(df, **{name: cosine(vec_col, as_vector(query))})
 
 
 def cosine_topk(df: DataFrame, vec_col: str, query, k: int = TOP_K, id_col: str = "id",

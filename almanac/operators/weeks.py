@@ -14,6 +14,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.computed import with_computed
 from ..functions.text import WS_INLINE, py_strip
 from ..sources.markdown import DATE, HEADER_LINE
 from .tags import CATEGORY_MAP, SKIP_CATEGORY, categorize
@@ -32,18 +33,18 @@ def week_sections(files: DataFrame, category_map: Mapping[str, Sequence[str]] =
     """
     chunks = files.select("file", F.posexplode(F.split("text", _HEADER_START, -1))
                           .alias("pos", "chunk"))
-    first = py_strip(F.substring_index("chunk", "\n", 1))
-    chunks = (chunks.withColumn("_first", first)
-              .filter(F.col("_first").rlike(HEADER_LINE)))
+    chunks = with_computed(chunks, _first=py_strip(F.substring_index("chunk", "\n", 1)))
+    chunks = chunks.filter(F.col("_first").rlike(HEADER_LINE))
     body_lines = F.filter(
         F.transform(F.slice(F.split("chunk", "\n", -1), 2, 1 << 30), py_strip),
         lambda x: x != "")
-    out = chunks.select(
-        "file", "pos",
-        F.regexp_extract("_first", HEADER_LINE, 1).alias("week_range"),
-        categorize(F.regexp_extract("_first", "(?s)" + HEADER_LINE, 2), category_map,
-                   skip_toc=skip_toc).alias("category"),
-        F.array_join(body_lines, "\n").alias("body"))
+    chunks = with_computed(
+        chunks, week_range=F.regexp_extract("_first", HEADER_LINE, 1),
+        _title=F.regexp_extract("_first", "(?s)" + HEADER_LINE, 2),
+        body=F.array_join(body_lines, "\n"))
+    out = chunks.select("file", "pos", "week_range",
+                        categorize("_title", category_map, skip_toc=skip_toc).alias("category"),
+                        "body")
     return out.filter((F.col("category") != SKIP_CATEGORY) & (F.col("body") != ""))
 
 

@@ -128,7 +128,7 @@ def q_category_top(spark, sf_dir):
 
 @register("q_category_counts")
 def q_category_counts(spark, sf_dir):
-    docs = read_table(spark, sf_dir, "documents", ["doc_id", "text"])
+    docs = read_table(spark, sf_dir, "documents", ["doc_id", "text"], spread_on="doc_id")
     cat = categorize("text", FIXTURE_CATEGORY_MAP, skip_toc=True)
     return finish(stats.top_counts(docs, cat, k=5, key_name="category"))
 
@@ -142,14 +142,14 @@ def q_count(spark, sf_dir):
 
 @register("q_short_docs")
 def q_short_docs(spark, sf_dir):
-    docs = read_table(spark, sf_dir, "documents", ["doc_id", "text"])
+    docs = read_table(spark, sf_dir, "documents", ["doc_id", "text"], spread_on="doc_id")
     return finish(docs.filter(F.length("text") < 60)
                   .select("doc_id", F.length("text").alias("len")))
 
 
 @register("q_special_chars")
 def q_special_chars(spark, sf_dir):
-    docs = read_table(spark, sf_dir, "documents", ["doc_id", "text"])
+    docs = read_table(spark, sf_dir, "documents", ["doc_id", "text"], spread_on="doc_id")
     return finish(docs.filter(filters.contains_any("text", ["~", "%"])).select("doc_id"))
 
 
@@ -169,7 +169,7 @@ def q_fallback_match(spark, sf_dir):
 
 def _header_query(rule):
     def q(spark, sf_dir):
-        docs = read_table(spark, sf_dir, "documents", ["doc_id", "text"])
+        docs = read_table(spark, sf_dir, "documents", ["doc_id", "text"], spread_on="doc_id")
         return finish(docs.filter(filters.keep_content("text", rule))
                       .select("doc_id", filters.clean_length("text").alias("clean_len")))
     return q
@@ -193,12 +193,10 @@ def _farming(spark, sf_dir):
 def _priority_query(near):
     def q(spark, sf_dir):
         f = _farming(spark, sf_dir).filter((F.col("month") == MONTH) & (F.col("year") == "2025"))
-        out = f.select("pk", "week_id", "category",
-                       season.priority("week_id", "year", "category", TODAY, near)
-                       .alias("priority"),
-                       season.priority_reason("week_id", "year", "category", TODAY, near)
-                       .alias("reason"))
-        return finish(out.orderBy("priority", "pk"))
+        out = season.with_priority(f.select("pk", "week_id", "year", "category"),
+                                   "week_id", "year", "category", TODAY, near)
+        return finish(out.select("pk", "week_id", "category", "priority", "reason")
+                      .orderBy("priority", "pk"))
     return q
 
 
@@ -209,8 +207,7 @@ register("q_priority_near")(_priority_query(7))
 @register("q_reject_reasons")
 def q_reject_reasons(spark, sf_dir):
     f = _farming(spark, sf_dir).filter((F.col("month") == MONTH) & (F.col("year") == "2025"))
-    prio = season.priority("week_id", "year", "category", TODAY, 7)
-    out = (f.withColumn("priority", prio)
+    out = (season.with_priority(f, "week_id", "year", "category", TODAY, 7, reason=None)
            .withColumn("reasons", filters.reject_reasons("content", "category", "priority"))
            .select("pk", "category", "priority", join_list("reasons").alias("reasons"),
                    (F.size("reasons") == 0).alias("kept")))
@@ -240,7 +237,7 @@ from ..sources.fixtures import FIXTURE_TAG_SETS  # noqa: E402
 
 @register("q_clean_text")
 def q_clean_text(spark, sf_dir):
-    docs = read_table(spark, sf_dir, "documents", ["doc_id", "text"])
+    docs = read_table(spark, sf_dir, "documents", ["doc_id", "text"], spread_on="doc_id")
     return finish(docs.select("doc_id", tx.clean_markdown("text").alias("clean")))
 
 
@@ -267,7 +264,7 @@ def q_title_parts(spark, sf_dir):
 
 @register("q_tags_extract")
 def q_tags_extract(spark, sf_dir):
-    docs = read_table(spark, sf_dir, "documents", ["doc_id", "text"])
+    docs = read_table(spark, sf_dir, "documents", ["doc_id", "text"], spread_on="doc_id")
     return finish(docs.select("doc_id", *[
         join_list(extract_tags("text", tags)).alias(f"tags_{cls}")
         for cls, tags in FIXTURE_TAG_SETS.items()]))
@@ -276,7 +273,7 @@ def q_tags_extract(spark, sf_dir):
 def number_cells(spark, sf_dir):
     """Cells written the way bulletin tables write them: a sign, a range and a
     parenthesised normal, e.g. ``-3~6.55 (평년 2)``."""
-    ev = read_table(spark, sf_dir, "events", ["event_id", "user_id", "value"])
+    ev = read_table(spark, sf_dir, "events", ["event_id", "user_id", "value"], spread_on="event_id")
     return ev.select("event_id", F.format_string(
         "-%d~%s (평년 %d)", F.pmod("user_id", F.lit(7)), F.col("value").cast("string"),
         F.pmod("event_id", F.lit(5))).alias("cell"))
@@ -403,7 +400,7 @@ def q_ann_topk(spark, sf_dir):
 
 @register("q_encode")
 def q_encode(spark, sf_dir):
-    docs = read_table(spark, sf_dir, "documents", ["doc_id", "text"])
+    docs = read_table(spark, sf_dir, "documents", ["doc_id", "text"], spread_on="doc_id")
     staged = docs.select("doc_id", tx.embed_text(F.substring_index("text", "\n", 1),
                                                  "text").alias("embed_text"))
     out = vx.encode(staged, "embed_text", dim=64)
@@ -414,7 +411,7 @@ def q_encode(spark, sf_dir):
 # --- Full text ------------------------------------------------------------------------
 
 def _docs_index(spark, sf_dir):
-    docs = read_table(spark, sf_dir, "documents", ["doc_id", "text"])
+    docs = read_table(spark, sf_dir, "documents", ["doc_id", "text"], spread_on="doc_id")
     return ft.build_index(docs, "doc_id", "text")
 
 
@@ -448,7 +445,7 @@ def q_hybrid(spark, sf_dir):
 
 @register("q_matched_terms")
 def q_matched_terms(spark, sf_dir):
-    docs = read_table(spark, sf_dir, "documents", ["doc_id", "text"])
+    docs = read_table(spark, sf_dir, "documents", ["doc_id", "text"], spread_on="doc_id")
     m = ft.matched_terms("text", "thing nicht mente a xy")
     return finish(docs.select("doc_id", m.alias("m")).filter(F.size("m") > 0)
                   .select("doc_id", join_list("m").alias("matched")))
@@ -468,13 +465,13 @@ def q_table_values(spark, sf_dir):
 
 @register("q_table_repair")
 def q_table_repair(spark, sf_dir):
-    docs = read_table(spark, sf_dir, "documents", ["doc_id", "text"])
+    docs = read_table(spark, sf_dir, "documents", ["doc_id", "text"], spread_on="doc_id")
     return finish(tb.repair_tables(docs, "doc_id", "text"))
 
 
 @register("q_table_repair_light")
 def q_table_repair_light(spark, sf_dir):
-    docs = read_table(spark, sf_dir, "documents", ["doc_id", "text"])
+    docs = read_table(spark, sf_dir, "documents", ["doc_id", "text"], spread_on="doc_id")
     return finish(tb.repair_tables_light(docs, "doc_id", "text"))
 
 
@@ -515,10 +512,9 @@ def q_summary_candidates(spark, sf_dir):
     """P20 + P21 + R1: 2024 rows of month 1 whose category mentions 요약."""
     f = _farming(spark, sf_dir).filter((F.col("month") == MONTH) & (F.col("year") == "2024")
                                        & (F.instr("category", "요약") > 0))
-    return finish(f.select("pk", "week_id",
-                           season.priority("week_id", "year", "category", TODAY).alias("priority"),
-                           season.priority_reason("week_id", "year", "category", TODAY)
-                           .alias("reason")))
+    out = season.with_priority(f.select("pk", "week_id", "year", "category"),
+                               "week_id", "year", "category", TODAY)
+    return finish(out.select("pk", "week_id", "priority", "reason"))
 
 
 @register("q_tag_top_by_month")

@@ -39,7 +39,7 @@ FIXTURE_CATEGORY_MAP = {
 
 def bulletins(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Weekly bulletin rows derived from ``documents`` (FIXTURES.md section 2)."""
-    docs = read_table(spark, sf_dir, "documents", ["doc_id", "text"])
+    docs = read_table(spark, sf_dir, "documents", ["doc_id", "text"], spread_on="doc_id")
     start = F.date_add(F.lit(FIRST_MONDAY).cast("date"),
                        (F.pmod(F.col("doc_id"), F.lit(N_WEEKS)) * 7).cast("int"))
     words = F.array(*[F.lit(w) for w in CLASS_WORDS])
@@ -110,4 +110,5 @@ def weather_table_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``weather_tables`` written once to parquet and read back."""
     path = materialized(spark, sf_dir, "weather-tables",
                         lambda p: weather_tables(spark, sf_dir).write.parquet(p))
-    return spark.read.parquet(path)
+    from .tables import spread
+    return spread(spark.read.parquet(path), "table_id")

@@ -14,6 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.computed import with_computed
 from ..functions.text import WS, WS_INLINE, normalize_newlines, py_strip
 from ..operators.filters import contains_any
 
@@ -92,8 +93,7 @@ def split_sections(files: DataFrame) -> DataFrame:
     """
     parts = files.select("file", F.posexplode(F.split("text", SECTION_BOUNDARY, -1))
                          .alias("section_no", "section"))
-    sec = py_strip("section")
-    parts = parts.withColumn("_s", sec).filter(F.col("_s") != "")
+    parts = with_computed(parts, _s=py_strip("section")).drop("section").filter(F.col("_s") != "")
     header = F.substring_index("_s", "\n", 1)
     body = F.when(F.instr("_s", "\n") > 0,
                   F.expr("substring(_s, instr(_s, '\n') + 1)")).otherwise(F.lit(""))

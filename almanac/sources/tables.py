@@ -9,7 +9,24 @@ from pyspark.sql import DataFrame, SparkSession
 from ..session import table_path
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Hash-partition ``df`` on ``key`` when it arrives in fewer partitions
+    than the cluster has cores.
+
+    The text operators here spend CPU per byte (regexes over whole texts), so
+    an input stored as one large row group would otherwise run as a single
+    task. On a large input with many splits this is a no-op; when it fires it
+    also leaves the rows hash-partitioned by their id, which per-document
+    windows downstream reuse without another exchange.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < cores:
+        return df.repartition(cores, key)
+    return df
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str,
-               columns: Sequence[str] | None = None) -> DataFrame:
+               columns: Sequence[str] | None = None, spread_on: str | None = None) -> DataFrame:
     df = spark.read.parquet(table_path(sf_dir, name))
-    return df.select(*columns) if columns else df
+    df = df.select(*columns) if columns else df
+    return spread(df, spread_on) if spread_on else df
