@@ -46,7 +46,8 @@ def build_index(docs: DataFrame, id_col: str, text_col: str) -> TextIndex:
     """V5 (lazy): the index as DataFrames over ``docs``."""
     tok = docs.select(F.col(id_col).alias("doc_id"), tokens(text_col).alias("_t"))
     tok = tok.withColumn("dl", F.size("_t"))
-    postings = (tok.select("doc_id", "dl", F.explode("_t").alias("term"))
+    from .stats import explode_list
+    postings = (explode_list(tok, "_t", "term", "doc_id", "dl")
                 .groupBy("term", "doc_id", "dl").agg(F.count(F.lit(1)).alias("tf")))
     # count("tf") keeps the postings subplan identical, so its exchange is reused.
     doc_freq = postings.groupBy("term").agg(F.count("tf").alias("df"))

@@ -36,11 +36,21 @@ def top_counts(df: DataFrame, key, k: int | None = 5, alias: str = "cnt",
     return out.limit(k) if k else out
 
 
+def explode_list(df: DataFrame, col: str, name: str, *keep: str) -> DataFrame:
+    """Rows of ``keep`` columns with one list element each (NULL elements dropped).
+
+    ``explode_outer`` plus a filter on the generated column, rather than
+    ``explode``: a plain explode lets Spark infer ``size(list) > 0`` and push it
+    below earlier operators, which re-evaluates an expensive list expression.
+    """
+    out = df.select(*keep, F.explode_outer(_c(col)).alias(name))
+    return out.filter(F.col(name).isNotNull())
+
+
 def tag_counts(df: DataFrame, tags: str = "tags", k: int | None = 5,
                tag_name: str = "tag", alias: str = "count") -> DataFrame:
     """A4: explode a list column and count each element (top k)."""
-    exploded = df.select(F.explode(_c(tags)).alias(tag_name))
-    return top_counts(exploded, tag_name, k, alias)
+    return top_counts(explode_list(df, tags, tag_name), tag_name, k, alias)
 
 
 def distinct_sorted(df: DataFrame, expr, name: str) -> DataFrame:
@@ -51,7 +61,7 @@ def distinct_sorted(df: DataFrame, expr, name: str) -> DataFrame:
 
 def distinct_elements(df: DataFrame, tags: str, name: str = "tag") -> DataFrame:
     """Distinct elements of a list column, ascending, blanks dropped."""
-    return distinct_sorted(df.select(F.explode(_c(tags)).alias(name)), name, name)
+    return distinct_sorted(explode_list(df, tags, name), name, name)
 
 
 def exists_flag(df: DataFrame, cond: Column, by: Sequence[str], name: str = "found") -> DataFrame:

@@ -51,7 +51,7 @@ def finish(df: DataFrame) -> DataFrame:
 
 @register("q_briefing")
 def q_briefing(spark, sf_dir):
-    b = bulletins(spark, sf_dir)
+    b = bulletins(spark, sf_dir, spread_rows=True)
     out = season.briefing(b, TODAY, month=MONTH, years=YEARS)
     return finish(out.withColumn("tags", join_list("tags")))
 
@@ -83,36 +83,36 @@ def q_week_lookup(spark, sf_dir):
 
 @register("q_tag_list")
 def q_tag_list(spark, sf_dir):
-    return finish(stats.distinct_elements(bulletins(spark, sf_dir), "tags", "tag"))
+    return finish(stats.distinct_elements(bulletins(spark, sf_dir, spread_rows=True), "tags", "tag"))
 
 
 @register("q_tag_top")
 def q_tag_top(spark, sf_dir):
-    return finish(stats.tag_counts(bulletins(spark, sf_dir), "tags", k=5))
+    return finish(stats.tag_counts(bulletins(spark, sf_dir, spread_rows=True), "tags", k=5))
 
 
 @register("q_tag_contains")
 def q_tag_contains(spark, sf_dir):
-    b = bulletins(spark, sf_dir).filter((F.instr("content_md", "nicht") > 0)
+    b = bulletins(spark, sf_dir, spread_rows=True).filter((F.instr("content_md", "nicht") > 0)
                                         & F.array_contains("tags", "mente"))
     return finish(stats.count_rows(b))
 
 
 @register("q_tag_any")
 def q_tag_any(spark, sf_dir):
-    b = bulletins(spark, sf_dir).filter(filters.any_tag("tags", ["thing", "erble"]))
+    b = bulletins(spark, sf_dir, spread_rows=True).filter(filters.any_tag("tags", ["thing", "erble"]))
     return finish(b.select("id", join_list("tags").alias("tags")))
 
 
 @register("q_tag_nonempty")
 def q_tag_nonempty(spark, sf_dir):
-    b = bulletins(spark, sf_dir).filter(F.size("tags") > 0)
+    b = bulletins(spark, sf_dir, spread_rows=True).filter(F.size("tags") > 0)
     return finish(b.select("id", "title", F.size("tags").alias("n_tags")))
 
 
 @register("q_tag_by_year")
 def q_tag_by_year(spark, sf_dir):
-    b = bulletins(spark, sf_dir).select("year", F.explode("tags").alias("tag"))
+    b = stats.explode_list(bulletins(spark, sf_dir, spread_rows=True), "tags", "tag", "year")
     return finish(stats.count_by(b, ["year", "tag"]))
 
 
@@ -243,7 +243,7 @@ def q_clean_text(spark, sf_dir):
 
 @register("q_embed_text")
 def q_embed_text(spark, sf_dir):
-    b = bulletins(spark, sf_dir)
+    b = bulletins(spark, sf_dir, spread_rows=True)
     return finish(b.select(
         "id",
         tx.embed_text("title", "content_md").alias("embed_text"),
@@ -520,7 +520,7 @@ def q_summary_candidates(spark, sf_dir):
 @register("q_tag_top_by_month")
 def q_tag_top_by_month(spark, sf_dir):
     """L9 + the monthly keyword suggestion: the 3 most frequent tags per month."""
-    counts = stats.count_by(bulletins(spark, sf_dir).select("month", F.explode("tags").alias("tag")),
-                            ["month", "tag"])
+    b = bulletins(spark, sf_dir, spread_rows=True)
+    counts = stats.count_by(stats.explode_list(b, "tags", "tag", "month"), ["month", "tag"])
     top = stats.head_per_group(counts, ["month"], [F.desc("cnt"), F.asc("tag")], 3, "rank")
     return finish(top)

@@ -37,9 +37,13 @@ FIXTURE_CATEGORY_MAP = {
 }
 
 
-def bulletins(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Weekly bulletin rows derived from ``documents`` (FIXTURES.md section 2)."""
-    docs = read_table(spark, sf_dir, "documents", ["doc_id", "text"], spread_on="doc_id")
+def bulletins(spark: SparkSession, sf_dir: str, spread_rows: bool = False) -> DataFrame:
+    """Weekly bulletin rows derived from ``documents`` (FIXTURES.md section 2).
+
+    ``spread_rows`` is for queries that do heavy per-row text work (tags,
+    whole-text regexes): see :func:`almanac.sources.tables.spread`."""
+    docs = read_table(spark, sf_dir, "documents", ["doc_id", "text"],
+                      spread_on="doc_id" if spread_rows else None)
     start = F.date_add(F.lit(FIRST_MONDAY).cast("date"),
                        (F.pmod(F.col("doc_id"), F.lit(N_WEEKS)) * 7).cast("int"))
     words = F.array(*[F.lit(w) for w in CLASS_WORDS])
