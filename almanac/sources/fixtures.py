@@ -102,7 +102,7 @@ def materialized(spark: SparkSession, sf_dir: str, name: str, write) -> str:
     """Return the shared-folder path of fixture ``name``, writing it with
     ``write(path)`` the first time in this application."""
     from ..session import scratch_path
-    key = (spark.sparkContext.applicationId, sf_dir, name)
+    key = (spark.conf.get("spark.app.id", "app"), sf_dir, name)
     if key not in _WRITTEN:
         path = scratch_path(spark, name)
         write(path)

@@ -19,10 +19,12 @@ def spread(df: DataFrame, key: str) -> DataFrame:
     also leaves the rows hash-partitioned by their id, which per-document
     windows downstream reuse without another exchange.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < cores:
-        return df.repartition(cores, key)
-    return df
+    try:
+        cores = df.sparkSession.sparkContext.defaultParallelism
+        parts = df.rdd.getNumPartitions()
+    except Exception:  # noqa: BLE001 - no SparkContext (e.g. a Connect session)
+        return df
+    return df.repartition(cores, key) if parts < cores else df
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str,
