@@ -62,13 +62,22 @@ def banded_search(df: DataFrame, vec_col: str, query, id_col: str = "id", k: int
 
 
 def centroids(df: DataFrame, vec_col: str, by: str) -> DataFrame:
-    """Mean vector per group: one aggregate per (group, position), then the
-    positions of a group (bounded by the dimension) gathered in order."""
-    per_dim = (df.select(by, F.posexplode(vec_col).alias("pos", "x"))
-               .groupBy(by, "pos").agg(F.avg(F.col("x").cast("double")).alias("m")))
-    return (per_dim.groupBy(by)
-            .agg(F.array_sort(F.collect_list(F.struct("pos", "m"))).alias("_v"))
-            .select(by, F.transform("_v", lambda s: s["m"]).alias("centroid")))
+    """Mean vector per group: one JVM aggregate (``Summarizer.mean``) with
+    partial aggregation, returned as ``array<double>``."""
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+    from pyspark.ml.stat import Summarizer
+    vecs = df.select(by, array_to_vector(F.col(vec_col).cast("array<double>")).alias("_v"))
+    return (vecs.groupBy(by).agg(Summarizer.mean(F.col("_v")).alias("_m"))
+            .select(by, vector_to_array("_m").alias("centroid")))
+
+
+def collect_bounded(df: DataFrame, max_rows: int, what: str = "rows"):
+    """Collect a small result to the driver, refusing if it exceeds ``max_rows``
+    (only ``max_rows + 1`` rows are ever fetched)."""
+    rows = df.limit(max_rows + 1).collect()
+    if len(rows) > max_rows:
+        raise ValueError(f"more than {max_rows} {what}; refusing to collect")
+    return rows
 
 
 def multi_query_topk(df: DataFrame, vec_col: str, queries: Sequence[Sequence[float]],
