@@ -296,9 +296,13 @@ from ..operators import weeks as wk  # noqa: E402
 def rendered_bulletins(spark, sf_dir) -> str:
     """The bulletin fixture as markdown files (one folder per year) on the
     shared scratch folder, written once per application."""
-    from ..sources.fixtures import materialized
+    from ..sources.fixtures import FILES_PER_YEAR, materialized
+    # Files by blocks of 2 x 157 ids: a week's sections land in both files of
+    # a year, and about half the same-week pairs share a file.
+    src = bulletins(spark, sf_dir).withColumn(
+        "part", F.pmod(F.floor(F.col("id") / 314), F.lit(FILES_PER_YEAR)))
     return materialized(spark, sf_dir, "bulletins-md",
-                        lambda p: md.render_markdown(bulletins(spark, sf_dir), p))
+                        lambda p: md.render_markdown(src, p, partition_by=("year", "part")))
 
 
 @register("q_sections")
@@ -310,7 +314,7 @@ def q_sections(spark, sf_dir):
 @register("q_weeks_flat")
 def q_weeks_flat(spark, sf_dir):
     files = md.read_files(spark, rendered_bulletins(spark, sf_dir), glob="*.txt")
-    weeks = wk.to_weeks(wk.week_sections(files), per_file=False)
+    weeks = wk.to_weeks(wk.week_sections(files), per_file=True)
     return finish(wk.flatten_weeks(weeks))
 
 

@@ -15,6 +15,8 @@ from .tables import read_table
 
 # Fixed fixture parameters.
 FIRST_MONDAY = "2023-01-02"
+# Rendered markdown: files per year (sections go to file id mod this).
+FILES_PER_YEAR = 2
 N_WEEKS = 157
 # Class word by doc_id mod 12.
 CLASS_WORDS = ["요약", "요약", "기상", "기상", "벼", "밭작물", "채소", "과수", "화훼",

@@ -33,22 +33,24 @@ def escape_body(col) -> Column:
 
 
 def render_markdown(df: DataFrame, path: str, title: str = "title", body: str = "content_md",
-                    order: Sequence[str] = ("week_start", "id"), partition_by: str = "year",
-                    max_records_per_file: int = 100_000) -> None:
-    """Write sections as markdown text files, one directory per ``partition_by``.
-
-    Rows are range-partitioned on ``order`` (so a hot week is split over
-    tasks rather than funnelled into one) and sorted within partitions, so
-    reading files in name order gives sections in ``order``.
+                    order: Sequence[str] = ("week_start", "id"),
+                    partition_by: Sequence[str] = ("year",),
+                    max_records_per_file: int = 10_000_000) -> None:
+    """Write sections as markdown text files: one directory and one file per
+    value of ``partition_by``, sections sorted by ``order`` inside the file.
+
+    The caller sets the fan-out: add a column such as ``pmod(id, K)`` to
+    ``partition_by`` so that no single file holds a hot year or week.
     """
+    parts = list(partition_by)
     section = F.concat(F.col(title), F.lit("\n"), escape_body(F.col(body)))
-    (df.select(partition_by, *order, section.alias("value"))
-       .repartitionByRange(*order)
-       .sortWithinPartitions(partition_by, *order)
-       .select(partition_by, "value")
+    (df.select(*parts, *order, section.alias("value"))
+       .repartition(*parts)
+       .sortWithinPartitions(*parts, *order)
+       .select(*parts, "value")
        .write.mode("overwrite")
        .option("maxRecordsPerFile", max_records_per_file)
-       .partitionBy(partition_by)
+       .partitionBy(*parts)
        .text(path))
 
 
