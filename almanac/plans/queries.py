@@ -429,8 +429,9 @@ def q_bm25(spark, sf_dir):
 @register("q_bm25_saved")
 def q_bm25_saved(spark, sf_dir):
     """The same search against the materialised, bucket-partitioned index."""
-    path = scratch_path(spark, "text-index")
-    ft.save_index(_docs_index(spark, sf_dir), path)
+    from ..sources.fixtures import materialized
+    path = materialized(spark, sf_dir, "text-index",
+                        lambda p: ft.save_index(_docs_index(spark, sf_dir), p))
     s = ft.bm25(spark, ft.load_index(spark, path), SEARCH_TEXT)
     return finish(s.select("doc_id", F.round("bm25", 5).alias("bm25")))
 
