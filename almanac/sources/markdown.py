@@ -19,7 +19,7 @@ from ..functions.text import WS, WS_INLINE, normalize_newlines, py_strip
 from ..operators.filters import contains_any
 
 DATE = r"\d{4}-\d{2}-\d{2}"
-# md_to_json header: ``#``, blanks, ``[d1~d2]``, blanks, title (on a stripped line).
+# Week-file header line: ``#``, blanks, ``[d1~d2]``, blanks, title (on a stripped line).
 HEADER_LINE = rf"^#{WS_INLINE}*\[({DATE}~{DATE})\]{WS_INLINE}*(.*)$"
 # embed-style section boundary: newline, ``#``, any whitespace, then ``[``.
 SECTION_BOUNDARY = rf"\n#{WS}*(?=\[)"
