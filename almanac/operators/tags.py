@@ -77,7 +77,10 @@ def tag_pattern(tags: Sequence[str]) -> tuple[str, int]:
                      f"(?:{'|'.join(PARTICLES)})?(?![{HANGUL}])")
     if multi:
         parts.append(f"((?:{'|'.join(multi)}))")
-    return "|".join(parts), len(parts)
+    # A match can only start at one of the tags' first characters: checking
+    # that first rejects most positions at once (groups are unchanged).
+    first = "".join(ch if ch.isalnum() else "\\" + ch for ch in sorted({t[0] for t in tags}))
+    return f"(?=[{first}])(?:{'|'.join(parts)})", len(parts)
 
 
 def _particle_collision(tags: Sequence[str]) -> bool:
