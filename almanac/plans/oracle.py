@@ -349,7 +349,8 @@ SELECT replace(week_range, '~', '_') AS id, substring(week_range, 1, 4) AS year,
        CAST(substring(week_range, 6, 2) AS BIGINT) AS month, category,
        string_agg(line, chr(10) ORDER BY id, n) AS content
 FROM s WHERE line <> ''
-GROUP BY (id // 314) % 2, week_range, category
+GROUP BY (id // 314) % greatest(2, CAST(ceil((SELECT count(*) FROM documents) / 50000.0) AS BIGINT)),
+         week_range, category
 """
 
 _INGEST = f"""

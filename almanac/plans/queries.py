@@ -15,9 +15,23 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.text import join_list
-from ..operators import season
-from ..sources.fixtures import bulletins
+from ..functions import text as tx
+from ..functions.numbers import number_mean
+from ..functions.text import bracket_text, join_list
+from ..functions.vectors import fixed_dim
+from ..operators import filters, season, stats
+from ..operators import fulltext as ft
+from ..operators import tables as tb
+from ..operators import vectors as vx
+from ..operators import weeks as wk
+from ..operators.tags import categorize, extract_tags
+from ..session import scratch_path
+from ..sources import markdown as md
+from ..sources import sinks
+from ..sources.fixtures import (FIXTURE_CATEGORY_MAP, FIXTURE_TAG_SETS, bulletins,
+                                weather_table_texts)
+from ..sources.profile import profile_tables
+from ..sources.tables import read_table
 
 # Fixed query parameters (the dashboard's test day and defaults).
 TODAY = dt.date(2025, 1, 7)
@@ -58,11 +72,6 @@ def q_briefing(spark, sf_dir):
 
 # --- Dashboard lists, lookups and tag analytics ----------------------------------
 
-from ..functions.text import bracket_text  # noqa: E402
-from ..operators import filters, stats  # noqa: E402
-from ..sources.fixtures import FIXTURE_CATEGORY_MAP  # noqa: E402
-from ..sources.tables import read_table  # noqa: E402
-from ..operators.tags import categorize  # noqa: E402
 
 WEEK = "2024-03-04~2024-03-10"
 
@@ -229,10 +238,6 @@ def q_summary_exists(spark, sf_dir):
 
 # --- Text functions ---------------------------------------------------------------
 
-from ..functions import text as tx  # noqa: E402
-from ..functions.numbers import number_mean  # noqa: E402
-from ..operators.tags import extract_tags  # noqa: E402
-from ..sources.fixtures import FIXTURE_TAG_SETS  # noqa: E402
 
 
 @register("q_clean_text")
@@ -287,22 +292,22 @@ def q_number_mean(spark, sf_dir):
 
 # --- Markdown files, week entries, ingest -------------------------------------------
 
-from ..session import scratch_path  # noqa: E402
-from ..sources import markdown as md  # noqa: E402
-from ..sources import sinks  # noqa: E402
-from ..operators import weeks as wk  # noqa: E402
 
 
 def rendered_bulletins(spark, sf_dir) -> str:
     """The bulletin fixture as markdown files (one folder per year) on the
     shared scratch folder, written once per application."""
-    from ..sources.fixtures import FILES_PER_YEAR, materialized
-    # Files by blocks of 2 x 157 ids: a week's sections land in both files of
-    # a year, and about half the same-week pairs share a file.
-    src = bulletins(spark, sf_dir).withColumn(
-        "part", F.pmod(F.floor(F.col("id") / 314), F.lit(FILES_PER_YEAR)))
-    return materialized(spark, sf_dir, "bulletins-md",
-                        lambda p: md.render_markdown(src, p, partition_by=("year", "part")))
+    from ..sources.fixtures import ID_BLOCK, MIN_FILES_PER_YEAR, ROWS_PER_FILE, materialized
+
+    def write(path):
+        b = bulletins(spark, sf_dir)
+        # Files per year grow with the data; blocks of 2 x 157 ids put a week's
+        # sections in several files, and about half the same-week pairs together.
+        files = max(MIN_FILES_PER_YEAR, -(-b.select("id").count() // ROWS_PER_FILE))
+        src = b.withColumn("part", F.pmod(F.floor(F.col("id") / ID_BLOCK), F.lit(files)))
+        md.render_markdown(src, path, partition_by=("year", "part"))
+
+    return materialized(spark, sf_dir, "bulletins-md", write)
 
 
 @register("q_sections")
@@ -354,8 +359,6 @@ def q_stream_ingest(spark, sf_dir):
 
 # --- Vector search ------------------------------------------------------------------
 
-from ..operators import fulltext as ft  # noqa: E402
-from ..operators import vectors as vx  # noqa: E402
 
 QUERY_VEC_ID = 0
 SEARCH_TEXT = "Is thing the nicht mente?"
@@ -459,8 +462,6 @@ def q_matched_terms(spark, sf_dir):
 
 # --- Tables in text ---------------------------------------------------------------------
 
-from ..operators import tables as tb  # noqa: E402
-from ..sources.fixtures import weather_table_texts  # noqa: E402
 
 
 @register("q_table_values")
@@ -483,8 +484,6 @@ def q_table_repair_light(spark, sf_dir):
 
 # --- Profile and vector checks ----------------------------------------------------------
 
-from ..functions.vectors import fixed_dim  # noqa: E402
-from ..sources.profile import profile_tables  # noqa: E402
 
 PROFILED = ("documents", "events", "embeddings", "labels")
 

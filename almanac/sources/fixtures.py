@@ -15,8 +15,11 @@ from .tables import read_table
 
 # Fixed fixture parameters.
 FIRST_MONDAY = "2023-01-02"
-# Rendered markdown: files per year (sections go to file id mod this).
-FILES_PER_YEAR = 2
+# Rendered markdown: sections per file, and the smallest number of files per
+# year (a section goes to file (id div 314) mod P, P = max(2, ceil(rows / 50000))).
+ROWS_PER_FILE = 50_000
+MIN_FILES_PER_YEAR = 2
+ID_BLOCK = 2 * 157
 N_WEEKS = 157
 # Class word by doc_id mod 12.
 CLASS_WORDS = ["요약", "요약", "기상", "기상", "벼", "밭작물", "채소", "과수", "화훼",
