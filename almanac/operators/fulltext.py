@@ -57,8 +57,13 @@ def build_index(docs: DataFrame, id_col: str, text_col: str) -> TextIndex:
 
 def save_index(index: TextIndex, path: str, buckets: int = BUCKETS) -> None:
     """V5 (materialised): write the three parts under ``path``."""
+    # Range-partition on (bucket, term, doc): each task writes one or two
+    # bucket folders, and a bucket holding a very frequent term is split over
+    # several tasks instead of landing in one.
     (index.postings.withColumn("bucket", term_bucket("term", buckets))
-     .repartition("bucket").write.mode("overwrite").partitionBy("bucket")
+     .repartitionByRange("bucket", "term", "doc_id")
+     .sortWithinPartitions("bucket", "term", "doc_id")
+     .write.mode("overwrite").partitionBy("bucket")
      .parquet(f"{path}/postings"))
     (index.doc_freq.withColumn("bucket", term_bucket("term", buckets))
      .write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/doc_freq"))
