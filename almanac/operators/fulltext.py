@@ -22,14 +22,16 @@ from pyspark.sql import functions as F
 from ..functions.text import tokens
 
 K1, B = 1.2, 0.75
-BUCKETS = 64
+# Saved indexes: about this many tokens per term bucket, at most MAX_BUCKETS.
+TOKENS_PER_BUCKET = 5_000_000
+MAX_BUCKETS = 4096
 
 
 def _c(col) -> Column:
     return F.col(col) if isinstance(col, str) else col
 
 
-def term_bucket(term, buckets: int = BUCKETS) -> Column:
+def term_bucket(term, buckets: int) -> Column:
     return F.pmod(F.xxhash64(_c(term)), F.lit(buckets)).cast("int")
 
 
@@ -40,6 +42,7 @@ class TextIndex:
     stats: DataFrame      # one row: n_docs, avgdl
     bucketed: bool = False
     tokens: DataFrame | None = None   # doc_id, dl, _t (lazy indexes only)
+    buckets: int | None = None        # term buckets of a saved index
 
 
 def build_index(docs: DataFrame, id_col: str, text_col: str) -> TextIndex:
@@ -55,9 +58,17 @@ def build_index(docs: DataFrame, id_col: str, text_col: str) -> TextIndex:
     return TextIndex(postings, doc_freq, stats, tokens=tok)
 
 
-def save_index(index: TextIndex, path: str, buckets: int = BUCKETS) -> None:
-    """V5 (materialised): write the three parts under ``path``."""
-    # Range-partition on (bucket, term, doc): each task writes one or two
+def save_index(index: TextIndex, path: str, buckets: int | None = None) -> None:
+    """V5 (materialised): write postings, document frequencies and statistics
+    under ``path``. The number of term buckets follows the corpus size (about
+    ``TOKENS_PER_BUCKET`` tokens each) unless given, and is stored with the
+    statistics so queries hash terms the same way."""
+    stats = index.stats.first()
+    if buckets is None:
+        tokens = (stats["n_docs"] or 0) * (stats["avgdl"] or 0.0)
+        buckets = int(min(MAX_BUCKETS, max(1, -(-tokens // TOKENS_PER_BUCKET))))
+    spark = index.postings.sparkSession
+    # Range-partition on (bucket, term, doc): each task writes one or a few
     # bucket folders, and a bucket holding a very frequent term is split over
     # several tasks instead of landing in one.
     (index.postings.withColumn("bucket", term_bucket("term", buckets))
@@ -65,15 +76,21 @@ def save_index(index: TextIndex, path: str, buckets: int = BUCKETS) -> None:
      .sortWithinPartitions("bucket", "term", "doc_id")
      .write.mode("overwrite").partitionBy("bucket")
      .parquet(f"{path}/postings"))
-    (index.doc_freq.withColumn("bucket", term_bucket("term", buckets))
+    # Document frequencies from the written postings (already bucketed), not
+    # from another pass over the text.
+    written = spark.read.parquet(f"{path}/postings")
+    (written.groupBy("bucket", "term").agg(F.count(F.lit(1)).alias("df"))
      .write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/doc_freq"))
-    index.stats.write.mode("overwrite").parquet(f"{path}/stats")
+    spark.createDataFrame([(stats["n_docs"], stats["avgdl"], buckets)],
+                          "n_docs long, avgdl double, buckets int") \
+        .write.mode("overwrite").parquet(f"{path}/stats")
 
 
 def load_index(spark: SparkSession, path: str) -> TextIndex:
+    stats = spark.read.parquet(f"{path}/stats")
     return TextIndex(spark.read.parquet(f"{path}/postings"),
                      spark.read.parquet(f"{path}/doc_freq"),
-                     spark.read.parquet(f"{path}/stats"), bucketed=True)
+                     stats, bucketed=True, buckets=int(stats.first()["buckets"]))
 
 
 def query_terms(spark: SparkSession, query: str) -> list[str]:
@@ -92,7 +109,7 @@ def bm25(spark: SparkSession, index: TextIndex, query: str, k1: float = K1,
     postings, doc_freq, stats = index.postings, index.doc_freq, index.stats
     if index.bucketed:
         wanted = [r[0] for r in spark.createDataFrame([(t,) for t in terms], "t string")
-                  .select(term_bucket("t")).distinct().collect()]
+                  .select(term_bucket("t", index.buckets)).distinct().collect()]
         postings = postings.filter(F.col("bucket").isin(wanted))
         doc_freq = doc_freq.filter(F.col("bucket").isin(wanted))
     if index.tokens is not None:
