@@ -47,15 +47,22 @@ def clean_markdown(col) -> Column:
     return F.trim(c)
 
 
-def embed_text(header, body, max_chars: int = 512) -> Column:
-    """``clean(header) + '. ' + clean(body)`` cut to ``max_chars`` characters."""
-    return F.substring(F.concat(clean_markdown(header), F.lit(". "), clean_markdown(body)),
-                       1, max_chars)
+def embed_text(header, body, max_chars: int | None = None) -> Column:
+    """``clean(header) + '. ' + clean(body)``.
 
+    The whole text by default; ``max_chars=512`` reproduces the original's cut
+    (it trimmed the encoder input to save memory)."""
+    text = F.concat(clean_markdown(header), F.lit(". "), clean_markdown(body))
+    return text if max_chars is None else F.substring(text, 1, max_chars)
 
-def tag_search_range(header, body, body_chars: int = 1000) -> Column:
-    """the text tags are searched in: header, a space, the body's first chars."""
-    return F.concat(_c(header), F.lit(" "), F.substring(_c(body), 1, body_chars))
+
+def tag_search_range(header, body, body_chars: int | None = None) -> Column:
+    """the text tags are searched in: header, a space, the body.
+
+    The whole body by default; ``body_chars=1000`` reproduces the original,
+    which searched only the body's first characters."""
+    b = _c(body) if body_chars is None else F.substring(_c(body), 1, body_chars)
+    return F.concat(_c(header), F.lit(" "), b)
 
 
 def bracket_text(title) -> Column:

@@ -279,8 +279,8 @@ SELECT doc_id, {clean_markdown('text')} AS clean FROM documents
 
 SQL["q_embed_text"] = f"""
 WITH {BULLETINS}
-SELECT id, substring({clean_markdown('title')} || '. ' || {clean_markdown('content_md')}, 1, 512) AS embed_text,
-       CAST(length(title || ' ' || substring(content_md, 1, 1000)) AS BIGINT) AS search_len
+SELECT id, {clean_markdown('title')} || '. ' || {clean_markdown('content_md')} AS embed_text,
+       CAST(length(title || ' ' || content_md) AS BIGINT) AS search_len
 FROM bulletins
 """
 

@@ -25,10 +25,18 @@ def test_clean_markdown_link_eats_header(spark):
     assert one(spark, text.clean_markdown("s"), "# [2024-01-01~2024-01-07] see [a](b)") == ""
 
 
-def test_embed_text_cut_by_characters(spark):
+def test_embed_text_whole_and_cut_by_characters(spark):
     df = spark.createDataFrame([("# 제목", "가" * 600)], "h string, b string")
-    out = df.select(text.embed_text("h", "b").alias("r")).first()["r"]
-    assert len(out) == 512 and out.startswith("제목. 가")
+    whole = df.select(text.embed_text("h", "b").alias("r")).first()["r"]
+    assert whole == "제목. " + "가" * 600
+    cut = df.select(text.embed_text("h", "b", max_chars=512).alias("r")).first()["r"]
+    assert len(cut) == 512 and cut.startswith("제목. 가")
+
+
+def test_tag_search_range(spark):
+    df = spark.createDataFrame([("# h", "x" * 1500)], "h string, b string")
+    assert len(df.select(text.tag_search_range("h", "b")).first()[0]) == 1504
+    assert len(df.select(text.tag_search_range("h", "b", body_chars=1000)).first()[0]) == 1004
 
 
 def test_bracket_text_edges(spark):
