@@ -61,9 +61,10 @@ def week_category_texts(sections: DataFrame, per_file: bool = True) -> DataFrame
                  F.min(F.struct("file", "pos")).alias("_first")))
 
 
-def to_weeks(sections: DataFrame, per_file: bool = True) -> DataFrame:
+def to_weeks(sections: DataFrame, per_file: bool = True, sort: bool = True) -> DataFrame:
     """A8 + L8: week entries ``(id, year, month, week_range, content map)``,
-    categories in first-appearance order, sorted by id."""
+    categories in first-appearance order, sorted by id (``sort=False`` skips
+    the global sort when the order is not needed)."""
     texts = week_category_texts(sections, per_file)
     keys = ["file", "week_range"] if per_file else ["week_range"]
     entries = F.array_sort(F.collect_list(F.struct("_first", "category", "content")))
@@ -75,6 +76,8 @@ def to_weeks(sections: DataFrame, per_file: bool = True) -> DataFrame:
     if per_file:
         cols.append("file")
     out = weeks.select(*cols)
+    if not sort:
+        return out
     return out.orderBy("id", "file") if per_file else out.orderBy("id")
 
 

@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from ..session import table_path
 
 
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """Hash-partition ``df`` on ``key`` when it arrives in fewer partitions
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Hash-partition ``df`` on ``keys`` when it arrives in fewer partitions
     than the cluster has cores.
 
     The text operators here spend CPU per byte (regexes over whole texts), so
@@ -24,7 +24,7 @@ def spread(df: DataFrame, key: str) -> DataFrame:
         parts = df.rdd.getNumPartitions()
     except Exception:  # noqa: BLE001 - no SparkContext (e.g. a Connect session)
         return df
-    return df.repartition(cores, key) if parts < cores else df
+    return df.repartition(cores, *keys) if parts < cores else df
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str,
