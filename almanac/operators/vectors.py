@@ -9,7 +9,9 @@ time.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator, Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -139,31 +141,111 @@ def encode(df: DataFrame, text_col: str, encoder_factory: Callable | None = None
     return df.withColumn(out_col, _encode(F.col(text_col)))
 
 
-# --- V6: approximate neighbours ---------------------------------------------------
-
-def lsh_model(df: DataFrame, vec_col: str, bucket_length: float = 1.0, tables: int = 8,
-              seed: int = 7):
-    """Random-projection LSH over unit vectors (Euclidean on the sphere
-    orders like cosine: d^2 = 2 - 2 cos)."""
-    from pyspark.ml.feature import BucketedRandomProjectionLSH
-    from pyspark.ml.functions import array_to_vector
-    staged = df.withColumn("_uv", array_to_vector(unit(vec_col))).filter(F.col("_uv").isNotNull())
-    lsh = BucketedRandomProjectionLSH(inputCol="_uv", outputCol="_hashes",
-                                      bucketLength=bucket_length, numHashTables=tables, seed=seed)
-    return lsh.fit(staged), staged
+# --- V6: approximate neighbours -------------------------------------------------
+#
+# Random-hyperplane LSH for cosine: each of ``tables`` hash tables has ``bits``
+# random hyperplanes; a vector's key in a table is the bit pattern of which
+# side of each plane it lies on. The index is the long table
+# (table, key, vec_id), written partitioned by table and sorted by key, so a
+# query that asks for a few keys reads a few row groups. A query probes its own
+# key and every key one bit away in each table, takes every vector found there
+# (no cap), and ranks those candidates by exact cosine.
+
+
+@dataclass
+class AnnIndex:
+    keys: DataFrame          # table, key, id
+    planes: np.ndarray       # (tables, bits, dim)
+
+
+def hyperplanes(dim: int, tables: int = 16, bits: int = 10, seed: int = 7) -> np.ndarray:
+    rng = np.random.default_rng(seed)
+    return rng.standard_normal((tables, bits, dim))
+
+
+def _index_rows(df: DataFrame, vec_col: str, id_col: str, planes: np.ndarray) -> DataFrame:
+    """(table, key, id) rows: all plane sides of a vector from one ``transform``
+    over the planes literal (computed once), then each table's bits folded
+    into its key."""
+    tables, bits, _ = planes.shape
+    flat = F.array(*[as_vector(p) for p in planes.reshape(tables * bits, -1)])
+    sides = F.transform(flat, lambda p: (dot(vec_col, p) >= 0).cast("long"))
+    staged = with_computed(df.select(F.col(id_col).alias("id"), vec_col), _sides=sides)
+    key = lambda t: F.aggregate(
+        F.sequence(F.lit(0), F.lit(bits - 1)), F.lit(0).cast("long"),
+        lambda acc, b: acc + F.element_at("_sides", t * bits + b + 1)
+        * F.pow(F.lit(2), b).cast("long"))
+    per_table = F.transform(F.sequence(F.lit(0), F.lit(tables - 1)),
+                            lambda t: F.struct(t.alias("table"), key(t).alias("key")))
+    return staged.select("id", F.inline(per_table)).select("table", "key", "id")
+
+
+def build_ann_index(df: DataFrame, vec_col: str, id_col: str, tables: int = 16,
+                    bits: int | None = None, seed: int = 7, dim: int | None = None,
+                    bucket_size: int = 32) -> AnnIndex:
+    """V6 index (lazy): one row per (vector, table).
+
+    Without ``bits`` the key length follows the data: about ``bucket_size``
+    vectors per key (log2 of rows / bucket_size, between 4 and 30)."""
+    if dim is None:
+        dim = len(df.select(vec_col).first()[0])
+    if bits is None:
+        n = df.count()
+        bits = int(min(30, max(4, round(math.log2(max(n, 1) / bucket_size)))))
+    planes = hyperplanes(dim, tables, bits, seed)
+    return AnnIndex(_index_rows(df, vec_col, id_col, planes), planes)
+
+
+def save_ann_index(index: AnnIndex, path: str) -> None:
+    (index.keys.repartitionByRange("table", "key").sortWithinPartitions("table", "key")
+     .write.mode("overwrite").partitionBy("table").parquet(f"{path}/keys"))
+    spark = index.keys.sparkSession
+    shape = index.planes.shape
+    rows = [(t, b, [float(x) for x in index.planes[t, b]])
+            for t in range(shape[0]) for b in range(shape[1])]
+    spark.createDataFrame(rows, "table int, bit int, plane array<double>") \
+        .write.mode("overwrite").parquet(f"{path}/planes")
+
+
+def load_ann_index(spark, path: str) -> AnnIndex:
+    rows = spark.read.parquet(f"{path}/planes").orderBy("table", "bit").collect()
+    tables = max(r["table"] for r in rows) + 1
+    bits = max(r["bit"] for r in rows) + 1
+    planes = np.array([r["plane"] for r in rows]).reshape(tables, bits, -1)
+    return AnnIndex(spark.read.parquet(f"{path}/keys"), planes)
+
+
+def probe_keys(planes: np.ndarray, query: Sequence[float]) -> list[tuple[int, int]]:
+    """The query's key in every table plus all keys one bit away."""
+    q = np.asarray(query, dtype=float)
+    out = []
+    for t in range(planes.shape[0]):
+        sides = (planes[t] @ q >= 0).astype(int)
+        key = int(sum(int(s) << b for b, s in enumerate(sides)))
+        out.append((t, key))
+        out.extend((t, key ^ (1 << b)) for b in range(planes.shape[1]))
+    return out
 
 
 def approx_topk(df: DataFrame, vec_col: str, query: Sequence[float], k: int = TOP_K,
-                id_col: str = "id", bucket_length: float = 1.0, tables: int = 8) -> DataFrame:
-    """V6: approximate k nearest by cosine. Recall is below 1 by design."""
-    from pyspark.ml.linalg import Vectors
-    q = np.asarray(query, dtype=float)
-    qn = np.linalg.norm(q)
-    if qn == 0:
-        raise ValueError("zero query vector")
-    model, staged = lsh_model(df, vec_col, bucket_length, tables)
-    hits = model.approxNearestNeighbors(staged, Vectors.dense(q / qn), k, distCol="_dist")
-    return hits.select(id_col, (F.lit(1.0) - F.col("_dist") * F.col("_dist") / 2).alias("score"))
+                id_col: str = "id", index: AnnIndex | None = None, tables: int = 16,
+                bits: int | None = None) -> DataFrame:
+    """V6: approximate k nearest by cosine (recall below 1 by design).
+
+    Candidates are all vectors sharing a probed key with the query; they are
+    ranked by exact cosine. Pass a saved ``index`` to avoid hashing the whole
+    table per query."""
+    if index is None:
+        index = build_ann_index(df, vec_col, id_col, tables, bits, dim=len(query))
+    probes = probe_keys(index.planes, query)
+    wanted = None
+    for t in sorted({t for t, _ in probes}):
+        keys = sorted({key for tt, key in probes if tt == t})
+        cond = (F.col("table") == t) & F.col("key").isin(keys)
+        wanted = cond if wanted is None else (wanted | cond)
+    cands = index.keys.filter(wanted).select(F.col("id").alias(id_col)).distinct()
+    hits = df.join(cands, id_col, "left_semi")
+    return cosine_topk(hits, vec_col, query, k, id_col).select(id_col, "score")
 
 
 __all__ = ["approx_topk", "banded_search", "centroids", "cosine_topk", "dot", "encode",

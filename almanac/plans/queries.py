@@ -400,9 +400,14 @@ def q_cosine_batch(spark, sf_dir):
 
 @register("q_ann_topk")
 def q_ann_topk(spark, sf_dir):
+    """V6 against a saved hyperplane-LSH index (written once per application)."""
+    from ..sources.fixtures import materialized
     emb = _embeddings(spark, sf_dir)
+    path = materialized(spark, sf_dir, "ann-index", lambda p: vx.save_ann_index(
+        vx.build_ann_index(emb, "embedding", "vec_id"), p))
     q = vx.query_vector(emb, "vec_id", QUERY_VEC_ID)
-    out = vx.approx_topk(emb, "embedding", q, k=10, id_col="vec_id")
+    out = vx.approx_topk(emb, "embedding", q, k=10, id_col="vec_id",
+                         index=vx.load_ann_index(spark, path))
     return finish(out.select("vec_id", F.round("score", 5).alias("score")))
 
 
