@@ -595,3 +595,47 @@ SELECT doc_id, string_agg(out, chr(10) ORDER BY n) AS repaired FROM o GROUP BY d
 UNION ALL
 SELECT doc_id, {_NORM} AS repaired FROM documents WHERE NOT contains(text, '|')
 """
+
+SQL["q_weeks_json"] = f"""
+WITH {BULLETINS},
+l AS (
+  SELECT id, week_range, category,
+         unnest(string_split(content_md, chr(10))) AS line,
+         generate_subscripts(string_split(content_md, chr(10)), 1) AS n
+  FROM bulletins
+),
+s AS (
+  SELECT id, week_range, category, {py_strip('line')} AS line, n,
+         (id // 314) % greatest(2, CAST(ceil((SELECT count(*) FROM documents) / 50000.0) AS BIGINT)) AS part
+  FROM l
+),
+wc AS (
+  SELECT part, week_range, category, string_agg(line, chr(10) ORDER BY id, n) AS content,
+         min(id) AS first_id
+  FROM s WHERE line <> '' GROUP BY part, week_range, category
+),
+w AS (
+  SELECT part, week_range,
+         map_from_entries(list(struct_pack(k := category, v := content) ORDER BY first_id)) AS content
+  FROM wc GROUP BY part, week_range
+)
+SELECT CAST(to_json(struct_pack(id := week_range, year := substring(week_range, 1, 4),
+                                month := CAST(substring(week_range, 6, 2) AS INTEGER),
+                                week_range := week_range, content := content)) AS VARCHAR) AS json
+FROM w
+"""
+
+# V6: at this scale the probed keys reach every true neighbour, so the
+# approximate top 10 must equal the exact one.
+SQL["q_ann_topk"] = f"""
+SELECT vec_id, round({_COS}, 5) AS score FROM embeddings
+ORDER BY {_COS} DESC NULLS LAST, vec_id LIMIT 10
+"""
+
+# V1: hashed features cannot be rebuilt in SQL; check what must hold: one row
+# per document, the fixed dimension, and unit length whenever the text has a token.
+SQL["q_encode"] = """
+SELECT doc_id, CAST(64 AS BIGINT) AS dim,
+       CASE WHEN regexp_matches(text, '[\\pL\\pN]') THEN 1.0 ELSE 0.0 END AS norm
+FROM documents
+"""
