@@ -27,7 +27,7 @@ from ..functions.text import WS, py_strip
 MEASURE_WORDS = ("기온", "강수", "온도", "습도")
 MAX_COLS = 5
 # Line boundaries of Python's str.splitlines().
-_SPLITLINES = "\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85  ]"
+_SPLITLINES = "\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029]"
 
 
 def _c(col) -> Column:

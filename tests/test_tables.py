@@ -40,6 +40,7 @@ def test_strong_repair_wide_ragged_dots_and_rule_row(spark):
 def test_strong_repair_one_column_and_splitlines(spark):
     assert repaired(spark, tb.repair_tables, "a |\nb |") == "a\nb"
     assert repaired(spark, tb.repair_tables, "x\r\ny\n") == "x\ny"
+    assert repaired(spark, tb.repair_tables, "x\u2028y z\x0cw") == "x\ny z\nw"
 
 
 def test_weather_table(spark):
