@@ -77,6 +77,40 @@ FROM ranked WHERE rank <= 4
 """
 
 
+SQL["q_briefing_week"] = f"""
+WITH {BULLETINS},
+rows AS (
+  SELECT *, regexp_extract(title, '\\[(.*?)\\]', 1) AS w_range FROM bulletins
+  WHERE title LIKE '%2024-03-04~2024-03-10%' AND year IN (2023, 2024, 2025)
+    AND list_has_any(coalesce(tags, []), ['thing', 'erble'])
+),
+rows2 AS (SELECT * FROM rows WHERE w_range IS NOT NULL AND w_range <> ''),
+weeks AS (SELECT DISTINCT year, w_range FROM rows2),
+scored AS (
+  SELECT year, w_range,
+         abs(date_diff('day', DATE '2024-03-04',
+             TRY_CAST('2024' || strftime(TRY_CAST(split_part(w_range, '~', 1) AS DATE), '-%m-%d') AS DATE))) AS d
+  FROM weeks
+),
+best AS (
+  SELECT year, w_range AS best_week FROM (
+    SELECT *, row_number() OVER (PARTITION BY year ORDER BY coalesce(d, 1073741824), w_range) AS rn
+    FROM scored) WHERE rn = 1
+),
+picked AS (
+  SELECT r.*, CASE WHEN r.title LIKE '%요약%' OR r.title LIKE '%요 약%' THEN 0
+                   WHEN r.title LIKE '%기상%' THEN 1 ELSE 2 END AS item_class
+  FROM rows2 r JOIN best b ON r.year = b.year AND r.w_range = b.best_week
+),
+cls AS (SELECT *, row_number() OVER (PARTITION BY year, item_class ORDER BY id) AS rn FROM picked),
+kept AS (SELECT * FROM cls WHERE rn <= 4 AND (item_class = 2 OR rn = 1)),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY year ORDER BY item_class, rn) AS rank FROM kept)
+SELECT CAST(year AS BIGINT) AS year, CAST(rank AS BIGINT) AS rank, id, title, w_range,
+       CAST(item_class AS BIGINT) AS item_class, array_to_string(tags, ', ') AS tags
+FROM ranked WHERE rank <= 4
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     return dict(SQL)
 

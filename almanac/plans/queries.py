@@ -76,6 +76,16 @@ def q_briefing(spark, sf_dir):
 WEEK = "2024-03-04~2024-03-10"
 
 
+@register("q_briefing_week")
+def q_briefing_week(spark, sf_dir):
+    """E2, chosen-week mode: titles containing the week, any-of crop filter,
+    target day = the week's start."""
+    b = bulletins(spark, sf_dir)
+    target = dt.date.fromisoformat(WEEK.split("~")[0])
+    out = season.briefing(b, target, week_range=WEEK, crops=["thing", "erble"], years=YEARS)
+    return finish(out.withColumn("tags", join_list("tags")))
+
+
 @register("q_week_list")
 def q_week_list(spark, sf_dir):
     b = bulletins(spark, sf_dir).filter((F.col("year") == 2024) & (F.col("month") == 3))

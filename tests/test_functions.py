@@ -11,7 +11,7 @@ def one(spark, col, value, schema="s string"):
 
 
 def test_py_strip_unicode(spark):
-    assert one(spark, text.py_strip("s"), "　 a b\t\x1c\n") == "a b"
+    assert one(spark, text.py_strip("s"), "\u3000 a b\t\x1c\n") == "a b"
     assert one(spark, text.py_strip("s"), "   ") == ""
 
 
