@@ -9,6 +9,11 @@ islands of consecutive pipe lines. Texts without a pipe skip the line work
 entirely; the others are exploded into lines, windowed per document
 (one shuffle keyed by a unique document id, so it balances), and put back
 together with an ordered join in the same partitioning.
+
+The two kinds of text are two branches over the input, so the text column is
+read twice. That is deliberate: sending every text through the per-document
+shuffle to save a read would move the whole corpus over the network, which
+costs far more than a second columnar scan with a cheap ``instr`` filter.
 """
 
 from __future__ import annotations
