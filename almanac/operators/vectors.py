@@ -83,13 +83,15 @@ def collect_bounded(df: DataFrame, max_rows: int, what: str = "rows"):
 
 
 def multi_query_topk(df: DataFrame, vec_col: str, queries: Sequence[Sequence[float]],
-                     k: int, id_col: str = "id", max_queries: int = 4096) -> DataFrame:
+                     k: int, id_col: str = "id", max_queries: int = 256) -> DataFrame:
     """Exact top k for each of several query vectors in one pass.
 
     The query set travels as one literal (its size is checked), every row is
     scored against all of them inside one expression, and the per-query
     ``row_number() <= k`` is planned as a partial WindowGroupLimit, so each
-    task ships at most k rows per query. No join is involved.
+    task ships at most k rows per query. No join is involved. Each task sorts
+    (rows x queries) scores, hence the cap; larger query sets belong on the
+    LSH index (``approx_topk``), whose candidates come from key probes.
     """
     if len(queries) > max_queries:
         raise ValueError(f"{len(queries)} query vectors exceed max_queries={max_queries}")

@@ -399,7 +399,7 @@ def q_cosine_batch(spark, sf_dir):
     """Top 5 vectors nearest to each label's centroid (one pass, no join)."""
     emb = _embeddings(spark, sf_dir)
     cents = vx.collect_bounded(vx.centroids(emb, "embedding", "label").orderBy("label"),
-                               4096, "label centroids")
+                               256, "label centroids")
     labels = [r["label"] for r in cents]
     top = vx.multi_query_topk(emb, "embedding", [r["centroid"] for r in cents], k=5,
                               id_col="vec_id")
