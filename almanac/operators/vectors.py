@@ -165,10 +165,11 @@ def hyperplanes(dim: int, tables: int = 16, bits: int = 10, seed: int = 7) -> np
     return rng.standard_normal((tables, bits, dim))
 
 
-def _index_rows(df: DataFrame, vec_col: str, id_col: str, planes: np.ndarray) -> DataFrame:
-    """(table, key, id) rows: all plane sides of a vector from one ``transform``
-    over the planes literal (computed once), then each table's bits folded
-    into its key."""
+def _index_rows(df: DataFrame, vec_col: str, id_col: str, planes: np.ndarray,
+                with_vectors: bool = False) -> DataFrame:
+    """(table, key, id[, vec]) rows: all plane sides of a vector from one
+    ``transform`` over the planes literal (computed once), then each table's
+    bits folded into its key."""
     tables, bits, _ = planes.shape
     flat = F.array(*[as_vector(p) for p in planes.reshape(tables * bits, -1)])
     sides = F.transform(flat, lambda p: (dot(vec_col, p) >= 0).cast("long"))
@@ -179,23 +180,26 @@ def _index_rows(df: DataFrame, vec_col: str, id_col: str, planes: np.ndarray) ->
         * F.pow(F.lit(2), b).cast("long"))
     per_table = F.transform(F.sequence(F.lit(0), F.lit(tables - 1)),
                             lambda t: F.struct(t.alias("table"), key(t).alias("key")))
-    return staged.select("id", F.inline(per_table)).select("table", "key", "id")
+    rows = staged.select("id", F.col(vec_col).alias("vec"), F.inline(per_table))
+    return rows.select("table", "key", "id", *(["vec"] if with_vectors else []))
 
 
 def build_ann_index(df: DataFrame, vec_col: str, id_col: str, tables: int = 16,
                     bits: int | None = None, seed: int = 7, dim: int | None = None,
-                    bucket_size: int = 32) -> AnnIndex:
+                    bucket_size: int = 32, with_vectors: bool = True) -> AnnIndex:
     """V6 index (lazy): one row per (vector, table).
 
     Without ``bits`` the key length follows the data: about ``bucket_size``
-    vectors per key (log2 of rows / bucket_size, between 4 and 30)."""
+    vectors per key (log2 of rows / bucket_size, between 4 and 30).
+    ``with_vectors`` stores each vector in its index rows (``tables`` copies),
+    so a query reads only the probed keys and never scans the vector table."""
     if dim is None:
         dim = len(df.select(vec_col).first()[0])
     if bits is None:
         n = df.count()
         bits = int(min(30, max(4, round(math.log2(max(n, 1) / bucket_size)))))
     planes = hyperplanes(dim, tables, bits, seed)
-    return AnnIndex(_index_rows(df, vec_col, id_col, planes), planes)
+    return AnnIndex(_index_rows(df, vec_col, id_col, planes, with_vectors), planes)
 
 
 def save_ann_index(index: AnnIndex, path: str) -> None:
@@ -245,8 +249,13 @@ def approx_topk(df: DataFrame, vec_col: str, query: Sequence[float], k: int = TO
         keys = sorted({key for tt, key in probes if tt == t})
         cond = (F.col("table") == t) & F.col("key").isin(keys)
         wanted = cond if wanted is None else (wanted | cond)
-    cands = index.keys.filter(wanted).select(F.col("id").alias(id_col)).distinct()
-    hits = df.join(cands, id_col, "left_semi")
+    probed = index.keys.filter(wanted)
+    if "vec" in index.keys.columns:
+        # Candidates carry their vectors: score them where they are read.
+        cands = probed.select(F.col("id").alias(id_col), F.col("vec").alias(vec_col))
+        hits = cands.dropDuplicates([id_col])
+    else:
+        hits = df.join(probed.select(F.col("id").alias(id_col)).distinct(), id_col, "left_semi")
     return cosine_topk(hits, vec_col, query, k, id_col).select(id_col, "score")
 
 

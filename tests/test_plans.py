@@ -42,3 +42,10 @@ def test_bm25_broadcasts_only_term_frequencies(spark):
     plan = plan_of(entry.queries()["q_bm25"](spark, SF_SMALL))
     assert plan.count("BroadcastExchange") == 1
     assert "Filter term#" in plan or "term" in plan
+
+
+def test_ann_query_reads_only_the_index(spark):
+    plan = plan_of(entry.queries()["q_ann_topk"](spark, SF_SMALL))
+    scans = [l for l in plan.splitlines() if "FileScan" in l]
+    assert scans and all("embeddings.parquet" not in l for l in scans), scans
+    assert all("ann-index" in l for l in scans)
