@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions.text import bracket_text
-from .operators import season, stats, vectors
+from .operators import fulltext, season, stats, tables, vectors, weeks
 from .operators.tags import TAG_SETS
 from .sources import markdown, sinks
 
@@ -78,3 +78,31 @@ class Archive:
         each with its relevance band."""
         return vectors.banded_search(self.df, "embedding", query_vector, "id", k,
                                      threshold, shown)
+
+    def hybrid(self, query_vector: Sequence[float], query_text: str, k: int = 3,
+               w_vec: float = 0.7, w_text: float = 0.3) -> DataFrame:
+        """E3 hybrid: ``w_vec * cosine + w_text * BM25`` over the content, top ``k``;
+        rows without any query term drop out."""
+        spark = self.df.sparkSession
+        text = fulltext.bm25(spark, fulltext.build_index(self.df, "id", "content_md"),
+                             query_text).withColumnRenamed("doc_id", "id")
+        vec = vectors.with_cosine(self.df.select("id", "embedding"), "embedding",
+                                  query_vector).select("id", "score")
+        return fulltext.hybrid(vec, text, "id", w_vec, w_text, k)
+
+    def weather_tables(self) -> DataFrame:
+        """T-A: weather tables in the content, as long rows."""
+        return tables.weather_table(self.df, "id", "content_md")
+
+    def repaired(self, light: bool = False) -> DataFrame:
+        """T-B (or T-C with ``light``): the content with its tables rebuilt."""
+        fn = tables.repair_tables_light if light else tables.repair_tables
+        return fn(self.df, "id", "content_md")
+
+
+def week_entries(spark: SparkSession, directory: str, glob: str = "*.md",
+                 per_file: bool = True) -> DataFrame:
+    """Markdown files of a folder (``json_con`` preferred) as week entries
+    with a category map; ``weeks.weeks_json`` turns them into JSON lines."""
+    files = markdown.bulletin_dir_files(spark, directory, glob)
+    return weeks.to_weeks(weeks.week_sections(files), per_file=per_file)
