@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.computed import with_computed
-from ..functions.vectors import as_vector, cosine, dot, norm, unit
+from ..functions.vectors import as_vector, cosine, dot, norm
 from .season import relevance_band
 
 # The dashboard's search settings.
