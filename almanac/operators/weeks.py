@@ -87,6 +87,18 @@ def flatten_weeks(weeks: DataFrame) -> DataFrame:
                         F.explode("content").alias("category", "content"))
 
 
+def flat_week_rows(sections: DataFrame, per_file: bool = True) -> DataFrame:
+    """T-D straight from the sections: the same rows as
+    ``flatten_weeks(to_weeks(sections))`` with one aggregation instead of two
+    (the per-week map is never built)."""
+    texts = week_category_texts(sections, per_file)
+    start = F.split_part("week_range", F.lit("~"), F.lit(1))
+    return texts.select(F.replace("week_range", F.lit("~"), F.lit("_")).alias("id"),
+                        F.substring(start, 1, 4).alias("year"),
+                        F.substring(start, 6, 2).cast("int").alias("month"),
+                        "category", "content")
+
+
 def weeks_json(weeks: DataFrame) -> DataFrame:
     """each week entry as one JSON object string (map order preserved)."""
     return weeks.select(F.to_json(F.struct("id", "year", "month", "week_range", "content"))

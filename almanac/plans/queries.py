@@ -329,8 +329,7 @@ def q_sections(spark, sf_dir):
 @register("q_weeks_flat")
 def q_weeks_flat(spark, sf_dir):
     files = md.read_files(spark, rendered_bulletins(spark, sf_dir), glob="*.txt")
-    weeks = wk.to_weeks(wk.week_sections(files), per_file=True, sort=False)
-    return finish(wk.flatten_weeks(weeks))
+    return finish(wk.flat_week_rows(wk.week_sections(files), per_file=True))
 
 
 @register("q_weeks_json")

@@ -98,3 +98,11 @@ def test_split_on_read_matches_wholetext(spark):
     a = sorted((r["title"], r["content_md"]) for r in md.read_sections(spark, d).collect())
     b = sorted((r["title"], r["content_md"]) for r in md.read_sections(spark, d, split_on_read=True).collect())
     assert a == b and len(a) == 19
+
+
+def test_flat_rows_equal_flattened_map(spark):
+    d = write_dir({"a.md": FILE_A, "b.md": "# [2024-01-08~2024-01-14] 벼 농사\n논 물대기\n"})
+    secs = wk.week_sections(md.bulletin_dir_files(spark, d))
+    a = sorted(map(tuple, wk.flatten_weeks(wk.to_weeks(secs)).collect()))
+    b = sorted(map(tuple, wk.flat_week_rows(secs).collect()))
+    assert a == b and len(a) == 4
