@@ -34,10 +34,14 @@ class Archive:
     @classmethod
     def from_markdown(cls, spark: SparkSession, path: str, glob: str = "*.md",
                       tag_sets: Mapping[str, Sequence[str]] = TAG_SETS,
-                      encoder_factory: Callable | None = None, dim: int = 64) -> Archive:
+                      encoder_factory: Callable | None = None, dim: int = 64,
+                      split_on_read: bool = False) -> Archive:
         """Read markdown files, cut sections, tag them and encode them
-        (a caller-supplied encoder, or the built-in hashed one)."""
-        rows = sinks.farm_rows(markdown.read_sections(spark, path, glob), tag_sets)
+        (a caller-supplied encoder, or the built-in hashed one).
+        ``split_on_read`` spreads a very large single file over many tasks
+        (see :func:`almanac.sources.markdown.read_sections`)."""
+        sections = markdown.read_sections(spark, path, glob, split_on_read=split_on_read)
+        rows = sinks.farm_rows(sections, tag_sets)
         rows = vectors.encode(rows, "embed_text", encoder_factory, dim)
         return cls(rows)
 
