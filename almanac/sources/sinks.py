@@ -15,10 +15,14 @@ def write_json_lines(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     df.write.mode(mode).json(path)
 
 
-def section_id(file_col, section_col) -> Column:
+def section_id(file_col, section_col, title_col="title", body_col="content_md") -> Column:
     """A deterministic surrogate key from (source file path, section number),
-    stable across re-runs (unlike ``monotonically_increasing_id``)."""
-    return F.xxhash64(F.col(file_col) if isinstance(file_col, str) else file_col, section_col)
+    stable across re-runs (unlike ``monotonically_increasing_id``). When the
+    section number is unknown (files split while reading), the section's own
+    title and body stand in for it."""
+    c = lambda x: F.col(x) if isinstance(x, str) else x
+    return F.when(c(section_col).isNotNull(), F.xxhash64(c(file_col), c(section_col))) \
+        .otherwise(F.xxhash64(c(file_col), c(title_col), c(body_col)))
 
 
 def farm_rows(sections: DataFrame, tag_sets=TAG_SETS) -> DataFrame:

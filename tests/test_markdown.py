@@ -96,8 +96,10 @@ def test_split_on_read_matches_wholetext(spark):
     body = "".join(f"# [2024-01-{d:02d}~2024-01-{d + 6:02d}] 벼\n줄 {d}\n" for d in range(1, 20))
     d = write_dir({"big.md": body})
     a = sorted((r["title"], r["content_md"]) for r in md.read_sections(spark, d).collect())
-    b = sorted((r["title"], r["content_md"]) for r in md.read_sections(spark, d, split_on_read=True).collect())
+    split = md.read_sections(spark, d, split_on_read=True)
+    b = sorted((r["title"], r["content_md"]) for r in split.collect())
     assert a == b and len(a) == 19
+    assert sinks.farm_rows(split).select("id").distinct().count() == 19
 
 
 def test_flat_rows_equal_flattened_map(spark):
