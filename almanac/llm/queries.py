@@ -1,10 +1,14 @@
 """The registered queries of this subpackage and their DuckDB SQL."""
 
 from .decontaminate import op10_decontaminate
+from .langid import op9_language_id
 from .mixture import OP7_SQL, op7_mix_sources
+from .secret_ledger import op3_secret_ledger
 
 QUERIES = {
+    "op3_secret_ledger": op3_secret_ledger,
     "op7_mix_sources": op7_mix_sources,
+    "op9_language_id": op9_language_id,
     "op10_decontaminate": op10_decontaminate,
 }
 
