@@ -3,12 +3,14 @@
 from .decontaminate import op10_decontaminate
 from .langid import op9_language_id
 from .license_diagonals import op6_license_diagonals
+from .minhash import op4_minhash
 from .mixture import OP7_SQL, op7_mix_sources
 from .secret_ledger import op3_secret_ledger
 from .target_ratio import op5_target_ratio
 
 QUERIES = {
     "op3_secret_ledger": op3_secret_ledger,
+    "op4_minhash": op4_minhash,
     "op5_target_ratio": op5_target_ratio,
     "op6_license_diagonals": op6_license_diagonals,
     "op7_mix_sources": op7_mix_sources,

@@ -26,7 +26,8 @@ from pyspark.sql import functions as F
 from .common import read, words_of
 
 BUCKETS = 16384
-THRESHOLD = -0.04        # mean log ratio (nats per n-gram)
+THRESHOLD = -0.05        # mean log ratio (nats per n-gram)
+PRIOR = 8 * BUCKETS      # n-grams' worth of the raw multinomial mixed into the trusted one
 MIN_WORDS = 50
 MAX_REPEATED = 50        # per cent of words within repeated three-word windows
 SYMBOLS = r"[#*$%&|<>]"
@@ -56,8 +57,9 @@ def log_ratios(docs: DataFrame, is_trusted: str, buckets: int = BUCKETS) -> list
     raw, trusted = (sum(v[i] for v in rows.values()) for i in (0, 1))
     if not trusted:
         return [0.0] * buckets
-    pairs = (rows.get(b, (0, 0)) for b in range(buckets))
-    return [math.log((t + 1) / (trusted + buckets)) - math.log((r + 1) / (raw + buckets)) for r, t in pairs]
+    # p_trusted / p_raw with the raw multinomial as prior; a bucket that no text uses has ratio 0.
+    return [math.log((t * raw / r + PRIOR) / (trusted + PRIOR)) if r else 0.0
+            for r, t in (rows.get(b, (0, 0)) for b in range(buckets))]
 
 
 def with_base_rules(docs: DataFrame) -> DataFrame:
