@@ -1,19 +1,23 @@
 """The registered queries of this subpackage and their DuckDB SQL."""
 
 from .decontaminate import op10_decontaminate
+from .fuzzy_lines import op8_fuzzy_lines
 from .langid import op9_language_id
 from .license_diagonals import op6_license_diagonals
 from .minhash import op4_minhash
 from .mixture import OP7_SQL, op7_mix_sources
 from .secret_ledger import op3_secret_ledger
 from .target_ratio import op5_target_ratio
+from .token_rollup import op2_token_rollup
 
 QUERIES = {
+    "op2_token_rollup": op2_token_rollup,
     "op3_secret_ledger": op3_secret_ledger,
     "op4_minhash": op4_minhash,
     "op5_target_ratio": op5_target_ratio,
     "op6_license_diagonals": op6_license_diagonals,
     "op7_mix_sources": op7_mix_sources,
+    "op8_fuzzy_lines": op8_fuzzy_lines,
     "op9_language_id": op9_language_id,
     "op10_decontaminate": op10_decontaminate,
 }
