@@ -138,17 +138,18 @@ class Linker:
 
 
 def near_duplicates(docs: DataFrame, *, size: int = 5, percent: int = 80) -> DataFrame:
-    """(doc_id, near) of every row of ``docs``; near: n_shingles, component_id, kept.
+    """(doc_id, text_hash, near) of every row of ``docs``; near: n_shingles, component_id, kept.
 
     ``docs`` has doc_id and text. Documents are linked if
     ``100 * |intersection| >= percent * |union|`` of their shingle sets.
     """
-    signed = written(docs.select("doc_id", signer(size)("text").alias("s")).select("doc_id", "s.*"), "signatures")
+    signed = written(docs.select("doc_id", F.xxhash64("text").alias("text_hash"), signer(size)("text").alias("s"))
+                     .select("doc_id", "text_hash", "s.*"), "signatures")
     some = signed.where("n > 0")
     # One row per class: the signature of its smallest id, found by a combined minimum.
     named = some.groupBy("node").agg(F.min("doc_id").alias("first_id"))
     first = F.coalesce(F.col("doc_id"), F.lit(-1)) == F.coalesce(F.col("first_id"), F.lit(-1))
-    classes = written(some.join(named, "node").where(first).dropDuplicates(["node"]).drop("doc_id"), "classes")
+    classes = written(some.join(named, "node").where(first).dropDuplicates(["node"]).drop("doc_id", "text_hash"), "classes")
 
     rows = classes.select("node", F.explode("bands").alias("band"))
     shared = rows.groupBy("band").agg(F.min("node").alias("centre"), F.max("node").alias("last")).where("centre <> last")
@@ -187,14 +188,27 @@ def near_duplicates(docs: DataFrame, *, size: int = 5, percent: int = 80) -> Dat
         "node", "first_id", F.coalesce("component", "node").alias("component"))
     ids = member.groupBy("component").agg(F.min("first_id").alias("component_id"))
     named = member.join(ids, "component").select(F.col("node").alias("__node"), "component_id")
-    result = signed.select("doc_id", "n", "node").join(
+    result = signed.select("doc_id", "text_hash", "n", "node").join(
         named, (F.col("node") == F.col("__node")) & (F.col("n") > 0), "left")
     own = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
-    return result.select("doc_id", F.struct(
+    return result.select("doc_id", "text_hash", F.struct(
         F.col("n").alias("n_shingles"), own.alias("component_id"),
         F.coalesce(F.col("doc_id") == own, own.isNull()).alias("kept")).alias("near"))
 
 
+def keep_one(docs: DataFrame, *, size: int = 5, percent: int = 80) -> DataFrame:
+    """``docs`` with one row of each group of near duplicates, in all its columns."""
+    near = near_duplicates(docs, size=size, percent=percent).where("near.kept")
+    # Of rows that share the group's smallest id, the one with the smallest text hash.
+    stays = near.groupBy("near.component_id", "doc_id", F.when(F.col("near.n_shingles") == 0, F.col("text_hash"))
+                         .alias("empty")).agg(F.min("text_hash").alias("__hash")).select(
+        F.col("doc_id").alias("__id"), "__hash")
+    hashed = docs.withColumn("__text_hash", F.xxhash64("text"))
+    same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__text_hash") == F.col("__hash"))
+    once = hashed.join(stays.distinct().hint("shuffle_hash"), same, "left_semi")
+    return once.dropDuplicates(["doc_id", "__text_hash"]).drop("__text_hash")
+
+
 def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near duplicates of all documents by two-word shingles."""
     out = near_duplicates(read(spark, sf_dir, "documents", "doc_id", "text"), size=2)

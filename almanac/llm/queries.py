@@ -2,6 +2,7 @@
 
 from .decontaminate import op10_decontaminate
 from .fuzzy_lines import op8_fuzzy_lines
+from .kneser_ney import op1_kneser_ney
 from .langid import op9_language_id
 from .license_diagonals import op6_license_diagonals
 from .minhash import op4_minhash
@@ -11,6 +12,7 @@ from .target_ratio import op5_target_ratio
 from .token_rollup import op2_token_rollup
 
 QUERIES = {
+    "op1_kneser_ney": op1_kneser_ney,
     "op2_token_rollup": op2_token_rollup,
     "op3_secret_ledger": op3_secret_ledger,
     "op4_minhash": op4_minhash,
