@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import math
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -31,11 +31,17 @@ def norm(a) -> Column:
 
 def cosine(a, b) -> Column:
     """Cosine similarity in double precision; NULL (not NaN) for a zero vector
-    or a length mismatch (T11)."""
-    a, b = _c(a), _c(b)
-    denom = norm(a) * norm(b)
-    return F.when(F.size(a) == F.size(b),
-                  F.try_divide(dot(a, b), F.when(denom != 0, denom)))
+    or a length mismatch (T11). ``b`` may be a list of numbers, whose norm is then
+    computed here and not per row."""
+    a = _c(a)
+    if isinstance(b, (Column, str)):
+        b = _c(b)
+        return F.when(F.size(a) == F.size(b), F.try_divide(dot(a, b), norm(a) * norm(b)))
+    squares = 0.0
+    for x in b:
+        squares += float(x) * float(x)
+    denom = norm(a) * F.lit(math.sqrt(squares))
+    return F.when(F.size(a) == len(b), F.try_divide(dot(a, as_vector(b)), denom))
 
 
 def unit(a) -> Column:
@@ -47,7 +53,3 @@ def unit(a) -> Column:
 def fixed_dim(a, dim: int) -> Column:
     """The ``FLOAT[dim]`` check the storage type implied."""
     return F.size(_c(a)) == dim
-
-
-def vector_literal(values: Sequence[float]) -> Column:
-    return as_vector(values)

@@ -22,9 +22,8 @@ from pyspark.sql import functions as F
 from ..functions.text import tokens
 
 K1, B = 1.2, 0.75
-# Saved indexes: about this many tokens per term bucket, at most MAX_BUCKETS.
+# Saved indexes: about this many tokens per term bucket.
 TOKENS_PER_BUCKET = 5_000_000
-MAX_BUCKETS = 4096
 
 
 def _c(col) -> Column:
@@ -66,7 +65,7 @@ def save_index(index: TextIndex, path: str, buckets: int | None = None) -> None:
     stats = index.stats.first()
     if buckets is None:
         tokens = (stats["n_docs"] or 0) * (stats["avgdl"] or 0.0)
-        buckets = int(min(MAX_BUCKETS, max(1, -(-tokens // TOKENS_PER_BUCKET))))
+        buckets = int(max(1, -(-tokens // TOKENS_PER_BUCKET)))
     spark = index.postings.sparkSession
     # Range-partition on (bucket, term, doc): each task writes one or a few
     # bucket folders, and a bucket holding a very frequent term is split over
@@ -139,13 +138,13 @@ def bm25(spark: SparkSession, index: TextIndex, query: str, k1: float = K1,
 
 def hybrid(vector_scores: DataFrame, text_scores: DataFrame, id_col: str = "doc_id",
            w_vec: float = 0.7, w_text: float = 0.3, k: int | None = 3,
-           missing: str = "drop") -> DataFrame:
+           missing: str = "drop", text_col: str = "bm25") -> DataFrame:
     """V4: ``w_vec * score + w_text * bm25``. With ``missing='drop'`` a row
     without a text score has no total and is dropped (as a NULL sum is);
     ``missing='zero'`` counts it as 0. Top ``k`` by the total."""
     how = "inner" if missing == "drop" else "left"
     j = vector_scores.join(text_scores, id_col, how)
-    fts = F.col("bm25") if missing == "drop" else F.coalesce(F.col("bm25"), F.lit(0.0))
+    fts = F.col(text_col) if missing == "drop" else F.coalesce(F.col(text_col), F.lit(0.0))
     out = (j.withColumn("fts_score", fts)
            .withColumn("final_score", w_vec * F.col("score") + w_text * F.col("fts_score"))
            .filter(F.col("final_score").isNotNull()))

@@ -1,26 +1,16 @@
 """Pipe tables inside bulletin text (T-A, T-B, T-C; W5-W8, A11, A12).
 
-T-A (read a weather table into long rows) only needs the pipe lines of one
-text, so it is done inside the row with array functions: no shuffle, not even
-for the per-row validity flag.
-
-T-B / T-C (repair) rewrite a text line by line with look-behind/ahead and
-islands of consecutive pipe lines. Texts without a pipe skip the line work
-entirely; the others are exploded into lines, windowed per document
-(one shuffle keyed by a unique document id, so it balances), and put back
-together with an ordered join in the same partitioning.
-
-The two kinds of text are two branches over the input, so the text column is
-read twice. That is deliberate: sending every text through the per-document
-shuffle to save a read would move the whole corpus over the network, which
-costs far more than a second columnar scan with a cheap ``instr`` filter.
+Everything about one text is done inside its row with array functions: one
+scan, no shuffle, no window, and rows that share an id never mix. Texts without
+a pipe skip the line work. Intermediate arrays are real columns
+(``with_computed``), so each is built once.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.cells import cells_kept, cells_nonempty, has_alnum
@@ -94,20 +84,6 @@ def weather_table(df: DataFrame, id_col: str, text_col: str,
         id_col, "row_no", "_x.col_no", "_x.header", "_x.cell", "_x.value", "row_valid")
 
 
-# --- shared line plumbing ----------------------------------------------------------
-
-def _explode_lines(df: DataFrame, id_col: str, lines: Column) -> DataFrame:
-    return df.select(F.col(id_col).alias("_id"), F.posexplode(lines).alias("_n", "_line"))
-
-
-def _reassemble(pieces: DataFrame, id_col: str, out_col: str) -> DataFrame:
-    """Join the non-null ``_out`` pieces of each document in line order."""
-    ordered = F.array_sort(F.collect_list(F.struct("_n", "_out")))
-    return (pieces.filter(F.col("_out").isNotNull()).groupBy("_id")
-            .agg(F.array_join(F.transform(ordered, lambda s: s["_out"]), "\n").alias(out_col))
-            .withColumnRenamed("_id", id_col))
-
-
 # --- T-B -----------------------------------------------------------------------------
 
 def splitlines_text(text) -> Column:
@@ -117,6 +93,29 @@ def splitlines_text(text) -> Column:
     return F.regexp_replace(t, r"\n\z", "")
 
 
+def _strings(*items) -> Column:
+    return F.array(*items).cast("array<string>")
+
+
+def _runs(flags: Column) -> Column:
+    """(first, last) positions, from 0, of the runs of true in an array of flags."""
+    def edges(step):
+        return F.filter(F.transform(flags, lambda p, i: F.when(
+            p & ~F.coalesce(F.get(flags, i + step), F.lit(False)), i)), lambda i: i.isNotNull())
+    return F.zip_with(edges(-1), edges(1), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+
+
+def _table_row(cells: Column, width: Column, first: Column) -> Column:
+    """One table line: padded or cut to the width, the separator after the first."""
+    cut = F.when(F.size(cells) > width, F.concat(
+        F.slice(cells, 1, width - 1),
+        F.array(F.array_join(F.slice(cells, width, F.size(cells)), " ")))).otherwise(cells)
+    padded = F.concat(cut, F.array_repeat(F.lit(""), F.greatest(width - F.size(cells), F.lit(0))))
+    row = F.concat(F.lit("| "), F.array_join(padded, " | "), F.lit(" |"))
+    sep = F.concat(F.lit("\n|"), F.repeat(F.lit(" --- |"), width))
+    return F.when(width < 2, F.array_join(cells, " ")).when(first, F.concat(row, sep)).otherwise(row)
+
+
 def repair_tables(df: DataFrame, id_col: str, text_col: str, out_col: str = "repaired",
                   max_cols: int = MAX_COLS) -> DataFrame:
     """T-B: rebuild broken tables.
@@ -128,45 +127,35 @@ def repair_tables(df: DataFrame, id_col: str, text_col: str, out_col: str = "rep
     separator follows the first row. A table one cell wide becomes lines of
     space-joined cells. Returns (id, repaired) for every input row.
     """
-    base = df.select(F.col(id_col).alias("_id"),
-                     F.coalesce(_c(text_col), F.lit("")).alias("_t"))
-    plain = base.filter(F.instr("_t", "|") == 0).select(
-        F.col("_id").alias(id_col), splitlines_text("_t").alias(out_col))
-    piped = base.filter(F.instr("_t", "|") > 0)
-    lines = _explode_lines(piped, "_id", F.split(splitlines_text("_t"), "\n", -1))
-    by_doc = Window.partitionBy("_id").orderBy("_n")
-    pipe = F.instr("_line", "|") > 0
-    lines = (lines.withColumn("_p", pipe)
-             .withColumn("_start", F.col("_p") & ~F.coalesce(F.lag("_p").over(by_doc), F.lit(False)))
-             .withColumn("_island", F.sum(F.col("_start").cast("int")).over(
-                 by_doc.rowsBetween(Window.unboundedPreceding, 0))))
-    island = Window.partitionBy("_id", "_island")
-    lines = lines.withColumn("_tstart", F.min(F.when(F.col("_p") & has_alnum("_line"),
-                                                     F.col("_n"))).over(island))
-    in_table = F.col("_p") & F.col("_tstart").isNotNull() & (F.col("_n") >= F.col("_tstart"))
-    lines = lines.withColumn("_tab", in_table)
-
-    passthrough = lines.filter(~F.col("_tab")).select("_id", "_n", F.col("_line").alias("_out"))
-
-    tab = (with_computed(lines.filter(F.col("_tab")), _cells=cells_kept("_line"))
-           .filter(F.size("_cells") > 0))
-    table = Window.partitionBy("_id", "_island")
-    tab = (tab.withColumn("_w", F.least(F.max(F.size("_cells")).over(table), F.lit(max_cols)))
-           .withColumn("_first", F.col("_n") == F.min("_n").over(table)))
-    w = F.col("_w")
-    cut = F.when(F.size("_cells") > w, F.concat(
-        F.slice("_cells", 1, w - 1),
-        F.array(F.array_join(F.slice("_cells", w, F.size("_cells")), " "))
-    )).otherwise(F.col("_cells"))
-    padded = F.concat(cut, F.array_repeat(F.lit(""), F.greatest(w - F.size(cut), F.lit(0))))
-    row = F.concat(F.lit("| "), F.array_join(padded, " | "), F.lit(" |"))
-    sep = F.concat(F.lit("|"), F.repeat(F.lit(" --- |"), w))
-    out = (F.when(w >= 2, F.when(F.col("_first"), F.concat(row, F.lit("\n"), sep)).otherwise(row))
-           .otherwise(F.array_join("_cells", " ")))
-    tab_out = tab.select("_id", "_n", out.alias("_out"))
-
-    fixed = _reassemble(passthrough.unionByName(tab_out), id_col, out_col)
-    return plain.unionByName(fixed)
+    base = df.select(F.col(id_col).alias("_id"), F.coalesce(_c(text_col), F.lit("")).alias("_t"))
+    piped = F.instr("_t", "|") > 0
+    rows = with_computed(base, _l=F.when(piped, F.split(splitlines_text("_t"), "\n", -1)))
+    rows = with_computed(rows, _p=F.transform("_l", lambda x: F.instr(x, "|") > 0))
+    rows = with_computed(rows, _runs=_runs(F.col("_p")))
+    # Of each island: its lines before the table, and the cells of the table's lines.
+    island = F.transform("_runs", lambda r: F.slice("_l", r["a"] + 1, r["b"] - r["a"] + 1))
+    rows = with_computed(rows, _isl=island)
+    start = F.transform("_isl", lambda x: F.array_position(F.transform(x, has_alnum), True).cast("int"))
+    rows = with_computed(rows, _from=start)
+    rows = with_computed(rows, _tab=F.zip_with("_isl", "_from", lambda x, f: F.struct(
+        F.when(f > 0, F.slice(x, 1, f - 1)).otherwise(x).alias("head"),
+        F.when(f > 0, F.filter(F.transform(F.slice(x, f, F.size(x)), cells_kept), lambda c: F.size(c) > 0))
+        .otherwise(F.array().cast("array<array<string>>")).alias("cells"))))
+    rows = with_computed(rows, _w=F.transform("_tab", lambda t: F.least(
+        F.array_max(F.transform(t["cells"], lambda c: F.size(c))), F.lit(max_cols))))
+    shown = F.zip_with("_tab", "_w", lambda t, w: F.concat(t["head"], F.transform(
+        t["cells"], lambda c, i: _table_row(c, w, i == 0))))
+    rows = with_computed(rows, _shown=shown)
+    # The lines between islands go in front of each, the rest behind the last.
+    after = F.transform("_runs", lambda r, k: F.coalesce(F.get(F.col("_runs"), k - 1)["b"] + 1, F.lit(0)))
+    rows = with_computed(rows, _after=after)
+    between = F.transform("_runs", lambda r, k: F.concat(
+        F.slice("_l", F.get("_after", k) + 1, r["a"] - F.get("_after", k)), F.get("_shown", k)))
+    last = F.coalesce(F.element_at("_runs", -1)["b"] + 1, F.lit(0))
+    tail = F.slice("_l", last + 1, F.size("_l"))
+    rows = with_computed(rows, _out=F.concat(F.flatten(between), tail))
+    return rows.select(F.col("_id").alias(id_col), F.when(
+        piped, F.array_join("_out", "\n")).otherwise(splitlines_text("_t")).alias(out_col))
 
 
 # --- T-C -----------------------------------------------------------------------------
@@ -176,34 +165,28 @@ def repair_tables_light(df: DataFrame, id_col: str, text_col: str,
     """T-C: normalise pipe spacing and outer pipes of every pipe line, and
     after the first line of each run add ``|---|..`` unless the next line
     starts with a pipe and contains ``-``. Returns (id, repaired)."""
-    base = df.select(F.col(id_col).alias("_id"),
-                     F.coalesce(_c(text_col), F.lit("")).alias("_t"))
-    plain = base.filter(F.instr("_t", "|") == 0).select(
-        F.col("_id").alias(id_col), F.col("_t").alias(out_col))
-    piped = base.filter(F.instr("_t", "|") > 0)
-    lines = _explode_lines(piped, "_id", F.split("_t", "\n", -1))
-    by_doc = Window.partitionBy("_id").orderBy("_n")
-    lines = with_computed(lines, _clean=py_strip("_line"))
-    has_pipe = ((F.instr("_clean", "|") > 0)
-                & (py_strip(F.replace("_clean", F.lit("|"), F.lit(""))) != ""))
-    lines = (lines.withColumn("_hp", has_pipe)
-             .withColumn("_prev", F.coalesce(F.lag("_hp").over(by_doc), F.lit(False)))
-             .withColumn("_next_raw", F.lead("_line").over(by_doc)))
-    lines = with_computed(lines, _next=py_strip("_next_raw"),
-                          _p0=py_strip(F.regexp_replace("_clean", rf"{WS}*\|{WS}*", " | ")))
-    processed = F.when(F.col("_p0").startswith("|"), F.col("_p0")).otherwise(
-        F.concat(F.lit("| "), F.col("_p0")))
-    lines = with_computed(lines, _p1=processed)
-    processed = F.when(F.col("_p1").endswith("|"), F.col("_p1")).otherwise(
-        F.concat(F.col("_p1"), F.lit(" |")))
-    lines = lines.withColumn("_proc", processed)
-    next_is_sep = (F.col("_next").isNotNull() & F.col("_next").startswith("|")
-                   & (F.instr(F.col("_next"), "-") > 0))
-    n_cols = F.length("_proc") - F.length(F.replace("_proc", F.lit("|"), F.lit(""))) - 1
-    sep = F.concat(F.lit("|"), F.repeat(F.lit("---|"), n_cols))
-    first = F.when(~next_is_sep & (n_cols > 0), F.concat("_proc", F.lit("\n"), sep)) \
-        .otherwise(F.col("_proc"))
-    out = F.when(F.col("_hp"), F.when(F.col("_prev"), F.col("_proc")).otherwise(first)) \
-        .otherwise(F.col("_line"))
-    fixed = _reassemble(lines.select("_id", "_n", out.alias("_out")), id_col, out_col)
-    return plain.unionByName(fixed)
+    base = df.select(F.col(id_col).alias("_id"), F.coalesce(_c(text_col), F.lit("")).alias("_t"))
+    piped = F.instr("_t", "|") > 0
+    rows = with_computed(base, _l=F.when(piped, F.split("_t", "\n", -1)))
+    rows = with_computed(rows, _clean=F.transform("_l", py_strip))
+    has_pipe = F.transform("_clean", lambda c: (F.instr(c, "|") > 0)
+                           & (py_strip(F.replace(c, F.lit("|"), F.lit(""))) != ""))
+    spaced = F.transform("_clean", lambda c: py_strip(F.regexp_replace(c, rf"{WS}*\|{WS}*", " | ")))
+    rows = with_computed(rows, _hp=has_pipe, _p0=spaced)
+    opened = F.transform("_p0", lambda c: F.when(c.startswith("|"), c).otherwise(F.concat(F.lit("| "), c)))
+    rows = with_computed(rows, _p1=opened)
+    closed = F.transform("_p1", lambda c: F.when(c.endswith("|"), c).otherwise(F.concat(c, F.lit(" |"))))
+    rows = with_computed(rows, _proc=closed)
+
+    def line(raw, i):
+        proc, following = F.get("_proc", i), F.get("_clean", i + 1)
+        next_is_sep = following.isNotNull() & following.startswith("|") & (F.instr(following, "-") > 0)
+        n_cols = F.length(proc) - F.length(F.replace(proc, F.lit("|"), F.lit(""))) - 1
+        sep = F.concat(F.lit("\n|"), F.repeat(F.lit("---|"), n_cols))
+        first = F.when(~next_is_sep & (n_cols > 0), F.concat(proc, sep)).otherwise(proc)
+        before = F.coalesce(F.get("_hp", i - 1), F.lit(False))
+        return F.when(F.get("_hp", i), F.when(before, proc).otherwise(first)).otherwise(raw)
+
+    rows = with_computed(rows, _out=F.transform("_l", line))
+    return rows.select(F.col("_id").alias(id_col), F.when(
+        piped, F.array_join("_out", "\n")).otherwise(F.col("_t")).alias(out_col))

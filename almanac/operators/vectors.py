@@ -3,8 +3,8 @@ queries at once, and approximate neighbours with LSH (V6).
 
 Exact search is one pass over the vectors with a JVM-side expression and a
 TakeOrderedAndProject (each task keeps its own top k; the driver merges
-``k x tasks`` rows). The query vector is a literal, so its norm folds at plan
-time.
+``k x tasks`` rows). The query vector is a literal and its norm a number computed
+once on the driver.
 """
 
 from __future__ import annotations
@@ -12,6 +12,7 @@ from __future__ import annotations
 import math
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -43,7 +44,7 @@ def query_vector(df: DataFrame, id_col: str, id_value, vec_col: str = "embedding
 def with_cosine(df: DataFrame, vec_col: str, query, name: str = "score") -> DataFrame:
     """Add the cosine to ``query``, computed once per row even when later
     filters test it."""
-    return with_computed(df, **{name: cosine(vec_col, as_vector(query))})
+    return with_computed(df, **{name: cosine(vec_col, query)})
 
 
 def cosine_topk(df: DataFrame, vec_col: str, query, k: int = TOP_K, id_col: str = "id",
@@ -73,33 +74,68 @@ def centroids(df: DataFrame, vec_col: str, by: str) -> DataFrame:
             .select(by, vector_to_array("_m").alias("centroid")))
 
 
-def collect_bounded(df: DataFrame, max_rows: int, what: str = "rows"):
-    """Collect a small result to the driver, refusing if it exceeds ``max_rows``
-    (only ``max_rows + 1`` rows are ever fetched)."""
-    rows = df.limit(max_rows + 1).collect()
-    if len(rows) > max_rows:
-        raise ValueError(f"more than {max_rows} {what}; refusing to collect")
-    return rows
-
+def multi_query_topk(df: DataFrame, vec_col: str, queries: DataFrame, k: int,
+                     id_col: str = "id", block: int = 1024) -> DataFrame:
+    """Exact top k for each row (query_id, query) of ``queries``: (query_id, rank, id, score).
+
+    Any number of queries: they are taken ``block`` at a time, and each block is one
+    pass over the vectors, a matrix product per Arrow batch in which a task keeps k
+    rows per query. Only those meet in the final ranking. NULL scores (zero vectors,
+    other lengths) sort last, ties by id."""
+    out = None
+    rows = queries.orderBy("query_id").toLocalIterator()
+    while part := list(islice(rows, block)):
+        top = _block_topk(df, vec_col, part, k, id_col, queries.schema["query_id"].dataType)
+        out = top if out is None else out.unionByName(top)
+    if out is None:
+        return queries.join(df.limit(0), F.lit(False)).select(
+            "query_id", F.lit(0).alias("rank"), id_col, F.lit(0.0).alias("score"))
+    return out
 
-def multi_query_topk(df: DataFrame, vec_col: str, queries: Sequence[Sequence[float]],
-                     k: int, id_col: str = "id", max_queries: int = 256) -> DataFrame:
-    """Exact top k for each of several query vectors in one pass.
 
-    The query set travels as one literal (its size is checked), every row is
-    scored against all of them inside one expression, and the per-query
-    ``row_number() <= k`` is planned as a partial WindowGroupLimit, so each
-    task ships at most k rows per query. No join is involved. Each task sorts
-    (rows x queries) scores, hence the cap; larger query sets belong on the
-    LSH index (``approx_topk``), whose candidates come from key probes.
-    """
-    if len(queries) > max_queries:
-        raise ValueError(f"{len(queries)} query vectors exceed max_queries={max_queries}")
-    qs = F.array(*[as_vector(q) for q in queries])
-    scored = df.select(id_col, F.posexplode(F.transform(
-        qs, lambda q: cosine(vec_col, q))).alias("query_no", "score"))
-    w = Window.partitionBy("query_no").orderBy(F.desc_nulls_last("score"), F.asc(id_col))
-    return scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+def _block_topk(df: DataFrame, vec_col: str, queries: Sequence, k: int, id_col: str,
+                query_type: T.DataType) -> DataFrame:
+    ids, vectors = [q["query_id"] for q in queries], [list(q["query"]) for q in queries]
+    sizes = {len(v) for v in vectors}
+    shared = df.sparkSession.sparkContext.broadcast({
+        n: ([i for i, v in enumerate(vectors) if len(v) == n],
+            np.array([v for v in vectors if len(v) == n], dtype=float)) for n in sizes})
+
+    def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        score = np.full((len(ids), 0), -np.inf)
+        found = np.zeros((len(ids), 0), np.int64)
+        for batch in batches:
+            if not len(batch):
+                continue
+            new = np.full((len(ids), len(batch)), -np.inf)       # -inf stands for NULL
+            length = np.array([-1 if v is None else len(v) for v in batch["vec"]])
+            for n, (at, q) in shared.value.items():
+                have = np.flatnonzero(length == n)
+                if not len(have):
+                    continue
+                m = np.vstack([np.asarray(v, dtype=float) for v in batch["vec"].iloc[have]])
+                with np.errstate(divide="ignore", invalid="ignore"):
+                    s = (q @ m.T) / np.outer(np.linalg.norm(q, axis=1), np.linalg.norm(m, axis=1))
+                new[np.ix_(at, have)] = np.where(np.isfinite(s), s, -np.inf)
+            both = np.concatenate([score, new], axis=1)
+            names = np.concatenate([found, np.broadcast_to(batch["id"].to_numpy(), new.shape)], axis=1)
+            keep = np.array([np.lexsort((names[i], -both[i]))[:k] for i in range(len(ids))])
+            score, found = np.take_along_axis(both, keep, 1), np.take_along_axis(names, keep, 1)
+        number = np.repeat(np.arange(len(ids)), score.shape[1])
+        flat = score.ravel()
+        yield pd.DataFrame({"query_no": number, "id": found.ravel(),
+                            "score": pd.Series(np.where(np.isinf(flat), np.nan, flat))})
+
+    heads = (df.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("vec"))
+             .mapInPandas(best, "query_no long, id long, score double")
+             .withColumn("score", F.when(~F.isnan("score"), F.col("score"))))
+    w = Window.partitionBy("query_no").orderBy(F.desc_nulls_last("score"), F.asc("id"))
+    top = heads.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    names = df.sparkSession.createDataFrame(
+        list(enumerate(ids)), T.StructType([T.StructField("query_no", T.LongType()),
+                                            T.StructField("query_id", query_type)]))
+    return top.join(F.broadcast(names), "query_no").select(      # at most `block` rows
+        "query_id", "rank", F.col("id").alias(id_col), "score")
 
 
 # --- V1: encoders ----------------------------------------------------------------

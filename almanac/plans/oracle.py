@@ -383,7 +383,7 @@ SELECT replace(week_range, '~', '_') AS id, substring(week_range, 1, 4) AS year,
        CAST(substring(week_range, 6, 2) AS BIGINT) AS month, category,
        string_agg(line, chr(10) ORDER BY id, n) AS content
 FROM s WHERE line <> ''
-GROUP BY (id // 314) % greatest(2, CAST(ceil((SELECT count(*) FROM documents) / 50000.0) AS BIGINT)),
+GROUP BY id // 628,
          week_range, category
 """
 
@@ -640,7 +640,7 @@ l AS (
 ),
 s AS (
   SELECT id, week_range, category, {py_strip('line')} AS line, n,
-         (id // 314) % greatest(2, CAST(ceil((SELECT count(*) FROM documents) / 50000.0) AS BIGINT)) AS part
+         id // 628 AS part
   FROM l
 ),
 wc AS (

@@ -307,14 +307,11 @@ def q_number_mean(spark, sf_dir):
 def rendered_bulletins(spark, sf_dir) -> str:
     """The bulletin fixture as markdown files (one folder per year) on the
     shared scratch folder, written once per application."""
-    from ..sources.fixtures import ID_BLOCK, MIN_FILES_PER_YEAR, ROWS_PER_FILE, materialized
+    from ..sources.fixtures import ID_BLOCK, materialized
 
     def write(path):
-        b = bulletins(spark, sf_dir)
-        # Files per year grow with the data; blocks of 2 x 157 ids put a week's
-        # sections in several files, and about half the same-week pairs together.
-        files = max(MIN_FILES_PER_YEAR, -(-b.select("id").count() // ROWS_PER_FILE))
-        src = b.withColumn("part", F.pmod(F.floor(F.col("id") / ID_BLOCK), F.lit(files)))
+        # Blocks of ids put a week's sections in several files.
+        src = bulletins(spark, sf_dir).withColumn("part", F.floor(F.col("id") / ID_BLOCK))
         md.render_markdown(src, path, partition_by=("year", "part"))
 
     return materialized(spark, sf_dir, "bulletins-md", write)
@@ -395,15 +392,12 @@ def q_cosine_banded(spark, sf_dir):
 
 @register("q_cosine_batch")
 def q_cosine_batch(spark, sf_dir):
-    """Top 5 vectors nearest to each label's centroid (one pass, no join)."""
+    """Top 5 vectors nearest to each label's centroid (blocks of queries, no join)."""
     emb = _embeddings(spark, sf_dir)
-    cents = vx.collect_bounded(vx.centroids(emb, "embedding", "label").orderBy("label"),
-                               256, "label centroids")
-    labels = [r["label"] for r in cents]
-    top = vx.multi_query_topk(emb, "embedding", [r["centroid"] for r in cents], k=5,
-                              id_col="vec_id")
-    lab = F.element_at(F.array(*[F.lit(x) for x in labels]), F.col("query_no") + 1)
-    return finish(top.select(lab.alias("label"), "rank", "vec_id",
+    cents = vx.centroids(emb, "embedding", "label").select(
+        F.col("label").alias("query_id"), F.col("centroid").alias("query"))
+    top = vx.multi_query_topk(emb, "embedding", cents, k=5, id_col="vec_id")
+    return finish(top.select(F.col("query_id").alias("label"), "rank", "vec_id",
                              F.round("score", 5).alias("score")))
 
 

@@ -15,11 +15,8 @@ from .tables import read_table
 
 # Fixed fixture parameters.
 FIRST_MONDAY = "2023-01-02"
-# Rendered markdown: sections per file, and the smallest number of files per
-# year (a section goes to file (id div 314) mod P, P = max(2, ceil(rows / 50000))).
-ROWS_PER_FILE = 50_000
-MIN_FILES_PER_YEAR = 2
-ID_BLOCK = 2 * 157
+# Rendered markdown: a section goes to the file of its year and id block.
+ID_BLOCK = 4 * 157
 N_WEEKS = 157
 # Class word by doc_id mod 12.
 CLASS_WORDS = ["요약", "요약", "기상", "기상", "벼", "밭작물", "채소", "과수", "화훼",
@@ -46,7 +43,7 @@ def bulletins(spark: SparkSession, sf_dir: str, spread_rows: bool = False) -> Da
     """Weekly bulletin rows derived from ``documents`` (FIXTURES.md section 2).
 
     ``spread_rows`` is for queries that do heavy per-row text work (tags,
-    whole-text regexes): see :func:`almanac.sources.tables.spread`."""
+    whole-text regexes): see :func:`almanac.sources.tables.read_table`."""
     docs = read_table(spark, sf_dir, "documents", ["doc_id", "text"],
                       spread_on="doc_id" if spread_rows else None)
     start = F.date_add(F.lit(FIRST_MONDAY).cast("date"),
@@ -119,5 +116,4 @@ def weather_table_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``weather_tables`` written once to parquet and read back."""
     path = materialized(spark, sf_dir, "weather-tables",
                         lambda p: weather_tables(spark, sf_dir).write.parquet(p))
-    from .tables import spread
-    return spread(spark.read.parquet(path), "table_id")
+    return spark.read.parquet(path)

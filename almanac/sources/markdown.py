@@ -34,8 +34,7 @@ def escape_body(col) -> Column:
 
 def render_markdown(df: DataFrame, path: str, title: str = "title", body: str = "content_md",
                     order: Sequence[str] = ("week_start", "id"),
-                    partition_by: Sequence[str] = ("year",),
-                    max_records_per_file: int = 10_000_000) -> None:
+                    partition_by: Sequence[str] = ("year",)) -> None:
     """Write sections as markdown text files: one directory and one file per
     value of ``partition_by``, sections sorted by ``order`` inside the file.
 
@@ -49,7 +48,6 @@ def render_markdown(df: DataFrame, path: str, title: str = "title", body: str =
        .sortWithinPartitions(*parts, *order)
        .select(*parts, "value")
        .write.mode("overwrite")
-       .option("maxRecordsPerFile", max_records_per_file)
        .partitionBy(*parts)
        .text(path))
 

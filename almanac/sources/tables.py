@@ -6,29 +6,21 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..session import table_path
+from ..session import SPREAD_KEY, table_path
 
 
-def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Hash-partition ``df`` on ``keys`` when it arrives in fewer partitions
-    than the cluster has cores.
-
-    The text operators here spend CPU per byte (regexes over whole texts), so
-    an input stored as one large row group would otherwise run as a single
-    task. On a large input with many splits this is a no-op; when it fires it
-    also leaves the rows hash-partitioned by their id, which per-document
-    windows downstream reuse without another exchange.
-    """
-    try:
-        cores = df.sparkSession.sparkContext.defaultParallelism
-        parts = df.rdd.getNumPartitions()
-    except Exception:  # noqa: BLE001 - no SparkContext (e.g. a Connect session)
-        return df
-    return df.repartition(cores, *keys) if parts < cores else df
+def spread(df: DataFrame, partitions: int, *keys: str) -> DataFrame:
+    """Hash-partition ``df`` on ``keys``, for CPU-heavy work on an input of few splits."""
+    return df.repartition(partitions, *keys)
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str,
                columns: Sequence[str] | None = None, spread_on: str | None = None) -> DataFrame:
+    """A pruned scan. ``spread_on`` names a key to spread the rows by where the session
+    asks for it with ``spark.almanac.spread`` (a number of partitions): for small
+    tables in one file, whose scan is one task. Unset, as on a cluster with many
+    splits, nothing is shuffled."""
     df = spark.read.parquet(table_path(sf_dir, name))
     df = df.select(*columns) if columns else df
-    return spread(df, spread_on) if spread_on else df
+    partitions = int(spark.conf.get(SPREAD_KEY, "0"))
+    return spread(df, partitions, spread_on) if spread_on and partitions else df

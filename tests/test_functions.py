@@ -99,3 +99,39 @@ def test_categorize_order_and_toc(spark):
     assert one(spark, categorize("s", cmap), "단감") == "second"
     assert one(spark, categorize("s", cmap), "목 차") == "SKIP"
     assert one(spark, categorize("s", cmap, skip_toc=False), "없음") == "기타"
+
+
+def test_session_keeps_what_others_set(spark, monkeypatch):
+    from almanac import session
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "2000")
+    try:
+        assert session.build_session("local[2]") is not None
+        assert spark.conf.get("spark.sql.shuffle.partitions") == "2000"
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert session.is_local("local") and session.is_local("local[*]")
+    assert not session.is_local("local-cluster[2,1,1024]") and not session.is_local(None)
+
+
+def test_scratch_needs_a_shared_folder_on_a_cluster(spark, monkeypatch):
+    import pytest
+    from almanac import session
+
+    class Context:
+        master = "spark://host:7077"
+
+        def getConf(self):
+            return self
+
+        def get(self, key, default=None):
+            return default
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        sparkContext = Context()
+        conf = Context()
+    with pytest.raises(ValueError):
+        session.checkpoint_dir(Session())

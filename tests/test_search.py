@@ -41,14 +41,41 @@ def test_ann_index_layout_and_probes(spark):
 
 def test_multi_query_matches_single(spark):
     emb = spark.read.parquet(f"{SF_CHECK}/embeddings.parquet")
-    qs = [vx.query_vector(emb, "vec_id", i) for i in (1, 2)]
-    multi = vx.multi_query_topk(emb, "embedding", qs, k=4, id_col="vec_id").collect()
-    for n, q in enumerate(qs):
+    qs = {f"q{i}": vx.query_vector(emb, "vec_id", i) for i in (1, 2)}
+    df = spark.createDataFrame(list(qs.items()), "query_id string, query array<double>")
+    multi = vx.multi_query_topk(emb, "embedding", df, k=4, id_col="vec_id").collect()
+    for name, q in qs.items():
         single = [r["vec_id"] for r in vx.cosine_topk(emb, "embedding", q, k=4, id_col="vec_id").collect()]
-        assert [r["vec_id"] for r in sorted((r for r in multi if r["query_no"] == n),
+        assert [r["vec_id"] for r in sorted((r for r in multi if r["query_id"] == name),
                                             key=lambda r: r["rank"])] == single
 
 
+def test_many_queries_in_blocks_ties_and_odd_vectors(spark):
+    rng = np.random.default_rng(4)
+    rows = [(i, [float(x) for x in rng.integers(-2, 3, 6)]) for i in range(200)]
+    rows += [(300, [0.0] * 6), (301, [1.0, 2.0]), (302, None), (303, rows[5][1])]
+    emb = spark.createDataFrame(rows, "id long, v array<double>").repartition(5)
+    queries = [(n, [float(x) for x in rng.integers(-2, 3, 6)]) for n in range(300)] + [(300, [3.0, 6.0]), (301, [0.0] * 6)]
+    df = spark.createDataFrame(queries, "query_id int, query array<double>")
+    got = {}
+    for r in vx.multi_query_topk(emb, "v", df, k=3, block=128).collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["id"], r["score"]))
+    assert len(got) == 302
+
+    def cos(a, b):
+        if b is None or len(a) != len(b) or not any(a) or not any(b):
+            return None
+        return float(np.dot(a, b) / np.linalg.norm(a) / np.linalg.norm(b))
+    for n, q in queries:
+        want = sorted(((cos(q, v), i) for i, v in rows), key=lambda x: (x[0] is None, -round(x[0] or 0, 9), x[1]))[:3]
+        mine = sorted(got[n])
+        assert [m[0] for m in mine] == [1, 2, 3]
+        for (_, i, s), (w, j) in zip(mine, want):
+            assert (s is None and w is None) or abs(s - w) < 1e-9
+            if w is None:
+                assert i == j
+
+
 def test_encode_with_supplied_encoder(spark):
     def factory():
         def enc(texts):
