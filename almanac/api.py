@@ -47,10 +47,10 @@ class Archive:
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> Archive:
-        return cls(spark.read.parquet(path))
+        return cls(sinks.current(spark, path))
 
     def save(self, path: str) -> int:
-        """Append the rows not stored yet; returns how many were written."""
+        """Append the rows not stored yet and corrected ones; returns how many were written."""
         return sinks.ingest(self.df.sparkSession, self.df, path)
 
     def week_list(self, year: int, month: int) -> DataFrame:

@@ -392,7 +392,16 @@ WITH {BULLETINS}
 SELECT CAST(year AS BIGINT) AS year, CAST(month AS BIGINT) AS month, count(*) AS n, count(*) AS n_ids
 FROM bulletins GROUP BY year, month
 """
-SQL["q_ingest_idempotent"] = _INGEST
+SQL["q_ingest_idempotent"] = f"""
+WITH {BULLETINS}
+SELECT CAST(year AS BIGINT) AS year, CAST(month AS BIGINT) AS month, title,
+       CASE WHEN id % 97 = 0 THEN content_md || chr(10) || '정정' ELSE content_md END AS content_md,
+       CAST(CASE WHEN id % 97 = 0 THEN 1 ELSE 0 END AS BIGINT) AS revision
+FROM bulletins
+UNION ALL
+SELECT CAST(year AS BIGINT), CAST(month AS BIGINT), '# [' || week_range || '] 신규', '추가 ' || id, 0
+FROM bulletins WHERE id % 101 = 0
+"""
 SQL["q_stream_ingest"] = _INGEST
 
 _QVEC = "(SELECT CAST(embedding AS DOUBLE[]) FROM embeddings WHERE vec_id = 0)"

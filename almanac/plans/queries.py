@@ -340,14 +340,30 @@ def q_weeks_json(spark, sf_dir):
 
 @register("q_ingest_idempotent")
 def q_ingest_idempotent(spark, sf_dir):
-    src = rendered_bulletins(spark, sf_dir)
-    rows = sinks.farm_rows(md.read_sections(spark, src, glob="*.txt"))
+    """Ingest, the same again, then the files moved to another folder with some
+    sections corrected and new ones in between: every section once, as it is last."""
+    from ..sources.fixtures import ID_BLOCK, materialized
+
+    def write_changed(path):
+        src = bulletins(spark, sf_dir).withColumn("part", F.floor(F.col("id") / ID_BLOCK))
+        fixed = F.when(F.col("id") % 97 == 0, F.concat("content_md", F.lit("\n정정"))).otherwise(F.col("content_md"))
+        new = src.filter(F.col("id") % 101 == 0).withColumns({
+            "title": F.concat(F.lit("# ["), "week_range", F.lit("] 신규")),
+            "content_md": F.concat(F.lit("추가 "), F.col("id").cast("string")), "id": -F.col("id") - 1})
+        md.render_markdown(src.withColumn("content_md", fixed).unionByName(new), path, partition_by=("year", "part"))
+
+    def rows(src):
+        # The writer's own file names are random; a file is known by its folders here.
+        name = F.regexp_extract("file", "(year=[^/]*/part=[^/]*)/", 1)
+        return sinks.farm_rows(md.read_sections(spark, src, glob="*.txt"), file_name=name)
+
     table = scratch_path(spark, "farm-info")
-    sinks.ingest(spark, rows, table)
-    sinks.ingest(spark, rows, table)          # re-run: must add nothing
-    stored = spark.read.parquet(table)
-    return finish(stored.groupBy("year", "month").agg(F.count(F.lit(1)).alias("n"),
-                                                     F.countDistinct("id").alias("n_ids")))
+    first = rendered_bulletins(spark, sf_dir)
+    sinks.ingest(spark, rows(first), table)
+    sinks.ingest(spark, rows(first), table)          # re-run: must add nothing
+    sinks.ingest(spark, rows(materialized(spark, sf_dir, "bulletins-changed", write_changed)), table)
+    stored = sinks.current(spark, table)
+    return finish(stored.select("year", "month", "title", "content_md", F.col("revision").cast("long").alias("revision")))
 
 
 @register("q_stream_ingest")

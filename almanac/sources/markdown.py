@@ -89,10 +89,13 @@ def split_sections(files: DataFrame) -> DataFrame:
     Blank sections are skipped; the header is the first line of the stripped
     section (``# `` added when the split removed it), the body the rest; a
     header with the table-of-contents marker or without ``[YYYY-MM`` is dropped.
-    Output: file, section_no, year, month, title, content_md.
+    Output: file, section_no, section_order, year, month, title, content_md. The
+    order is (``start``, section): ``start`` is 0, or ``files``' own column of the
+    name where a file comes in several rows.
     """
-    parts = files.select("file", F.posexplode(F.split("text", SECTION_BOUNDARY, -1))
-                         .alias("section_no", "section"))
+    start = F.col("start") if "start" in files.columns else F.lit(0).cast("long")
+    parts = files.select("file", start.alias("_start"),
+                         F.posexplode(F.split("text", SECTION_BOUNDARY, -1)).alias("section_no", "section"))
     parts = with_computed(parts, _s=py_strip("section")).drop("section").filter(F.col("_s") != "")
     header = F.substring_index("_s", "\n", 1)
     body = F.when(F.instr("_s", "\n") > 0,
@@ -103,7 +106,7 @@ def split_sections(files: DataFrame) -> DataFrame:
     ym = r"\[(\d{4})-(\d{2})"
     return (parts.filter(~contains_any("title", SECTION_TOC))
             .filter(F.regexp_extract("title", ym, 1) != "")
-            .select("file", "section_no",
+            .select("file", "section_no", F.struct("_start", "section_no").alias("section_order"),
                     F.regexp_extract("title", ym, 1).cast("int").alias("year"),
                     F.regexp_extract("title", ym, 2).cast("int").alias("month"),
                     "title", "content_md"))
@@ -121,10 +124,16 @@ def read_sections(spark: SparkSession, path: str, glob: str = "*.md",
         return split_sections(read_files(spark, path, glob))
     raw = (spark.read.format("text").option("lineSep", "\n# [")
            .option("pathGlobFilter", glob).option("recursiveFileLookup", True).load(path))
-    # Every record but a file's first lost its "\n# [" prefix: put "[" back and
-    # let split_sections add "# ". A file's first record keeps its own "# [".
+    # Every record but a file's first lost its "\n# [" prefix: put "[" back and let
+    # split_sections add "# ". A file's first record is the one of its first block
+    # that still opens with a header, or its preamble before any header.
     text = normalize_newlines("value")
-    restored = F.when(F.col("value").startswith("# ["), text).otherwise(F.concat(F.lit("["), text))
-    files = raw.select(F.col("_metadata.file_path").alias("file"), restored.alias("text"))
+    first = (F.col("_metadata.file_block_start") == 0) & F.col("value").rlike(rf"^{WS}*#{WS}*\[")
+    restored = F.when(first, text).otherwise(F.concat(F.lit("["), text))
+    # Blocks of a file don't overlap and ids grow within a task: an order within the file.
+    order = F.monotonically_increasing_id()
+    files = raw.select(F.col("_metadata.file_path").alias("file"), restored.alias("text"),
+                       F.col("_metadata.file_block_start").alias("_block"), order.alias("_record"))
+    files = files.withColumn("start", F.struct("_block", "_record"))
     out = split_sections(files)
     return out.drop("section_no").withColumn("section_no", F.lit(None).cast("int"))

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators.tags import TAG_SETS, tag_columns
@@ -10,50 +12,76 @@ from ..functions.text import embed_text, tag_search_range
 from .markdown import path_exists
 
 
+# Tasks that write one month's rows, and so the most files a batch adds to a month.
+WRITERS_PER_MONTH = 8
+
+
 def write_json_lines(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     """One JSON object per line, UTF-8, non-ASCII unescaped."""
     df.write.mode(mode).json(path)
 
 
-def section_id(file_col, section_col, title_col="title", body_col="content_md") -> Column:
-    """A deterministic surrogate key from (source file path, section number),
-    stable across re-runs (unlike ``monotonically_increasing_id``). When the
-    section number is unknown (files split while reading), the section's own
-    title and body stand in for it."""
-    c = lambda x: F.col(x) if isinstance(x, str) else x
-    return F.when(c(section_col).isNotNull(), F.xxhash64(c(file_col), c(section_col))) \
-        .otherwise(F.xxhash64(c(file_col), c(title_col), c(body_col)))
+# What a stored section is known by, whatever folder its file is in and wherever
+# in the file it stands.
+IDENTITY = ("file_name", "title", "occurrence")
+
+
+def identified(sections: DataFrame, file_name: Column | None = None) -> DataFrame:
+    """Sections with ``file_name``, ``occurrence``, ``id`` and ``version``.
 
+    A section is known by its file's name, its header line and its number among
+    equal headers of that file, so new sections, moved folders and either
+    way of reading leave it alone; ``id`` hashes that identity. ``version`` is a hash of
+    the body, by which a corrected section shows. ``file_name`` is an expression over
+    ``file``, by default the name without its folders."""
+    order = Window.partitionBy("year", "month", "file_name", "title").orderBy("file", "section_order")
+    name = F.regexp_extract("file", r"([^/]*)\z", 1) if file_name is None else file_name
+    named = sections.withColumn("file_name", name)
+    return (named.withColumn("occurrence", F.row_number().over(order) - 1)
+            .withColumn("id", F.xxhash64(*IDENTITY))
+            .withColumn("version", F.sha2("content_md", 256)))
 
-def farm_rows(sections: DataFrame, tag_sets=TAG_SETS) -> DataFrame:
-    """E1 without the encoder: sections -> stored rows with tags and the
+
+def farm_rows(sections: DataFrame, tag_sets=TAG_SETS, file_name: Column | None = None) -> DataFrame:
+    """E1 without the encoder: sections -> rows to store with tags and the
     text the encoder would see (F3, F4, F1)."""
-    df = sections.withColumn("id", section_id("file", "section_no"))
+    # One shuffle of the texts: the window, the join with the stored keys and the
+    # partitioned write all use this clustering.
+    spread = F.pmod(F.xxhash64("title"), F.lit(WRITERS_PER_MONTH)).cast("int")
+    df = identified(sections.withColumn("writer", spread).repartition("year", "month", "writer"), file_name)
     df = tag_columns(df.withColumn("_search", tag_search_range("title", "content_md")),
                      "_search", tag_sets)
-    return df.withColumn("embed_text", embed_text("title", "content_md")).drop("_search")
+    return df.withColumn("embed_text", embed_text("title", "content_md")).drop(
+        "_search", "writer", "section_order")
 
 
-def ingest(spark: SparkSession, rows: DataFrame, path: str, key: str = "id",
+def ingest(spark: SparkSession, rows: DataFrame, path: str,
            partition_by=("year", "month")) -> int:
-    """Append rows to a parquet table partitioned by year/month, skipping
-    keys already stored, so re-running an ingest adds nothing.
-
-    The anti-join carries the partition columns, so dynamic partition pruning
-    limits the read of the stored table to the partitions the batch touches.
-    Returns the number of rows written.
-    """
-    parts = list(partition_by)
-    batch = rows.dropDuplicates([key])
+    """Append to a parquet table partitioned by year and month the sections
+    that it lacks, and corrected ones as their next ``revision``; returns how many.
+
+    Only keys of the stored rows are read, and only in the partitions that the
+    batch touches; they are compared in full, not by a hash. The batch is written
+    once, straight from the plan that computes it: it reads the files that the table
+    has now, which appending doesn't change."""
+    parts, keys = list(partition_by), [*partition_by, *IDENTITY]
     if path_exists(spark, path):
-        stored = spark.read.parquet(path).select(*parts, key)
-        batch = batch.join(stored, on=[*parts, key], how="left_anti")
-    # Cut the lineage on shared storage before writing: the batch must not be
-    # recomputed against the table it is being appended to.
-    from ..session import checkpoint_dir
-    checkpoint_dir(spark)
-    batch = batch.checkpoint(eager=True)
-    n = batch.count()
-    if n:
-        batch.write.mode("append").partitionBy(*parts).parquet(path)
-    return n
+        stored = (spark.read.parquet(path).groupBy(*keys)
+                  .agg(F.max_by("version", "revision").alias("_stored"), F.max("revision").alias("_revision")))
+        same = [rows[k].eqNullSafe(stored[k]) for k in keys]
+        batch = rows.join(stored, reduce(lambda a, b: a & b, same), "left").select(
+            *[rows[c] for c in rows.columns], "_stored", "_revision")
+        batch = batch.filter(F.col("_stored").isNull() | (F.col("_stored") != F.col("version")))
+        batch = batch.withColumn("revision", F.coalesce(F.col("_revision") + 1, F.lit(0))).drop("_stored", "_revision")
+    else:
+        batch = rows.withColumn("revision", F.lit(0))
+    seen = Observation()
+    batch.observe(seen, F.count(F.lit(1)).alias("rows")).write.mode("append").partitionBy(*parts).parquet(path)
+    return int(seen.get["rows"])
+
+
+def current(spark: SparkSession, path: str, partition_by=("year", "month")) -> DataFrame:
+    """The stored table with each section in its last revision."""
+    stored, keys = spark.read.parquet(path), [*partition_by, *IDENTITY]
+    last = stored.groupBy(*keys).agg(F.max("revision").alias("revision"))
+    return stored.join(last, [*keys, "revision"], "left_semi")

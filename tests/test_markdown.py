@@ -2,6 +2,7 @@ import json
 import os
 import tempfile
 
+import pytest
 from pyspark.sql import functions as F
 
 from almanac.operators import weeks as wk
@@ -92,6 +93,52 @@ def test_ingest_is_idempotent(spark):
     assert stored.filter(F.size("tags_crop") > 0).count() >= 1
 
 
+@pytest.mark.parametrize("split", [False, True])
+def test_ingest_new_corrected_and_moved_sections(spark, split):
+    from almanac.session import scratch_path
+    week = "# [2024-01-0{0}~2024-01-0{0}] 벼\n본문 {0}\n"
+    old = week.format(1) + week.format(2) + "# [2024-01-02~2024-01-02] 벼\n둘째\n"
+    table = scratch_path(spark, "ingest-change")
+
+    def ingest(files):
+        return sinks.ingest(spark, sinks.farm_rows(md.read_sections(spark, write_dir(files), split_on_read=split)), table)
+
+    def stored():
+        return sorted((r["title"], r["occurrence"], r["content_md"], r["revision"]) for r in sinks.current(spark, table).collect())
+    assert ingest({"w.md": old}) == 3 and ingest({"w.md": old}) == 0      # the second is in another folder
+    assert ingest({"w.md": week.format(5) + old}) == 1                    # a new bulletin on top
+    assert ingest({"w.md": week.format(5) + old.replace("둘째", "고침")}) == 1
+    assert ingest({"w.md": week.format(5) + old.replace("둘째", "고침")}) == 0
+    title = "# [2024-01-0{0}~2024-01-0{0}] 벼"
+    assert stored() == [(title.format(1), 0, "본문 1", 0), (title.format(2), 0, "본문 2", 0),
+                        (title.format(2), 1, "고침", 1), (title.format(5), 0, "본문 5", 0)]
+    assert ingest({"other.md": week.format(1)}) == 1                      # another file, another section
+
+
+def test_both_read_modes_give_the_same_sections_and_ids(spark):
+    files = {"a.md": "#[2024-01-01~2024-01-07] 벼\n하나\n# [2024-01-08~2024-01-14] 콩\n둘\n#  [2024-01-15~2024-01-21] 무\n셋\n",
+             "b.md": "머리말\n\n# [2024-02-01~2024-02-07] 벼\r\n넷\r\n# [2024-02-01~2024-02-07] 벼\r\n다섯\r\n",
+             "c.md": "# [2024-03-01~2024-03-07] 벼\n여섯"}
+    d = write_dir(files)
+    got = [sorted((r["id"], r["title"], r["content_md"]) for r in sinks.farm_rows(
+        md.read_sections(spark, d, split_on_read=split)).collect()) for split in (False, True)]
+    assert got[0] == got[1] and len(got[0]) == 6
+
+
+def test_a_large_file_is_read_by_several_tasks_in_order(spark):
+    body = "".join(f"# [2024-01-01~2024-01-07] 벼\n줄 {i} {'x' * 200}\n" for i in range(4000))
+    d = write_dir({"big.md": body})
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "100k")
+    try:
+        sections = md.read_sections(spark, d, split_on_read=True)
+        assert sections.rdd.getNumPartitions() > 4
+        rows = sinks.farm_rows(sections).select("occurrence", "content_md").collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert all(r["content_md"].startswith(f"줄 {r['occurrence']} ") for r in rows) and len(rows) == 4000
+
+
 def test_split_on_read_matches_wholetext(spark):
     body = "".join(f"# [2024-01-{d:02d}~2024-01-{d + 6:02d}] 벼\n줄 {d}\n" for d in range(1, 20))
     d = write_dir({"big.md": body})
