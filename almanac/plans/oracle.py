@@ -72,7 +72,7 @@ cls AS (SELECT *, row_number() OVER (PARTITION BY year, item_class ORDER BY id)
 kept AS (SELECT * FROM cls WHERE rn <= 4 AND (item_class = 2 OR rn = 1)),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY year ORDER BY item_class, rn) AS rank FROM kept)
 SELECT CAST(year AS BIGINT) AS year, CAST(rank AS BIGINT) AS rank, id, title, w_range,
-       CAST(item_class AS BIGINT) AS item_class, array_to_string(tags, ', ') AS tags
+       CAST(item_class AS BIGINT) AS item_class, coalesce(array_to_string(tags, ', '), '') AS tags
 FROM ranked WHERE rank <= 4
 """
 
@@ -106,7 +106,7 @@ cls AS (SELECT *, row_number() OVER (PARTITION BY year, item_class ORDER BY id)
 kept AS (SELECT * FROM cls WHERE rn <= 4 AND (item_class = 2 OR rn = 1)),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY year ORDER BY item_class, rn) AS rank FROM kept)
 SELECT CAST(year AS BIGINT) AS year, CAST(rank AS BIGINT) AS rank, id, title, w_range,
-       CAST(item_class AS BIGINT) AS item_class, array_to_string(tags, ', ') AS tags
+       CAST(item_class AS BIGINT) AS item_class, coalesce(array_to_string(tags, ', '), '') AS tags
 FROM ranked WHERE rank <= 4
 """
 
@@ -122,7 +122,7 @@ WHERE year = 2024 AND month = 3 AND regexp_extract(title, '\\[(.*?)\\]', 1) <> '
 
 SQL["q_week_lookup"] = f"""
 WITH {BULLETINS}
-SELECT id, CAST(year AS BIGINT) AS year, title, content_md, array_to_string(tags, ', ') AS tags,
+SELECT id, CAST(year AS BIGINT) AS year, title, content_md, coalesce(array_to_string(tags, ', '), '') AS tags,
        regexp_extract(title, '\\[(.*?)\\]', 1) AS w_range
 FROM bulletins WHERE title LIKE '%2024-03-04~2024-03-10%'
 """
@@ -145,7 +145,7 @@ SELECT count(*) AS n FROM bulletins WHERE content_md LIKE '%nicht%' AND list_con
 
 SQL["q_tag_any"] = f"""
 WITH {BULLETINS}
-SELECT id, array_to_string(tags, ', ') AS tags FROM bulletins
+SELECT id, coalesce(array_to_string(tags, ', '), '') AS tags FROM bulletins
 WHERE list_has_any(coalesce(tags, []), ['thing', 'erble'])
 """
 

@@ -64,8 +64,8 @@ def finish(df: DataFrame) -> DataFrame:
 # --- E2 briefing ---------------------------------------------------------------
 
 @register("q_briefing")
-def q_briefing(spark, sf_dir):
-    b = bulletins(spark, sf_dir)
+def q_briefing(spark, sf_dir, view=bulletins):
+    b = view(spark, sf_dir)
     out = season.briefing(b, TODAY, month=MONTH, years=YEARS)
     return finish(out.withColumn("tags", join_list("tags")))
 
@@ -77,18 +77,18 @@ WEEK = "2024-03-04~2024-03-10"
 
 
 @register("q_briefing_week")
-def q_briefing_week(spark, sf_dir):
+def q_briefing_week(spark, sf_dir, view=bulletins):
     """E2, chosen-week mode: titles containing the week, any-of crop filter,
     target day = the week's start."""
-    b = bulletins(spark, sf_dir)
+    b = view(spark, sf_dir)
     target = dt.date.fromisoformat(WEEK.split("~")[0])
     out = season.briefing(b, target, week_range=WEEK, crops=["thing", "erble"], years=YEARS)
     return finish(out.withColumn("tags", join_list("tags")))
 
 
 @register("q_week_list")
-def q_week_list(spark, sf_dir):
-    b = bulletins(spark, sf_dir).filter((F.col("year") == 2024) & (F.col("month") == 3))
+def q_week_list(spark, sf_dir, view=bulletins):
+    b = view(spark, sf_dir).filter((F.col("year") == 2024) & (F.col("month") == 3))
     return finish(stats.distinct_sorted(b, bracket_text("title"), "week_range"))
 
 
@@ -101,13 +101,13 @@ def q_week_lookup(spark, sf_dir):
 
 
 @register("q_tag_list")
-def q_tag_list(spark, sf_dir):
-    return finish(stats.distinct_elements(bulletins(spark, sf_dir, spread_rows=True), "tags", "tag"))
+def q_tag_list(spark, sf_dir, view=bulletins):
+    return finish(stats.distinct_elements(view(spark, sf_dir, spread_rows=True), "tags", "tag"))
 
 
 @register("q_tag_top")
-def q_tag_top(spark, sf_dir):
-    return finish(stats.tag_counts(bulletins(spark, sf_dir, spread_rows=True), "tags", k=5))
+def q_tag_top(spark, sf_dir, view=bulletins):
+    return finish(stats.tag_counts(view(spark, sf_dir, spread_rows=True), "tags", k=5))
 
 
 @register("q_tag_contains")
@@ -118,14 +118,14 @@ def q_tag_contains(spark, sf_dir):
 
 
 @register("q_tag_any")
-def q_tag_any(spark, sf_dir):
-    b = bulletins(spark, sf_dir, spread_rows=True).filter(filters.any_tag("tags", ["thing", "erble"]))
+def q_tag_any(spark, sf_dir, view=bulletins):
+    b = view(spark, sf_dir, spread_rows=True).filter(filters.any_tag("tags", ["thing", "erble"]))
     return finish(b.select("id", join_list("tags").alias("tags")))
 
 
 @register("q_tag_nonempty")
-def q_tag_nonempty(spark, sf_dir):
-    b = bulletins(spark, sf_dir, spread_rows=True).filter(F.size("tags") > 0)
+def q_tag_nonempty(spark, sf_dir, view=bulletins):
+    b = view(spark, sf_dir, spread_rows=True).filter(F.size("tags") > 0)
     return finish(b.select("id", "title", F.size("tags").alias("n_tags")))
 
 
@@ -173,16 +173,16 @@ def q_special_chars(spark, sf_dir):
 
 
 @register("q_or_filter")
-def q_or_filter(spark, sf_dir):
-    b = bulletins(spark, sf_dir)
+def q_or_filter(spark, sf_dir, view=bulletins):
+    b = view(spark, sf_dir)
     cond = (F.col("month") == 1) & ((F.instr("category", "요약") > 0)
                                     | (F.instr("content_md", "요약") > 0))
     return finish(b.filter(cond).select("id", "category"))
 
 
 @register("q_fallback_match")
-def q_fallback_match(spark, sf_dir):
-    b = bulletins(spark, sf_dir).filter(F.col("month") == 1)
+def q_fallback_match(spark, sf_dir, view=bulletins):
+    b = view(spark, sf_dir).filter(F.col("month") == 1)
     return finish(filters.fallback_match(b, "category", "요약").select("id", "category", "tier"))
 
 
@@ -200,9 +200,9 @@ for _rule in filters.HEADER_RULES:
 
 # --- Priority rules (R1-R3) ----------------------------------------------------------
 
-def _farming(spark, sf_dir):
+def _farming(spark, sf_dir, view=bulletins):
     """The bulletins in the second stored layout: string year, ``_`` ids."""
-    b = bulletins(spark, sf_dir)
+    b = view(spark, sf_dir)
     return b.select(F.col("id").alias("pk"),
                     F.replace("week_range", F.lit("~"), F.lit("_")).alias("week_id"),
                     F.col("year").cast("string").alias("year"), "month", "category",
@@ -210,8 +210,8 @@ def _farming(spark, sf_dir):
 
 
 def _priority_query(near):
-    def q(spark, sf_dir):
-        f = _farming(spark, sf_dir).filter((F.col("month") == MONTH) & (F.col("year") == "2025"))
+    def q(spark, sf_dir, view=bulletins):
+        f = _farming(spark, sf_dir, view).filter((F.col("month") == MONTH) & (F.col("year") == "2025"))
         out = season.with_priority(f.select("pk", "week_id", "year", "category"),
                                    "week_id", "year", "category", TODAY, near)
         return finish(out.select("pk", "week_id", "category", "priority", "reason")
@@ -224,8 +224,8 @@ register("q_priority_near")(_priority_query(7))
 
 
 @register("q_reject_reasons")
-def q_reject_reasons(spark, sf_dir):
-    f = _farming(spark, sf_dir).filter((F.col("month") == MONTH) & (F.col("year") == "2025"))
+def q_reject_reasons(spark, sf_dir, view=bulletins):
+    f = _farming(spark, sf_dir, view).filter((F.col("month") == MONTH) & (F.col("year") == "2025"))
     out = (season.with_priority(f, "week_id", "year", "category", TODAY, 7, reason=None)
            .withColumn("reasons", filters.reject_reasons("content", "category", "priority"))
            .select("pk", "category", "priority", join_list("reasons").alias("reasons"),
@@ -234,8 +234,8 @@ def q_reject_reasons(spark, sf_dir):
 
 
 @register("q_recent")
-def q_recent(spark, sf_dir):
-    f = _farming(spark, sf_dir).filter(F.col("month") == MONTH)
+def q_recent(spark, sf_dir, view=bulletins):
+    f = _farming(spark, sf_dir, view).filter(F.col("month") == MONTH)
     return finish(stats.latest(f.select("pk", "year", "category"), 150,
                                [F.desc("year"), F.asc("pk")]))
 
@@ -257,8 +257,8 @@ def q_clean_text(spark, sf_dir):
 
 
 @register("q_embed_text")
-def q_embed_text(spark, sf_dir):
-    b = bulletins(spark, sf_dir, spread_rows=True)
+def q_embed_text(spark, sf_dir, view=bulletins):
+    b = view(spark, sf_dir, spread_rows=True)
     return finish(b.select(
         "id",
         tx.embed_text("title", "content_md").alias("embed_text"),
@@ -266,8 +266,8 @@ def q_embed_text(spark, sf_dir):
 
 
 @register("q_title_parts")
-def q_title_parts(spark, sf_dir):
-    b = bulletins(spark, sf_dir)
+def q_title_parts(spark, sf_dir, view=bulletins):
+    b = view(spark, sf_dir)
     w = tx.bracket_text("title")
     start = tx.part(w, "~", 1)
     return finish(b.select(
@@ -529,9 +529,9 @@ def q_vector_check(spark, sf_dir):
 # --- Nearest week, summary candidates, monthly keywords ---------------------------------
 
 @register("q_nearest_week")
-def q_nearest_week(spark, sf_dir):
+def q_nearest_week(spark, sf_dir, view=bulletins):
     """Per year, the week of month 1 nearest to today's date."""
-    b = bulletins(spark, sf_dir).filter(F.col("month") == MONTH)
+    b = view(spark, sf_dir).filter(F.col("month") == MONTH)
     rows = b.select("year", bracket_text("title").alias("w_range"))
     return finish(season.nearest_weeks(rows, TODAY))
 
