@@ -76,22 +76,39 @@ class Archive:
                                crops=crops, years=years, per_year=per_year,
                                tags_col=f"tags_{cls}")
 
-    def search(self, query_vector: Sequence[float], k: int = 10, threshold: float = 0.40,
-               shown: int = 5) -> DataFrame:
-        """Top ``k`` by cosine, then the threshold, then the first ``shown``,
-        each with its relevance band."""
-        return vectors.banded_search(self.df, "embedding", query_vector, "id", k,
-                                     threshold, shown)
+    def _vector(self, query, encoder_factory: Callable | None, dim: int) -> Sequence[float]:
+        if not isinstance(query, str):
+            return query
+        return vectors.encode_query(self.df.sparkSession, query, encoder_factory, dim)
 
-    def hybrid(self, query_vector: Sequence[float], query_text: str, k: int = 3,
-               w_vec: float = 0.7, w_text: float = 0.3) -> DataFrame:
+    def search(self, query: str | Sequence[float], k: int = 10, threshold: float = 0.40,
+               shown: int = 5, encoder_factory: Callable | None = None, dim: int = 64) -> DataFrame:
+        """Top ``k`` by cosine, then the threshold, then the first ``shown``,
+        each with its relevance band. ``query`` is a text, encoded as the archive's
+        rows were, or a vector."""
+        return vectors.banded_search(self.df, "embedding", self._vector(query, encoder_factory, dim),
+                                     "id", k, threshold, shown)
+
+    def save_text_index(self, path: str) -> None:
+        """V5: the content's text index, for :meth:`hybrid`."""
+        fulltext.save_index(fulltext.build_index(self.df, "id", "content_md"), path)
+
+    def hybrid(self, query: str | Sequence[float], query_text: str | None = None, k: int = 3,
+               w_vec: float = 0.7, w_text: float = 0.3, index: str | None = None,
+               encoder_factory: Callable | None = None, dim: int = 64) -> DataFrame:
         """E3 hybrid: ``w_vec * cosine + w_text * BM25`` over the content, top ``k``;
-        rows without any query term drop out."""
+        rows without any query term drop out. ``query`` is a text (then also the
+        BM25 query) or a vector; ``index`` is the path of a saved text index,
+        without which the whole content is tokenised."""
         spark = self.df.sparkSession
-        text = fulltext.bm25(spark, fulltext.build_index(self.df, "id", "content_md"),
-                             query_text).withColumnRenamed("doc_id", "id")
+        words = query_text if query_text is not None else query
+        if not isinstance(words, str):
+            raise ValueError("a query vector needs query_text")
+        built = fulltext.load_index(spark, index) if index else fulltext.build_index(
+            self.df, "id", "content_md")
+        text = fulltext.bm25(spark, built, words).withColumnRenamed("doc_id", "id")
         vec = vectors.with_cosine(self.df.select("id", "embedding"), "embedding",
-                                  query_vector).select("id", "score")
+                                  self._vector(query, encoder_factory, dim)).select("id", "score")
         return fulltext.hybrid(vec, text, "id", w_vec, w_text, k)
 
     def weather_tables(self) -> DataFrame:

@@ -179,6 +179,18 @@ def encode(df: DataFrame, text_col: str, encoder_factory: Callable | None = None
     return df.withColumn(out_col, _encode(F.col(text_col)))
 
 
+def letter_encoder():
+    """A caller's encoder of the simplest kind: counts of the letters a to z."""
+    letters = [chr(c) for c in range(ord("a"), ord("z") + 1)]
+    return lambda texts: np.array([[t.count(x) for x in letters] for t in texts], dtype=np.float32)
+
+
+def encode_query(spark, text: str, encoder_factory: Callable | None = None, dim: int = 64) -> list[float]:
+    """The vector of a query text, by the encoder that made the stored ones (one row)."""
+    one = encode(spark.createDataFrame([(text,)], "text string"), "text", encoder_factory, dim)
+    return [float(x) for x in one.first()["embedding"]]
+
+
 # --- V6: approximate neighbours -------------------------------------------------
 #
 # Random-hyperplane LSH for cosine: each of ``tables`` hash tables has ``bits``

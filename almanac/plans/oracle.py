@@ -495,12 +495,28 @@ FROM c
 """
 
 _PROFILE_TYPES = {
-    "documents": [("doc_id", "bigint"), ("text", "string"), ("lang", "string"),
-                  ("source", "string"), ("n_chars", "bigint")],
-    "events": [("event_id", "bigint"), ("ts", "timestamp_ntz"), ("user_id", "bigint"),
-               ("event_type", "string"), ("value", "double"), ("props", "string")],
+    "region": [("r_regionkey", "int"), ("r_name", "string")],
+    "nation": [("n_nationkey", "int"), ("n_name", "string"), ("n_regionkey", "int")],
+    "customer": [("c_custkey", "bigint"), ("c_name", "string"), ("c_nationkey", "int"), ("c_acctbal",
+        "double"), ("c_mktsegment", "string")],
+    "supplier": [("s_suppkey", "bigint"), ("s_name", "string"), ("s_nationkey", "int"), ("s_acctbal",
+        "double")],
+    "part": [("p_partkey", "bigint"), ("p_name", "string"), ("p_brand", "string"), ("p_type", "string"),
+        ("p_size", "int"), ("p_retailprice", "double")],
+    "orders": [("o_orderkey", "bigint"), ("o_custkey", "bigint"), ("o_orderstatus", "string"),
+        ("o_totalprice", "double"), ("o_orderdate", "timestamp_ntz"), ("o_orderpriority", "string")],
+    "lineitem": [("l_orderkey", "bigint"), ("l_partkey", "bigint"), ("l_suppkey", "bigint"), ("l_linenumber",
+        "int"), ("l_quantity", "double"), ("l_extendedprice", "double"), ("l_discount", "double"), ("l_tax",
+        "double"), ("l_returnflag", "string"), ("l_linestatus", "string"), ("l_shipdate", "timestamp_ntz")],
+    "events": [("event_id", "bigint"), ("ts", "timestamp_ntz"), ("user_id", "bigint"), ("event_type",
+        "string"), ("value", "double"), ("props", "string")],
+    "documents": [("doc_id", "bigint"), ("text", "string"), ("lang", "string"), ("source", "string"),
+        ("n_chars", "bigint")],
     "embeddings": [("vec_id", "bigint"), ("embedding", "array<float>"), ("label", "int")],
+    "pages": [("page_id", "bigint"), ("url", "string"), ("html", "string")],
+    "benchmark": [("item_id", "bigint"), ("text", "string")],
     "labels": [("doc_id", "bigint"), ("quality", "int"), ("toxic", "int")],
+    "conversations": [("conv_id", "bigint"), ("turn", "bigint"), ("role", "string"), ("text", "string")],
 }
 SQL["q_profile"] = "\nUNION ALL\n".join(
     f"SELECT '{t}' AS \"table\", '{c}' AS \"column\", '{ty}' AS data_type, count(*) AS rows, "
@@ -682,3 +698,40 @@ SELECT doc_id, CAST(64 AS BIGINT) AS dim,
        CASE WHEN regexp_matches(text, '[\\pL\\pN]') THEN 1.0 ELSE 0.0 END AS norm
 FROM documents
 """
+
+
+_LETTERS = "[" + ", ".join(f"length({{x}}) - length(replace({{x}}, '{chr(c)}', ''))" for c in range(97, 123)) + "]"
+
+
+def letters(x: str) -> str:
+    return _LETTERS.replace("{x}", x)
+
+
+def letter_list(x: str) -> str:
+    return f"array_to_string({letters(x)}, ',')"
+
+
+SQL["q_encode_caller"] = f"SELECT doc_id, {letter_list('text')} AS letters FROM documents"
+
+SQL["q_search_text"] = f"""
+WITH s AS (SELECT doc_id, CAST({letters('text')} AS DOUBLE[]) AS v,
+                  CAST({letters("'" + _SEARCH + "'")} AS DOUBLE[]) AS q FROM documents),
+t AS (SELECT doc_id, CASE WHEN list_sum(v) > 0 THEN list_cosine_similarity(v, q) END AS s FROM s)
+SELECT doc_id, round(s, 5) AS score FROM t ORDER BY s DESC NULLS LAST, doc_id LIMIT 10
+"""
+
+SQL["q_build_embedded"] = f"""
+WITH {BULLETINS},
+e AS (SELECT *, {clean_markdown('title')} || '. ' || {clean_markdown('content_md')} AS t FROM bulletins)
+SELECT CAST(year AS BIGINT) AS year, CAST(month AS BIGINT) AS month, title, {letter_list('t')} AS letters FROM e
+"""
+
+SQL["q_peek"] = "SELECT doc_id, lang, source, n_chars FROM documents ORDER BY doc_id LIMIT 5"
+
+SQL["q_literal_rows"] = f"""
+WITH {BULLETINS},
+n(category, name) AS (VALUES ('요약', 'summary'), ('기상', 'weather'), ('벼', 'rice'), ('없음', 'none'))
+SELECT name, (SELECT count(*) FROM bulletins b WHERE b.category = n.category) AS cnt FROM n
+"""
+
+SQL["q_bulletin_dir"] = SQL["q_sections"]

@@ -30,7 +30,7 @@ from ..sources import markdown as md
 from ..sources import sinks
 from ..sources.fixtures import (FIXTURE_CATEGORY_MAP, FIXTURE_TAG_SETS, bulletins,
                                 weather_table_texts)
-from ..sources.profile import profile_tables
+from ..sources.profile import peek, profile_tables
 from ..sources.tables import read_table
 
 # Fixed query parameters (the dashboard's test day and defaults).
@@ -440,6 +440,37 @@ def q_encode(spark, sf_dir):
                              F.round(vx.norm("embedding"), 5).alias("norm")))
 
 
+def _letters(col="embedding"):
+    return F.array_join(F.transform(col, lambda x: x.cast("long").cast("string")), ",")
+
+
+@register("q_encode_caller")
+def q_encode_caller(spark, sf_dir):
+    """V1 with a caller's encoder (letter counts), in Arrow batches."""
+    docs = read_table(spark, sf_dir, "documents", ["doc_id", "text"], spread_on="doc_id")
+    return finish(vx.encode(docs, "text", vx.letter_encoder).select("doc_id", _letters().alias("letters")))
+
+
+@register("q_search_text")
+def q_search_text(spark, sf_dir):
+    """Search by text: the query is encoded as the rows were."""
+    docs = read_table(spark, sf_dir, "documents", ["doc_id", "text"], spread_on="doc_id")
+    emb = vx.encode(docs, "text", vx.letter_encoder).select("doc_id", "embedding")
+    q = vx.encode_query(spark, SEARCH_TEXT, vx.letter_encoder)
+    top = vx.cosine_topk(emb, "embedding", q, k=10, id_col="doc_id")
+    return finish(top.select("doc_id", F.round("score", 5).alias("score")))
+
+
+@register("q_build_embedded")
+def q_build_embedded(spark, sf_dir):
+    """E1 end to end: sections read, tagged, encoded, stored and read back with their vectors."""
+    src, table = rendered_bulletins(spark, sf_dir), scratch_path(spark, "farm-embedded")
+    rows = sinks.farm_rows(md.read_sections(spark, src, glob="*.txt"))
+    sinks.ingest(spark, vx.encode(rows, "embed_text", vx.letter_encoder), table)
+    stored = sinks.current(spark, table)
+    return finish(stored.select("year", "month", "title", _letters().alias("letters")))
+
+
 # --- Full text ------------------------------------------------------------------------
 
 def _docs_index(spark, sf_dir):
@@ -509,7 +540,39 @@ def q_table_repair_light(spark, sf_dir):
 # --- Profile and vector checks ----------------------------------------------------------
 
 
-PROFILED = ("documents", "events", "embeddings", "labels")
+PROFILED = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
+            "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
+
+
+@register("q_peek")
+def q_peek(spark, sf_dir):
+    """The first rows of a table in an explicit order."""
+    docs = read_table(spark, sf_dir, "documents", ["doc_id", "lang", "source", "n_chars"])
+    return finish(peek(docs, 5, [F.asc("doc_id")]))
+
+
+@register("q_literal_rows")
+def q_literal_rows(spark, sf_dir):
+    """Literal rows as a table, here names for the categories that are counted."""
+    names = spark.createDataFrame([("요약", "summary"), ("기상", "weather"), ("벼", "rice"), ("없음", "none")],
+                                  "category string, name string")
+    counts = bulletins(spark, sf_dir).groupBy("category").agg(F.count(F.lit(1)).alias("cnt"))
+    return finish(names.join(counts, "category", "left").select(
+        "name", F.coalesce("cnt", F.lit(0)).alias("cnt")))
+
+
+@register("q_bulletin_dir")
+def q_bulletin_dir(spark, sf_dir):
+    """A folder whose ``json_con`` is preferred to its own files."""
+    from ..sources.fixtures import materialized
+
+    def write(path):
+        rows = bulletins(spark, sf_dir).select(F.concat("title", F.lit("\n"), md.escape_body(F.col("content_md"))))
+        rows.write.text(f"{path}/json_con")
+        bulletins(spark, sf_dir).select("title").write.mode("append").text(path)
+    folder = materialized(spark, sf_dir, "bulletin-dir", write)
+    found = md.split_sections(md.bulletin_dir_files(spark, folder, glob="*.txt"))
+    return finish(found.select("year", "month", "title", "content_md"))
 
 
 @register("q_profile")

@@ -32,6 +32,12 @@ def test_archive_round_trip(spark):
     assert hits[0]["score"] > 0.99 and hits[0]["band"] == "강력 추천"
     hy = stored.hybrid(q, "배추 수확", k=2).collect()
     assert hy and hy[0]["fts_score"] > 0
+    same = stored.search("배추 수확, 무 저장", k=3, threshold=0.0).collect()
+    assert same[0]["title" if "title" in same[0].asDict() else "id"]
+    index = scratch_path(spark, "api-index")
+    stored.save_text_index(index)
+    by_text = [stored.hybrid("배추 수확", k=2, index=i).collect() for i in (index, None)]
+    assert by_text[0] == by_text[1] and by_text[0][0]["fts_score"] > 0
     wt = stored.weather_tables().collect()
     assert [r["value"] for r in sorted(wt, key=lambda r: r["row_no"])] == [-3.5, 1.5]
     rep = {r["id"]: r["repaired"] for r in stored.repaired().collect()}
