@@ -50,6 +50,8 @@ def words_in(text: str | None) -> Iterator[list[str]]:
     """Lists of the text's words, of bounded length."""
     found = (m.group() for m in LETTERS.finditer(text.lower())) if text else iter(())
     while words := list(islice(found, 100_000)):
+        if not any(c.isalpha() for w in words for c in w):      # fractions and the like only
+            continue
         if max(map(len, words)) > MAX_WORD:
             words = [w[i:i + MAX_WORD] for w in words for i in range(0, len(w), MAX_WORD)]
         yield words
@@ -177,8 +179,9 @@ def fit(docs: DataFrame, *, vocabulary: str = VOCABULARY, per_language: int = PE
                 for words in words_in(text):
                     for w in words:
                         seen[lang, w] = seen.get((lang, w), 0) + 1
-            yield pd.DataFrame({"lang": [k[0] for k in seen], "word": [k[1] for k in seen],
-                                "n": list(seen.values())})
+            yield pd.DataFrame({"lang": pd.Series([k[0] for k in seen], dtype=object),
+                                "word": pd.Series([k[1] for k in seen], dtype=object),
+                                "n": pd.Series(list(seen.values()), dtype="int64")})
 
     counts = written(usable.where(draw < share).select("text", "lang")
                      .mapInPandas(counted, "lang string, word string, n long")
@@ -265,14 +268,13 @@ def predict(model: LanguageModel, text: Column, spark: SparkSession) -> Column:
         languages, pieces, p = shared.value
         scores = WordScores(pieces, p)
         for batch in batches:
-            out = pd.DataFrame({"lang_pred": "und", "score": 0.0}, index=range(len(batch)))
+            names, values = np.full(len(batch), "und", dtype=object), np.zeros(len(batch))
             if languages:
                 count, total = text_scores(scores, [t if isinstance(t, str) else None for t in batch])
-                best = total.argmax(1)
-                weight = np.exp(total - total.max(1, keepdims=True)).sum(1)
-                out["lang_pred"] = np.where(count > 0, np.array(languages, dtype=object)[best], "und")
-                out["score"] = np.where(count > 0, 1 / weight, 0.0)
-            yield out
+                some = np.flatnonzero(count)
+                names[some] = np.array(languages, dtype=object)[total[some].argmax(1)]
+                values[some] = 1 / np.exp(total[some] - total[some].max(1, keepdims=True)).sum(1)
+            yield pd.DataFrame({"lang_pred": pd.Series(names, dtype=object), "score": values})
     return score(text)
 
 

@@ -155,9 +155,10 @@ def brute_lines(docs):
     """Dropped (doc_id, line) pairs, comparing every pair of lines."""
     rows = []
     for i, text in docs:
-        lines = fuzzy_lines.normal_lines(text)
-        number, _, simhash = fuzzy_lines.line_hashes(lines)
-        rows += [((i, int(k)), lines[k].decode(), int(s)) for k, s in zip(number, simhash)]
+        for k, line in enumerate(fuzzy_lines.normal_lines(text)):
+            if len(line.split()) >= fuzzy_lines.MIN_WORDS:
+                _, simhash = fuzzy_lines.line_hashes([line], np.array([len(line.split())]))
+                rows.append(((i, k), line.decode(), int(simhash[0])))
     nodes = {}
     for place, line, s in rows:
         nodes.setdefault(line, (s, []))[1].append(place)
@@ -223,7 +224,7 @@ def test_simhash_blocks_find_all_within_distance(spark):
         pairs.append(tuple(x - (1 << 64) if x >> 63 else x for x in (a, b)))
     df = spark.createDataFrame([(i, *p) for i, p in enumerate(pairs)], "i long, a long, b long")
     x, y = (fuzzy_lines.block_rows(df.select("i", F.col(c).alias("simhash"))).alias(c) for c in "ab")
-    same = (F.col("a.i") == F.col("b.i")) & (fuzzy_lines.block_key("a") == fuzzy_lines.block_key("b"))
+    same = (F.col("a.i") == F.col("b.i")) & (F.col("a.block") == F.col("b.block"))
     assert x.join(y, same).select("a.i").distinct().count() == len(pairs)
 
 

@@ -223,6 +223,10 @@ def test_language_edges(spark):
     assert langid.identify(docs.where("false"), model).count() == 0
 
 
+def test_numbers_are_no_letters():
+    assert list(langid.words_in("½ ² 12 ⅷ_ !")) == [] and list(langid.words_in("x²")) == [["x²"]]
+
+
 def test_long_words_are_scored_whole():
     words = [w for part in langid.words_in("ab" * 100 + " c1d") for w in part]
     assert "".join(words) == "ab" * 100 + "cd" and max(map(len, words)) <= langid.MAX_WORD
