@@ -1,5 +1,5 @@
 """Vector search: encode (V1), exact cosine top-k (V2, L4, L6, R7), many
-queries at once, and approximate neighbours with LSH (V6).
+queries at once, and approximate neighbours by cells (V6).
 
 Exact search is one pass over the vectors with a JVM-side expression and a
 TakeOrderedAndProject (each task keeps its own top k; the driver merges
@@ -9,7 +9,6 @@ once on the driver.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 from itertools import islice
@@ -193,118 +192,80 @@ def encode_query(spark, text: str, encoder_factory: Callable | None = None, dim:
 
 # --- V6: approximate neighbours -------------------------------------------------
 #
-# Random-hyperplane LSH for cosine: each of ``tables`` hash tables has ``bits``
-# random hyperplanes; a vector's key in a table is the bit pattern of which
-# side of each plane it lies on. The index is the long table
-# (table, key, vec_id), written partitioned by table and sorted by key, so a
-# query that asks for a few keys reads a few row groups. A query probes its own
-# key and every key one bit away in each table, takes every vector found there
-# (no cap), and ranks those candidates by exact cosine.
+# Vectors are stored once, partitioned by the cell of their nearest centre. Centres
+# come from spherical k-means on a bounded sample; every vector is stored. A query
+# ranks the centres, reads the cells of the nearest ones (partition pruning) and ranks
+# what it finds there by exact cosine. How many cells there are and how many are read
+# is the caller's choice; neither follows the size of the table.
+
+NO_CELL = -1        # zero and missing vectors: no cosine, never read by a query
 
 
 @dataclass
 class AnnIndex:
-    keys: DataFrame          # table, key, id
-    planes: np.ndarray       # (tables, bits, dim)
-
-
-def hyperplanes(dim: int, tables: int = 16, bits: int = 10, seed: int = 7) -> np.ndarray:
-    rng = np.random.default_rng(seed)
-    return rng.standard_normal((tables, bits, dim))
-
-
-def _index_rows(df: DataFrame, vec_col: str, id_col: str, planes: np.ndarray,
-                with_vectors: bool = False) -> DataFrame:
-    """(table, key, id[, vec]) rows: all plane sides of a vector from one
-    ``transform`` over the planes literal (computed once), then each table's
-    bits folded into its key."""
-    tables, bits, _ = planes.shape
-    flat = F.array(*[as_vector(p) for p in planes.reshape(tables * bits, -1)])
-    sides = F.transform(flat, lambda p: (dot(vec_col, p) >= 0).cast("long"))
-    staged = with_computed(df.select(F.col(id_col).alias("id"), vec_col), _sides=sides)
-    key = lambda t: F.aggregate(
-        F.sequence(F.lit(0), F.lit(bits - 1)), F.lit(0).cast("long"),
-        lambda acc, b: acc + F.element_at("_sides", t * bits + b + 1)
-        * F.pow(F.lit(2), b).cast("long"))
-    per_table = F.transform(F.sequence(F.lit(0), F.lit(tables - 1)),
-                            lambda t: F.struct(t.alias("table"), key(t).alias("key")))
-    rows = staged.select("id", F.col(vec_col).alias("vec"), F.inline(per_table))
-    return rows.select("table", "key", "id", *(["vec"] if with_vectors else []))
-
-
-def build_ann_index(df: DataFrame, vec_col: str, id_col: str, tables: int = 16,
-                    bits: int | None = None, seed: int = 7, dim: int | None = None,
-                    bucket_size: int = 32, with_vectors: bool = True) -> AnnIndex:
-    """V6 index (lazy): one row per (vector, table).
-
-    Without ``bits`` the key length follows the data: about ``bucket_size``
-    vectors per key (log2 of rows / bucket_size, between 4 and 30).
-    ``with_vectors`` stores each vector in its index rows (``tables`` copies),
-    so a query reads only the probed keys and never scans the vector table."""
-    if dim is None:
-        dim = len(df.select(vec_col).first()[0])
-    if bits is None:
-        n = df.count()
-        bits = int(min(30, max(4, round(math.log2(max(n, 1) / bucket_size)))))
-    planes = hyperplanes(dim, tables, bits, seed)
-    return AnnIndex(_index_rows(df, vec_col, id_col, planes, with_vectors), planes)
-
-
-def save_ann_index(index: AnnIndex, path: str) -> None:
-    (index.keys.repartitionByRange("table", "key").sortWithinPartitions("table", "key")
-     .write.mode("overwrite").partitionBy("table").parquet(f"{path}/keys"))
-    spark = index.keys.sparkSession
-    shape = index.planes.shape
-    rows = [(t, b, [float(x) for x in index.planes[t, b]])
-            for t in range(shape[0]) for b in range(shape[1])]
-    spark.createDataFrame(rows, "table int, bit int, plane array<double>") \
-        .write.mode("overwrite").parquet(f"{path}/planes")
+    vectors: DataFrame       # id, vec, cell
+    centres: np.ndarray      # (cells, dim)
+
+
+def fit_centres(df: DataFrame, vec_col: str, id_col: str, cells: int, sample: int = 50_000,
+                seed: int = 7) -> np.ndarray:
+    """Centres of ``cells`` cells, fitted on about ``sample`` vectors chosen by a hash of the id."""
+    from pyspark.ml.clustering import KMeans
+    from pyspark.ml.functions import array_to_vector
+    usable = df.filter(norm(vec_col) > 0).select(F.col(id_col).alias("id"), F.col(vec_col).alias("vec"))
+    share = min(1.0, sample / max(usable.count(), 1))
+    draw = F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
+    picked = usable.filter(draw < share).select(array_to_vector(F.col("vec").cast("array<double>")).alias("features"))
+    model = KMeans(k=cells, seed=seed, maxIter=10, distanceMeasure="cosine").fit(picked)
+    found = np.array([np.asarray(c) for c in model.clusterCenters()])
+    return found / np.linalg.norm(found, axis=1, keepdims=True)
+
+
+def build_ann_index(df: DataFrame, vec_col: str, id_col: str, cells: int,
+                    sample: int = 50_000, seed: int = 7) -> AnnIndex:
+    """V6 index: every row of ``df`` with the cell of its nearest centre."""
+    centres = fit_centres(df, vec_col, id_col, cells, sample, seed)
+    shared = df.sparkSession.sparkContext.broadcast(centres)      # cells x dim numbers
+
+    @F.pandas_udf("int")
+    def nearest(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for vecs in batches:
+            out = np.full(len(vecs), NO_CELL, np.int32)
+            fit = [i for i, v in enumerate(vecs) if v is not None and len(v) == shared.value.shape[1] and np.any(v)]
+            if fit:
+                m = np.vstack([np.asarray(vecs.iloc[i], dtype=float) for i in fit])
+                out[fit] = (m @ shared.value.T).argmax(1)
+            yield pd.Series(out)
+
+    rows = df.select(F.col(id_col).alias("id"), F.col(vec_col).alias("vec"))
+    return AnnIndex(rows.withColumn("cell", nearest("vec")), centres)
+
+
+def save_ann_index(index: AnnIndex, path: str, files_per_cell: int = 4) -> None:
+    """Write the vectors once, a folder per cell; a full cell is spread over several files."""
+    spark = index.vectors.sparkSession
+    part = F.pmod(F.xxhash64("id"), F.lit(files_per_cell))
+    (index.vectors.repartition("cell", part).write.mode("overwrite").partitionBy("cell").parquet(f"{path}/vectors"))
+    rows = [(c, [float(x) for x in v]) for c, v in enumerate(index.centres)]
+    spark.createDataFrame(rows, "cell int, centre array<double>").write.mode("overwrite").parquet(f"{path}/centres")
 
 
 def load_ann_index(spark, path: str) -> AnnIndex:
-    rows = spark.read.parquet(f"{path}/planes").orderBy("table", "bit").collect()
-    tables = max(r["table"] for r in rows) + 1
-    bits = max(r["bit"] for r in rows) + 1
-    planes = np.array([r["plane"] for r in rows]).reshape(tables, bits, -1)
-    return AnnIndex(spark.read.parquet(f"{path}/keys"), planes)
-
-
-def probe_keys(planes: np.ndarray, query: Sequence[float]) -> list[tuple[int, int]]:
-    """The query's key in every table plus all keys one bit away."""
-    q = np.asarray(query, dtype=float)
-    out = []
-    for t in range(planes.shape[0]):
-        sides = (planes[t] @ q >= 0).astype(int)
-        key = int(sum(int(s) << b for b, s in enumerate(sides)))
-        out.append((t, key))
-        out.extend((t, key ^ (1 << b)) for b in range(planes.shape[1]))
-    return out
+    rows = spark.read.parquet(f"{path}/centres").orderBy("cell").collect()      # `cells` rows
+    return AnnIndex(spark.read.parquet(f"{path}/vectors"), np.array([r["centre"] for r in rows]))
+
+
+def probed(index: AnnIndex, query: Sequence[float], probes: int) -> DataFrame:
+    """The vectors that a query with ``probes`` cells reads."""
+    order = np.argsort(-(index.centres @ np.asarray(query, dtype=float)), kind="stable")
+    return index.vectors.filter(F.col("cell").isin([int(c) for c in order[:probes]]))
 
 
-def approx_topk(df: DataFrame, vec_col: str, query: Sequence[float], k: int = TOP_K,
-                id_col: str = "id", index: AnnIndex | None = None, tables: int = 16,
-                bits: int | None = None) -> DataFrame:
-    """V6: approximate k nearest by cosine (recall below 1 by design).
-
-    Candidates are all vectors sharing a probed key with the query; they are
-    ranked by exact cosine. Pass a saved ``index`` to avoid hashing the whole
-    table per query."""
-    if index is None:
-        index = build_ann_index(df, vec_col, id_col, tables, bits, dim=len(query))
-    probes = probe_keys(index.planes, query)
-    wanted = None
-    for t in sorted({t for t, _ in probes}):
-        keys = sorted({key for tt, key in probes if tt == t})
-        cond = (F.col("table") == t) & F.col("key").isin(keys)
-        wanted = cond if wanted is None else (wanted | cond)
-    probed = index.keys.filter(wanted)
-    if "vec" in index.keys.columns:
-        # Candidates carry their vectors: score them where they are read.
-        cands = probed.select(F.col("id").alias(id_col), F.col("vec").alias(vec_col))
-        hits = cands.dropDuplicates([id_col])
-    else:
-        hits = df.join(probed.select(F.col("id").alias(id_col)).distinct(), id_col, "left_semi")
-    return cosine_topk(hits, vec_col, query, k, id_col).select(id_col, "score")
+def approx_topk(index: AnnIndex, query: Sequence[float], k: int = TOP_K, probes: int = 8,
+                id_col: str = "id") -> DataFrame:
+    """V6: the k nearest by cosine among the vectors of the ``probes`` nearest cells."""
+    rows = probed(index, query, probes).select(F.col("id").alias(id_col), "vec")
+    return cosine_topk(rows, "vec", query, k, id_col).select(id_col, "score")
 
 
 __all__ = ["approx_topk", "banded_search", "centroids", "cosine_topk", "dot", "encode",
