@@ -9,11 +9,13 @@ corrected for the ``2**-BITS`` matches that chance gives. Pairs whose estimate i
 ``MARGIN`` standard errors below the limit are dropped, the others are confirmed
 on their full sets, and links make connected components.
 
-No pairs are formed within a bucket by themselves. Classes are first compared to one
-member of each bucket (its smallest, then hash-chosen ones), which joins most of a
-group. What stays apart is then compared, within the join and without output, to
-all members of other components in its buckets: exact, with no cap, and its
-output has only pairs that pass the estimate, each in the first bucket that it shares.
+No pairs of a bucket are emitted. Classes are first compared to one member of each
+bucket (its smallest, then the one with the fullest buckets, then hash-chosen ones),
+which joins most of a group. What then stays apart in a bucket is compared in
+full, without caps: sketches alone make neighbourhoods, outside of which no link is
+plausible; within one, everything but its largest component is compared to all of it on the
+full sets, in blocks of at most about ``BLOCK`` by ``BLOCK`` classes. A block pair is one task's
+work and gives no more than one link for each class and component.
 
 A link at similarity s is missed if no band agrees: ``(1 - s**ROWS)**BANDS``, 6e-7
 at 0.8 and less above.
@@ -41,6 +43,7 @@ ROWS, BANDS = 5, 36
 BITS, SKETCHED = 4, 160
 MARGIN = 5.0
 CENTRES = 3              # members of each bucket that all its members are compared to
+BLOCK = 256              # classes on either side of a block
 _LOW = 0x1111111111111111
 
 
@@ -118,24 +121,118 @@ class Linker:
 
     def confirm(self, pairs: DataFrame) -> None:
         """Check pairs (a, b) on sketches and then on full sets; keep the links."""
-        side = self.classes.select("node", "n", "sketch")
-        likely = (pairs.distinct().join(side.alias("x"), F.col("a") == F.col("x.node"))
-                  .join(side.alias("y"), F.col("b") == F.col("y.node"))
-                  .where(plausible("x", "y", self.percent)).select("a", "b"))
-        full = (likely.join(self.sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa")), "a")
+        full = (self.plausible_pairs(pairs).join(self.sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa")), "a")
                 .join(self.sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb")), "b"))
         common = F.size(F.array_intersect("sa", "sb"))
         found = full.where(common * 100 >= (F.size("sa") + F.size("sb") - common) * self.percent).select("a", "b")
         self.links = written(found if self.links is None else self.links.unionByName(found), "links")
 
-    def labelled(self, buckets: DataFrame) -> DataFrame:
-        """Rows (band, node) of the buckets that still hold several components, with ``component``."""
-        of = buckets.join(components(self.links), "node", "left").select(
+    def labelled(self, buckets: DataFrame, edges: DataFrame | None = None) -> DataFrame:
+        """Rows (band, node) of the buckets that hold several components, with ``component``:
+        of the links, or of ``edges``."""
+        found = components(self.links if edges is None else edges)
+        of = buckets.select("band", "node").join(found, "node", "left").select(
             "band", "node", F.coalesce("component", "node").alias("component"))
         mixed_bands = of.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where(
             "lo <> hi").select("band")
         return written(of.join(mixed_bands, "band", "left_semi"), "open-buckets")
 
+    def plausible_pairs(self, pairs: DataFrame) -> DataFrame:
+        """Those of the pairs (a, b) that sketches and sizes don't refute."""
+        side = self.classes.select("node", "n", "sketch")
+        return (pairs.distinct().join(side.alias("x"), F.col("a") == F.col("x.node"))
+                .join(side.alias("y"), F.col("b") == F.col("y.node"))
+                .where(plausible("x", "y", self.percent)).select("a", "b"))
+
+    def neighbourhoods(self, apart: DataFrame) -> DataFrame:
+        """(node, hood) of the nodes of open buckets; plausible pairs of a bucket share a hood."""
+        nodes = apart.select("node", "component").distinct()
+        edges = nodes.select(F.col("component").alias("a"), F.col("node").alias("b"))
+        for turn in range(CENTRES):
+            pairs = centre_pairs(apart, turn)
+            edges = written(edges.unionByName(self.plausible_pairs(pairs)), "hood-edges")
+        left = self.labelled(apart, edges)
+        most = (left.groupBy("band", "component").agg(F.count("*").alias("n")).groupBy("band")
+                .agg(F.max_by("component", F.struct("n", "component")).alias("main")))
+        details = self.classes.select("node", "n", "sketch", "bands")
+        full = written(left.join(details, "node").join(most, "band"), "open-rows")
+        x, y = full.where("component <> main").alias("x"), full.alias("y")
+        first_shared = F.array_position(F.zip_with("x.bands", "y.bands", lambda p, q: p == q), True)
+        each_once = (F.col("y.component") == F.col("y.main")) | (F.col("x.node") < F.col("y.node"))
+        rest = x.join(y, (F.col("x.band") == F.col("y.band")) & (F.col("x.component") != F.col("y.component"))
+                      & each_once & plausible("x", "y", self.percent)
+                      & (F.get("x.bands", (first_shared - 1).cast("int")) == F.col("x.band")))
+        edges = edges.unionByName(rest.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")))
+        return written(nodes.join(components(edges).withColumnRenamed("component", "hood"), "node", "left").select(
+            "node", "component", F.coalesce("hood", "node").alias("hood")), "hoods")
+
+    def settle(self, apart: DataFrame) -> None:
+        """Compare in full, within each neighbourhood, what is not in its largest component."""
+        hoods = self.neighbourhoods(apart)
+        parts = hoods.groupBy("hood", "component").agg(F.count("*").alias("n"))
+        sizes = parts.groupBy("hood").agg(
+            F.max_by("component", F.struct("n", "component")).alias("main"), F.sum("n").alias("members"),
+            (F.sum("n") - F.max("n")).alias("others")).where("others > 0")
+        rows = hoods.join(sizes, "hood").join(self.sets, "node")
+
+        def chunk(size):
+            return F.pmod(F.xxhash64("node"), F.ceil(F.col(size) / BLOCK)).cast("int")
+
+        def every(size):
+            return F.explode(F.sequence(F.lit(0), (F.ceil(F.col(size) / BLOCK) - 1).cast("int")))
+        left = rows.where("component <> main").select("hood", chunk("others").alias("p"), every("members").alias("q"),
+                                                      "node", "component", "shingles")
+        # Names of their own: both sides come from one table.
+        right = rows.select(F.col("hood").alias("of_hood"), every("others").alias("of_p"), chunk("members").alias("of_q"),
+                            F.col("node").alias("of"), F.col("component").alias("of_component"),
+                            F.col("shingles").alias("of_shingles"))
+        percent = self.percent
+
+        def compare(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+            return block_links(a, b, percent)
+
+        found = left.groupBy("hood", "p", "q").cogroup(right.groupBy("of_hood", "of_p", "of_q")).applyInPandas(
+            compare, "a long, b long")
+        self.links = written(self.links.unionByName(found), "links")
+
+
+def block_links(a: pd.DataFrame, b: pd.DataFrame, percent: int) -> pd.DataFrame:
+    """A link from each class of ``a`` to each other component in ``b`` that it has one to.
+
+    ``a`` has node, component and shingles, ``b`` the same as of, of_component, of_shingles."""
+    out: list[tuple[int, int]] = []
+    if len(a) and len(b):
+        size = np.fromiter(map(len, b.of_shingles), np.int64, len(b))
+        every = np.concatenate([np.asarray(s, np.int64) for s in b.of_shingles])
+        owner = np.repeat(np.arange(len(b)), size)
+        order = np.argsort(every, kind="stable")
+        every, owner = every[order], owner[order]
+        component, node = b.of_component.to_numpy(), b.of.to_numpy()
+        for x, own, s in zip(a.node, a.component, a.shingles, strict=True):
+            s = np.asarray(s, np.int64)
+            lo, hi = np.searchsorted(every, s, "left"), np.searchsorted(every, s, "right")
+            held = hi - lo
+            at = np.repeat(lo - np.cumsum(held) + held, held) + np.arange(held.sum())
+            common = np.bincount(owner[at], minlength=len(b))
+            linked = np.flatnonzero((100 * common >= percent * (len(s) + size - common)) & (component != own))
+            for i in linked[np.unique(component[linked], return_index=True)[1]]:
+                out.append((x, node[i]))
+    return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+
+
+def centre_pairs(apart: DataFrame, turn: int) -> DataFrame:
+    """Pairs (a, b) of each bucket's centre and its members of other components: first the
+    member whose buckets are fullest, then hash-chosen ones."""
+    if turn == 0:
+        filled = apart.groupBy("band").agg(F.count("*").alias("n"))
+        weight = apart.join(filled, "band").groupBy("node").agg(F.sum("n").alias("w"))
+        ranked, order = apart.join(weight, "node"), F.struct(-F.col("w"), "node")
+    else:
+        ranked, order = apart, F.xxhash64("node", F.lit(turn))
+    centre = ranked.groupBy("band").agg(F.min_by(F.struct("node", "component"), order).alias("c"))
+    return apart.join(centre, "band").where("component <> c.component").select(
+        F.least("node", "c.node").alias("a"), F.greatest("node", "c.node").alias("b")).distinct()
+
 
 def near_duplicates(docs: DataFrame, *, size: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, text_hash, near) of every row of ``docs``; near: n_shingles, component_id, kept.
@@ -164,25 +261,9 @@ def near_duplicates(docs: DataFrame, *, size: int = 5, percent: int = 80) -> Dat
 
     linker = Linker(classes, sets, percent)
     linker.confirm(buckets.where("node <> centre").select(F.col("centre").alias("a"), F.col("node").alias("b")))
-    for turn in range(1, CENTRES):
-        apart = linker.labelled(buckets)
-        order = F.xxhash64("node", F.lit(turn))
-        centre = apart.groupBy("band").agg(F.min_by(F.struct("node", "component"), order).alias("c"))
-        linker.confirm(apart.join(centre, "band").where("component <> c.component").select(
-            F.least("node", "c.node").alias("a"), F.greatest("node", "c.node").alias("b")))
-
-    apart = linker.labelled(buckets)
-    most = (apart.groupBy("band", "component").agg(F.count("*").alias("n")).groupBy("band")
-            .agg(F.max_by("component", F.struct("n", "component")).alias("main")))
-    details = classes.select("node", "n", "sketch", "bands")
-    full = written(apart.join(details, "node").join(most, "band"), "open-rows")
-    x, y = full.where("component <> main").alias("x"), full.alias("y")
-    first_shared = F.array_position(F.zip_with("x.bands", "y.bands", lambda p, q: p == q), True)
-    each_once = (F.col("y.component") == F.col("y.main")) | (F.col("x.node") < F.col("y.node"))
-    rest = x.join(y, (F.col("x.band") == F.col("y.band")) & (F.col("x.component") != F.col("y.component"))
-                  & each_once & plausible("x", "y", percent)
-                  & (F.get("x.bands", (first_shared - 1).cast("int")) == F.col("x.band")))
-    linker.confirm(rest.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")))
+    for turn in range(CENTRES - 1):
+        linker.confirm(centre_pairs(linker.labelled(buckets), turn))
+    linker.settle(linker.labelled(buckets))
 
     member = classes.select("node", "first_id").join(components(linker.links), "node", "left").select(
         "node", "first_id", F.coalesce("component", "node").alias("component"))
