@@ -127,7 +127,7 @@ def covered(hits: Column) -> Column:
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, *, size: int = WINDOW,
                   chunk_words: int = CHUNK_WORDS, into: str = "scan") -> DataFrame:
-    """``docs`` with a struct column ``into``: ``n_words``, ``n_hit`` and ``hits``.
+    """``docs`` with a struct column ``into`` (in place of one of this name): ``n_words``, ``n_hit`` and ``hits``.
 
     ``hits`` lists, per benchmark item, the merged occurrences as word ranges
     [first, last) and code-point ranges [start, end) of the original text.

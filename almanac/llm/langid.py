@@ -279,7 +279,7 @@ def predict(model: LanguageModel, text: Column, spark: SparkSession) -> Column:
 
 
 def identify(docs: DataFrame, model: LanguageModel, into: str = "language") -> DataFrame:
-    """``docs`` with the struct column ``into``: lang_pred and score."""
+    """``docs`` with the struct column ``into`` (in place of one of this name): lang_pred and score."""
     return docs.withColumn(into, predict(model, F.col("text"), docs.sparkSession))
 
 

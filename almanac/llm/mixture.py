@@ -70,8 +70,10 @@ def source_targets(sizes: DataFrame, weights: Sequence[float] = WEIGHTS,
 
 
 def mix_plan(docs: DataFrame, size: Column, *, weights: Sequence[float] = WEIGHTS,
-             budget: float = BUDGET, max_rate: float = MAX_RATE, seed: str = SEED) -> DataFrame:
-    """``docs`` with a struct column ``mix``: size, source_size, target, copies."""
+             budget: float = BUDGET, max_rate: float = MAX_RATE, seed: str = SEED,
+             into: str = "mix") -> DataFrame:
+    """``docs`` with a struct column ``into`` (size, source_size, target, copies), in place of one
+    of this name."""
     sized = docs.withColumn("__size", size).withColumn(
         "__salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
     totals = (sized.groupBy("source").agg(F.sum("__size").alias("source_size")))
@@ -84,7 +86,7 @@ def mix_plan(docs: DataFrame, size: Column, *, weights: Sequence[float] = WEIGHT
     copies = whole + bernoulli(F.col("doc_id"), seed, rate - whole)
     joined = sized.join(targets, F.col("source").eqNullSafe(F.col("__source"))
                         & (F.col("__salt") == F.col("__of")), "left")
-    return (joined.withColumn("mix", F.struct(
+    return (joined.withColumn(into, F.struct(
         F.col("__size").alias("size"), F.col("__t.source_size").alias("source_size"),
         F.col("__t.target").alias("target"), copies.alias("copies")))
         .drop("__size", "__salt", "__source", "__of", "__t"))
@@ -92,10 +94,10 @@ def mix_plan(docs: DataFrame, size: Column, *, weights: Sequence[float] = WEIGHT
 
 def mix(docs: DataFrame, **options) -> DataFrame:
     """The mixed table: every document of ``docs`` as often as the mix takes it."""
-    planned = mix_plan(docs, n_words(F.col("text")), **options)
-    taken = planned.where(F.col("mix.copies") > 0)
-    copies = F.explode(F.sequence(F.lit(1).cast("long"), F.col("mix.copies")))
-    return taken.withColumn("__copy", copies).drop("mix", "__copy")
+    planned = mix_plan(docs, n_words(F.col("text")), into="__mix", **options)
+    taken = planned.where(F.col("__mix.copies") > 0)
+    copies = F.explode(F.sequence(F.lit(1).cast("long"), F.col("__mix.copies")))
+    return taken.withColumn("__copy", copies).drop("__mix", "__copy")
 
 
 def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:

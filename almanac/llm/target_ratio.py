@@ -95,7 +95,8 @@ def with_base_rules(docs: DataFrame) -> DataFrame:
 
 
 def score_documents(docs: DataFrame, ratios: list[float], threshold: float = THRESHOLD) -> DataFrame:
-    """``docs`` with structs ``base`` and ``quality`` (score, base_failed, kept)."""
+    """``docs`` with structs ``base`` and ``quality`` (score, base_failed, kept), which replace
+    columns of these names."""
     # One literal: the optimizer folds the cast to an array of len(ratios) doubles.
     table = F.split(F.lit(",".join(map(repr, ratios))), ",").cast("array<double>")
     worded = docs.withColumn("__words", words_of(F.col("text")))
