@@ -45,10 +45,13 @@ def _pieces(data: bytes):
         at = end
 
 
-def word_hashes(text: str | None, lower: bool = True) -> np.ndarray:
+def word_hashes(text: str | None) -> np.ndarray:
     """Hashes of the words ``[^\\x20\\x09-\\x0D]+`` of a text, A-Z lower-cased first."""
-    data = (text or "").encode("utf-8", "surrogatepass")
-    data = data.translate(LOWER) if lower else data
+    return byte_word_hashes((text or "").encode("utf-8", "surrogatepass").translate(LOWER))
+
+
+def byte_word_hashes(data: bytes) -> np.ndarray:
+    """Hashes of the words of a text in bytes, as they are."""
     out = []
     for piece in _pieces(data):
         up, down, byte = _tables(len(piece) + 1)

@@ -147,6 +147,8 @@ def test_mix_edges(spark):
     assert len(plan) == docs.count() and all(0 <= r.mix.copies <= 2 for r in plan)
     assert all(r.mix["size"] == len(brute.plain_words(r.text)) for r in plan)
     assert mixture.mix(brute.table(spark, [])).count() == 0
+    named = mixture.mix(docs.withColumn("mix", F.lit("kept")))
+    assert named.columns[-1] == "mix" and {r.mix for r in named.collect()} == {"kept"}
 
 
 # --- 8: fuzzy lines
@@ -213,6 +215,22 @@ def test_fuzzy_lines_equal_brute_force(spark, small):
         assert got == want and want
 
 
+def test_edit_limits_equal_the_distance(spark):
+    rng = random.Random(6)
+    pairs = [("", ""), ("a", ""), ("a b c", "a c"), ("a b", "b a b"), ("x a", "a"), ("a a a", "a a"), ("é b", "e b c")]
+    for _ in range(300):
+        w = [rng.choice("ab") * rng.randint(1, 3) for _ in range(rng.randint(1, 9))]
+        v = list(w)
+        for _ in range(rng.randint(0, 3)):
+            i = rng.randrange(len(v) + 1)
+            v[i:i + rng.randint(0, 1)] = [rng.choice(["a", "bb", "c"])] * rng.randint(0, 2)
+        pairs.append((" ".join(w), " ".join(v)))
+    rows = [(a, b, m) for a, b in pairs for m in (0, 1, 2, 3, 5)]
+    df = spark.createDataFrame(rows, "a string, b string, m int")
+    got = df.select("*", fuzzy_lines.edit_limits(F.col("a"), F.col("b"), F.col("m")).alias("ok")).collect()
+    assert all(r.ok == (edit(r.a, r.b) <= r.m) for r in got)
+
+
 def test_simhash_blocks_find_all_within_distance(spark):
     rng = random.Random(1)
     pairs = []
