@@ -28,11 +28,6 @@ def py_strip(col) -> Column:
     return F.regexp_replace(_c(col), rf"^{WS}+|{WS}+\z", "")
 
 
-def collapse_ws(col) -> Column:
-    """``re.sub(r'\\s+', ' ', s)`` with Python's Unicode whitespace."""
-    return F.regexp_replace(_c(col), rf"{WS}+", " ")
-
-
 def clean_markdown(col) -> Column:
     """links and markdown symbols to spaces, whitespace collapsed, stripped.
 

@@ -21,4 +21,4 @@ def test_every_oracle_has_a_query():
 def test_queries_build_on_small_data(spark):
     qs = entry.queries()
     for name in ("q_week_list", "q_tag_top", "q_cosine_topk", "q_bm25", "q_table_values"):
-        assert qs[name](spark, SF_SMALL).count() >= 0
+        assert qs[name](spark, SF_SMALL).count() > 0

@@ -7,7 +7,8 @@ from almanac.plans import QUERIES
 
 from .conftest import SF_SMALL
 
-SIDE_EFFECTS = {"q_ingest_idempotent", "q_stream_ingest", "q_weeks_json", "q_bm25_saved"}
+# Queries whose own plan only reads back what they wrote.
+SIDE_EFFECTS = {"q_stream_ingest", "q_weeks_json"}
 
 
 def plan_of(df) -> str:
@@ -51,3 +52,14 @@ def test_ann_query_reads_only_the_index(spark):
     assert scans and all("embeddings.parquet" not in l for l in scans), scans
     assert all("ann-index" in l for l in scans)
     assert all("PartitionFilters: [" in l and "cell" in l.split("PartitionFilters: [")[1] for l in scans)
+
+
+@pytest.mark.parametrize("name", ["q_table_repair", "q_table_repair_light"])
+def test_table_repair_is_one_scan_without_shuffle(spark, name):
+    plan = plan_of(QUERIES[name](spark, SF_SMALL))
+    assert plan.count("FileScan") == 1 and "Window" not in plan and "Exchange" not in plan
+
+
+def test_cosine_has_the_query_norm_as_a_number(spark):
+    plan = plan_of(QUERIES["q_cosine_topk"](spark, SF_SMALL))
+    assert plan.count("SQRT(") == 1      # the norm of the stored vector only
