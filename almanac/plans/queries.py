@@ -355,13 +355,13 @@ def q_ingest_idempotent(spark, sf_dir):
     def rows(src):
         # The writer's own file names are random; a file is known by its folders here.
         name = F.regexp_extract("file", "(year=[^/]*/part=[^/]*)/", 1)
-        return sinks.farm_rows(md.read_sections(spark, src, glob="*.txt"), file_name=name)
+        return sinks.section_rows(md.read_sections(spark, src, glob="*.txt"), name)
 
     table = scratch_path(spark, "farm-info")
-    first = rendered_bulletins(spark, sf_dir)
-    sinks.ingest(spark, rows(first), table)
-    sinks.ingest(spark, rows(first), table)          # re-run: must add nothing
-    sinks.ingest(spark, rows(materialized(spark, sf_dir, "bulletins-changed", write_changed)), table)
+    first, changed = rendered_bulletins(spark, sf_dir), materialized(
+        spark, sf_dir, "bulletins-changed", write_changed)
+    for src in (first, first, changed):              # the second must add nothing
+        sinks.ingest(spark, rows(src), table, enrich=sinks.tagged)
     stored = sinks.current(spark, table)
     return finish(stored.select("year", "month", "title", "content_md", F.col("revision").cast("long").alias("revision")))
 

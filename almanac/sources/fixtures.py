@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.tags import token_tags
-from .tables import read_table
+from .tables import read_table, spread_small
 
 # Fixed fixture parameters.
 FIRST_MONDAY = "2023-01-02"
@@ -116,4 +116,4 @@ def weather_table_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``weather_tables`` written once to parquet and read back."""
     path = materialized(spark, sf_dir, "weather-tables",
                         lambda p: weather_tables(spark, sf_dir).write.parquet(p))
-    return spark.read.parquet(path)
+    return spread_small(spark, spark.read.parquet(path), "table_id")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
@@ -42,28 +43,38 @@ def identified(sections: DataFrame, file_name: Column | None = None) -> DataFram
             .withColumn("version", F.sha2("content_md", 256)))
 
 
-def farm_rows(sections: DataFrame, tag_sets=TAG_SETS, file_name: Column | None = None) -> DataFrame:
-    """E1 without the encoder: sections -> rows to store with tags and the
-    text the encoder would see (F3, F4, F1)."""
-    # One shuffle of the texts: the window, the join with the stored keys and the
-    # partitioned write all use this clustering.
+def section_rows(sections: DataFrame, file_name: Column | None = None) -> DataFrame:
+    """Sections with their identity and version, clustered for storing.
+
+    One shuffle of the texts: the window, the join with the stored keys and the
+    partitioned write all use this clustering."""
     spread = F.pmod(F.xxhash64("title"), F.lit(WRITERS_PER_MONTH)).cast("int")
-    df = identified(sections.withColumn("writer", spread).repartition("year", "month", "writer"), file_name)
-    df = tag_columns(df.withColumn("_search", tag_search_range("title", "content_md")),
+    clustered = sections.withColumn("writer", spread).repartition("year", "month", "writer")
+    return identified(clustered, file_name).drop("writer", "section_order")
+
+
+def tagged(rows: DataFrame, tag_sets=TAG_SETS) -> DataFrame:
+    """Rows with their tags and the text the encoder would see."""
+    df = tag_columns(rows.withColumn("_search", tag_search_range("title", "content_md")),
                      "_search", tag_sets)
-    return df.withColumn("embed_text", embed_text("title", "content_md")).drop(
-        "_search", "writer", "section_order")
+    return df.withColumn("embed_text", embed_text("title", "content_md")).drop("_search")
+
+
+def farm_rows(sections: DataFrame, tag_sets=TAG_SETS, file_name: Column | None = None) -> DataFrame:
+    """E1 without the encoder: sections -> rows to store."""
+    return tagged(section_rows(sections, file_name), tag_sets)
 
 
-def ingest(spark: SparkSession, rows: DataFrame, path: str,
-           partition_by=("year", "month")) -> int:
+def ingest(spark: SparkSession, rows: DataFrame, path: str, partition_by=("year", "month"),
+           enrich: Callable[[DataFrame], DataFrame] | None = None) -> int:
     """Append to a parquet table partitioned by year and month the sections
     that it lacks, and corrected ones as their next ``revision``; returns how many.
 
     Only keys of the stored rows are read, and only in the partitions that the
     batch touches; they are compared in full, not by a hash. The batch is written
     once, straight from the plan that computes it: it reads the files that the table
-    has now, which appending doesn't change."""
+    has now, which appending doesn't change. ``enrich`` adds columns (tags, vectors) to
+    the rows that are written, and to no others."""
     parts, keys = list(partition_by), [*partition_by, *IDENTITY]
     if path_exists(spark, path):
         stored = (spark.read.parquet(path).groupBy(*keys)
@@ -75,6 +86,8 @@ def ingest(spark: SparkSession, rows: DataFrame, path: str,
         batch = batch.withColumn("revision", F.coalesce(F.col("_revision") + 1, F.lit(0))).drop("_stored", "_revision")
     else:
         batch = rows.withColumn("revision", F.lit(0))
+    if enrich is not None:
+        batch = enrich(batch)
     seen = Observation()
     batch.observe(seen, F.count(F.lit(1)).alias("rows")).write.mode("append").partitionBy(*parts).parquet(path)
     return int(seen.get["rows"])
