@@ -22,7 +22,8 @@ at 0.8 and less above.
 
 Edge cases: a null, empty or blank text has an empty set and is linked with
 nothing; rows with a null id belong to their text's component but are never its
-name, and are kept only if no id in it is known; repeated rows are copies; an empty
+name, and are kept only if no id in it is known, one of them by ``keep_one``; an id
+over several texts stands for each of them apart; repeated rows are copies; an empty
 table gives an empty result; other columns are not read.
 """
 
@@ -235,7 +236,10 @@ def centre_pairs(apart: DataFrame, turn: int) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, *, size: int = 5, percent: int = 80) -> DataFrame:
-    """(doc_id, text_hash, near) of every row of ``docs``; near: n_shingles, component_id, kept.
+    """(doc_id, text_hash, near) of every row of ``docs``; near: n_shingles, component_id, kept, component.
+
+    ``component`` names the component whatever ids its rows have, and is null for empty sets;
+    ``component_id`` is the smallest id in it, null if no id in it is known.
 
     ``docs`` has doc_id and text. Documents are linked if
     ``100 * |intersection| >= percent * |union|`` of their shingle sets.
@@ -243,19 +247,22 @@ def near_duplicates(docs: DataFrame, *, size: int = 5, percent: int = 80) -> Dat
     signed = written(docs.select("doc_id", F.xxhash64("text").alias("text_hash"), signer(size)("text").alias("s"))
                      .select("doc_id", "text_hash", "s.*"), "signatures")
     some = signed.where("n > 0")
-    # One row per class: the signature of its smallest id, found by a combined minimum.
+    # One row per class: the signature and text hash of its smallest id, found by a combined minimum.
     named = some.groupBy("node").agg(F.min("doc_id").alias("first_id"))
-    first = F.coalesce(F.col("doc_id"), F.lit(-1)) == F.coalesce(F.col("first_id"), F.lit(-1))
-    classes = written(some.join(named, "node").where(first).dropDuplicates(["node"]).drop("doc_id", "text_hash"), "classes")
+    first = F.col("doc_id").eqNullSafe(F.col("first_id"))
+    classes = written(some.join(named, "node").where(first).dropDuplicates(["node"]).drop("doc_id")
+                      .withColumnRenamed("text_hash", "first_hash"), "classes")
 
     rows = classes.select("node", F.explode("bands").alias("band"))
     shared = rows.groupBy("band").agg(F.min("node").alias("centre"), F.max("node").alias("last")).where("centre <> last")
     buckets = written(rows.join(shared.select("band", "centre"), "band"), "buckets")
 
-    wanted = buckets.select("node").distinct().join(classes.select("node", "first_id"), "node")
-    texts = docs.select("doc_id", "text").join(
-        wanted.select(F.col("first_id").alias("doc_id")).hint("shuffle_hash"), "doc_id", "left_semi")
-    texts = texts.withColumn("__h", F.xxhash64("text")).dropDuplicates(["doc_id", "__h"])
+    wanted = buckets.select("node").distinct().join(classes.select("node", "first_id", "first_hash"), "node")
+    # By id and text: a null id is many documents, and an id may stand over several texts.
+    texts = docs.select("doc_id", "text", F.xxhash64("text").alias("__h")).join(
+        wanted.select("first_id", "first_hash").hint("shuffle_hash"),
+        F.col("doc_id").eqNullSafe(F.col("first_id")) & (F.col("__h") == F.col("first_hash")), "left_semi")
+    texts = texts.dropDuplicates(["doc_id", "__h"])
     sets = texts.select(shingler(size)("text").alias("s")).select("s.*")
     sets = written(sets.join(wanted.select("node").hint("shuffle_hash"), "node", "left_semi"), "candidate-sets")
 
@@ -268,22 +275,23 @@ def near_duplicates(docs: DataFrame, *, size: int = 5, percent: int = 80) -> Dat
     member = classes.select("node", "first_id").join(components(linker.links), "node", "left").select(
         "node", "first_id", F.coalesce("component", "node").alias("component"))
     ids = member.groupBy("component").agg(F.min("first_id").alias("component_id"))
-    named = member.join(ids, "component").select(F.col("node").alias("__node"), "component_id")
+    named = member.join(ids, "component").select(F.col("node").alias("__node"), "component_id", "component")
     result = signed.select("doc_id", "text_hash", "n", "node").join(
         named, (F.col("node") == F.col("__node")) & (F.col("n") > 0), "left")
     own = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
     return result.select("doc_id", "text_hash", F.struct(
         F.col("n").alias("n_shingles"), own.alias("component_id"),
-        F.coalesce(F.col("doc_id") == own, own.isNull()).alias("kept")).alias("near"))
+        F.coalesce(F.col("doc_id") == own, own.isNull()).alias("kept"), "component").alias("near"))
 
 
 def keep_one(docs: DataFrame, *, size: int = 5, percent: int = 80) -> DataFrame:
     """``docs`` with one row of each group of near duplicates, in all its columns."""
     near = near_duplicates(docs, size=size, percent=percent).where("near.kept")
-    # Of rows that share the group's smallest id, the one with the smallest text hash.
-    stays = near.groupBy("near.component_id", "doc_id", F.when(F.col("near.n_shingles") == 0, F.col("text_hash"))
-                         .alias("empty")).agg(F.min("text_hash").alias("__hash")).select(
-        F.col("doc_id").alias("__id"), "__hash")
+    # Of a component's rows with its smallest id, or with none, the one with the smallest text hash.
+    empty = F.col("near.n_shingles") == 0
+    stays = near.groupBy("near.component", F.when(empty, F.col("doc_id")).alias("empty_id"),
+                         F.when(empty, F.col("text_hash")).alias("empty_hash")).agg(
+        F.min("doc_id").alias("__id"), F.min("text_hash").alias("__hash")).select("__id", "__hash")
     hashed = docs.withColumn("__text_hash", F.xxhash64("text"))
     same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__text_hash") == F.col("__hash"))
     once = hashed.join(stays.distinct().hint("shuffle_hash"), same, "left_semi")

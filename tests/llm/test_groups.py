@@ -108,6 +108,21 @@ def test_near_duplicate_edges(spark):
     assert minhash.keep_one(brute.table(spark, [])).count() == 0
 
 
+def test_null_and_repeated_ids_lose_no_document(spark):
+    apart = [" ".join(f"{c}{i}" for i in range(40)) for c in "abcdefgh"]
+    near = apart[0].replace("a39", "zz")                       # only null ids on either side
+    of_known = apart[7].replace("h39", "zz")
+    rows = [(None, t) for t in apart[:5]] + [(None, near), (None, apart[1])]
+    rows += [(5, apart[5]), (5, apart[6]), (8, apart[7]), (None, of_known)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {r.text_hash: r.near for r in minhash.near_duplicates(docs).collect()}
+    assert len({n.component for n in found.values()}) == 8
+    kept = [(r.doc_id, r.text) for r in minhash.keep_one(docs).collect()]
+    first = [(i, t) for i, t in kept if i is None and t in (apart[0], near)]
+    assert len(first) == 1 and len(kept) == 8
+    assert set(kept) - set(first) == {(None, t) for t in apart[1:5]} | {(5, apart[5]), (5, apart[6]), (8, apart[7])}
+
+
 # --- 7: mixing
 
 def test_mix_matches_sql_and_sharing(spark):
