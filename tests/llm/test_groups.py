@@ -273,6 +273,20 @@ def test_fuzzy_line_edges(spark):
     assert all(r.n_dropped == len(r.dropped_lines.split(",")) if r.n_dropped else r.dropped_lines == "" for r in rows)
 
 
+def test_lines_under_null_and_repeated_ids_are_decided_apart(spark):
+    lines = {c: " ".join(f"{c}{chr(97 + i)}word" for i in range(9)) for c in "abcdefgh"}
+    a, b, c, d, e, f, g, h = lines.values()
+    rows = [(1, a), (None, f"{b}\n{a}"), (None, f"{c}\n{d}"), (None, f"{e}\n{d}"),
+            (7, f"{f}\n{b}"), (7, f"{g}\n{h}"), (8, h)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    out = [(r.doc_id, r.text) for r in fuzzy_lines.dedup_lines(docs).collect()]
+    assert len(out) == len(rows)
+    left = [line for _, text in out for line in text.split("\n") if line]
+    assert sorted(left) == sorted(lines.values())              # each line once: none lost, no copy left
+    assert (1, "") in out and (None, f"{b}\n{a}") in out        # a null id orders first
+    assert (7, f) in out and (7, f"{g}\n{h}") in out and (8, "") in out
+
+
 # --- 1: Kneser-Ney
 
 def brute_kneser_ney(trusted, texts):
