@@ -5,6 +5,7 @@ from .fuzzy_lines import op8_fuzzy_lines
 from .kneser_ney import op1_kneser_ney
 from .langid import op9_language_id
 from .license_diagonals import op6_license_diagonals
+from .merkle import OP12_SQL, op12_merkle_manifest
 from .minhash import op4_minhash
 from .mixture import OP7_SQL, op7_mix_sources
 from .secret_ledger import op3_secret_ledger
@@ -22,6 +23,7 @@ QUERIES = {
     "op8_fuzzy_lines": op8_fuzzy_lines,
     "op9_language_id": op9_language_id,
     "op10_decontaminate": op10_decontaminate,
+    "op12_merkle_manifest": op12_merkle_manifest,
 }
 
-SQL = {"op7_mix_sources": OP7_SQL}
+SQL = {"op7_mix_sources": OP7_SQL, "op12_merkle_manifest": OP12_SQL}
