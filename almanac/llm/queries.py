@@ -11,6 +11,7 @@ from .mixture import OP7_SQL, op7_mix_sources
 from .secret_ledger import op3_secret_ledger
 from .target_ratio import op5_target_ratio
 from .token_rollup import op2_token_rollup
+from .url_rules import op13_url_rules
 
 QUERIES = {
     "op1_kneser_ney": op1_kneser_ney,
@@ -24,6 +25,7 @@ QUERIES = {
     "op9_language_id": op9_language_id,
     "op10_decontaminate": op10_decontaminate,
     "op12_merkle_manifest": op12_merkle_manifest,
+    "op13_url_rules": op13_url_rules,
 }
 
 SQL = {"op7_mix_sources": OP7_SQL, "op12_merkle_manifest": OP12_SQL}
