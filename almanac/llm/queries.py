@@ -1,6 +1,7 @@
 """The registered queries of this subpackage and their DuckDB SQL."""
 
 from .decontaminate import op10_decontaminate
+from .dual_tree import OP11_SQL, op11_dual_tree
 from .fuzzy_lines import op8_fuzzy_lines
 from .kneser_ney import op1_kneser_ney
 from .langid import op9_language_id
@@ -24,8 +25,9 @@ QUERIES = {
     "op8_fuzzy_lines": op8_fuzzy_lines,
     "op9_language_id": op9_language_id,
     "op10_decontaminate": op10_decontaminate,
+    "op11_dual_tree": op11_dual_tree,
     "op12_merkle_manifest": op12_merkle_manifest,
     "op13_url_rules": op13_url_rules,
 }
 
-SQL = {"op7_mix_sources": OP7_SQL, "op12_merkle_manifest": OP12_SQL}
+SQL = {"op7_mix_sources": OP7_SQL, "op11_dual_tree": OP11_SQL, "op12_merkle_manifest": OP12_SQL}
