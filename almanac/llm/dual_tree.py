@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from .common import read, written
 from .decontaminate import TABLE
-from .positions import numbered, sliced
+from .positions import numbered
 
 K = 10
 SHELF, BATCH = 4096, 64          # documents
@@ -176,10 +176,10 @@ def item_vectors(asked: DataFrame, weights: DataFrame) -> DataFrame:
     rows = (asked.join(weights, "term").groupBy("item_id")
             .agg(F.array_sort(F.collect_list(F.struct("term", F.col("w").alias("weight")))).alias("v"),
                  F.min(F.struct("w", "term")).alias("key")))
-    rows = sliced(rows.select("item_id", F.col("v.term").alias("terms"), F.col("v.weight").alias("weights"), "key"),
-                  ["key", "item_id"], "search-items")
-    return rows.select((F.col("slice") * F.lit(1 << 32) + F.floor(F.col("row") / BLOCK)).alias("block"),
-                       F.col("row").alias("at"), "item_id", "terms", "weights")
+    rows = rows.select("item_id", F.col("v.term").alias("terms"), F.col("v.weight").alias("weights"), "key",
+                       F.lit("all").alias("tree"))
+    return numbered(rows, "tree", ["key", "item_id"], "search-items").select(
+        F.floor(F.col("position") / BLOCK).alias("block"), F.col("position").alias("at"), "item_id", "terms", "weights")
 
 
 def doc_vectors(flat: DataFrame, weights: DataFrame, n_docs: int, n_terms: int) -> DataFrame:
@@ -190,10 +190,9 @@ def doc_vectors(flat: DataFrame, weights: DataFrame, n_docs: int, n_terms: int)
     rows = points.groupBy("nth", "doc_id").agg(F.array_sort(F.collect_list(F.struct(
         (-F.col("w") * F.col("value")).alias("rank"), "term", "value"))).alias("v"))
     rows = rows.select("nth", "doc_id", F.col("v.term").alias("terms"), F.col("v.value").alias("values"),
-                       F.slice("v.term", 1, 2).alias("key"))
-    rows = sliced(rows, ["key", "nth"], "search-documents")
-    return rows.select((F.col("slice") * F.lit(1 << 32) + F.floor(F.col("row") / SHELF)).alias("shelf"),
-                       "row", "doc_id", "terms", "values")
+                       F.slice("v.term", 1, 2).alias("key"), F.lit("all").alias("tree"))
+    return numbered(rows, "tree", ["key", "nth"], "search-documents").select(
+        F.floor(F.col("position") / SHELF).alias("shelf"), F.col("position").alias("row"), "doc_id", "terms", "values")
 
 
 def search(docs: DataFrame, items: DataFrame, k: int = K) -> DataFrame:
