@@ -43,6 +43,7 @@ LISTED = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "ex
 MIN_SUPPORT = 0.002      # of the bad URLs, and
 MIN_COUNT = 5            # as many of them at least
 MIN_CONFIDENCE = 0.6
+SALTS = 32
 RESULT = ("host", "path", "rule", "verdict", "mined")
 PARTS = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 
@@ -59,6 +60,8 @@ def path_of(url: Column) -> Column:
 
 def listed_rule(host: Column, path: Column, rules: Sequence[tuple[str, str, str]] = LISTED) -> Column:
     """(rule, verdict) of the longest listed rule that fits; null if none does."""
+    if not rules:
+        return F.lit(None).cast("struct<rule:string,verdict:string>")
     table = F.array(*[F.struct(F.lit(h + p).alias("rule"), F.lit(v).alias("verdict"), F.lit(h).alias("host"),
                                F.lit(p).alias("path")) for v, h, p in sorted(rules, key=lambda r: (-len(r[1] + r[2]), r))])
     fits = F.filter(table, lambda r: ((host == r["host"]) | host.endswith(F.concat(F.lit("."), r["host"])))
@@ -136,7 +139,10 @@ def judge(pages: DataFrame, rules: DataFrame, listed: Sequence[tuple[str, str, s
         F.struct(F.array_join("items", " ").alias("items"), "support", "confidence"),
         F.struct("confidence", "support", "id")).alias("mined"))
     by_rule = F.when(F.col("mined").isNotNull(), "block").otherwise("allow")
-    return rows.join(best, F.col("of") == F.col("tokens"), "left").select(
+    # Pages of one set are dealt over salts; a set has one row of rules, repeated for each.
+    rows = rows.withColumn("part", F.pmod(F.xxhash64("page.url"), F.lit(SALTS)).cast("int"))
+    best = best.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.join(best, (F.col("of") == F.col("tokens")) & (F.col("part") == F.col("salt")), "left").select(
         "page.*", "host", "path", F.col("listed.rule").alias("rule"),
         F.coalesce(F.col("listed.verdict"), by_rule).alias("verdict"), "mined")
 
