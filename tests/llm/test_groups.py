@@ -3,7 +3,9 @@
 import math
 import random
 
+import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -168,17 +170,37 @@ def test_mix_edges(spark):
 
 # --- 8: fuzzy lines
 
+def links_of(names):
+    """Pairs of lines by edit similarity alone: every pair is compared.
+
+    Numbers of characters that one line has more of than the other bound the distance from
+    below; only pairs that pass that need it worked out, on single-byte characters.
+    """
+    chars = sorted(set("".join(names)))
+    assert len(chars) < 127
+    byte = {ord(c): chr(i + 1) for i, c in enumerate(chars)}
+    counts = np.array([[x.count(c) for c in chars] for x in names], np.int32)
+    length = counts.sum(axis=1)
+    pairs = []
+    for i in range(len(names) - 1):
+        most = np.floor(np.maximum(length[i], length[i + 1:]) * (1 - fuzzy_lines.SIMILARITY) + 1e-9)
+        more = counts[i + 1:] - counts[i]
+        least = np.maximum(np.maximum(more, 0).sum(axis=1), np.maximum(-more, 0).sum(axis=1))
+        pairs += [(i, int(j) + i + 1, int(most[j])) for j in np.flatnonzero(least <= most)]
+    con = duckdb.connect()
+    con.register("lines", pa.table({"i": list(range(len(names))), "s": [x.translate(byte) for x in names]}))
+    con.register("pairs", pa.table({k: pa.array(v, pa.int64()) for k, v in zip("abm", zip(*pairs, strict=True), strict=True)}))
+    return con.execute("SELECT a, b FROM pairs JOIN lines x ON x.i = a JOIN lines y ON y.i = b "
+                       "WHERE levenshtein(x.s, y.s) <= m").fetchall()
+
+
 def brute_lines(docs):
-    """Dropped (doc_id, line) pairs, comparing every pair of lines."""
-    rows = []
+    """Dropped (doc_id, line) pairs, comparing every pair of lines by edit similarity alone."""
+    nodes = {}
     for i, text in docs:
         for k, line in enumerate(fuzzy_lines.normal_lines(text)):
-            if len(line.split()) >= fuzzy_lines.MIN_WORDS:
-                _, simhash = fuzzy_lines.line_hashes([line], np.array([len(line.split())]))
-                rows.append(((i, k), line.decode(), int(simhash[0])))
-    nodes = {}
-    for place, line, s in rows:
-        nodes.setdefault(line, (s, []))[1].append(place)
+            if len(fuzzy_lines.tokens_in(line).split()) >= fuzzy_lines.MIN_TOKENS:
+                nodes.setdefault(line.decode(), []).append((i, k))
     names = list(nodes)
     parent = list(range(len(names)))
 
@@ -186,17 +208,12 @@ def brute_lines(docs):
         while parent[x] != x:
             x = parent[x]
         return x
-    hashes = np.array([nodes[x][0] for x in names], dtype=np.int64).view(np.uint64)
-    for i in range(len(names)):
-        apart = np.unpackbits((hashes[i + 1:] ^ hashes[i]).view(np.uint8).reshape(-1, 8), axis=1).sum(1)
-        for j in np.flatnonzero(apart <= fuzzy_lines.DISTANCE) + i + 1:
-            a, b = names[i], names[j]
-            if edit(a, b) <= math.floor(max(len(a), len(b)) * (1 - fuzzy_lines.SIMILARITY) + 1e-9):
-                p, q = root(i), root(int(j))
-                parent[max(p, q)] = min(p, q)
+    for i, j in links_of(names):
+        p, q = root(i), root(j)
+        parent[max(p, q)] = min(p, q)
     groups = {}
     for i, x in enumerate(names):
-        groups.setdefault(root(i), []).extend(nodes[x][1])
+        groups.setdefault(root(i), []).extend(nodes[x])
     return {p for g in groups.values() for p in g if p != min(g)}
 
 
@@ -223,11 +240,12 @@ def fuzzy_rows():
 
 
 def test_fuzzy_lines_equal_brute_force(spark, small):
+    """Against every pair compared by edit similarity alone, without blocks or SimHash."""
     for docs in (fuzzy_rows(), [(r.doc_id, r.text) for r in small]):
         df = spark.createDataFrame(docs, "doc_id long, text string")
         got = {(r.doc_id, k) for r in fuzzy_lines.dropped_lines(df).collect() for k in r.dropped}
         want = brute_lines(docs)
-        assert got == want and want
+        assert got <= want and len(got) >= 0.98 * len(want) > 0
 
 
 def test_edit_limits_equal_the_distance(spark):
@@ -246,19 +264,83 @@ def test_edit_limits_equal_the_distance(spark):
     assert all(r.ok == (edit(r.a, r.b) <= r.m) for r in got)
 
 
-def test_simhash_blocks_find_all_within_distance(spark):
+HAN = "天地玄黄宇宙洪荒日月盈昃辰宿列张寒来暑往秋收冬藏闰余成岁律吕调阳云腾致雨露结为霜金生丽水玉出昆冈剑号巨阙珠称夜光果珍李柰菜重芥姜"
+
+
+def edited(rng, line, words):
+    """A line with a twentieth of its words, one at least, put in, left out, replaced or mistyped."""
+    w = line.split(" ")
+    for _ in range(max(1, len(w) // 20)):
+        k, r = rng.randrange(len(w)), rng.random()
+        if r < 0.5 or len(w[k]) > 20:
+            i = rng.randrange(len(w[k]))
+            w[k] = w[k][:i] + rng.choice("qxzk" if w[k].isascii() else HAN) + w[k][i + 1:]
+        elif r < 0.7:
+            w[k] = rng.choice(words)
+        elif r < 0.85:
+            w.insert(k, rng.choice(words))
+        else:
+            w.pop(k)
+    return " ".join(w)
+
+
+def test_recall_of_near_lines_by_length(spark):
+    """At least nine of ten lines that edit similarity alone would drop, in each class of length."""
+    rng = random.Random(4)
+    texts = [r.text for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").collect()]
+    lines = sorted({x.decode() for t in texts for x in fuzzy_lines.normal_lines(t)})
+    words = sorted({w for x in lines for w in x.split()})
+    classes = {(5, 9): [], (10, 19): [], (20, 39): [], (40, 400): []}
+    for x in rng.sample(lines, len(lines)):
+        for (lo, hi), of in classes.items():
+            if lo <= len(x.split()) <= hi and len(of) < 120:
+                of.append(x)
+    classes["han"] = ["".join(rng.choices(HAN, k=rng.randint(12, 60))) for _ in range(120)]
+    docs, kind = [], {}
+    for name, of in classes.items():
+        for x in of:
+            for line in (x, edited(rng, x, words)):
+                kind[len(docs)] = name
+                docs.append((len(docs), line))
+    want = {i for i, _ in brute_lines(docs)}
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {r.doc_id for r in fuzzy_lines.dropped_lines(df).collect()}
+    assert got <= want
+    recall = {c: len([i for i in got if kind[i] == c]) / len([i for i in want if kind[i] == c]) for c in classes}
+    print("recall by words in a line:", recall)
+    assert all(len([i for i in want if kind[i] == c]) > 50 for c in classes)
+    assert min(recall.values()) >= 0.9
+
+
+def test_one_edit_leaves_a_block_of_short_lines():
     rng = random.Random(1)
-    pairs = []
-    for _ in range(200):
-        a, b = rng.getrandbits(64), 0
-        b = a
-        for bit in rng.sample(range(64), fuzzy_lines.DISTANCE):
-            b ^= 1 << bit
-        pairs.append(tuple(x - (1 << 64) if x >> 63 else x for x in (a, b)))
-    df = spark.createDataFrame([(i, *p) for i, p in enumerate(pairs)], "i long, a long, b long")
-    x, y = (fuzzy_lines.block_rows(df.select("i", F.col(c).alias("simhash"))).alias(c) for c in "ab")
-    same = (F.col("a.i") == F.col("b.i")) & (F.col("a.block") == F.col("b.block"))
-    assert x.join(y, same).select("a.i").distinct().count() == len(pairs)
+    for n in range(5, 11):
+        for _ in range(50):
+            a = [f"{rng.choice('abcdef')}w{rng.randrange(500)}" for _ in range(n)]
+            b = list(a)
+            k = rng.randrange(n)
+            b[k:k + rng.randint(0, 1)] = ["changed"][:rng.randint(0, 1)] if n > 5 else ["changed"]
+            if len(b) > fuzzy_lines.SHORT:
+                continue
+            lines = [" ".join(x).encode() for x in (a, b)]
+            _, _, blocks = fuzzy_lines.line_hashes(lines, np.array([len(a), len(b)]))
+            x, y = blocks.to_pylist()
+            assert set(x) & set(y)
+
+
+def test_lines_of_scripts_without_spaces(spark):
+    docs = [(0, HAN[:30]), (1, HAN[:30]), (2, "天" + HAN[1:29] + "。"), (3, HAN[30:60]), (4, "ภาษาไทยไม่มีช่องว่างระหว่างคำ"),
+            (5, "ภาษาไทยไม่มีช่องว่างระหว่างคำ"), (6, HAN[:4]), (7, HAN[:4])]
+    out = fuzzy_lines.dropped_lines(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert {r.doc_id for r in out} == {1, 2, 5}
+
+
+def test_fuzzy_line_names(spark):
+    docs = brute.edge_table(spark)
+    for name in ("doc", "of_id", "of_hash", "text_hash", "__id", "line", "node"):
+        docs = docs.withColumn(name, F.lit(name))
+    rows = fuzzy_lines.dedup_lines(docs).drop("dropped")
+    assert rows.columns == docs.columns and all(r.doc == "doc" and r.of_id == "of_id" for r in rows.collect())
 
 
 def test_fuzzy_line_edges(spark):
@@ -266,7 +348,9 @@ def test_fuzzy_line_edges(spark):
     out = fuzzy_lines.dedup_lines(docs).collect()
     assert len(out) == docs.count()
     texts = {r.doc_id: r.text for r in out if r.doc_id is not None}
-    assert texts[1] == brute.SENTENCE and texts[2] == "" and texts[3] is None and texts[4] == ""
+    # The null id orders first, so its near copy of the sentence is the one that stays.
+    assert brute.SENTENCE + " again" in [r.text for r in out if r.doc_id is None]
+    assert texts[1] == texts[2] == "" and texts[3] is None and texts[4] == ""
     assert texts[10] == "one\ntwo\n" and texts[6] == brute.LONG
     assert fuzzy_lines.dedup_lines(brute.table(spark, [])).count() == 0
     rows = QUERIES["op8_fuzzy_lines"](spark, SF_SMALL).collect()
