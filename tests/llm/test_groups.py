@@ -314,7 +314,7 @@ def test_recall_of_near_lines_by_length(spark):
 
 def test_one_edit_leaves_a_block_of_short_lines():
     rng = random.Random(1)
-    for n in range(5, 11):
+    for n in range(5, 20):
         for _ in range(50):
             a = [f"{rng.choice('abcdef')}w{rng.randrange(500)}" for _ in range(n)]
             b = list(a)
