@@ -139,15 +139,14 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, size: int = WINDOW,
     total = items.agg(F.sum(F.regexp_count("text", F.lit(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")))).first()[0] or 0
     chunks = max(1, -(-int(total) // chunk_words))
     chunk = F.pmod(F.xxhash64("item_id", "text"), F.lit(chunks))
-    out, parts = docs, []
+    out, parts = docs.select(F.struct("*").alias("doc"), "text"), []
     for c in range(chunks):
         rows = [(r.item_id, r.text) for r in items.where(chunk == c).toLocalIterator()]
-        parts.append(f"__scan_{c}")
+        parts.append(f"scan_{c}")
         out = out.withColumn(parts[-1], scan_column(spark, rows, size)("text"))
     hits = F.flatten(F.array(*[F.col(p)["hits"] for p in parts]))
-    return out.withColumn(into, F.struct(
-        F.col(parts[0])["n_words"].alias("n_words"), covered(hits).alias("n_hit"),
-        hits.alias("hits"))).drop(*parts)
+    return out.select(*[F.col("doc")[c].alias(c) for c in docs.columns if c != into], F.struct(
+        F.col(parts[0])["n_words"].alias("n_words"), covered(hits).alias("n_hit"), hits.alias("hits")).alias(into))
 
 
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

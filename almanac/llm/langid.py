@@ -7,9 +7,16 @@ the language with the largest. Piece probabilities come from expected counts
 (forward-backward) over the labelled training texts.
 
 Words are runs of letters in lower case, each with the vocabulary's word mark in
-front, cut every ``MAX_WORD`` letters; whole texts are scored. Words repeat, so a
+front; whole words and whole texts are scored, the forward table being rescaled along
+long words (in the fit alone, words are cut every ``MAX_WORD`` letters). Words repeat, so a
 task segments each distinct word once, for many words at a time in numpy.
 
+The posterior says which learned language is likeliest, never whether any is. For that
+``fit``, the log probability per letter, is held against the mean of the predicted
+language's training words: ``known`` is false where it is over ``MOST_UNLIKE`` times that, and
+``SHORT_SLACK`` / sqrt(letters) more, since few letters vary much. In prose of the learned
+languages it is 1.0 to 1.6 times, in random letters, base64 and other languages 2.4 to 4.
+
 Size: the model is (pieces of the vocabulary) x (learned languages) numbers, set
 by the vocabulary file and not by the documents. It is fitted on about
 ``per_language`` training documents of each language, chosen by a hash of
@@ -38,7 +45,9 @@ from .common import read, written
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 PER_LANGUAGE = 4000
 EM_STEPS = 2
-MAX_WORD = 40
+MAX_WORD = 40            # letters; words of the training texts only
+RESCALE = 32             # letters after which the forward table is rescaled
+MOST_UNLIKE, SHORT_SLACK = 2.0, 4.0
 MARK = "▁"          # word mark of the vocabulary
 RARE = 1e-6              # probability of a character that is no piece, and floor of all pieces
 KNOWN_WORDS = 500_000    # words whose scores a task remembers at once
@@ -46,14 +55,14 @@ LETTERS = re.compile(r"[^\W\d_]+")
 BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
-def words_in(text: str | None) -> Iterator[list[str]]:
-    """Lists of the text's words, of bounded length."""
+def words_in(text: str | None, most: int | None = None) -> Iterator[list[str]]:
+    """Lists, of bounded length, of the text's words, cut every ``most`` letters if that is given."""
     found = (m.group() for m in LETTERS.finditer(text.lower())) if text else iter(())
     while words := list(islice(found, 100_000)):
         if not any(c.isalpha() for w in words for c in w):      # fractions and the like only
             continue
-        if max(map(len, words)) > MAX_WORD:
-            words = [w[i:i + MAX_WORD] for w in words for i in range(0, len(w), MAX_WORD)]
+        if most and max(map(len, words)) > most:
+            words = [w[i:i + most] for w in words for i in range(0, len(w), most)]
         yield words
 
 
@@ -72,6 +81,7 @@ class Lattice:
         self.hashes = np.array(sorted(prefix), dtype=np.uint64)
         self.piece = np.array([prefix[int(h)] for h in self.hashes], dtype=np.int32)
         self.n = len(pieces)
+        self.longest = max(map(len, pieces), default=1)
 
     def arcs(self, codes: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
         """(start, end, rows, pieces) of all pieces in equally long words, by start."""
@@ -112,9 +122,14 @@ def log_likelihoods(lattice: Lattice, p: np.ndarray, words: list[str]) -> np.nda
         for of, codes in by_length(words):
             forward = np.zeros((codes.shape[1] + 1, len(of), p.shape[1]))
             forward[0] = 1
+            scale, scaled = np.zeros((len(of), 1)), 0
             for start, end, rows, piece in lattice.arcs(codes):
+                if start >= scaled + RESCALE:    # all that leads to here is summed up
+                    most, scaled = forward[start].max(1, keepdims=True), start
+                    forward[start:start + lattice.longest + 1] /= most
+                    scale += np.log(most)
                 forward[end][rows] += forward[start][rows] * p[piece]
-            out[of] = np.log(forward[-1])
+            out[of] = np.log(np.maximum(forward[-1], np.finfo(float).tiny)) + scale
     return out
 
 
@@ -153,10 +168,11 @@ def pieces_of(vocabulary: str) -> list[str]:
 
 
 class LanguageModel:
-    """Fitted piece probabilities: languages (sorted), pieces, (pieces + 1) x languages."""
+    """Fitted piece probabilities: languages (sorted), pieces, (pieces + 1) x languages; and the mean
+    log probability per letter of each language's training words."""
 
-    def __init__(self, languages: list[str], pieces: list[str], p: np.ndarray):
-        self.languages, self.pieces, self.p = languages, pieces, p
+    def __init__(self, languages: list[str], pieces: list[str], p: np.ndarray, typical: np.ndarray):
+        self.languages, self.pieces, self.p, self.typical = languages, pieces, p, typical
 
 
 def fit(docs: DataFrame, *, vocabulary: str = VOCABULARY, per_language: int = PER_LANGUAGE,
@@ -167,7 +183,7 @@ def fit(docs: DataFrame, *, vocabulary: str = VOCABULARY, per_language: int = PE
     sizes = {r.lang: r.n for r in usable.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     pieces, languages = pieces_of(vocabulary), sorted(sizes)
     if not languages:
-        return LanguageModel([], pieces, np.zeros((len(pieces) + 1, 0)))
+        return LanguageModel([], pieces, np.zeros((len(pieces) + 1, 0)), np.zeros(0))
     share = F.element_at(F.create_map(*chain.from_iterable(
         (F.lit(k), F.lit(min(1.0, per_language / n))) for k, n in sizes.items())), F.col("lang"))
     draw = F.pmod(F.xxhash64("doc_id", F.lit("fit")), F.lit(1 << 30)) / float(1 << 30)
@@ -176,7 +192,7 @@ def fit(docs: DataFrame, *, vocabulary: str = VOCABULARY, per_language: int = PE
         for batch in batches:
             seen: dict[tuple[str, str], int] = {}
             for text, lang in zip(batch.text, batch.lang, strict=True):
-                for words in words_in(text):
+                for words in words_in(text, MAX_WORD):
                     for w in words:
                         seen[lang, w] = seen.get((lang, w), 0) + 1
             yield pd.DataFrame({"lang": pd.Series([k[0] for k in seen], dtype=object),
@@ -211,7 +227,22 @@ def fit(docs: DataFrame, *, vocabulary: str = VOCABULARY, per_language: int = PE
         p = np.round(p, 3)                   # sums may differ in their last digits between runs
         p[-1] = 0
         p = np.maximum(p / np.maximum(p.sum(0), 1), RARE)
-    return LanguageModel(languages, pieces, p)
+    shared = spark.sparkContext.broadcast((pieces, languages, p))
+
+    def unlikely(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        pieces, languages, p = shared.value
+        lattice = Lattice(pieces)
+        for batch in batches:
+            words, n = list(batch.word), batch.n.to_numpy(float)
+            own = batch.lang.map({x: k for k, x in enumerate(languages)}).to_numpy()
+            log = log_likelihoods(lattice, p, words)[np.arange(len(words)), own]
+            yield pd.DataFrame({"k": own, "log": n * log, "letters": n * np.array([len(w) for w in words], float)})
+
+    typical = np.full(len(languages), -np.inf)      # of a language without a word: nothing is unlike it
+    for r in (counts.mapInPandas(unlikely, "k long, log double, letters double").groupBy("k")
+              .agg(F.sum("log").alias("log"), F.sum("letters").alias("letters")).toLocalIterator()):
+        typical[r.k] = round(r.log / r.letters, 6)
+    return LanguageModel(languages, pieces, p, typical)
 
 
 class WordScores:
@@ -234,7 +265,7 @@ class WordScores:
 
 
 def text_scores(scores: WordScores, texts: list[str | None], at_once: int = 200_000):
-    """(number of words, sum of word scores per language) of each text."""
+    """(number of letters, sum of word scores per language) of each text."""
     count = np.zeros(len(texts), np.int64)
     total = np.zeros((len(texts), scores.p.shape[1]))
     pending: list[tuple[int, list[str]]] = []
@@ -250,7 +281,7 @@ def text_scores(scores: WordScores, texts: list[str | None], at_once: int = 200_
     for i, text in enumerate(texts):
         for words in words_in(text):
             pending.append((i, words))
-            count[i] += len(words)
+            count[i] += sum(map(len, words))
             held += len(words)
             if held >= at_once:
                 flush()
@@ -260,26 +291,34 @@ def text_scores(scores: WordScores, texts: list[str | None], at_once: int = 200_
 
 
 def predict(model: LanguageModel, text: Column, spark: SparkSession) -> Column:
-    """Struct (lang_pred, score); the score is the posterior under equal priors."""
-    shared = spark.sparkContext.broadcast((model.languages, model.pieces, model.p))
+    """Struct (lang_pred, score, fit, known).
+
+    The score is the posterior under equal priors; ``fit`` is the log probability per letter under the
+    predicted language, and ``known`` whether that is like the language's own.
+    """
+    shared = spark.sparkContext.broadcast((model.languages, model.pieces, model.p, model.typical))
 
-    @F.pandas_udf("lang_pred string, score double")
+    @F.pandas_udf("lang_pred string, score double, fit double, known boolean")
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        languages, pieces, p = shared.value
+        languages, pieces, p, typical = shared.value
         scores = WordScores(pieces, p)
         for batch in batches:
             names, values = np.full(len(batch), "und", dtype=object), np.zeros(len(batch))
+            fit, known = np.full(len(batch), -np.inf), np.zeros(len(batch), bool)
             if languages:
                 count, total = text_scores(scores, [t if isinstance(t, str) else None for t in batch])
                 some = np.flatnonzero(count)
-                names[some] = np.array(languages, dtype=object)[total[some].argmax(1)]
+                best = total[some].argmax(1)
+                names[some] = np.array(languages, dtype=object)[best]
                 values[some] = 1 / np.exp(total[some] - total[some].max(1, keepdims=True)).sum(1)
-            yield pd.DataFrame({"lang_pred": pd.Series(names, dtype=object), "score": values})
+                fit[some] = total[some].max(1) / count[some]
+                known[some] = fit[some] >= MOST_UNLIKE * typical[best] - SHORT_SLACK / np.sqrt(count[some])
+            yield pd.DataFrame({"lang_pred": pd.Series(names, dtype=object), "score": values, "fit": fit, "known": known})
     return score(text)
 
 
 def identify(docs: DataFrame, model: LanguageModel, into: str = "language") -> DataFrame:
-    """``docs`` with the struct column ``into`` (in place of one of this name): lang_pred and score."""
+    """``docs`` with the struct column ``into`` (in place of one of this name): lang_pred, score, fit, known."""
     return docs.withColumn(into, predict(model, F.col("text"), docs.sparkSession))
 
 

@@ -291,11 +291,12 @@ def keep_one(docs: DataFrame, *, size: int = 5, percent: int = 80) -> DataFrame:
     empty = F.col("near.n_shingles") == 0
     stays = near.groupBy("near.component", F.when(empty, F.col("doc_id")).alias("empty_id"),
                          F.when(empty, F.col("text_hash")).alias("empty_hash")).agg(
-        F.min("doc_id").alias("__id"), F.min("text_hash").alias("__hash")).select("__id", "__hash")
-    hashed = docs.withColumn("__text_hash", F.xxhash64("text"))
-    same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__text_hash") == F.col("__hash"))
-    once = hashed.join(stays.distinct().hint("shuffle_hash"), same, "left_semi")
-    return once.dropDuplicates(["doc_id", "__text_hash"]).drop("__text_hash")
+        F.min("doc_id").alias("kept_id"), F.min("text_hash").alias("kept_hash")).select("kept_id", "kept_hash")
+    rows = docs.select(F.struct("*").alias("doc"), F.col("doc_id").alias("of_id"), F.xxhash64("text").alias("of_hash"))
+    same = F.col("of_id").eqNullSafe(F.col("kept_id")) & (F.col("of_hash") == F.col("kept_hash"))
+    once = rows.join(stays.distinct().hint("shuffle_hash"), same, "left_semi")
+    # Rows equal in id and text: the smallest in the order of the columns.
+    return once.groupBy("of_id", "of_hash").agg(F.min("doc").alias("doc")).select("doc.*")
 
 
 def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

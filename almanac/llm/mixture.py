@@ -17,9 +17,10 @@ third of all rows is dealt over ``SALTS`` keys.
 
 Edge cases: a null text has size 0 and is never copied beyond what its source's
 rate says (it takes 0 words either way); a source whose size is 0 gets target 0
-and rate 0; null sources form one source; repeated rows each count and, having
-equal ids and texts, draw the same copy; an empty table gives an empty result;
-other columns stay.
+and rate 0; null sources form one source; the draw is of (id, hash of the text), so texts
+under a null or repeated id draw apart, and repeated rows, equal in both, each count and
+draw the same copy; an empty table gives an empty result; other columns stay, whatever
+their names.
 """
 
 from __future__ import annotations
@@ -38,9 +39,15 @@ SEED = "mix-1"
 SALTS = 32
 
 
-def bernoulli(doc_id: Column, seed: str, p: Column) -> Column:
-    """1 with probability ``p``, fixed by ``doc_id`` and ``seed``; else 0."""
-    head = F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), F.lit("null")))), 1, 8)
+def draw_key(doc_id: Column, text: Column) -> Column:
+    """What a document's draw is seeded with: its id and, as ids may be null or repeat, its text."""
+    none = F.lit("null")
+    return F.concat(F.coalesce(doc_id.cast("string"), none), F.lit(":"), F.coalesce(F.md5(text), none))
+
+
+def bernoulli(key: Column, seed: str, p: Column) -> Column:
+    """1 with probability ``p``, fixed by ``key`` and ``seed``; else 0."""
+    head = F.substring(F.md5(F.concat(F.lit(f"{seed}:"), key)), 1, 8)
     return F.when(F.conv(head, 16, 10).cast("double") / F.lit(4294967296.0) < p, 1).otherwise(0).cast("long")
 
 
@@ -69,50 +76,45 @@ def source_targets(sizes: DataFrame, weights: Sequence[float] = WEIGHTS,
             .select("source", "source_size", "target"))
 
 
-def mix_plan(docs: DataFrame, size: Column, *, weights: Sequence[float] = WEIGHTS,
+def mix_plan(docs: DataFrame, size: Column, key: Column, *, weights: Sequence[float] = WEIGHTS,
              budget: float = BUDGET, max_rate: float = MAX_RATE, seed: str = SEED,
              into: str = "mix") -> DataFrame:
     """``docs`` with a struct column ``into`` (size, source_size, target, copies), in place of one
-    of this name."""
-    sized = docs.withColumn("__size", size).withColumn(
-        "__salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
-    totals = (sized.groupBy("source").agg(F.sum("__size").alias("source_size")))
+    of this name. ``key`` seeds a document's draw."""
+    sized = docs.select(F.struct("*").alias("doc"), F.col("source").alias("of"), size.alias("size"), key.alias("key"),
+                        F.pmod(F.xxhash64(key), F.lit(SALTS)).cast("int").alias("part"))
+    totals = sized.groupBy("of").agg(F.sum("size").alias("source_size")).withColumnRenamed("of", "source")
     targets = written(source_targets(totals, weights, budget, max_rate), "mix-targets").select(
-        F.col("source").alias("__source"), "source_size", "target",
-        F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("__of"))
-    targets = targets.select("__source", "__of", F.struct("source_size", "target").alias("__t"))
-    rate = F.when(F.col("__t.source_size") > 0, F.col("__t.target") / F.col("__t.source_size")).otherwise(F.lit(0.0))
+        "source", "source_size", "target", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     whole = F.floor(rate)
-    copies = whole + bernoulli(F.col("doc_id"), seed, rate - whole)
-    joined = sized.join(targets, F.col("source").eqNullSafe(F.col("__source"))
-                        & (F.col("__salt") == F.col("__of")), "left")
-    return (joined.withColumn(into, F.struct(
-        F.col("__size").alias("size"), F.col("__t.source_size").alias("source_size"),
-        F.col("__t.target").alias("target"), copies.alias("copies")))
-        .drop("__size", "__salt", "__source", "__of", "__t"))
+    joined = sized.join(targets, F.col("of").eqNullSafe(F.col("source")) & (F.col("part") == F.col("salt")), "left")
+    return joined.select(*[F.col("doc")[c].alias(c) for c in docs.columns if c != into], F.struct(
+        "size", "source_size", "target", (whole + bernoulli(F.col("key"), seed, rate - whole)).alias("copies")).alias(into))
 
 
 def mix(docs: DataFrame, **options) -> DataFrame:
     """The mixed table: every document of ``docs`` as often as the mix takes it."""
-    planned = mix_plan(docs, n_words(F.col("text")), into="__mix", **options)
-    taken = planned.where(F.col("__mix.copies") > 0)
-    copies = F.explode(F.sequence(F.lit(1).cast("long"), F.col("__mix.copies")))
-    return taken.withColumn("__copy", copies).drop("__mix", "__copy")
+    rows = docs.select(F.struct("*").alias("row"), "doc_id", "source", "text")
+    planned = mix_plan(rows, n_words(F.col("text")), draw_key(F.col("doc_id"), F.col("text")), **options)
+    copies = F.sequence(F.lit(1).cast("long"), F.col("mix.copies"))
+    return planned.where(F.col("mix.copies") > 0).select("row", F.explode(copies)).select("row.*")
 
 
 def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The share of the mix that every document gets."""
     docs = read(spark, sf_dir, "documents", "doc_id", "source", "text")
     # Texts are read once: sizes are written, and both passes read the narrow table.
-    sizes = written(docs.select("doc_id", "source", n_words(F.col("text")).alias("n")), "mix-sizes")
-    m = mix_plan(sizes, F.col("n"))
+    sizes = written(docs.select("doc_id", "source", n_words(F.col("text")).alias("n"), draw_key(
+        F.col("doc_id"), F.col("text")).alias("draw")), "mix-sizes")
+    m = mix_plan(sizes, F.col("n"), F.col("draw"))
     return m.select("doc_id", F.col("mix.size").alias("size"), F.col("mix.source_size").alias("source_size"),
                     F.col("mix.target").alias("target"), (F.col("mix.size") * F.col("mix.copies")).alias("taken"))
 
 
 OP7_SQL = r"""
 WITH sized AS (
-  SELECT doc_id, source,
+  SELECT doc_id, source, coalesce(CAST(doc_id AS VARCHAR), 'null') || ':' || coalesce(md5(text), 'null') AS draw,
          CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size
   FROM documents),
 per_source AS (
@@ -136,7 +138,7 @@ targets AS (
 rated AS (
   SELECT d.doc_id, d.size, t.source_size, t.target,
          CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0.0 END AS rate,
-         CAST('0x' || substr(md5('mix-1:' || coalesce(CAST(d.doc_id AS VARCHAR), 'null')), 1, 8) AS BIGINT)
+         CAST('0x' || substr(md5('mix-1:' || d.draw), 1, 8) AS BIGINT)
            / 4294967296.0::DOUBLE AS u
   FROM sized d JOIN targets t ON d.source IS NOT DISTINCT FROM t.source)
 SELECT doc_id, size, source_size, target,

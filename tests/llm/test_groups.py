@@ -160,7 +160,8 @@ def test_mix_edges(spark):
     once, twice = mixture.mix(docs), mixture.mix(docs)
     assert once.columns == docs.columns
     assert sorted(once.collect(), key=str) == sorted(twice.collect(), key=str)
-    plan = mixture.mix_plan(docs, mixture.n_words(F.col("text"))).collect()
+    key = mixture.draw_key(F.col("doc_id"), F.col("text"))
+    plan = mixture.mix_plan(docs, mixture.n_words(F.col("text")), key).collect()
     assert len(plan) == docs.count() and all(0 <= r.mix.copies <= 2 for r in plan)
     assert all(r.mix["size"] == len(brute.plain_words(r.text)) for r in plan)
     assert mixture.mix(brute.table(spark, [])).count() == 0
@@ -168,6 +169,38 @@ def test_mix_edges(spark):
     assert named.columns[-1] == "mix" and {r.mix for r in named.collect()} == {"kept"}
 
 
+def test_mix_draws_by_text_under_null_and_repeated_ids(spark):
+    """With a third of the ids null, or all equal, no source is further off its target than without."""
+    docs = spark.read.parquet(f"{SF_CHECK}/documents.parquet")
+    size, key = mixture.n_words(F.col("text")), mixture.draw_key(F.col("doc_id"), F.col("text"))
+
+    def off(df):
+        found = mixture.mix_plan(df, size, key).groupBy("source").agg(
+            (F.sum(F.col("mix.size") * F.col("mix.copies")) / F.first("mix.target")).alias("r")).collect()
+        return {r.source: abs(r.r - 1) for r in found}
+    usual = max(off(docs).values())
+    nulls = docs.withColumn("doc_id", F.when(F.xxhash64("text") % 3 != 0, F.col("doc_id")))
+    assert max(off(nulls).values()) <= usual + 0.1
+    assert max(off(docs.withColumn("doc_id", F.lit(7).cast("long"))).values()) <= usual + 0.1
+
+
+@pytest.mark.parametrize("make", [
+    lambda df: mixture.mix(df), lambda df: minhash.keep_one(df), lambda df: fuzzy_lines.dedup_lines(df).drop("dropped")])
+def test_columns_of_any_name_stay(spark, make):
+    docs = brute.edge_table(spark)
+    for name in ("doc", "row", "of", "part", "salt", "key", "of_id", "of_hash", "kept_id", "__t", "__id", "__size", "__text_hash"):
+        docs = docs.withColumn(name, F.lit(name))
+    rows = make(docs)
+    assert rows.columns == docs.columns
+    assert {(r.doc, r.row, r.of, r.part, r.key, r.of_id) for r in rows.collect()} == {("doc", "row", "of", "part", "key", "of_id")}
+
+
+def test_rows_equal_in_id_and_text_leave_the_smallest(spark):
+    rows = [(1, brute.SENTENCE, lang, source) for lang in ("fr", "en") for source in ("b", "a")] * 3
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    assert [tuple(r) for r in minhash.keep_one(docs).collect()] == [(1, brute.SENTENCE, "en", "a")]
+
+
 # --- 8: fuzzy lines
 
 def links_of(names):

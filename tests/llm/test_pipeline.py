@@ -1,12 +1,16 @@
 """The pipeline's stages, each held against plain Python on its own input."""
 
+import base64
+import random
+
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 import corpus_pipeline
 from almanac.llm.common import written
 
-from ..conftest import SF_SMALL
+from ..conftest import SF_CHECK, SF_SMALL
 from . import brute
 from .test_groups import brute_lines
 
@@ -30,14 +34,28 @@ def test_names_and_columns(outputs):
     assert entry.queries()["pipeline"] is corpus_pipeline.run
 
 
-def test_language_stage_keeps_texts_with_letters(outputs):
-    before, after = outputs["language_id"]
-    kept = {r.doc_id for r in after.collect()}
-    for r in before:
-        if len([c for c in r.text if c.isalpha()]) > 20:
-            assert r.doc_id in kept
-        if not any(c.isalpha() for c in r.text):
-            assert r.doc_id not in kept
+RUSSIAN = "Все люди рождаются свободными и равными в своем достоинстве и правах они наделены разумом и совестью"
+POLISH = "wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw są oni obdarzeni rozumem i sumieniem"
+FINNISH = "kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan heille on annettu järki ja omatunto"
+
+
+def test_language_stage_rejects_what_was_not_learned(spark):
+    """Random letters, base64 and other languages go; clean documents, which the fit never saw, stay."""
+    rng = random.Random(3)
+    docs = spark.read.parquet(f"{SF_CHECK}/documents.parquet")
+    clean = docs.where(F.crc32(F.col("doc_id").cast("string")) % 5 == 0).withColumn("lang", F.lit(None).cast("string"))
+    bad = [" ".join("".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randint(2, 9))) for _ in range(n))
+           for n in (6, 20, 100) for _ in range(15)]
+    bad += [base64.b64encode(rng.randbytes(n)).decode() for n in (40, 200, 2000) for _ in range(15)]
+    bad += [" ".join(rng.sample(x.split(), k)) for x in (RUSSIAN, POLISH, FINNISH) for k in (8, 10, 12) for _ in range(5)]
+    bad += ["", None, "12 34 %%"]
+    added = spark.createDataFrame([(-i - 1, t, None, "s", 0) for i, t in enumerate(bad)], docs.schema)
+    table = docs.join(clean.select("doc_id"), "doc_id", "left_anti").select(*COLUMNS).unionByName(clean).unionByName(added)
+    kept = {r.doc_id for r in corpus_pipeline.language_id(spark, table, SF_CHECK).select("doc_id").collect()}
+    good = {r.doc_id for r in clean.collect() if any(c.isalpha() for c in r.text or "")}
+    assert len(good & kept) >= 0.99 * len(good) > 100
+    assert len([i for i in kept if i < 0]) <= 0.1 * len(bad)
+    assert all(-len(bad) + k not in kept for k in range(3))
 
 
 def test_line_stage(outputs):
@@ -85,7 +103,7 @@ def test_mix_stage(outputs):
 
 def test_edge_rows_pass_and_empty_tables_stay_empty(spark, tmp_path):
     spark.createDataFrame([(1, brute.SENTENCE)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
-    docs = brute.edge_table(spark)
+    docs = brute.edge_table(spark).withColumns({c: F.lit(c) for c in ("row", "language", "scan", "__language", "doc")})
     for name, stage in corpus_pipeline.STAGES:
         empty = stage(spark, docs.where("false"), str(tmp_path))
         assert empty.count() == 0 and empty.columns == docs.columns, name

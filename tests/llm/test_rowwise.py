@@ -228,6 +228,8 @@ def test_numbers_are_no_letters():
 
 def test_long_words_are_scored_whole():
     words = [w for part in langid.words_in("ab" * 100 + " c1d") for w in part]
+    assert words == ["ab" * 100, "c", "d"]
+    words = [w for part in langid.words_in("ab" * 100 + " c1d", langid.MAX_WORD) for w in part]
     assert "".join(words) == "ab" * 100 + "cd" and max(map(len, words)) <= langid.MAX_WORD
 
 
@@ -273,3 +275,23 @@ def test_contamination_edges(spark):
     clean = decontaminate.decontaminate(docs, bench.where("false")).where("scan.n_hit > 0")
     assert clean.count() == 0
     assert decontaminate.decontaminate(docs.where("false"), bench).count() == 0
+
+
+def test_long_words_sum_over_all_segmentations():
+    """A run of 400 letters under every segmentation, by exact fractions; no cut puts a word mark in."""
+    from fractions import Fraction
+    pieces = ["a", "b", "ab", "ba", "aab", langid.MARK, langid.MARK + "a", "abab"]
+    rng = np.random.default_rng(2)
+    p = rng.random((len(pieces) + 1, 2)) * 0.05
+    word = "".join(rng.choice(list("ab"), 400))
+    lattice = langid.Lattice(pieces)
+    got = langid.log_likelihoods(lattice, p, [word])[0]
+    text = langid.MARK + word
+    for k in range(2):
+        forward = [Fraction(1)] + [Fraction(0)] * len(text)
+        for end in range(1, len(text) + 1):
+            for i, x in enumerate(pieces):
+                if text.endswith(x, 0, end) and end >= len(x):
+                    forward[end] += forward[end - len(x)] * Fraction(p[i, k])
+        want = math.log(forward[-1].numerator) - math.log(forward[-1].denominator)
+        assert abs(got[k] - want) < 1e-6 * abs(want)
