@@ -4,7 +4,8 @@
 returns a DataFrame, which is written as Parquet and read as the next one's
 ``docs``. All but the last return the columns of ``documents``. ``run`` applies them
 to the whole table. No stage has limits of its own; each works on all rows that the
-one before it kept. An empty table passes through every stage.
+one before it kept, and keeps all of its columns, whatever their names. An empty table
+passes through every stage.
 
 SQL can't express language models, similarity groups or the automaton, so
 ``ORACLE_SQL`` is None and tests hold the stages against brute force.
@@ -18,14 +19,12 @@ from pyspark.sql import functions as F
 from almanac.llm import decontaminate, fuzzy_lines, langid, minhash, mixture
 from almanac.llm.common import read, written
 
-MIN_SCORE = 0.5
-
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is known: those without a letter, or undecided, go (operator 9)."""
-    found = langid.identify(docs, langid.fit(docs), into="__language")
-    return found.where((F.col("__language.lang_pred") != "und")
-                       & (F.col("__language.score") >= MIN_SCORE)).drop("__language")
+    """Documents in a language learned from the table's labels (operator 9): those without a letter go, and
+    those whose letters are unlike the text of every learned language."""
+    found = langid.identify(docs.select(F.struct("*").alias("row"), "text"), langid.fit(docs), into="language")
+    return found.where((F.col("language.lang_pred") != "und") & F.col("language.known")).select("row.*")
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,12 +32,11 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     ``n_chars`` follows the text where lines went.
     """
-    out = fuzzy_lines.dedup_lines(docs, into="__dropped")
-    changed = F.size("__dropped") > 0
-    has_word = F.col("text").rlike(r"[^\x20\x09-\x0D]")
-    return (out.where(~changed | has_word)
-            .withColumn("n_chars", F.when(changed, F.length("text").cast("long")).otherwise(F.col("n_chars")))
-            .drop("__dropped"))
+    rows = fuzzy_lines.dedup_lines(docs.select(F.struct("*").alias("row"), "doc_id", "text"), into="dropped")
+    changed = F.size("dropped") > 0
+    kept = rows.where(~changed | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
+    new = {"text": F.col("text"), "n_chars": F.when(changed, F.length("text").cast("long")).otherwise(F.col("row.n_chars"))}
+    return kept.select(*[new.get(c, F.col("row")[c]).alias(c) for c in docs.columns])
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,8 +47,8 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which no ten-word window of the benchmark stands (operator 10)."""
     benchmark = read(spark, sf_dir, "benchmark", "item_id", "text")
-    found = decontaminate.decontaminate(docs, benchmark, into="__scan")
-    return found.where(F.col("__scan.n_hit") == 0).drop("__scan")
+    rows = docs.select(F.struct("*").alias("row"), "text")
+    return decontaminate.decontaminate(rows, benchmark, into="scan").where(F.col("scan.n_hit") == 0).select("row.*")
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,3 +1,7 @@
+import os
+import subprocess
+import sys
+
 import __spark_entry__ as entry
 from almanac.plans import QUERIES
 
@@ -22,3 +26,12 @@ def test_queries_build_on_small_data(spark):
     qs = entry.queries()
     for name in ("q_week_list", "q_tag_top", "q_cosine_topk", "q_bm25", "q_table_values"):
         assert qs[name](spark, SF_SMALL).count() > 0
+
+
+def test_queries_stay_when_the_optional_subpackage_cannot_be_imported():
+    """A package that only the optional subpackage needs is missing: the library's queries are all there."""
+    code = ("import sys\n"
+            "for name in ('ahocorasick', 'zstandard', 'almanac.llm'): sys.modules[name] = None\n"
+            "import __spark_entry__ as e\n"
+            "assert set(e.QUERIES) == set(e.queries()) and len(e.queries()) >= 83")
+    subprocess.run([sys.executable, "-c", code], check=True, cwd=os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
