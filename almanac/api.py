@@ -41,7 +41,7 @@ class Archive:
         ``split_on_read`` spreads a very large single file over many tasks
         (see :func:`almanac.sources.markdown.read_sections`)."""
         sections = markdown.read_sections(spark, path, glob, split_on_read=split_on_read)
-        rows = sinks.farm_rows(sections, tag_sets)
+        rows = sinks.farm_rows(sections, tag_sets, sinks.below(path))
         rows = vectors.encode(rows, "embed_text", encoder_factory, dim)
         return cls(rows)
 

@@ -684,16 +684,6 @@ SELECT CAST(to_json(struct_pack(id := week_range, year := substring(week_range,
 FROM w
 """
 
-# V6: the nearest vectors lie in the probed cells, so the approximate top 10 must
-# equal the exact one.
-SQL["q_ann_topk"] = """
-WITH q AS (SELECT CAST(embedding AS DOUBLE[]) AS q FROM embeddings WHERE vec_id = 0),
-v AS (SELECT vec_id, list_transform(list_zip(CAST(embedding AS DOUBLE[]), (SELECT q FROM q)),
-             lambda p: p[2] + p[1] * (vec_id / 30.0::DOUBLE)) AS v FROM embeddings),
-s AS (SELECT vec_id, list_cosine_similarity(v, (SELECT q FROM q)) AS s FROM v)
-SELECT vec_id, round(s, 5) AS score FROM s ORDER BY s DESC NULLS LAST, vec_id LIMIT 10
-"""
-
 # V1: hashed features cannot be rebuilt in SQL; check what must hold: one row
 # per document, the fixed dimension, and unit length whenever the text has a token.
 SQL["q_encode"] = """

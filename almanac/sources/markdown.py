@@ -62,25 +62,40 @@ def path_exists(spark: SparkSession, pattern: str) -> bool:
 
 
 def read_files(spark: SparkSession, path: str, glob: str = "*.md",
-               recursive: bool = True) -> DataFrame:
+               recursive: bool = True, skip_damaged: bool = False) -> DataFrame:
     """One row per file: (file, text), line endings normalised (T5).
-    Unreadable files are skipped (``ignoreCorruptFiles``)."""
+
+    A file that can't be read fails the job; with ``skip_damaged`` it is left out, and
+    ``damaged_files`` lists it."""
     # format("text").load(): DataFrameReader.text() would reset wholetext.
     raw = (spark.read.format("text").option("wholetext", True)
            .option("pathGlobFilter", glob)
            .option("recursiveFileLookup", recursive)
-           .option("ignoreCorruptFiles", True)
+           .option("ignoreCorruptFiles", skip_damaged)
            .load(path))
     return raw.select(F.col("_metadata.file_path").alias("file"),
                       normalize_newlines("value").alias("text"))
 
 
+def damaged_files(spark: SparkSession, path: str, glob: str = "*.md", recursive: bool = True) -> DataFrame:
+    """(file) of the files under ``path`` that ``skip_damaged`` leaves out.
+
+    Names come from a listing that opens no file, and what can be read from a read of all."""
+    listed = (spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", recursive)
+              .load(path).select(F.col("path").alias("file")))
+    read = read_files(spark, path, glob, recursive, skip_damaged=True).select("file", F.length("text").alias("n"))
+
+    def key(column):
+        return F.regexp_replace(F.url_decode(F.replace(column, F.lit("+"), F.lit("%2B"))), "^[a-z][a-z0-9+.-]*:/*", "")
+    return listed.join(read, key(listed["file"]) == key(read["file"]), "left_anti")
+
+
 def bulletin_dir_files(spark: SparkSession, directory: str, glob: str = "*.md") -> DataFrame:
     """Prefer ``<dir>/json_con/<glob>``, else ``<dir>/<glob>`` (path choice on the driver)."""
     preferred = f"{directory.rstrip('/')}/json_con"
     if path_exists(spark, f"{preferred}/{glob}"):
-        return read_files(spark, preferred, glob, recursive=False)
-    return read_files(spark, directory, glob, recursive=False)
+        return read_files(spark, preferred, glob, recursive=False, skip_damaged=True)
+    return read_files(spark, directory, glob, recursive=False, skip_damaged=True)
 
 
 def split_sections(files: DataFrame) -> DataFrame:

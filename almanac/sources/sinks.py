@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..operators.tags import TAG_SETS, tag_columns
 from ..functions.text import embed_text, tag_search_range
@@ -22,19 +24,29 @@ def write_json_lines(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     df.write.mode(mode).json(path)
 
 
-# What a stored section is known by, whatever folder its file is in and wherever
-# in the file it stands.
+# What a stored section is known by, wherever in its file it stands. ``file_name`` is the
+# path below the archive's root, so equal names in two folders are two files and the
+# whole archive can be moved.
 IDENTITY = ("file_name", "title", "occurrence")
 
 
+def below(root: str, file: str = "file") -> Column:
+    """The part of a file's path below ``root``, or its name where it isn't below it (a root that is a file)."""
+    folder = "/" + re.sub(r"^[a-z][a-z0-9+.-]*:/*", "", root).strip("/") + "/"
+    path = F.concat(F.lit("/"), F.regexp_replace(F.url_decode(F.replace(F.col(file), F.lit("+"), F.lit("%2B"))),
+                                                 "^[a-z][a-z0-9+.-]*:/*", ""))
+    return F.when(F.instr(path, folder) > 0, F.substring_index(path, folder, -1)).otherwise(F.substring_index(path, "/", -1))
+
+
 def identified(sections: DataFrame, file_name: Column | None = None) -> DataFrame:
     """Sections with ``file_name``, ``occurrence``, ``id`` and ``version``.
 
-    A section is known by its file's name, its header line and its number among
-    equal headers of that file, so new sections, moved folders and either
-    way of reading leave it alone; ``id`` hashes that identity. ``version`` is a hash of
-    the body, by which a corrected section shows. ``file_name`` is an expression over
-    ``file``, by default the name without its folders."""
+    A section is known by its file, its header line and its number among equal headers
+    of that file, so new sections and either way of reading leave it alone; ``id`` hashes
+    that identity. ``version`` is a hash of the body, by which a corrected section shows.
+    ``file_name`` is an expression over ``file``, by default the name without its folders;
+    where several folders may have files of one name, give ``below(root)`` or a name of
+    the source's own."""
     order = Window.partitionBy("year", "month", "file_name", "title").orderBy("file", "section_order")
     name = F.regexp_extract("file", r"([^/]*)\z", 1) if file_name is None else file_name
     named = sections.withColumn("file_name", name)
@@ -76,8 +88,10 @@ def ingest(spark: SparkSession, rows: DataFrame, path: str, partition_by=("year"
     has now, which appending doesn't change. ``enrich`` adds columns (tags, vectors) to
     the rows that are written, and to no others."""
     parts, keys = list(partition_by), [*partition_by, *IDENTITY]
-    if path_exists(spark, path):
-        stored = (spark.read.parquet(path).groupBy(*keys)
+    # A write that died before its first file left a folder without data files.
+    if path_exists(spark, f"{path}/{parts[0]}=*"):
+        stored = (spark.read.schema(stored_schema(rows, parts)).option("basePath", path).parquet(f"{path}/{parts[0]}=*")
+                  .groupBy(*keys)
                   .agg(F.max_by("version", "revision").alias("_stored"), F.max("revision").alias("_revision")))
         same = [rows[k].eqNullSafe(stored[k]) for k in keys]
         batch = rows.join(stored, reduce(lambda a, b: a & b, same), "left").select(
@@ -93,8 +107,16 @@ def ingest(spark: SparkSession, rows: DataFrame, path: str, partition_by=("year"
     return int(seen.get["rows"])
 
 
+def stored_schema(rows: DataFrame, parts: list[str]) -> T.StructType:
+    """What ``ingest`` needs of the stored table, stated so that nothing is inferred from its files."""
+    kinds = {c: rows.schema[c].dataType for c in (*IDENTITY, "version", *parts)}
+    return T.StructType([*[T.StructField(c, k) for c, k in kinds.items()], T.StructField("revision", T.IntegerType())])
+
+
 def current(spark: SparkSession, path: str, partition_by=("year", "month")) -> DataFrame:
     """The stored table with each section in its last revision."""
-    stored, keys = spark.read.parquet(path), [*partition_by, *IDENTITY]
+    # Only the partitions' folders: what a failed write left beside them doesn't count.
+    stored = spark.read.option("basePath", path).parquet(f"{path}/{list(partition_by)[0]}=*")
+    keys = [*partition_by, *IDENTITY]
     last = stored.groupBy(*keys).agg(F.max("revision").alias("revision"))
     return stored.join(last, [*keys, "revision"], "left_semi")

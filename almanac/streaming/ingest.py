@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..functions.text import normalize_newlines
 from ..operators.vectors import encode
 from ..sources.markdown import split_sections
-from ..sources.sinks import ingest, section_rows, tagged
+from ..sources.sinks import below, ingest, section_rows, tagged
 
 
 def file_stream(spark: SparkSession, src_dir: str, glob: str = "*.md") -> DataFrame:
@@ -29,7 +29,7 @@ def run_ingest(spark: SparkSession, src_dir: str, table_dir: str, checkpoint: st
     """Start the stream; with ``available_now`` it processes what is there and stops.
     Rows are tagged and encoded as ``Archive.from_markdown`` does, into the same table."""
     def write_batch(batch: DataFrame, epoch_id: int) -> None:
-        ingest(batch.sparkSession, section_rows(split_sections(batch)), table_dir,
+        ingest(batch.sparkSession, section_rows(split_sections(batch), below(src_dir)), table_dir,
                enrich=lambda rows: encode(tagged(rows), "embed_text", encoder_factory, dim))
 
     writer = (file_stream(spark, src_dir, glob).writeStream

@@ -2,6 +2,7 @@
 
 import pytest
 
+from almanac.operators.tags import PARTICLES, TAG_SETS
 from almanac.plans import QUERIES
 from almanac.plans.cases import case_bulletins
 from pyspark.sql import functions as F
@@ -48,3 +49,36 @@ def test_tags_special_characters_and_sections(spark, total):
     assert years == {2023, 2024, 2025}
     assert case_bulletins(spark, SF_CHECK).filter(~F.col("year").isin(2023, 2024, 2025)).count() > 0
     assert all(r["tag"] for r in rows(spark, "q_tag_list_cases"))
+
+
+def plain_tags(text, tags):
+    """Tags found from left to right, without overlap: at each place one-character tags that stand
+    alone or with a particle come before longer ones, each in the dictionary's order."""
+    def hangul(i):
+        return 0 <= i < len(text) and "\uac00" <= text[i] <= "\ud7a3"
+    found, at = set(), 0
+    while at < len(text):
+        stop = None
+        for t in (t for t in tags if len(t) == 1):
+            ends = [at + 1 + len(p) for p in PARTICLES if text.startswith(p, at + 1)] + [at + 1]
+            free = [e for e in ends if not hangul(e)]
+            if text[at] == t and not hangul(at - 1) and free:
+                found.add(t)
+                stop = free[0]
+                break
+        for t in () if stop else (t for t in tags if len(t) > 1):
+            if text.startswith(t, at):
+                found.add(t)
+                stop = at + len(t)
+                break
+        at = stop or at + 1
+    return ", ".join(sorted(found))
+
+
+def test_tags_of_all_rows_equal_plain_python(spark, total):
+    texts = {r["id"]: r["content_md"] for r in case_bulletins(spark, SF_CHECK).select("id", "content_md").collect()}
+    found = rows(spark, "q_tags_extract_cases")
+    assert len(found) == total
+    for r in found:
+        for cls, tags in TAG_SETS.items():
+            assert (r[f"tags_{cls}"] or "") == plain_tags(texts[r["id"]] or "", tags)

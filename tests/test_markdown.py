@@ -155,3 +155,53 @@ def test_flat_rows_equal_flattened_map(spark):
     a = sorted(map(tuple, wk.flatten_weeks(wk.to_weeks(secs)).collect()))
     b = sorted(map(tuple, wk.flat_week_rows(secs).collect()))
     assert a == b and len(a) == 4
+
+
+def test_files_of_one_name_in_two_folders_are_two(spark):
+    """Identity is the path below the root: ingested one after the other, neither replaces the other; a moved root is the same."""
+    import shutil
+
+    from almanac.api import Archive
+    from almanac.session import scratch_path
+    root = tempfile.mkdtemp(prefix="almanac roots+")
+    for name, text in (("a", "첫째"), ("b", "둘째")):
+        os.makedirs(f"{root}/{name}")
+        with open(f"{root}/{name}/weekly.md", "w", encoding="utf-8") as f:
+            f.write(f"# [2024-01-01~2024-01-07] 벼\n{text}\n")
+    table = scratch_path(spark, "two-folders")
+
+    def ingest(folder, root):
+        sections = md.read_sections(spark, folder)
+        return sinks.ingest(spark, sinks.farm_rows(sections, file_name=sinks.below(root)), table)
+    assert [ingest(f"{root}/a", root), ingest(f"{root}/b", root), ingest(f"{root}/a", root)] == [1, 1, 0]
+    assert {r.content_md.strip() for r in sinks.current(spark, table).collect()} == {"첫째", "둘째"}
+    moved = tempfile.mkdtemp(prefix="almanac-moved-") + "/deep/er"
+    shutil.copytree(root, moved)
+    assert ingest(moved, f"file://{moved}/") == 0
+    assert Archive.from_markdown(spark, moved).df.select("file_name").distinct().count() == 2
+
+
+def test_first_ingest_that_died_is_done_again(spark):
+    """A folder with Spark's _temporary in it, or one without any file, is an empty table."""
+    from almanac.session import scratch_path
+    d = write_dir({"a.md": FILE_A})
+    rows = sinks.farm_rows(md.read_sections(spark, d))
+    table = scratch_path(spark, "died")
+    spark.range(2).write.parquet(f"{table}/_temporary/0/x")
+    assert sinks.ingest(spark, rows, table) == 4 and sinks.ingest(spark, rows, table) == 0
+    assert sinks.current(spark, table).count() == 4
+
+
+def test_damaged_files_fail_or_are_listed(spark):
+    import gzip
+
+    d = write_dir({"a.md": FILE_A})
+    whole = gzip.compress(("# [2024-05-01~2024-05-07] 벼\n" + "가나다라 " * 5000).encode())
+    for name, data in (("good.md.gz", whole), ("cut.md.gz", whole[:len(whole) // 2])):
+        with open(os.path.join(d, name), "wb") as f:
+            f.write(data)
+    with pytest.raises(Exception, match="cut.md.gz|EOF|Unexpected end"):
+        md.read_sections(spark, d, glob="*.md*").count()
+    kept = {os.path.basename(r.file) for r in md.bulletin_dir_files(spark, d, "*.md*").select("file").collect()}
+    lost = {os.path.basename(r.file) for r in md.damaged_files(spark, d, "*.md*").collect()}
+    assert kept == {"a.md", "good.md.gz"} and lost == {"cut.md.gz"}

