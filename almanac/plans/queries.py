@@ -464,8 +464,8 @@ def q_search_text(spark, sf_dir):
 def q_build_embedded(spark, sf_dir):
     """E1 end to end: sections read, tagged, encoded, stored and read back with their vectors."""
     src, table = rendered_bulletins(spark, sf_dir), scratch_path(spark, "farm-embedded")
-    rows = sinks.farm_rows(md.read_sections(spark, src, glob="*.txt"))
-    sinks.ingest(spark, vx.encode(rows, "embed_text", vx.letter_encoder), table)
+    sinks.ingest(spark, sinks.section_rows(md.read_sections(spark, src, glob="*.txt")), table,
+                 enrich=lambda rows: vx.encode(sinks.tagged(rows), "embed_text", vx.letter_encoder))
     stored = sinks.current(spark, table)
     return finish(stored.select("year", "month", "title", _letters().alias("letters")))
 
