@@ -307,7 +307,7 @@ def edited(rng, line, words):
         k, r = rng.randrange(len(w)), rng.random()
         if r < 0.5 or len(w[k]) > 20:
             i = rng.randrange(len(w[k]))
-            w[k] = w[k][:i] + rng.choice("qxzk" if w[k].isascii() else HAN) + w[k][i + 1:]
+            w[k] = w[k][:i] + rng.choice(HAN if w[k][0] in HAN else "qxzk") + w[k][i + 1:]
         elif r < 0.7:
             w[k] = rng.choice(words)
         elif r < 0.85:
