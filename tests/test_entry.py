@@ -18,7 +18,8 @@ def test_entry_runs(spark):
 def test_every_oracle_has_a_query():
     qs, sql = entry.queries(), entry.oracle_sql()
     assert set(sql) <= set(qs)
-    assert set(QUERIES) <= set(sql)     # every query of the core has oracle SQL
+    # Every query of the core has oracle SQL, but for one that tests/test_cases.py holds against plain Python.
+    assert set(QUERIES) - set(sql) == {"q_tags_extract_cases"}
     assert len(QUERIES) >= 50
 
 
