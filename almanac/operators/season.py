@@ -80,6 +80,53 @@ def nearest_weeks(rows: DataFrame, target: _dt.date, year_col: str = "year",
                  F.min_by(F.col("_d"), key).alias("best_diff")))
 
 
+def nearest_weeks_by_day(targets: DataFrame, rows: DataFrame, day_col: str = "day", year_col: str = "year",
+                         week_col: str = "w_range", wrap: bool = False) -> DataFrame:
+    """W2 / A10 / R6 for a table of target days: ``nearest_weeks`` of every day, as columns (year, best_week,
+    best_diff) beside those of ``targets``, one row per target and year.
+
+    The distance depends on the day of the year and on whether the target's year is a leap year, so
+    every year of ``rows`` gets a calendar of at most 366 + 365 days with the nearest week of each: the week
+    that starts last before a day or first after it (with ``wrap`` also the year's first and last). Targets
+    meet the calendars by an equi-join, however many they are. A null target day has no row; columns
+    ``year``, ``best_week`` and ``best_diff`` of the targets are replaced.
+    """
+    weeks = rows.select(F.col(year_col).alias("year"), F.col(week_col).alias("week")).distinct()
+    start = parse_ymd(part("week", "~", 1))
+    kinds = F.array(*[F.struct(F.lit(leap).alias("leap"), F.dayofyear(move_to_year(start, F.lit(year))).alias("doy"))
+                      for leap, year in ((True, 2024), (False, 2023))])
+    starts = (weeks.select("year", "week", F.explode(kinds).alias("k")).groupBy("year", "k.leap", "k.doy")
+              .agg(F.min(F.struct("week"))["week"].alias("week")))
+    ends = starts.groupBy("year", "leap").agg(
+        F.min(F.when(F.col("doy").isNull(), F.struct("week"))).alias("unmoved"),
+        F.min(F.when(F.col("doy").isNotNull(), F.struct("doy", "week"))).alias("first"),
+        F.max(F.when(F.col("doy").isNotNull(), F.struct("doy", "week"))).alias("last"))
+    days = ends.withColumn("doy", F.explode(F.sequence(F.lit(1), F.when(F.col("leap"), 366).otherwise(365))))
+    here = starts.where("doy IS NOT NULL").select(
+        F.col("year").alias("of_year"), F.col("leap").alias("of_leap"), F.col("doy").alias("of_doy"), F.struct("doy", "week").alias("here"))
+    days = days.join(here, F.col("year").eqNullSafe(F.col("of_year")) & (F.col("leap") == F.col("of_leap"))
+                     & (F.col("doy") == F.col("of_doy")), "left")
+    order = Window.partitionBy("year", "leap").orderBy("doy")
+    before = F.last("here", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))
+    after = F.first("here", ignorenulls=True).over(order.rowsBetween(0, Window.unboundedFollowing))
+    found = days.withColumns({"before": before, "after": after})
+
+    def scored(week: str) -> Column:
+        d = F.abs(F.col("doy") - F.col(f"{week}.doy"))
+        d = F.least(d, F.lit(365) - d) if wrap else d
+        return F.when(F.col(week).isNotNull(), F.struct(d.alias("d"), F.col(f"{week}.week").alias("week")))
+    # Without a week that can be moved all candidates are null, and the smallest week string stays.
+    best = F.array_min(F.array(*[scored(w) for w in (["before", "after", "first", "last"] if wrap else ["before", "after"])]))
+    calendar = found.withColumn("best", best).select(
+        F.col("leap").alias("__leap"), F.col("doy").alias("__doy"), "year",
+        F.coalesce("best.week", "unmoved.week").alias("best_week"), F.col("best.d").alias("best_diff"))
+    kept = targets.drop("year", "best_week", "best_diff")
+    day = F.col(day_col).cast("date")
+    leap = F.dayofyear(F.make_date(F.year(day), F.lit(12), F.lit(31))) == 366
+    return (kept.withColumns({"__leap": leap, "__doy": F.dayofyear(day)}).join(calendar, ["__leap", "__doy"])
+            .drop("__leap", "__doy"))
+
+
 def briefing(bulletins: DataFrame, target: _dt.date, month: int | None = None,
              week_range: str | None = None, crops: Sequence[str] = (),
              years: Sequence[int] | None = None, per_year: int = 4,

@@ -16,6 +16,7 @@ from ..functions import text as tx
 from ..functions.vectors import as_vector
 from ..operators import filters
 from ..operators import vectors as vx
+from ..operators.dictionary import dictionary_frame, dictionary_tags
 from ..operators.tags import TAG_SETS, extract_tags
 from ..sources import markdown as md
 from ..sources.tables import read_table
@@ -90,7 +91,7 @@ SQL = {}
 
 # The queries over bulletins again, over the cases.
 for _name in ("q_briefing", "q_tag_list", "q_tag_nonempty", "q_tag_top", "q_or_filter", "q_fallback_match",
-              "q_priority_strict", "q_priority_near", "q_reject_reasons", "q_recent", "q_nearest_week", "q_embed_text", "q_title_parts"):
+              "q_priority_strict", "q_priority_near", "q_reject_reasons", "q_recent", "q_nearest_week", "q_nearest_week_days", "q_embed_text", "q_title_parts"):
     def _query(spark, sf_dir, fn=queries.QUERIES[_name]):
         return fn(spark, sf_dir, view=case_bulletins)
     QUERIES[f"{_name}_cases"] = _query
@@ -141,6 +142,13 @@ def q_tags_extract(spark, sf_dir):
                                for cls, tags in TAG_SETS.items()])
 
 
+@_register("q_tags_dictionary_cases")
+def q_tags_dictionary(spark, sf_dir):
+    """F1 with the dictionary as a table, on all rows; tests hold it against plain Python."""
+    found = dictionary_tags(case_bulletins(spark, sf_dir), ["id"], "content_md", dictionary_frame(spark, TAG_SETS), list(TAG_SETS))
+    return found.select("id", *[tx.join_list(f"tags_{cls}").alias(f"tags_{cls}") for cls in TAG_SETS])
+
+
 @_register("q_sections_cases", f"""
 , s AS (SELECT *, {oracle.py_strip('content_md')} AS body FROM bulletins)
 SELECT CAST(regexp_extract(title, '\\[(\\d{{4}})-(\\d{{2}})', 1) AS BIGINT) AS year,

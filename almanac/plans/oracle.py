@@ -352,6 +352,8 @@ SQL["q_tags_extract"] = ("SELECT doc_id, "
                          + ", ".join(f"{_tags_sql(v)} AS tags_{k}" for k, v in _FTS.items())
                          + " FROM documents")
 
+SQL["q_tags_dictionary"] = SQL["q_tags_extract"]
+
 SQL["q_number_mean"] = """
 WITH c AS (
   SELECT event_id, printf('-%d~%s (평년 %d)', user_id % 7, CAST(value AS VARCHAR), event_id % 5) AS cell
@@ -541,6 +543,21 @@ r AS (SELECT *, row_number() OVER (PARTITION BY year ORDER BY coalesce(d, 107374
 SELECT CAST(year AS BIGINT) AS year, w_range AS best_week, CAST(d AS BIGINT) AS best_diff FROM r WHERE rn = 1
 """
 
+SQL["q_nearest_week_days"] = f"""
+WITH {BULLETINS},
+w AS (SELECT DISTINCT year, regexp_extract(title, '\\[(.*?)\\]', 1) AS w_range FROM bulletins),
+t AS (SELECT DISTINCT CAST(o_orderdate AS DATE) AS day FROM orders WHERE o_orderdate IS NOT NULL),
+d AS (
+  SELECT day, year, w_range,
+         abs(date_diff('day', day, TRY_CAST(strftime(day, '%Y') ||
+             strftime(TRY_CAST(split_part(w_range, '~', 1) AS DATE), '-%m-%d') AS DATE))) AS d
+  FROM t CROSS JOIN w
+),
+r AS (SELECT *, row_number() OVER (PARTITION BY day, year ORDER BY coalesce(d, 1073741824), w_range) AS rn FROM d)
+SELECT strftime(day, '%Y-%m-%d') AS day, CAST(year AS BIGINT) AS year, w_range AS best_week, CAST(d AS BIGINT) AS best_diff
+FROM r WHERE rn = 1
+"""
+
 _PS, _RS = _priority_sql(False)
 SQL["q_summary_candidates"] = f"""
 WITH {FARMING}

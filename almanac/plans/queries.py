@@ -24,6 +24,7 @@ from ..operators import fulltext as ft
 from ..operators import tables as tb
 from ..operators import vectors as vx
 from ..operators import weeks as wk
+from ..operators.dictionary import dictionary_frame, dictionary_tags
 from ..operators.tags import categorize, extract_tags
 from ..session import scratch_path
 from ..sources import markdown as md
@@ -285,6 +286,14 @@ def q_tags_extract(spark, sf_dir):
         for cls, tags in FIXTURE_TAG_SETS.items()]))
 
 
+@register("q_tags_dictionary")
+def q_tags_dictionary(spark, sf_dir):
+    """F1 with the dictionary as a table, joined instead of put into a regex."""
+    docs = read_table(spark, sf_dir, "documents", ["doc_id", "text"], spread_on="doc_id")
+    found = dictionary_tags(docs, ["doc_id"], "text", dictionary_frame(spark, FIXTURE_TAG_SETS), list(FIXTURE_TAG_SETS))
+    return finish(found.select("doc_id", *[join_list(f"tags_{cls}").alias(f"tags_{cls}") for cls in FIXTURE_TAG_SETS]))
+
+
 def number_cells(spark, sf_dir):
     """Cells written the way bulletin tables write them: a sign, a range and a
     parenthesised normal, e.g. ``-3~6.55 (평년 2)``."""
@@ -598,6 +607,15 @@ def q_nearest_week(spark, sf_dir, view=bulletins):
     return finish(season.nearest_weeks(rows, TODAY))
 
 
+@register("q_nearest_week_days")
+def q_nearest_week_days(spark, sf_dir, view=bulletins):
+    """Per year, the week nearest to every day on which an order was placed."""
+    days = read_table(spark, sf_dir, "orders", ["o_orderdate"]).select(F.col("o_orderdate").cast("date").alias("day")).distinct()
+    rows = view(spark, sf_dir).select("year", bracket_text("title").alias("w_range"))
+    out = season.nearest_weeks_by_day(days, rows)
+    return finish(out.select(F.date_format("day", "yyyy-MM-dd").alias("day"), "year", "best_week", "best_diff"))
+
+
 @register("q_summary_candidates")
 def q_summary_candidates(spark, sf_dir):
     """P20 + P21 + R1: 2024 rows of month 1 whose category mentions 요약."""

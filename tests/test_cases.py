@@ -75,9 +75,10 @@ def plain_tags(text, tags):
     return ", ".join(sorted(found))
 
 
-def test_tags_of_all_rows_equal_plain_python(spark, total):
+@pytest.mark.parametrize("name", ["q_tags_extract_cases", "q_tags_dictionary_cases"])
+def test_tags_of_all_rows_equal_plain_python(spark, total, name):
     texts = {r["id"]: r["content_md"] for r in case_bulletins(spark, SF_CHECK).select("id", "content_md").collect()}
-    found = rows(spark, "q_tags_extract_cases")
+    found = rows(spark, name)
     assert len(found) == total
     for r in found:
         for cls, tags in TAG_SETS.items():

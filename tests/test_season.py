@@ -1,5 +1,6 @@
 import datetime as dt
 
+import pytest
 from pyspark.sql import functions as F
 
 from almanac.operators import season
@@ -77,3 +78,28 @@ def test_nearest_weeks_fallback(spark):
 def test_relevance_band(spark):
     df = spark.createDataFrame([(0.7,), (0.5,), (0.45,)], "s double")
     assert [r[0] for r in df.select(season.relevance_band("s")).collect()] == ["강력 추천", "관련 있음", "참고용"]
+
+
+@pytest.mark.parametrize("wrap", [False, True])
+def test_nearest_weeks_of_many_days_equal_one_day_at_a_time(spark, wrap):
+    """366 days of a leap year and some of others, malformed and missing weeks, 29 February, ties, null days."""
+    starts = {2023: ["2023-01-02", "2023-03-01", "2023-03-11", "2023-12-25", "bad"], 2024: ["2024-02-29", "2024-07-01"],
+              2020: ["2020-02-29"], 2021: ["x", "w"], 2022: ["2022-06-01", "2021-06-01"]}
+    weeks = [(y, f"{s}~end") for y, ws in starts.items() for s in ws] + [(2022, "2022-06-01~end")]
+    rows = spark.createDataFrame(weeks, "year int, w_range string")
+    days = ([dt.date(2024, 1, 1) + dt.timedelta(d) for d in range(366)]
+            + [dt.date(2023, 1, 1), dt.date(2023, 2, 28), dt.date(2023, 3, 6), dt.date(2023, 12, 31), None])
+    targets = spark.createDataFrame([(d, i) for i, d in enumerate(days)], "day date, year int")
+    found = season.nearest_weeks_by_day(targets, rows, wrap=wrap).collect()
+    assert len(found) == (len(days) - 1) * len(starts)
+
+    def distance(week, day):
+        try:
+            d = abs((day - dt.date.fromisoformat(week[:10]).replace(year=day.year)).days)
+        except ValueError:
+            return None
+        return min(d, 365 - d) if wrap else d
+    for r in found:
+        scored = [(distance(w, r["day"]), w) for y, w in set(weeks) if y == r["year"]]
+        best = min(scored, key=lambda s: (1 << 30 if s[0] is None else s[0], s[1]))
+        assert (r["best_diff"], r["best_week"]) == best, r
