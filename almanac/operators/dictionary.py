@@ -5,8 +5,8 @@ suits small dictionaries. Here the dictionary is a DataFrame and no regex over i
 
 1. A text is cut into pieces of bounded length, each with the characters around it.
 2. Tags are classed by the power of two that their length reaches (1, 2-3, 4-7, ..).
-   Every place of a text gives one gram per class, joined with the tags' heads; the
-   rest of a tag is compared within the join.
+   Every place of a text gives one gram per class, joined by its hash with the tags' heads;
+   whole tags are compared within the join.
 3. At each place the first tag by rank stays. Matches that overlap form chains, found
    by a running maximum; within a chain they are taken from left to right.
 
@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from ..session import scratch_path
 from .tags import HANGUL, PARTICLES
 
-PIECE_CHARS = 512
+PIECE_CHARS = 128
 BROADCAST_CHARS = 8_000_000
 
 
@@ -38,14 +38,15 @@ def dictionary_frame(spark: SparkSession, tag_sets: Mapping[str, Sequence[str]])
 def _prepared(dictionary: DataFrame) -> DataFrame:
     """(class, tag, rank, n, width, head) of the distinct tags that aren't empty, written once.
 
-    ``width`` is the largest power of two up to the tag's length and ``head`` the tag's first so many
-    characters. Without a column ``rank`` longer tags come first, then smaller ones."""
+    ``width`` is the largest power of two up to the tag's length and ``head`` the hash of the tag's first
+    so many characters. Without a column ``rank`` longer tags come first, then smaller ones."""
     n = F.length("tag")
     rank = F.col("rank").cast("long") if "rank" in dictionary.columns else F.lit(0).cast("long") - n
     tags = (dictionary.where("tag <> ''").select("class", "tag", rank.alias("rank"))
             .groupBy("class", "tag").agg(F.min("rank").alias("rank")))
     width = F.pow(F.lit(2), F.floor(F.log2(n.cast("double")) + 1e-9)).cast("int")
-    rows = tags.withColumns({"n": n, "width": width}).withColumn("head", F.substr("tag", F.lit(1), F.col("width")))
+    rows = tags.withColumns({"n": n, "width": width}).withColumn(
+        "head", F.xxhash64(F.substr("tag", F.lit(1), F.col("width"))))
     path = scratch_path(dictionary.sparkSession, "dictionary")
     rows.write.parquet(path)
     return dictionary.sparkSession.read.schema(rows.schema).parquet(path)
@@ -64,19 +65,17 @@ def _pieces(docs: DataFrame, key: Sequence[str], size: int, ahead: int) -> DataF
 
 
 def _grams(pieces: DataFrame, key: Sequence[str], widths: Sequence[int]) -> DataFrame:
-    """(key.., at, before, gram, window): at every place and for every width the gram there, the character before
-    it and the characters that a tag of this width's class may need."""
-    def at_places(width: int) -> Column:
-        def row(i: Column) -> Column:
-            place = F.col("lead") + i
-            return F.struct(
-                (F.col("start") + i).alias("at"),
-                F.when(place > 1, F.substr("around", place - 1, F.lit(1))).otherwise("").alias("before"),
-                F.substr("around", place, F.lit(width)).alias("gram"),
-                F.substr("around", place, F.lit(max(2 * width - 1, 3))).alias("window"))
-        return F.transform(F.sequence(F.lit(1), F.length("piece")), row)
-    every = F.concat(*[at_places(w) for w in widths])
-    return pieces.select(*key, F.explode(every).alias("g")).select(*key, "g.*")
+    """(key.., at, before, gram, window): at every place and for every width the hash of the gram there, the character
+    before it and the characters that a tag of this width's class may need."""
+    # Plain expressions on exploded places are compiled; the same within a lambda would not be.
+    places = pieces.select(*key, "start", "lead", "around", F.explode(F.sequence(F.lit(1), F.length("piece"))).alias("i"))
+    place = F.col("lead") + F.col("i")
+    grams = F.array(*[F.struct(F.xxhash64(F.substr("around", place, F.lit(w))).alias("gram"),
+                               F.substr("around", place, F.lit(max(2 * w - 1, 3))).alias("window")) for w in widths])
+    return places.select(
+        *key, (F.col("start") + F.col("i")).alias("at"),
+        F.when(place > 1, F.substr("around", place - 1, F.lit(1))).otherwise("").alias("before"),
+        F.explode(grams).alias("g")).select(*key, "at", "before", "g.gram", "g.window")
 
 
 def dictionary_matches(docs: DataFrame, key: Sequence[str], text: str, dictionary: DataFrame) -> DataFrame:
@@ -103,7 +102,7 @@ def dictionary_matches(docs: DataFrame, key: Sequence[str], text: str, dictionar
     second, third = (F.substr("window", F.lit(i), F.lit(1)) for i in (2, 3))
     carries = second.isin(PARTICLES) & ~hangul(third)
     alone = ~hangul(F.col("before")) & (carries | ~hangul(second))
-    fits = F.when(F.col("n") == 1, alone).otherwise(F.startswith("window", "tag"))
+    fits = F.startswith("window", "tag") & ((F.col("n") > 1) | alone)
     side = tags.hint("broadcast") if found["chars"] <= BROADCAST_CHARS else tags
     hits = grams.join(side, (F.col("gram") == F.col("head")) & fits).select(
         *key, "class", "at", F.struct(
