@@ -579,7 +579,7 @@ def q_bulletin_dir(spark, sf_dir):
         rows.write.text(f"{path}/json_con")
         bulletins(spark, sf_dir).select("title").write.mode("append").text(path)
     folder = materialized(spark, sf_dir, "bulletin-dir", write)
-    found = md.split_sections(md.bulletin_dir_files(spark, folder, glob="*.txt"))
+    found = md.split_sections(md.bulletin_dir_files(spark, folder, glob="*.txt", split_on_read=True))
     return finish(found.select("year", "month", "title", "content_md"))
 
 

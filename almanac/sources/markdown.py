@@ -9,8 +9,10 @@ the text source itself split at ``\\n# [`` so one file spreads over many tasks.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import re
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,6 +25,10 @@ DATE = r"\d{4}-\d{2}-\d{2}"
 HEADER_LINE = rf"^#{WS_INLINE}*\[({DATE}~{DATE})\]{WS_INLINE}*(.*)$"
 # embed-style section boundary: newline, ``#``, any whitespace, then ``[``.
 SECTION_BOUNDARY = rf"\n#{WS}*(?=\[)"
+# The boundary as files are usually written: at it the text source itself can cut a file.
+RECORD_SEP = "\n# ["
+# Endings of files that one task must decode from their start.
+COMPRESSED = (".gz", ".bz2", ".deflate", ".lz4", ".snappy", ".zst")
 # The table-of-contents marker the section reader skips on.
 SECTION_TOC = ["목 차"]
 
@@ -90,12 +96,54 @@ def damaged_files(spark: SparkSession, path: str, glob: str = "*.md", recursive:
     return listed.join(read, key(listed["file"]) == key(read["file"]), "left_anti")
 
 
-def bulletin_dir_files(spark: SparkSession, directory: str, glob: str = "*.md") -> DataFrame:
-    """Prefer ``<dir>/json_con/<glob>``, else ``<dir>/<glob>`` (path choice on the driver)."""
+def _mark_first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(file, block, value) rows in reading order with ``first``: whether the row is its file's first one."""
+    last = None
+    for batch in batches:
+        first = []
+        for place in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            first.append(place[1] == 0 and place != last)
+            last = place
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(first, pa.bool_())], names=["file", "block", "value", "first"])
+
+
+def read_records(spark: SparkSession, path: str | list[str], glob: str = "*.md", recursive: bool = True,
+                 skip_damaged: bool = False) -> DataFrame:
+    """Files cut where a header opens with ``\\n# [``: (file, start, text) with several rows per file.
+
+    No task holds a file, and a large one is spread over many. ``split_sections`` cuts the rows at headers with
+    other blanks. Of a damaged file ``skip_damaged`` leaves out what can't be read; a byte order mark is left out."""
+    raw = (spark.read.format("text").option("lineSep", RECORD_SEP)
+           .option("pathGlobFilter", glob).option("recursiveFileLookup", recursive)
+           .option("ignoreCorruptFiles", skip_damaged).load(path))
+    rows = raw.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), "value")
+    rows = rows.mapInArrow(_mark_first, "file string, block long, value string, first boolean")
+    # Every record but a file's first lost the separator before it: put "[" back and let
+    # split_sections add "# ".
+    text = normalize_newlines("value")
+    # Blocks of a file don't overlap and ids grow within a task: an order within the file.
+    return rows.select("file", F.struct(F.col("block").alias("_block"), F.monotonically_increasing_id().alias("_record")).alias("start"),
+                       F.when(F.col("first"), text).otherwise(F.concat(F.lit("["), text)).alias("text"))
+
+
+def bulletin_dir_files(spark: SparkSession, directory: str, glob: str = "*.md", split_on_read: bool = False) -> DataFrame:
+    """Prefer ``<dir>/json_con/<glob>``, else ``<dir>/<glob>`` (path choice on the driver).
+
+    With ``split_on_read`` the rows are those of ``read_records``, for ``split_sections``; compressed files,
+    which no reader can split, stay whole."""
     preferred = f"{directory.rstrip('/')}/json_con"
-    if path_exists(spark, f"{preferred}/{glob}"):
-        return read_files(spark, preferred, glob, recursive=False, skip_damaged=True)
-    return read_files(spark, directory, glob, recursive=False, skip_damaged=True)
+    folder = preferred if path_exists(spark, f"{preferred}/{glob}") else directory
+    if not split_on_read:
+        return read_files(spark, folder, glob, recursive=False, skip_damaged=True)
+    records = read_records(spark, folder, glob, recursive=False, skip_damaged=True)
+    folder, endings = folder.rstrip("/"), "{" + ",".join(f"*{e}" for e in COMPRESSED) + "}"
+    if not (path_exists(spark, f"{folder}/{endings}") and path_exists(spark, f"{folder}/{glob}")):
+        return records
+    start = F.struct(F.lit(0).cast("long").alias("_block"), F.lit(0).cast("long").alias("_record"))
+    whole = read_files(spark, f"{folder}/{glob}", endings, recursive=False, skip_damaged=True).select(
+        "file", start.alias("start"), "text")
+    packed = F.col("file").rlike("(" + "|".join(re.escape(e) for e in COMPRESSED) + r")\z")
+    return records.where(~packed).unionByName(whole)
 
 
 def split_sections(files: DataFrame) -> DataFrame:
@@ -132,23 +180,9 @@ def read_sections(spark: SparkSession, path: str, glob: str = "*.md",
     """Markdown files under ``path`` -> one row per dated section.
 
     ``split_on_read`` reads with ``lineSep='\\n# ['`` so a single huge file is
-    split across tasks; it assumes exactly one space between ``#`` and ``[``
-    (the whole-text mode accepts any whitespace).
+    split across tasks (see ``read_records``).
     """
     if not split_on_read:
         return split_sections(read_files(spark, path, glob))
-    raw = (spark.read.format("text").option("lineSep", "\n# [")
-           .option("pathGlobFilter", glob).option("recursiveFileLookup", True).load(path))
-    # Every record but a file's first lost its "\n# [" prefix: put "[" back and let
-    # split_sections add "# ". A file's first record is the one of its first block
-    # that still opens with a header, or its preamble before any header.
-    text = normalize_newlines("value")
-    first = (F.col("_metadata.file_block_start") == 0) & F.col("value").rlike(rf"^{WS}*#{WS}*\[")
-    restored = F.when(first, text).otherwise(F.concat(F.lit("["), text))
-    # Blocks of a file don't overlap and ids grow within a task: an order within the file.
-    order = F.monotonically_increasing_id()
-    files = raw.select(F.col("_metadata.file_path").alias("file"), restored.alias("text"),
-                       F.col("_metadata.file_block_start").alias("_block"), order.alias("_record"))
-    files = files.withColumn("start", F.struct("_block", "_record"))
-    out = split_sections(files)
+    out = split_sections(read_records(spark, path, glob))
     return out.drop("section_no").withColumn("section_no", F.lit(None).cast("int"))

@@ -205,3 +205,30 @@ def test_damaged_files_fail_or_are_listed(spark):
     kept = {os.path.basename(r.file) for r in md.bulletin_dir_files(spark, d, "*.md*").select("file").collect()}
     lost = {os.path.basename(r.file) for r in md.damaged_files(spark, d, "*.md*").collect()}
     assert kept == {"a.md", "good.md.gz"} and lost == {"cut.md.gz"}
+
+
+def test_a_bulletin_folder_is_read_in_pieces(spark):
+    """Large files come in several rows, and sections equal those of whole files: other blanks in headers,
+    preambles that look like a section's rest, line ends, empty and compressed files."""
+    import gzip
+
+    body = "".join(f"# [2024-01-01~2024-01-07] 벼\n줄 {i} {'x' * 200}\n#\t[2024-02-01~2024-02-07] 콩\r\n# 소 {i}\n" for i in range(900))
+    files = {"big.md": body, "pre.md": "2024-03-04~2024-03-10] 머리말\n# [2024-04-01~2024-04-07] 벼\n글",
+             "named.md": "주간 [2024-05-06~2024-05-12]\n글\r\n# [2024-05-13~2024-05-19] 콩\r글", "empty.md": "", "blank.md": "\n# [2024-06-03~2024-06-09] 벼\n",
+             "x.txt": "# [2024-07-01~2024-07-07] 벼\n"}
+    d = write_dir(files)
+    whole = gzip.compress(("# [2024-05-01~2024-05-07] 벼\n" + "가나다라 " * 5000).encode())
+    for name, data in (("good.md.gz", whole), ("cut.md.gz", whole[:len(whole) // 2])):
+        with open(os.path.join(d, name), "wb") as f:
+            f.write(data)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "100k")
+    try:
+        pieces = md.bulletin_dir_files(spark, d, "*.md*", split_on_read=True)
+        assert pieces.where(F.col("file").contains("big.md")).count() == 900
+        assert pieces.where(F.col("file").contains("big.md")).select(F.spark_partition_id()).distinct().count() > 1
+        got, want = [sorted((r["file"], r["title"], r["content_md"]) for r in md.split_sections(f).collect())
+                     for f in (pieces, md.bulletin_dir_files(spark, d, "*.md*"))]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert got == want and len(got) == 1800 + 1 + 2 + 1 + 1
