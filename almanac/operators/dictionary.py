@@ -3,30 +3,38 @@
 The rule is that of :func:`almanac.operators.tags.extract_tags`, which builds a regex and so
 suits small dictionaries. Here the dictionary is a DataFrame and no regex over its words exists:
 
-1. A text is cut into pieces of bounded length, each with the characters around it.
-2. Tags are classed by the power of two that their length reaches (1, 2-3, 4-7, ..).
-   Every place of a text gives one gram per class, joined by its hash with the tags' heads;
+1. Tags are classed by the power of two that their length reaches (1, 2-3, 4-7, ..); a tag's
+   first so many characters are its head. The heads' hashes make a bitmap of fixed size.
+2. Every place of a text has one gram per class, hashed many at a time in numpy, a piece of the
+   texts at a time; the hash of a gram is made of those of its halves. Only places whose gram
+   is in the bitmap become rows. They are joined by the hash with the tags' heads;
    whole tags are compared within the join.
 3. At each place the first tag by rank stays. Matches that overlap form chains, found
    by a running maximum; within a chain they are taken from left to right.
 
 The join is a map-side one where the dictionary's letters, counted first, are at most
 ``BROADCAST_CHARS``; a larger dictionary is shuffled with the grams. The matches are
-shuffled once, by text.
+shuffled once, by text. The bitmap only spares rows: one full of a very large dictionary's heads
+leaves every gram to the join.
 """
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..session import scratch_path
 from .tags import HANGUL, PARTICLES
 
-PIECE_CHARS = 128
+PIECE_CHARS = 1 << 18            # characters that are hashed at a time
 BROADCAST_CHARS = 8_000_000
+BITMAP_BITS = 24                 # a bit for every value of a hash's upper bits
+_ODD = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15))
 
 
 def dictionary_frame(spark: SparkSession, tag_sets: Mapping[str, Sequence[str]]) -> DataFrame:
@@ -35,8 +43,41 @@ def dictionary_frame(spark: SparkSession, tag_sets: Mapping[str, Sequence[str]])
     return spark.createDataFrame(rows, "class string, tag string, rank long")
 
 
+def _mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(30))) * _ODD[0]
+    h = (h ^ (h >> np.uint64(27))) * _ODD[1]
+    return h ^ (h >> np.uint64(31))
+
+
+def _codes(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
+
+
+def _gram_hashes(codes: np.ndarray, widths: Sequence[int]) -> Iterator[tuple[int, np.ndarray]]:
+    """(width, hash of the gram of so many characters at every place that has one); widths are powers of two."""
+    h, width = _mixed(codes.astype(np.uint64) + _ODD[2]), 1
+    while len(h) and width <= max(widths):
+        if width in widths:
+            yield width, h
+        h, width = _mixed(h[:-width] * _ODD[2] + h[width:]), 2 * width
+
+
+def _bits(h: np.ndarray) -> np.ndarray:
+    return (h >> np.uint64(64 - BITMAP_BITS)).astype(np.int64)
+
+
+def _with_heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (class, tag, rank, n, width) with ``head``, the hash of the tag's first ``width`` characters, and its ``bit``."""
+    for batch in batches:
+        heads = [next(h for _, h in _gram_hashes(_codes(tag)[:width], [width]))[0]
+                 for tag, width in zip(batch.column(1).to_pylist(), batch.column(4).to_pylist(), strict=True)]
+        head = np.array(heads, np.uint64)
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(head.view(np.int64)), pa.array(_bits(head))],
+                                         names=[*batch.schema.names, "head", "bit"])
+
+
 def _prepared(dictionary: DataFrame) -> DataFrame:
-    """(class, tag, rank, n, width, head) of the distinct tags that aren't empty, written once.
+    """(class, tag, rank, n, width, head, bit) of the distinct tags that aren't empty, written once.
 
     ``width`` is the largest power of two up to the tag's length and ``head`` the hash of the tag's first
     so many characters. Without a column ``rank`` longer tags come first, then smaller ones."""
@@ -45,37 +86,77 @@ def _prepared(dictionary: DataFrame) -> DataFrame:
     tags = (dictionary.where("tag <> ''").select("class", "tag", rank.alias("rank"))
             .groupBy("class", "tag").agg(F.min("rank").alias("rank")))
     width = F.pow(F.lit(2), F.floor(F.log2(n.cast("double")) + 1e-9)).cast("int")
-    rows = tags.withColumns({"n": n, "width": width}).withColumn(
-        "head", F.xxhash64(F.substr("tag", F.lit(1), F.col("width"))))
+    rows = tags.withColumns({"n": n, "width": width}).select("class", "tag", "rank", "n", "width")
+    rows = rows.mapInArrow(_with_heads, T.StructType([*rows.schema.fields, T.StructField("head", T.LongType()),
+                                                      T.StructField("bit", T.LongType())]))
     path = scratch_path(dictionary.sparkSession, "dictionary")
     rows.write.parquet(path)
     return dictionary.sparkSession.read.schema(rows.schema).parquet(path)
 
 
-def _pieces(docs: DataFrame, key: Sequence[str], size: int, ahead: int) -> DataFrame:
-    """(key.., start, lead, piece, around): pieces of at most ``size`` characters. ``around`` is the piece with
-    the character before it (``lead`` says if there is one) and ``ahead`` characters after it."""
-    cut = F.regexp_extract_all("__text", F.lit(f"(?s).{{1,{size}}}"), F.lit(0))
-    rows = docs.select(*key, cut.alias("cut")).select(*key, F.explode(F.transform("cut", lambda p, i: F.struct(
-        (i * size).alias("start"), p.alias("piece"),
-        F.when(i > 0, F.right(F.get("cut", i - 1), F.lit(1))).otherwise("").alias("before"),
-        F.left(F.coalesce(F.get("cut", i + 1), F.lit("")), F.lit(ahead)).alias("after")))).alias("p"))
-    return rows.select(*key, "p.start", F.length("p.before").alias("lead"), "p.piece",
-                       F.concat("p.before", "p.piece", "p.after").alias("around"))
-
-
-def _grams(pieces: DataFrame, key: Sequence[str], widths: Sequence[int]) -> DataFrame:
-    """(key.., at, before, gram, window): at every place and for every width the hash of the gram there, the character
-    before it and the characters that a tag of this width's class may need."""
-    # Plain expressions on exploded places are compiled; the same within a lambda would not be.
-    places = pieces.select(*key, "start", "lead", "around", F.explode(F.sequence(F.lit(1), F.length("piece"))).alias("i"))
-    place = F.col("lead") + F.col("i")
-    grams = F.array(*[F.struct(F.xxhash64(F.substr("around", place, F.lit(w))).alias("gram"),
-                               F.substr("around", place, F.lit(max(2 * w - 1, 3))).alias("window")) for w in widths])
-    return places.select(
-        *key, (F.col("start") + F.col("i")).alias("at"),
-        F.when(place > 1, F.substr("around", place - 1, F.lit(1))).otherwise("").alias("before"),
-        F.explode(grams).alias("g")).select(*key, "at", "before", "g.gram", "g.window")
+def _bitmap(tags: DataFrame) -> bytes:
+    """The bits of the heads: ``2 ** BITMAP_BITS`` of them, whatever the dictionary's size."""
+    # Spark numbers the bits of a bitmap from 1; a part has 32,768 bits.
+    parts = tags.withColumn("bit", F.col("bit") + 1).groupBy(F.bitmap_bucket_number("bit").alias("part")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("bits")).collect()
+    out = bytearray((1 << BITMAP_BITS) // 8)
+    for r in parts:
+        out[(r["part"] - 1) * 4096:r["part"] * 4096] = r["bits"]
+    return bytes(out)
+
+
+def _grams(docs: DataFrame, key: Sequence[str], widths: Sequence[int], bitmap: bytes) -> DataFrame:
+    """(key.., at, before, gram, window) of the places of ``__text`` and the widths whose gram is in the bitmap: its hash,
+    the character before it and the characters that a tag of this width's class may need."""
+    shared, size = docs.sparkSession.sparkContext.broadcast(bitmap), PIECE_CHARS
+    reach = max(2 * widths[-1] - 1, 3)
+
+    def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = np.unpackbits(np.frombuffer(shared.value, np.uint8), bitorder="little").view(bool)
+
+        def rows(batch, pieces):
+            """Rows of pieces (row number, start, whether a character comes before, that with the piece and what follows, length)."""
+            text = "".join(p for _, _, _, p, _ in pieces)
+            ends = np.cumsum([len(p) for _, _, _, p, _ in pieces])
+            of, at, before, gram, window = [], [], [], [], []
+            codes = _codes(text)
+            for w, h in _gram_hashes(codes, widths):
+                found = np.flatnonzero(known[_bits(h)])
+                piece = np.searchsorted(ends, found, "right")
+                more = max(2 * w - 1, 3)
+                for i, k, g in zip(found.tolist(), piece.tolist(), h[found].view(np.int64).tolist(), strict=True):
+                    row, start, lead, p, n = pieces[k]
+                    place = i - (int(ends[k]) - len(p))
+                    if lead <= place < lead + n and place + w <= len(p):
+                        of.append(row)
+                        at.append(start + place - lead + 1)
+                        before.append(p[place - 1] if place else "")
+                        gram.append(g)
+                        window.append(p[place:place + more])
+            taken = [c.take(pa.array(of, pa.int64())) for c in batch.columns[:-1]]
+            return pa.RecordBatch.from_arrays([*taken, pa.array(at, pa.int32()), pa.array(before, pa.string()),
+                                               pa.array(gram, pa.int64()), pa.array(window, pa.string())],
+                                              names=[*key, "at", "before", "gram", "window"])
+
+        for batch in batches:
+            held, chars = [], 0
+            for row, value in enumerate(batch.column(len(key)).cast(pa.binary())):
+                text = (value.as_py() or b"").decode("utf-8", "replace")
+                for start in range(0, len(text), size):
+                    lead = min(start, 1)
+                    piece = text[start - lead:start + size + reach]
+                    held.append((row, start, lead, piece, min(size, len(text) - start)))
+                    chars += len(piece)
+                    if chars >= size:
+                        yield rows(batch, held)
+                        held, chars = [], 0
+            if held:
+                yield rows(batch, held)
+
+    kinds = [docs.schema[k] for k in key]
+    found = T.StructType([*kinds, T.StructField("at", T.IntegerType()), T.StructField("before", T.StringType()),
+                          T.StructField("gram", T.LongType()), T.StructField("window", T.StringType())])
+    return docs.select(*key, "__text").mapInArrow(grams, found)
 
 
 def dictionary_matches(docs: DataFrame, key: Sequence[str], text: str, dictionary: DataFrame) -> DataFrame:
@@ -94,8 +175,7 @@ def dictionary_matches(docs: DataFrame, key: Sequence[str], text: str, dictionar
     if not widths:
         return docs.select(*key, F.lit("").alias("class"), F.lit("").alias("tag")).where(F.lit(False)).toDF(
             *names, "class", "tag")
-    ahead = 2 * widths[-1] + 1
-    grams = _grams(_pieces(docs, key, max(PIECE_CHARS, ahead), ahead), key, widths)
+    grams = _grams(docs, key, widths, _bitmap(tags))
 
     def hangul(c: Column) -> Column:
         return c.between(HANGUL[0], HANGUL[-1])

@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from almanac.operators import dictionary as dic
 from almanac.operators.tags import TAG_SETS
@@ -64,3 +65,20 @@ def test_edges(spark):
     assert dic.dictionary_tags(docs.limit(0), ["id"], "text", table, ["x"]).count() == 0
     none = dic.dictionary_tags(docs, ["id"], "text", table.limit(0), ["x"]).collect()
     assert len(none) == 4 and not any(r["tags_x"] for r in none)
+
+
+def test_only_places_of_heads_become_rows(spark):
+    """One row per place whose gram is a tag's head, not one per character and class of lengths."""
+    tags = dic._prepared(dic.dictionary_frame(spark, {"x": ["thing", "z", "erblegarten"]}))
+    docs = spark.createDataFrame([(1, "abcd " * 5000 + "thin thing z", b"x")], "__key0 long, __text string, other binary")
+    rows = dic._grams(docs, ["__key0"], [1, 4, 8], dic._bitmap(tags)).collect()
+    assert sorted((r["at"], r["before"], r["window"]) for r in rows if r["window"][0] in "tz") == [
+        (25001, " ", "thin th"), (25006, " ", "thing z"), (25012, " ", "z")]
+    assert len(rows) < 10
+
+
+def test_texts_that_are_not_utf_8(spark):
+    docs = spark.createDataFrame([(1, bytearray(b"\xff\xfe ab \xc3"))], "id long, raw binary").select(
+        "id", F.expr("cast(raw AS string)").alias("text"))
+    table = spark.createDataFrame([("x", "ab")], "class string, tag string")
+    assert dic.dictionary_tags(docs, ["id"], "text", table, ["x"]).first()["tags_x"] == ["ab"]
