@@ -8,6 +8,7 @@ chain whose order is the dictionary order (first hit wins).
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -79,8 +80,13 @@ def tag_pattern(tags: Sequence[str]) -> tuple[str, int]:
         parts.append(f"((?:{'|'.join(multi)}))")
     # A match can only start at one of the tags' first characters: checking
     # that first rejects most positions at once (groups are unchanged).
-    first = "".join(ch if ch.isalnum() else "\\" + ch for ch in sorted({t[0] for t in tags}))
-    return f"(?=[{first}])(?:{'|'.join(parts)})", len(parts)
+    # A class of many characters is slow beyond Latin-1, so a range rejects most before.
+    starts = sorted({t[0] for t in tags})
+    first = "".join(ch if ch.isalnum() else "\\" + ch for ch in starts)
+    wide = [ch for ch in starts if ch > "\xff"]
+    near = "".join(ch if ch.isalnum() else "\\" + ch for ch in starts if ch <= "\xff")
+    span = f"(?=[{near}{_quote(wide[0])}-{_quote(wide[-1])}])" if wide else ""
+    return f"{span}(?=[{first}])(?:{'|'.join(parts)})", len(parts)
 
 
 def _particle_collision(tags: Sequence[str]) -> bool:
@@ -98,10 +104,11 @@ def extract_tags(text, tags: Sequence[str]) -> Column:
     one-character tags). One regex pass per class: a whole match is either a
     longer tag or a one-character tag with an optional particle, whose first
     character is the tag (two passes are used only for dictionaries where
-    that reading is ambiguous).
+    that reading is ambiguous). Only texts that contain a tag at all are matched.
     """
     if not tags:
         return F.array().cast("array<string>")
+    present = reduce(lambda a, b: a | b, [F.contains(_c(text), F.lit(t)) for t in dict.fromkeys(tags)])
     pattern, groups = tag_pattern(tags)
     multi = [t for t in tags if len(t) > 1]
     if groups == 2 and _particle_collision(tags):
@@ -117,7 +124,8 @@ def extract_tags(text, tags: Sequence[str]) -> Column:
                 (F.length(m) == 1) | F.array_contains(longer, m), m).otherwise(F.substring(m, 1, 1)))
     else:
         found = F.regexp_extract_all(_c(text), F.lit(pattern), 1)
-    return F.array_sort(F.array_distinct(F.filter(found, lambda x: x != "")))
+    out = F.array_sort(F.array_distinct(F.filter(found, lambda x: x != "")))
+    return F.when(present, out).when(_c(text).isNotNull(), F.array().cast("array<string>"))
 
 
 def tag_columns(df: DataFrame, text, tag_sets: Mapping[str, Sequence[str]] = TAG_SETS,

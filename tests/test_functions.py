@@ -135,3 +135,13 @@ def test_scratch_needs_a_shared_folder_on_a_cluster(spark, monkeypatch):
         conf = Context()
     with pytest.raises(ValueError):
         session.checkpoint_dir(Session())
+
+
+def test_texts_without_a_tag_are_not_matched(spark):
+    """The regex runs only where a tag stands; null texts stay null, and before many first letters a range is asked."""
+    pat, _ = tag_pattern(["벼", "콩", "AI", "-x"])
+    assert pat.startswith("(?=[\\-A벼-콩])")
+    df = spark.createDataFrame([(0, None), (1, "plain prose " * 20), (2, "벼는 AI -x"), (3, "벼랑")], "i int, t string")
+    out = df.select("i", extract_tags("t", ["벼", "콩", "AI", "-x"]).alias("tags"))
+    assert {r["i"]: r["tags"] for r in out.collect()} == {0: None, 1: [], 2: ["-x", "AI", "벼"], 3: []}
+    assert "contains" in out._jdf.queryExecution().optimizedPlan().toString().lower()
