@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
@@ -12,6 +11,7 @@ from pyspark.sql import types as T
 
 from ..operators.tags import TAG_SETS, tag_columns
 from ..functions.text import embed_text, tag_search_range
+from ..session import scratch_path
 from .markdown import path_exists
 
 
@@ -38,6 +38,11 @@ def below(root: str, file: str = "file") -> Column:
     return F.when(F.instr(path, folder) > 0, F.substring_index(path, folder, -1)).otherwise(F.substring_index(path, "/", -1))
 
 
+def _writer() -> Column:
+    """Which of a month's writers a section goes to, by its header line."""
+    return F.pmod(F.xxhash64("title"), F.lit(WRITERS_PER_MONTH)).cast("int")
+
+
 def identified(sections: DataFrame, file_name: Column | None = None) -> DataFrame:
     """Sections with ``file_name``, ``occurrence``, ``id`` and ``version``.
 
@@ -47,22 +52,25 @@ def identified(sections: DataFrame, file_name: Column | None = None) -> DataFram
     ``file_name`` is an expression over ``file``, by default the name without its folders;
     where several folders may have files of one name, give ``below(root)`` or a name of
     the source's own."""
-    order = Window.partitionBy("year", "month", "file_name", "title").orderBy("file", "section_order")
+    writer = F.col("_writer") if "_writer" in sections.columns else _writer()
+    order = Window.partitionBy("year", "month", writer, "file_name", "title").orderBy("file", "section_order")
     name = F.regexp_extract("file", r"([^/]*)\z", 1) if file_name is None else file_name
     named = sections.withColumn("file_name", name)
+    version = F.col("_digest") if "_digest" in sections.columns else F.sha2("content_md", 256)
     return (named.withColumn("occurrence", F.row_number().over(order) - 1)
             .withColumn("id", F.xxhash64(*IDENTITY))
-            .withColumn("version", F.sha2("content_md", 256)))
+            .withColumn("version", version).drop("_digest"))
 
 
 def section_rows(sections: DataFrame, file_name: Column | None = None) -> DataFrame:
     """Sections with their identity and version, clustered for storing.
 
-    One shuffle of the texts: the window, the join with the stored keys and the
-    partitioned write all use this clustering."""
-    spread = F.pmod(F.xxhash64("title"), F.lit(WRITERS_PER_MONTH)).cast("int")
-    clustered = sections.withColumn("writer", spread).repartition("year", "month", "writer")
-    return identified(clustered, file_name).drop("writer", "section_order")
+    One shuffle of the texts: the window, the look at the stored keys and the
+    partitioned write all use this clustering, whose column ``_writer`` ``ingest`` drops.
+    The versions are hashed before it, so that what asks for keys and versions shuffles no text."""
+    hashed = sections.withColumns({"_writer": _writer(), "_digest": F.sha2("content_md", 256)})
+    clustered = hashed.repartition("year", "month", "_writer")
+    return identified(clustered, file_name).drop("section_order")
 
 
 def tagged(rows: DataFrame, tag_sets=TAG_SETS) -> DataFrame:
@@ -74,7 +82,7 @@ def tagged(rows: DataFrame, tag_sets=TAG_SETS) -> DataFrame:
 
 def farm_rows(sections: DataFrame, tag_sets=TAG_SETS, file_name: Column | None = None) -> DataFrame:
     """E1 without the encoder: sections -> rows to store."""
-    return tagged(section_rows(sections, file_name), tag_sets)
+    return tagged(section_rows(sections, file_name).drop("_writer"), tag_sets)
 
 
 def ingest(spark: SparkSession, rows: DataFrame, path: str, partition_by=("year", "month"),
@@ -82,24 +90,34 @@ def ingest(spark: SparkSession, rows: DataFrame, path: str, partition_by=("year"
     """Append to a parquet table partitioned by year and month the sections
     that it lacks, and corrected ones as their next ``revision``; returns how many.
 
-    Only keys of the stored rows are read, and only in the partitions that the
-    batch touches; they are compared in full, not by a hash. The batch is written
-    once, straight from the plan that computes it: it reads the files that the table
-    has now, which appending doesn't change. ``enrich`` adds columns (tags, vectors) to
+    Only keys and versions of the stored rows are read; they are compared in full, not by a
+    hash, first without the texts. The batch is written once, straight from the plan that
+    computes it: it reads the files that the table has now, which appending doesn't change. ``enrich`` adds columns (tags, vectors) to
     the rows that are written, and to no others."""
     parts, keys = list(partition_by), [*partition_by, *IDENTITY]
+    rows = rows if "_writer" in rows.columns else rows.withColumn("_writer", _writer())
     # A write that died before its first file left a folder without data files.
     if path_exists(spark, f"{path}/{parts[0]}=*"):
-        stored = (spark.read.schema(stored_schema(rows, parts)).option("basePath", path).parquet(f"{path}/{parts[0]}=*")
-                  .groupBy(*keys)
-                  .agg(F.max_by("version", "revision").alias("_stored"), F.max("revision").alias("_revision")))
-        same = [rows[k].eqNullSafe(stored[k]) for k in keys]
-        batch = rows.join(stored, reduce(lambda a, b: a & b, same), "left").select(
-            *[rows[c] for c in rows.columns], "_stored", "_revision")
-        batch = batch.filter(F.col("_stored").isNull() | (F.col("_stored") != F.col("version")))
-        batch = batch.withColumn("revision", F.coalesce(F.col("_revision") + 1, F.lit(0))).drop("_stored", "_revision")
+        stored = spark.read.schema(stored_schema(rows, parts)).option("basePath", path).parquet(f"{path}/{parts[0]}=*").select(
+            *keys, F.lit(True).alias("_kept"), F.col("version").alias("_version"), F.col("revision").alias("_revision"))
+        stored = stored.withColumn("_writer", _writer()).repartition(*parts, "_writer")
+        same = Window.partitionBy(*parts, "_writer", *IDENTITY)
+
+        def lacking(new: DataFrame) -> DataFrame:
+            # The stored keys come to the rows, clustered as ``section_rows`` does: a join on all keys would deal the texts anew.
+            both = new.unionByName(stored, allowMissingColumns=True).select(
+                *new.columns, "_kept", F.max_by("_version", "_revision").over(same).alias("_stored"),
+                F.max("_revision").over(same).alias("_last")).where(F.col("_kept").isNull())
+            both = both.filter(F.col("_stored").isNull() | (F.col("_stored") != F.col("version")))
+            return both.withColumn("revision", F.coalesce(F.col("_last") + 1, F.lit(0))).drop("_kept", "_stored", "_last")
+
+        # Where nothing is new, keys and versions tell it without the texts.
+        if lacking(rows.select(*keys, "version", "_writer")).isEmpty():
+            return 0
+        batch = lacking(rows)
     else:
         batch = rows.withColumn("revision", F.lit(0))
+    batch = batch.drop("_writer")
     if enrich is not None:
         batch = enrich(batch)
     seen = Observation()
@@ -118,5 +136,9 @@ def current(spark: SparkSession, path: str, partition_by=("year", "month")) -> D
     # Only the partitions' folders: what a failed write left beside them doesn't count.
     stored = spark.read.option("basePath", path).parquet(f"{path}/{list(partition_by)[0]}=*")
     keys = [*partition_by, *IDENTITY]
-    last = stored.groupBy(*keys).agg(F.max("revision").alias("revision"))
-    return stored.join(last, [*keys, "revision"], "left_semi")
+    last = F.max("revision").over(Window.partitionBy(*keys))
+    old = stored.select(*keys, "revision", last.alias("_last")).where("revision < _last").drop("_last")
+    # Written, so that the plan knows that they are few: then the stored texts aren't shuffled.
+    gone = scratch_path(spark, "superseded")
+    old.write.parquet(gone)
+    return stored.dropna(subset=keys).join(spark.read.schema(old.schema).parquet(gone), [*keys, "revision"], "left_anti")

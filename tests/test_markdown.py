@@ -232,3 +232,23 @@ def test_a_bulletin_folder_is_read_in_pieces(spark):
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
     assert got == want and len(got) == 1800 + 1 + 2 + 1 + 1
+
+
+def test_ingest_deals_the_texts_once(spark):
+    """The look at the stored keys shuffles them, not the texts again; equal headers and corrections count as before."""
+    d = write_dir({"a.md": "".join(f"# [2024-0{1 + i % 3}-01~2024-0{1 + i % 3}-07] 벼\n줄 {i}\n" for i in range(30))})
+    table, seen = tempfile.mkdtemp(prefix="almanac-once-") + "/t", []
+
+    def spy(rows):
+        seen.append(rows._jdf.queryExecution().executedPlan().toString())
+        return rows
+    assert sinks.ingest(spark, sinks.section_rows(md.read_sections(spark, d)), table, enrich=spy) == 30
+    with open(os.path.join(d, "a.md"), "a", encoding="utf-8") as f:
+        f.write("# [2024-01-01~2024-01-07] 벼\n새 줄\n")
+    for want in (1, 0):
+        assert sinks.ingest(spark, sinks.section_rows(md.read_sections(spark, d)), table, enrich=spy) == want
+    # A shuffle of the texts, and the second time one of the stored keys; where nothing is new nothing is enriched.
+    assert [p.count("Exchange hashpartitioning") for p in seen] == [1, 2]
+    stored = sinks.current(spark, table)
+    assert "SortMergeJoin" not in stored._jdf.queryExecution().executedPlan().toString()
+    assert "_writer" not in stored.columns and stored.count() == 31
