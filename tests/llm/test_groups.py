@@ -361,6 +361,65 @@ def test_one_edit_leaves_a_block_of_short_lines():
             assert set(x) & set(y)
 
 
+def test_short_lines_with_two_edited_words_are_found(spark):
+    """Blocks of all tokens but one alone missed these."""
+    rng = random.Random(11)
+    docs = []
+    for n in range(5, 20):
+        for _ in range(12):
+            a = ["".join(rng.choices("abcdefghij", k=rng.randint(5, 9))) for _ in range(n)]
+            b = list(a)
+            for k in rng.sample(range(n), 2):
+                b[k] = "x" + b[k][1:]
+            docs += [(len(docs), " ".join(a)), (len(docs) + 1, " ".join(b))]
+    want = brute_lines(docs)
+    got = {(r.doc_id, k) for r in fuzzy_lines.dropped_lines(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+           for k in r.dropped}
+    assert got <= want and len(want) == len(docs) // 2 and len(got) >= 0.98 * len(want)
+
+
+def test_every_pair_of_edited_tokens_leaves_a_block():
+    rng = random.Random(2)
+    for n in range(5, 20):
+        a = [f"{rng.choice('abcdef')}w{rng.randrange(500)}" for _ in range(n)]
+        for i in range(n):
+            for j in range(i):
+                b = [f"new{k}" if k in (i, j) else w for k, w in enumerate(a)]
+                _, _, blocks = fuzzy_lines.line_hashes([" ".join(x).encode() for x in (a, b)], np.array([n, n]))
+                x, y = blocks.to_pylist()
+                assert set(x) & set(y)
+
+
+def test_edit_distances_of_many_few_and_long_lines():
+    """Many pairs share a table, few or long ones are worked out in the bits of a number."""
+    rng = random.Random(12)
+
+    def pair(size, alphabet):
+        a = rng.choices(alphabet, k=size)
+        b = list(a)
+        for _ in range(rng.randint(0, max(2, size // 6))):
+            k = rng.randrange(len(b) + 1)
+            b[k:k + rng.randint(0, 1)] = rng.choices(alphabet, k=rng.randint(0, 1))
+        return "".join(a), "".join(b)
+    cases = [[pair(rng.randint(0, 70), "ab é天") for _ in range(fuzzy_lines.FEW_PAIRS * 4)],
+             [pair(rng.randint(0, 70), "ab") for _ in range(20)],
+             [pair(fuzzy_lines.LONG_LINE + 40, "abc ") for _ in range(3)]]
+    for pairs in cases:
+        a, b = (list(x) for x in zip(*pairs, strict=True))
+        far = [edit(x, y) for x, y in pairs]
+        for more in (-1, 0, 3):
+            most = np.maximum(np.array(far) + more, 0)
+            assert fuzzy_lines.within(a, b, most).tolist() == [d <= m for d, m in zip(far, most, strict=True)]
+
+
+def test_a_task_gives_the_blocks_of_a_line_once():
+    line = " ".join(f"word{c}" for c in "abcdefgh")
+    batch = pa.RecordBatch.from_pydict({"doc_id": [1, 2, 3], "text_hash": [1, 2, 3], "text": [line, f"{line}\n{line}", "x " + line]})
+    rows = pa.Table.from_batches(fuzzy_lines.lines_of(iter([batch]))).to_pylist()
+    assert [bool(r["blocks"]) for r in rows] == [True, False, False, True]
+    assert len({r["node"] for r in rows}) == 2 and set(rows[0]["blocks"]) & set(rows[3]["blocks"])
+
+
 def test_lines_of_scripts_without_spaces(spark):
     docs = [(0, HAN[:30]), (1, HAN[:30]), (2, "天" + HAN[1:29] + "。"), (3, HAN[30:60]), (4, "ภาษาไทยไม่มีช่องว่างระหว่างคำ"),
             (5, "ภาษาไทยไม่มีช่องว่างระหว่างคำ"), (6, HAN[:4]), (7, HAN[:4])]
