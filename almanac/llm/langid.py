@@ -50,7 +50,8 @@ RESCALE = 32             # letters after which the forward table is rescaled
 MOST_UNLIKE, SHORT_SLACK = 2.0, 4.0
 MARK = "▁"          # word mark of the vocabulary
 RARE = 1e-6              # probability of a character that is no piece, and floor of all pieces
-KNOWN_WORDS = 500_000    # words whose scores a task remembers at once
+KNOWN_WORDS = 200_000    # words whose scores a task remembers at once
+SCORED_WORDS = 50_000    # words of texts, repeats counted, that are scored at once
 LETTERS = re.compile(r"[^\W\d_]+")
 BASE = np.uint64(0x9E3779B97F4A7C15)
 
@@ -58,7 +59,7 @@ BASE = np.uint64(0x9E3779B97F4A7C15)
 def words_in(text: str | None, most: int | None = None) -> Iterator[list[str]]:
     """Lists, of bounded length, of the text's words, cut every ``most`` letters if that is given."""
     found = (m.group() for m in LETTERS.finditer(text.lower())) if text else iter(())
-    while words := list(islice(found, 100_000)):
+    while words := list(islice(found, SCORED_WORDS)):
         if not any(c.isalpha() for w in words for c in w):      # fractions and the like only
             continue
         if most and max(map(len, words)) > most:
@@ -264,7 +265,7 @@ class WordScores:
         return self.values[np.fromiter(map(self.row.__getitem__, words), np.int64, len(words))]
 
 
-def text_scores(scores: WordScores, texts: list[str | None], at_once: int = 200_000):
+def text_scores(scores: WordScores, texts: list[str | None], at_once: int = SCORED_WORDS):
     """(number of letters, sum of word scores per language) of each text."""
     count = np.zeros(len(texts), np.int64)
     total = np.zeros((len(texts), scores.p.shape[1]))

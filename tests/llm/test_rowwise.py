@@ -1,5 +1,6 @@
 """Operators 3, 5, 6, 9 and 10: one result per document, against plain Python."""
 
+import itertools
 import math
 
 import numpy as np
@@ -295,3 +296,18 @@ def test_long_words_sum_over_all_segmentations():
                     forward[end] += forward[end - len(x)] * Fraction(p[i, k])
         want = math.log(forward[-1].numerator) - math.log(forward[-1].denominator)
         assert abs(got[k] - want) < 1e-6 * abs(want)
+
+
+def test_a_task_holds_a_bounded_number_of_words():
+    """A worker's memory follows the words it remembers and those it scores at once."""
+    model = langid.WordScores(["a", "b", langid.MARK], np.full((4, 2), 0.25))
+    asked, of = [], model.of
+    model.of = lambda words: (asked.append(len(words)), of(words))[1]
+    names = ["".join(x) for x in itertools.product("abcdefgh", repeat=6)]
+    count, total = langid.text_scores(model, [" ".join(names[:150_000]), None, " ".join(names[90_000:])])
+    assert max(asked) <= 100_000 and len(model.row) <= 200_000
+    # The same scores as those of few words at a time.
+    few = langid.text_scores(langid.WordScores(["a", "b", langid.MARK], np.full((4, 2), 0.25)),
+                             [" ".join(names[:150_000]), None, " ".join(names[90_000:])], at_once=7_000)
+    assert count.tolist() == few[0].tolist() == [900_000, 0, 6 * (len(names) - 90_000)]
+    assert np.allclose(total, few[1])
