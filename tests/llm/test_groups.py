@@ -412,6 +412,29 @@ def test_edit_distances_of_many_few_and_long_lines():
             assert fuzzy_lines.within(a, b, most).tolist() == [d <= m for d, m in zip(far, most, strict=True)]
 
 
+def test_large_buckets_are_compared_by_chunks(spark, monkeypatch):
+    """Lines that share a passage and stay apart make no row a pair, and the same links."""
+    rng = random.Random(21)
+
+    def words(n):
+        return ["".join(rng.choices("abcdefgh", k=rng.randint(3, 8))) for _ in range(n)]
+    passage = words(110)
+    docs = [(i, " ".join(words(rng.randint(20, 26)) + passage)) for i in range(300)]
+    docs += [(i + 500, f"{text} more") for i, text in docs[::6]]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    seen, one = [], fuzzy_lines.verified
+    monkeypatch.setattr(fuzzy_lines, "verified", lambda pairs, *rest: (seen.append(pairs.count()), one(pairs, *rest))[1])
+    gone, rows = [], []
+    for size in (32, 1_000):        # many chunks in the bucket; all pairs in rows of their own
+        monkeypatch.setattr(fuzzy_lines, "CHUNK", size)
+        gone.append({(r.doc_id, k) for r in fuzzy_lines.dropped_lines(df).collect() for k in r.dropped})
+        rows.append(max(seen))
+        seen.clear()
+    assert gone[0] == gone[1] and len(gone[0]) >= 50
+    # A row a node and bucket at most, for its centre.
+    assert rows[0] <= fuzzy_lines.RUNS * len(docs) < rows[1], rows
+
+
 def test_a_task_gives_the_blocks_of_a_line_once():
     line = " ".join(f"word{c}" for c in "abcdefgh")
     batch = pa.RecordBatch.from_pydict({"doc_id": [1, 2, 3], "text_hash": [1, 2, 3], "text": [line, f"{line}\n{line}", "x " + line]})
