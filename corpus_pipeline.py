@@ -32,7 +32,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     ``n_chars`` follows the text where lines went.
     """
-    rows = fuzzy_lines.dedup_lines(docs.select(F.struct("*").alias("row"), "doc_id", "text"), into="dropped")
+    rows = fuzzy_lines.dedup_lines(docs.select(F.struct("*").alias("row"), "doc_id", "text"), into="dropped", min_wide=1)
     changed = F.size("dropped") > 0
     kept = rows.where(~changed | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
     new = {"text": F.col("text"), "n_chars": F.when(changed, F.length("text").cast("long")).otherwise(F.col("row.n_chars"))}

@@ -9,6 +9,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from almanac.llm import components, fuzzy_lines, kneser_ney, minhash, mixture, token_rollup, wordhash
 from almanac.llm.queries import QUERIES, SQL
 from tools.check_oracle import compare, duckdb_views
@@ -443,6 +444,62 @@ def test_a_task_gives_the_blocks_of_a_line_once():
     assert len({r["node"] for r in rows}) == 2 and set(rows[0]["blocks"]) & set(rows[3]["blocks"])
 
 
+def short_edits(rng, line):
+    """A line with as many letters changed, put in or left out as the similarity allows, one at least."""
+    w = list(line)
+    for _ in range(rng.randint(1, max(1, len(w) // 10))):
+        k = rng.randrange(1, len(w))
+        w[k:k + rng.randint(0, 1)] = rng.choices("abcdefgh ", k=rng.randint(0, 1))
+    return " ".join("".join(w).split())
+
+
+def test_similar_lines_of_few_tokens_have_a_letter_block():
+    rng = random.Random(31)
+    met = []
+    for _ in range(1_500):
+        a = " ".join("".join(rng.choices("abcdeé天 ", k=rng.randint(9, 98))).split())
+        b = short_edits(rng, a)
+        if 0 < len(a) <= 100 >= len(b) > 0 and a != b and edit(a, b) <= max(len(a), len(b)) // 10:
+            of, block, odd = fuzzy_lines.letter_blocks([a.encode(), b.encode()], np.array([True, True]), fuzzy_lines.SIMILARITY)
+            met.append(bool(set(block[of == 0]) & set(block[of == 1])))
+            assert int(odd[0] ^ odd[1]).bit_count() <= 2 * edit(a, b)
+    assert len(met) > 800 and all(met)
+
+
+def test_lines_of_few_tokens_are_decided_like_all_others(spark, monkeypatch):
+    """Such lines were left alone, equal ones too; also where edits make a line of more tokens of one."""
+    rng = random.Random(32)
+    docs = [(0, "menu\nhome\n\n--"), (1, "home\n\n--\nabout us"), (2, "About us!\nmenu"), (3, "item 12 of 30"), (4, "item 77 of 41")]
+    for n in range(1, 5):
+        for _ in range(25):
+            a = " ".join("".join(rng.choices("abcdefgh", k=rng.randint(2, 26))) for _ in range(n))
+            docs += [(len(docs), a), (len(docs) + 1, short_edits(rng, a))]
+    # A family that no edit links, and those that link to it: compared by chunks.
+    base = "".join(rng.choices("abcdefgh", k=70))
+    docs += [(len(docs) + i, f"{base} {''.join(rng.choices('abcdefgh', k=25))}") for i in range(40)]
+    docs += [(len(docs) + i, short_edits(rng, text)) for i, (_, text) in enumerate(docs[-10:])]
+    want, df = brute_lines(docs), spark.createDataFrame(docs, "doc_id long, text string")
+    assert {(1, 0), (2, 0), (2, 1), (4, 0)} <= want and len(want) > 60
+    few = {i for i, text in docs if len(text.split()) < fuzzy_lines.FEW}
+    for size in (8, 1_000):
+        monkeypatch.setattr(fuzzy_lines, "CHUNK", size)
+        got = {(r.doc_id, k) for r in fuzzy_lines.dropped_lines(df).collect() for k in r.dropped}
+        assert got <= want and len(got) >= 0.98 * len(want)
+        assert not {i for i, _ in want - got} & few
+
+
+def test_queries_take_short_lines_of_all_scripts(spark, tmp_path):
+    docs = spark.createDataFrame([(i, text, "zh", "s", len(text)) for i, text in enumerate([HAN[:4], f"{HAN[:4]}。", "天\nmenu", "menu\n天"])],
+                                 "doc_id long, text string, lang string, source string, n_chars long")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    rows = {r.doc_id: r.dropped_lines for r in QUERIES["op8_fuzzy_lines"](spark, str(tmp_path)).collect()}
+    assert rows == {0: "", 1: "", 2: "", 3: "0,1"}
+    assert {r.doc_id: r.text for r in corpus_pipeline.line_dedup(spark, docs, str(tmp_path)).collect()} == {
+        0: HAN[:4], 1: f"{HAN[:4]}。", 2: "天\nmenu"}
+    copies = docs.unionByName(docs.withColumn("doc_id", F.col("doc_id") + 10))
+    assert {r.doc_id for r in fuzzy_lines.dropped_lines(copies, min_wide=1).collect()} == {3, 10, 11, 12, 13}
+
+
 def test_lines_of_scripts_without_spaces(spark):
     docs = [(0, HAN[:30]), (1, HAN[:30]), (2, "天" + HAN[1:29] + "。"), (3, HAN[30:60]), (4, "ภาษาไทยไม่มีช่องว่างระหว่างคำ"),
             (5, "ภาษาไทยไม่มีช่องว่างระหว่างคำ"), (6, HAN[:4]), (7, HAN[:4])]
